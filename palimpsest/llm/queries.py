@@ -1,8 +1,15 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from palimpsest.llm import bpe
+from palimpsest.llm import bpe, html, langid, linededup, ogg, quality, sharding, sketch
 
 QUERIES = {
+    "op2_ogg": ogg.op2_ogg,
+    "op3_langid": langid.op3_langid,
+    "op4_linededup": linededup.op4_linededup,
+    "op5_sharding": sharding.op5_sharding,
+    "op6_fingerprint": sketch.op6_fingerprint,
+    "op7_html": html.op7_html,
+    "op8_quality": quality.op8_quality,
     "op9_bpe": bpe.op9_bpe,
 }
 
