@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from palimpsest.llm import bpe, html, langid, linededup, ogg, quality, sharding, sketch
+from palimpsest.llm import bpe, html, langid, linededup, mixing, ngramjoin, ogg, quality, sharding, sketch
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_ogg": ogg.op2_ogg,
     "op3_langid": langid.op3_langid,
     "op4_linededup": linededup.op4_linededup,
@@ -11,6 +12,9 @@ QUERIES = {
     "op7_html": html.op7_html,
     "op8_quality": quality.op8_quality,
     "op9_bpe": bpe.op9_bpe,
+    "op10_ngram": ngramjoin.op10_ngram,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.oracle(),
+}
