@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,3 +146,68 @@ def shingle_sets(col: pa.Array, hasher: SpanHasher, size: int = 5) -> list[np.nd
                 x = mix(x + h[k : k + 1])
             out.append(x if b > a else x[:0])
     return out
+
+
+#: Bits of a filter, whatever the number of its members: 4 MB.
+FILTER_BITS = 25
+_PIECE = 15
+
+
+class Filter:
+    """A Bloom filter of 64-bit numbers, of fixed size. It may hold more than its members, never less; the more
+    members, the less it holds off."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.packed = zlib.compress(bits.tobytes(), 1)
+
+    @staticmethod
+    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(np.asarray(x).astype(np.int64).view(np.uint64))
+        mask = np.uint64((1 << FILTER_BITS) - 1)
+        return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
+
+    def open(self) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(self.packed), np.uint8)
+
+    @staticmethod
+    def among(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.ones(len(x), bool)
+        for p in Filter.places(x):
+            out &= ((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
+        return out
+
+    @staticmethod
+    def of(df: DataFrame, column: str) -> Filter:
+        """Of a column of longs (nulls are left out). Tasks set bits; the pieces of the bit map are joined in Spark."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+            for batch in batches:
+                for p in Filter.places(np.asarray(batch.column(0))):
+                    np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
+            rows = bits.reshape(-1, 1 << (_PIECE - 3))
+            some = np.nonzero(rows.any(axis=1))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[k].tobytes() for k in some], pa.binary())], names=["piece", "bits"])
+
+        def join(pdf):
+            merged = np.zeros(1 << (_PIECE - 3), np.uint8)
+            for b in pdf["bits"]:
+                merged |= np.frombuffer(b, np.uint8)
+            return pdf.head(1).assign(bits=merged.tobytes())
+
+        parts = df.select(F.col(column).cast("long").alias("x")).where("x is not null").mapInArrow(run, "piece int, bits binary")
+        bits = np.zeros((1 << (FILTER_BITS - _PIECE), 1 << (_PIECE - 3)), np.uint8)
+        for row in parts.groupBy("piece").applyInPandas(join, "piece int, bits binary").collect():  # of fixed size
+            bits[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
+        return Filter(bits)
+
+    def column(self, of):
+        """A column: whether the filter holds a column of longs."""
+
+        @F.pandas_udf("boolean")
+        def among(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            bits = self.open()
+            for x in parts:
+                yield pd.Series(Filter.among(bits, x.to_numpy()))
+
+        return among(of)

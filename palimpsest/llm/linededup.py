@@ -104,38 +104,32 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     bytes. Rows that are equal in id and text are one document."""
     rows = _identified(docs, key, text)
     places = common.written(_chunk_rows(rows).distinct(), "chunks")
-    twice = places.groupBy("h", "size").agg(F.count("*").alias("n")).where("n > 1").select("h", "size")
-    suspects = _listed(places.join(twice, ["h", "size"], "left_semi"))
+    # A filter of the hashes that occur twice keeps the texts where they are; what it lets through too many is told
+    # apart with the rest, byte by byte.
+    twice = common.Filter.of(places.groupBy("h", "size").agg(F.count("*").alias("n")).where("n > 1"), "h")
     kind = rows.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = common.SpanHasher()
+        hasher, bits = common.SpanHasher(), twice.open()
         for block in common.blocks(batches, "__text", 1 << 20):
             c = Chunks(block.column(2), hasher)
-            first = np.searchsorted(c.owner, np.arange(block.num_rows))
-            pick = [first[r] + s for r, seqs in enumerate(block.column(3).to_pylist()) for s in seqs]
+            some = np.nonzero(c.counting())[0]
+            some = some[common.Filter.among(bits, c.hash[some].astype(np.int64))]
             raw = c.data.tobytes()
-            owner = pa.array(c.owner[pick])
+            owner = pa.array(c.owner[some])
             yield pa.RecordBatch.from_arrays(
-                [block.column(0).take(owner), block.column(1).take(owner), pa.array(c.seq[pick].astype(np.int32)), pa.array([raw[c.start[p] : c.end[p]] for p in pick], pa.binary())],
+                [block.column(0).take(owner), block.column(1).take(owner), pa.array(c.seq[some].astype(np.int32)), pa.array([raw[c.start[p] : c.end[p]] for p in some], pa.binary())],
                 names=["__id", "__th", "seq", "chunk"],
             )
 
-    joined = _matched(rows, suspects)
-    chunks = joined.mapInArrow(run, f"__id {kind}, __th long, seq int, chunk binary")
+    chunks = rows.mapInArrow(run, f"__id {kind}, __th long, seq int, chunk binary")
     # Grouping by the bytes themselves compares them; partial aggregation meets a frequent chunk in each task first.
     place = F.struct("__id", "__th", "seq")
-    spots = common.written(chunks.select(place.alias("place"), F.sha2("chunk", 256).alias("digest"), "chunk").dropDuplicates(["place"]), "spots")
+    spots = common.written(chunks.select(place.alias("place"), F.sha2("chunk", 256).alias("digest"), "chunk"), "spots")
     first = spots.groupBy("chunk").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.sha2("chunk", 256).alias("digest"), "first")
-    keep = first.select(F.col("first").alias("place"))
-    doomed = spots.select("place", "digest").join(first.select("digest"), "digest", "left_semi").join(keep, "place", "left_anti")
-    return doomed.select("place.*")
-
-
-def _matched(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    other = listed.select(F.col("__id").alias("__i"), F.col("__th").alias("__t"), "seqs")
-    on = rows["__id"].eqNullSafe(other["__i"]) & (rows["__th"] == other["__t"])
-    return rows.join(other, on).select("__id", "__th", "__text", "seqs")
+    first = common.written(first, "firsts")
+    doomed = spots.select("place", "digest").join(first, "digest").where("place <> first")
+    return doomed.select("place.*").distinct()
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "removed_chunks") -> DataFrame:
@@ -147,8 +141,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str
     may have any other names; one named like `removed` is replaced.
     """
     columns = [c for c in docs.columns if c != removed]
-    gone = _listed(common.written(repeated(docs, key, text), "doomed")).select(F.col("__id").alias("__i"), F.col("__th").alias("__t"), "seqs")
-    whole = docs.select(*(F.col(f"`{c}`") for c in columns), F.xxhash64(F.col(text)).alias("__th"))
+    gone = common.written(_listed(repeated(docs, key, text)).select(F.col("__id").alias("__i"), F.col("__th").alias("__t"), "seqs"), "doomed")
+    # Only documents that may lose a chunk are dealt out by id.
+    marked = docs.select(*(F.col(f"`{c}`") for c in columns), F.xxhash64(F.col(text)).alias("__th"))
+    marked = marked.withColumn("__some", common.Filter.of(gone, "__t").column(F.col("__th")))
+    plain = marked.where("not __some").select(*(F.col(f"`{c}`") for c in columns), F.lit(0).alias(removed))
+    whole = marked.where("__some").drop("__some")
     joined = whole.join(gone, whole[key].eqNullSafe(gone["__i"]) & (whole["__th"] == gone["__t"]), "left").drop("__i", "__t", "__th")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + f", `{removed}` int"
     where = columns.index(text)
@@ -172,7 +170,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str
             made = [texts if k == where else block.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*made, pa.array([len(s or ()) for s in lists], pa.int32())], names=[*columns, removed])
 
-    return joined.mapInArrow(run, fields)
+    return plain.unionByName(joined.mapInArrow(run, fields))
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
