@@ -85,21 +85,11 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     order = F.struct(keyed.alias("k"), F.length("text").alias("n"), F.xxhash64("text").alias("h"))
     ranged = ranged.withColumn("__order", order)
     # The first row of each range; it follows the last row of the range above (the top range's: of the lowest range).
-    tops = ranged.groupBy("__range").agg(F.max("__order").alias("__order"))
+    tops = ranged.groupBy("__range").agg(F.max_by(F.struct("doc_id", "text", "__order"), "__order").alias("top"))
     chain = Window.partitionBy(F.lit(0)).orderBy(F.desc("__range"))
     whole = chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    above = tops.select(
-        "__order",
-        F.coalesce(F.lag("__range").over(chain), F.last("__range").over(whole)).alias("__above"),
-        F.col("__range").alias("__from"),
-    )
-    ghosts = (
-        ranged.join(above, ranged["__range"] == above["__from"])
-        .where(ranged["__order"] == above["__order"])
-        .groupBy("__above", ranged["__order"])
-        .agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"))
-        .select("doc_id", "text", F.col("__above").alias("__range"), "__order", F.lit(True).alias("ghost"))
-    )
+    above = tops.select(F.col("__range").alias("__from"), F.coalesce(F.lag("__range").over(chain), F.last("__range").over(whole)).alias("__above"))
+    ghosts = tops.join(above, tops["__range"] == above["__from"]).select("top.doc_id", "top.text", F.col("__above").alias("__range"), "top.__order", F.lit(True).alias("ghost"))
     return ranged.withColumn("ghost", F.lit(False)).unionByName(ghosts)
 
 
