@@ -62,25 +62,27 @@ def _groups(text: Column, pattern: str, n: int) -> Column:
 
 
 def _latin(low: Column) -> Column:
-    stop = _strings(L.STOPWORDS)
-    whole = F.filter(F.regexp_extract_all(low, F.lit(COMPOUND), F.lit(0)), lambda t: ~F.array_contains(stop, t))
+    whole = F.filter(F.regexp_extract_all(low, F.lit(COMPOUND), F.lit(0)), lambda t: ~t.isin(*L.STOPWORDS))
     rest = F.regexp_extract_all(F.regexp_replace(low, COMPOUND, " "), F.lit("[a-z0-9]+"), F.lit(0))
-    return whole, F.filter(rest, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return whole, F.filter(rest, lambda t: (F.length(t) > 1) & ~t.isin(*L.STOPWORDS))
 
 
-def tokenize(text: Column) -> Column:
-    """Tokens in order, with repeats: compounds, dates, measures, words, then CJK characters and pairs of them."""
+def tokenize(text: Column, cjk: bool = False) -> Column:
+    """Tokens in order, with repeats: compounds, then words that are no stop words. With `cjk`, for stores that hold
+    Chinese, also dates, measures, characters and pairs of them; that expression is large, so it is asked for."""
     low = F.lower(F.coalesce(text, F.lit("")))
     whole, words = _latin(low)
+    if not cjk:
+        return F.concat(whole, words)
     date = lambda y, m, d: F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int"))
     spelled = F.filter(
-        F.transform(_groups(low, ZH_WORD_DATE, 3), lambda g: F.struct(g["0"].cast("int").alias("y"), zh_number(g["1"]).alias("m"), zh_number(g["2"]).alias("d"))),
+        F.transform(_groups(low, ZH_WORD_DATE, 3), lambda g: F.struct(g["g0"].cast("int").alias("y"), zh_number(g["g1"]).alias("m"), zh_number(g["g2"]).alias("d"))),
         lambda g: g["m"].between(1, 12) & g["d"].between(1, 31),
     )
     spelled = F.transform(spelled, lambda g: date(g["y"], g["m"], g["d"]))
-    dates = F.transform(_groups(low, ZH_DATE, 3), lambda g: date(g["0"], g["1"], g["2"]))
+    dates = F.transform(_groups(low, ZH_DATE, 3), lambda g: date(g["g0"], g["g1"], g["g2"]))
     bare = F.regexp_replace(F.regexp_replace(low, ZH_WORD_DATE, "$1年 "), ZH_DATE, " ")
-    measures = F.filter(F.transform(_groups(bare, ZH_MEASURE, 2), lambda g: F.struct(zh_number(g["0"]).alias("n"), g["1"].alias("u"))), lambda g: g["n"] != 0)
+    measures = F.filter(F.transform(_groups(bare, ZH_MEASURE, 2), lambda g: F.struct(zh_number(g["g0"]).alias("n"), g["g1"].alias("u"))), lambda g: g["n"] != 0)
     measures = F.transform(measures, lambda g: F.concat(g["n"].cast("string"), g["u"]))
     chars = F.regexp_extract_all(bare, F.lit(CJK), F.lit(0))
     stop = _strings(list(dict.fromkeys(L.CJK_STOP)))
@@ -88,8 +90,8 @@ def tokenize(text: Column) -> Column:
     pairs = F.when(
         F.size(chars) > 1,
         F.transform(
-            F.filter(F.arrays_zip(F.slice(chars, F.lit(1), F.size(chars) - 1).alias("a"), F.slice(chars, F.lit(2), F.size(chars) - 1).alias("b")), lambda p: ~F.array_contains(stop, p["0"]) & ~F.array_contains(stop, p["1"])),
-            lambda p: F.concat(p["0"], p["1"]),
+            F.filter(F.arrays_zip(F.slice(chars, F.lit(1), F.size(chars) - 1).alias("a"), F.slice(chars, F.lit(2), F.size(chars) - 1).alias("b")), lambda p: ~F.array_contains(stop, p["a"]) & ~F.array_contains(stop, p["b"])),
+            lambda p: F.concat(p["a"], p["b"]),
         ),
     ).otherwise(F.array().cast("array<string>"))
     bare_whole, bare_words = _latin(bare)
@@ -98,8 +100,7 @@ def tokenize(text: Column) -> Column:
 
 
 def extract_cues(tokens: Column, limit: int = 6) -> Column:
-    stop = _strings(L.STOPWORDS)
-    good = F.filter(tokens, lambda t: ~F.array_contains(stop, t) & (F.length(t) >= 2) & ~(t.rlike("^[a-z0-9]+$") & (F.length(t) < 4)))
+    good = F.filter(tokens, lambda t: ~t.isin(*L.STOPWORDS) & (F.length(t) >= 2) & ~(t.rlike("^[a-z0-9]+$") & (F.length(t) < 4)))
     return F.slice(F.array_distinct(good), 1, limit)
 
 

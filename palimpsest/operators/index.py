@@ -10,7 +10,7 @@ from palimpsest.functions import text
 
 def item_terms(mem: DataFrame) -> DataFrame:
     """id, terms: distinct tokens of content and cues."""
-    return mem.select("id", F.array_distinct(F.concat(text.tokenize(F.col("content")), F.flatten(F.transform("cues", text.tokenize)))).alias("terms"))
+    return mem.select("id", F.array_distinct(F.concat(text.tokenize(F.col("content")), F.flatten(F.transform("cues", lambda c: text.tokenize(c))))).alias("terms"))
 
 
 def term_index(mem: DataFrame) -> DataFrame:

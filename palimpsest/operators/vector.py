@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PLANES, SEED = 13, 42
+TABLES, SEED = 12, 42
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,35 +37,45 @@ def knn_vote(vectors: DataFrame, query_ids: list[int], k: int = 9) -> DataFrame:
     return votes.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("votes"), "label"))).where("k = 1").drop("k")
 
 
-def planes(dim: int, n: int = PLANES, seed: int = SEED) -> np.ndarray:
+def planes(dim: int, n: int, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((n, dim))
 
 
-def buckets(vectors: DataFrame, dim: int, key: str = "vec_id", column: str = "embedding", rotations: int = 8) -> DataFrame:
-    """key, bucket: the signs against random planes as bits, and rotations of them."""
-    normals = planes(dim)
+def bits_for(rows: int) -> int:
+    """Planes of a table, so that a bucket holds about 64 rows."""
+    return int(np.clip(np.round(np.log2(max(rows, 1) / 64)), 3, 24))
 
-    @F.pandas_udf("array<int>")
+
+def buckets(vectors: DataFrame, dim: int, bits: int, probe: bool = False, key: str = "vec_id", column: str = "embedding", tables: int = TABLES) -> DataFrame:
+    """key, bucket: in each table the signs against random planes; with `probe` also the buckets one sign away."""
+    normals = planes(dim, bits * tables)
+
+    @F.pandas_udf("array<long>")
     def signs(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        near = [0, *(1 << k for k in range(bits))] if probe else [0]
         for x in parts:
-            bits = (np.stack(x.to_numpy()).astype(float) @ normals.T >= 0) if len(x) else np.zeros((0, PLANES), bool)
-            code = bits @ (1 << np.arange(PLANES))
-            mask = (1 << PLANES) - 1
-            yield pd.Series([[r << PLANES | (int(c) << r | int(c) >> (PLANES - r)) & mask for r in range(rotations)] for c in code])
+            on = (np.stack(x.to_numpy()).astype(float) @ normals.T >= 0) if len(x) else np.zeros((0, bits * tables), bool)
+            code = on.reshape(-1, tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+            yield pd.Series([[t << bits | int(c) ^ m for t, c in enumerate(row) for m in near] for row in code])
 
     return vectors.select(key, F.explode(signs(column)).alias("bucket"))
 
 
 def lsh_top_k(vectors: DataFrame, query_ids: list[int], dim: int, k: int = 10) -> DataFrame:
-    """Like top_k, among rows that share a bucket with the query."""
-    rows = buckets(vectors, dim)
-    asked = rows.where(F.col("vec_id").isin(*query_ids)).select(F.col("vec_id").alias("query"), "bucket")
-    pairs = rows.join(asked, "bucket").where("vec_id <> query").select("query", "vec_id").distinct()
-    q = vectors.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    scored = pairs.join(vectors, "vec_id").join(q, "query").select("query", F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    """Like top_k, among rows that share a bucket with the query or with a bucket one sign away."""
+    bits = bits_for(vectors.count())
+    asked = buckets(vectors.where(F.col("vec_id").isin(*query_ids)), dim, bits, probe=True).withColumnRenamed("vec_id", "query")
+    pairs = buckets(vectors, dim, bits).join(F.broadcast(asked), "bucket").where("vec_id <> query").select("query", "vec_id").distinct()  # a few queries' buckets
+    q = vectors.where(F.col("vec_id").isin(*query_ids)).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    scored = pairs.join(vectors, "vec_id").join(F.broadcast(q), "query").select("query", F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
 
 
+def search(vectors: DataFrame, query_ids: list[int], dim: int, k: int = 10, exact_up_to: int = 10_000) -> DataFrame:
+    """Exact where the table is small, else through the buckets."""
+    return top_k(vectors, query_ids, k) if vectors.count() <= exact_up_to else lsh_top_k(vectors, query_ids, dim, k)
+
+
 def ngram_features(text: str) -> dict[str, int]:
     """Words of two letters or more and their 2- to 4-grams; Chinese characters and pairs."""
     import re

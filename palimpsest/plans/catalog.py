@@ -131,7 +131,7 @@ query("rrf_fusion", ASKED + """SELECT query_id, id, round(sum(part), 9) AS fused
 )
 query("confident_flag", ASKED + "SELECT query_id, confident FROM found WHERE rank = 1", MEM + ", ")(lambda t: t.found(1).select("query_id", "confident"))
 query("conflict_flag", ASKED + "SELECT DISTINCT query_id, f.id FROM found f JOIN act a ON f.id = a.id JOIN cues c ON c.cue = a.cues[1] JOIN act b ON b.id = c.id WHERE rank = 1 AND b.evidence_count >= 3 * greatest(1, a.evidence_count) AND b.trust >= a.trust", MEM + ", ")(lambda t: recall.conflict_flags(t.found(1), t.act))
-query("spread_activation", ASKED + """SELECT query_id, id, round(max(score * 0.95 * pow(0.985, k)), 6) AS boost FROM (
+query("spread_activation", ASKED + """SELECT query_id, id, round(max(score * 0.95 * pow(0.985, k)), 9) AS boost FROM (
   SELECT f.query_id, b.id, f.score, row_number() OVER (PARTITION BY f.query_id, f.id ORDER BY abs(b.seq - a.seq), b.seq DESC) - 1 AS k FROM found f JOIN act a ON a.id = f.id JOIN both_ways l ON l.src = f.id JOIN act b ON b.id = l.dst WHERE f.rank <= 5)
  WHERE k < 50 GROUP BY ALL""", MEM + ", ")(lambda t: recall.spread(t.found(), t.links(), t.act))
 query("pattern_separation", ASKED + """, side AS (SELECT f.*, a.cues, a.content_hash, a.evidence_count FROM found f JOIN act a USING (id)),

@@ -66,6 +66,9 @@ DUE_AT = f"(coalesce(last_review_at, {TS}) + to_microseconds(round(24.0 * pow(2.
 INTERVAL = "24.0 * pow(2.0, CASE WHEN review_streak < 1 THEN greatest(-2.0, review_streak - 1) ELSE least(review_streak - 1, 8.0) END)"
 TRIES = "(retrieval_successes + retrieval_failures)"
 
+_MOODS = {m: "regexp_matches(low, '" + "|".join(w) + "')" for m, w in L.MOODS.items()}
+MOOD = "CASE WHEN " + " + ".join(f"{x}::INT" for x in _MOODS.values()) + " = 1 THEN CASE " + " ".join(f"WHEN {x} THEN '{m}'" for m, x in _MOODS.items()) + " END END"
+
 #: Queries of recall: the benchmark's texts.
 ASKED = f"""qs AS MATERIALIZED (SELECT item_id AS query_id, list_distinct({tokens('text')}) AS base, lower(text) AS low FROM benchmark),
 qt AS MATERIALIZED (SELECT query_id, len(base) AS nq, unnest(base) AS term FROM qs),
@@ -80,6 +83,7 @@ scored AS MATERIALIZED (SELECT *, round(0.40 * lap * CASE WHEN idf_avg > 0 AND i
    + 0.25 * least(1.0, r) + 0.20 * importance + 0.06 * trust + 0.05 * confidence + CASE WHEN affect IN {AROUSED} THEN 0.05 ELSE 0 END + CASE WHEN evidence_count >= 3 THEN 0.03 ELSE 0 END
    + CASE WHEN kind = 'episodic' AND (contains(low, 'after') OR contains(low, 'next') OR contains(low, 'then')) THEN 0.05 ELSE 0 END
    + CASE WHEN evidence_count > 1 THEN least(0.08, 0.02 * (evidence_count - 1)) ELSE 0 END
+   + CASE WHEN affect = {MOOD} THEN 0.05 ELSE 0 END
    + CASE WHEN kind = 'semantic' AND regexp_matches(low, 'what is|what''s|favorite|prefers|which is|who is|when is') THEN 0.03 ELSE 0 END, 6) AS score FROM rows0),
 ranked AS MATERIALIZED (SELECT query_id, id, score, round(lap, 6) AS overlap, round(r, 6) AS retrievability, row_number() OVER w AS rank, lead(score, 1, -1.0) OVER w AS nxt
   FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, seq DESC)),
