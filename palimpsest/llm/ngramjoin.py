@@ -252,13 +252,27 @@ def listed_pairs(rows: DataFrame) -> DataFrame:
     """a, b of cells of LISTED members at most (columns cell, sid, n, root): pairs of different roots and fitting sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, 1):
-            sid, n, root = (np.asarray(t.column(k)) for k in (1, 2, 3))
-            i, j = np.triu_indices(len(sid), 1)
-            ok = (root[i] != root[j]) & (5 * n[i] >= 4 * n[j]) & (5 * n[j] >= 4 * n[i])
-            i, j = i[ok], j[ok]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[i], sid[j])), pa.array(np.maximum(sid[i], sid[j]))], names=["a", "b"])
+        held = [np.zeros(0, np.int64)] * 4
+
+        def pairs(cell, sid, n, root):
+            for k in range(1, LISTED):
+                i = np.nonzero(cell[:-k] == cell[k:])[0] if len(cell) > k else np.zeros(0, np.int64)
+                if not len(i):
+                    break
+                j = i + k
+                ok = (root[i] != root[j]) & (5 * n[i] >= 4 * n[j]) & (5 * n[j] >= 4 * n[i])
+                a, b = sid[i[ok]], sid[j[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            columns = [np.concatenate([h, np.asarray(batch.column(k))]) for k, h in enumerate(held)]
+            # The last cell may go on in the next batch; it has few rows.
+            whole = len(columns[0])
+            if whole:
+                whole -= int(np.argmax(np.append(columns[0][::-1] != columns[0][-1], True)))
+            yield from pairs(*(c[:whole] for c in columns))
+            held = [c[whole:] for c in columns]
+        yield from pairs(*held)
 
     return rows.select("cell", "sid", "n", "root").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
@@ -303,9 +317,21 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """u, v of the pairs (a, b, each once) whose shingle sets are linked; texts: sid, text. A centre's pairs are dealt
-    out, SPREAD to a task's group, with a copy of the centre's text for each."""
+def texts_of(pairs: DataFrame, points: DataFrame, marked: DataFrame) -> DataFrame:
+    """sid, text of the sets in pairs (a, b). Texts that no pair needs stay where they are: a filter of fixed size holds
+    them off before the join. points: sid, th, __id; marked: __id, __th, __text."""
+    sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    need = common.written(sids.join(points, "sid").select("sid", "th", F.col("__id").alias("__p")), "need")
+    some = marked.where(common.Filter.of(need, "th").column(F.col("__th")))
+    found = some.join(need, (some["__th"] == need["th"]) & some["__id"].eqNullSafe(need["__p"]))
+    return common.written(found.select("sid", F.col("__text").alias("text")).dropDuplicates(["sid"]), "texts")
+
+
+def verified(pairs: DataFrame, points: DataFrame, marked: DataFrame) -> DataFrame:
+    """u, v of the pairs (a, b, each once) whose shingle sets are linked. A centre's pairs are dealt out, SPREAD to a
+    task's group, with a copy of the centre's text for each."""
+    pairs = common.written(pairs, "pairs")
+    texts = texts_of(pairs, points, marked)
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).alias("__n"))
     dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("__n")).alias("part"))
     dealt = common.written(dealt, "dealt")
@@ -348,12 +374,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     points = common.written(points.join(members.select("sid").distinct(), "sid", "left_semi"), "points")
     slim = points.select("sid", "n", "counts")
     marked = rows.withColumn("__th", F.xxhash64("__text"))
-    texts = marked.join(points.select("sid", "th", F.col("__id").alias("__p")), (marked["__th"] == F.col("th")) & marked["__id"].eqNullSafe(F.col("__p")))
-    texts = common.written(texts.select("sid", F.col("__text").alias("text")).dropDuplicates(["sid"]), "texts")
 
     # First each cell's members against its smallest; most groups of near copies are joined by that.
     stars = members.where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
-    first = common.written(verified(bounded(stars, slim), texts), "links")
+    first = common.written(verified(bounded(stars, slim), points, marked), "links")
     roots = components(first)
 
     # Then, in cells that still hold several components, all pairs of different ones.
@@ -363,7 +387,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     listed = listed_pairs(rest.where(F.col("size") <= LISTED)).distinct()
     packed = tree_pairs(rest.where(F.col("size") > LISTED).join(slim.select("sid", "counts"), "sid")).distinct()
     more = bounded(listed, slim).unionByName(packed).distinct()
-    links = first.unionByName(verified(more, texts))
+    links = first.unionByName(verified(more, points, marked))
     final = components(links)
 
     named = meta.join(final, meta["sid"] == final["id"], "left").select("__id", "n", F.coalesce("root", "sid").alias("root"))
