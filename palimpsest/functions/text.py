@@ -13,7 +13,7 @@ COMPOUND = "[a-z0-9]+(?:[-_][a-z0-9]+)+"
 CJK = "[\\u4e00-\\u9fff]"
 ZH_DATE = "(\\d{4})\\s*年\\s*(\\d{1,2})\\s*月\\s*(\\d{1,2})\\s*日"
 ZH_WORD_DATE = "(\\d{4})年([一二三四五六七八九十零]+)月([一二三四五六七八九十零]+)日"
-ZH_MEASURE = "([一二三四五六七八九十零两]+)(元|块|本|个|台|条|张|件|杯|瓶)"
+ZH_MEASURE = "([一二三四五六七八九十零两百千万亿]+)(元|块|本|个|台|条|张|件|杯|瓶)"
 
 
 def _strings(values) -> Column:

@@ -44,11 +44,6 @@ def prunable(mem: DataFrame, now: Column) -> DataFrame:
     return mem.where("importance < 0.2 and access_count = 0").where(curve.hours_between(F.col("created_at"), now) >= 720).select("id", "importance")
 
 
-def faded(mem: DataFrame, now: Column, importance: float = 0.45, days: int = 30) -> DataFrame:
-    """Like prunable, for stores whose least important memories matter more."""
-    return mem.where(F.col("importance") < importance).where("access_count <= 8").where(curve.hours_between(F.col("created_at"), now) >= 24 * days).select("id", "importance")
-
-
 def weak_replay(mem: DataFrame, now: Column, most: int = 100) -> DataFrame:
     rows = mem.withColumn("r", curve.retrievability(now)).where("kind = 'semantic' and importance >= 0.6 and r < 0.35").orderBy(F.desc("importance"), F.desc("seq")).limit(most)
     gain = 0.03 * (0.5 + F.col("importance"))

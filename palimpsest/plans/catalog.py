@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import curve, text
-from palimpsest.operators import consolidate, graph, index, planning, recall, reports, review, vector
+from palimpsest.operators import consolidate, graph, index, planning, practice, recall, reports, review, vector
 from palimpsest.plans import general
 from palimpsest.plans.oracle import ASKED, AROUSED, DUE_AT, IDLE, INTERVAL, MEM, RATE, TRIES, TS, hours, tokens
 from palimpsest.sources import memories as source
@@ -118,6 +118,15 @@ query("review_outcomes", f"SELECT id, round(CASE WHEN ok THEN least(1.0, strengt
     lambda t: review.reviewed(t.act, t.act.select("id", (F.col("seq") % 3 != 0).alias("success")), t.now)
 )
 
+_PRACTICE = f"0.12 * CASE WHEN gen THEN 1.15 ELSE 1 END * (1 + 0.45 * least(1.0, {IDLE} / 168)) * (1 + 0.5 * least(greatest(1 - least(1.0, r), 0), 1))"
+query("practice_answer", f"""SELECT id, ok AS success, gen AS generated, round(least(1.0, strength + CASE WHEN ok THEN {_PRACTICE} ELSE 0.05 END), 6) AS strength, CASE WHEN ok THEN review_streak + 1 ELSE 0.0 END AS review_streak
+ FROM (SELECT *, ok AND a <> c AS gen FROM (SELECT *, length(a) > 0 AND (contains(c, a) OR contains(a, c) OR (length(a) >= 2 AND sh >= 2 AND sh / greatest(len(la), 1) >= 0.6)) AS ok
+  FROM (SELECT *, len(list_intersect(la, list_distinct(string_split(c, '')))) AS sh FROM (SELECT *, list_distinct(string_split(a, '')) AS la
+   FROM (SELECT *, regexp_replace(content, '\\s+', '', 'g') AS c, regexp_replace(CASE seq % 3 WHEN 0 THEN 'zq 90 $' WHEN 1 THEN content ELSE substr(content, 5, 40) END, '\\s+', '', 'g') AS a FROM act)))))""")(
+    lambda t: practice.answered(t.act, t.act.select("id", F.when(F.col("seq") % 3 == 0, "zq 90 $").when(F.col("seq") % 3 == 1, F.col("content")).otherwise(F.substring("content", 5, 40)).alias("attempt")), t.now)
+)
+query("test_generator", "SELECT id, CASE WHEN k % 2 = 1 THEN 'cue' ELSE 'cloze' END AS kind, CASE WHEN k % 2 = 1 THEN cues[1] ELSE substr(content, 1, length(content) - floor(length(content) / 3)::INT) || '____' END AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY importance DESC, seq DESC) AS k FROM act)")(lambda t: practice.tests(t.act))
+
 # --- recall
 
 query("candidates_idf", ASKED + "SELECT query_id, id, hits, round(idf_hits, 6) AS idf_hits, k AS rank FROM best WHERE k <= 100", MEM + ", ")(lambda t: recall.candidates(t.asked(), t.act).select("query_id", "id", "hits", F.round("idf_hits", 6).alias("idf_hits"), "rank"))
@@ -152,7 +161,6 @@ query("promote", f"""SELECT a.id, s.content_hash IS NOT NULL AS known, len(cues)
  FROM (SELECT *, coalesce(affect IN {AROUSED}, false) AS felt, {hours('created_at', TS)} AS age FROM act WHERE kind = 'episodic') a LEFT JOIN (SELECT DISTINCT content_hash FROM act WHERE kind = 'semantic') s USING (content_hash)
  WHERE access_count >= CASE WHEN felt THEN 1 ELSE 2 END AND age >= CASE WHEN felt THEN 12 ELSE 24 END AND (importance >= 0.6 OR access_count >= 3)""")(lambda t: consolidate.promote(t.act, t.now))
 query("prune_preview", f"SELECT id, importance FROM act WHERE importance < 0.2 AND access_count = 0 AND {hours('created_at', TS)} >= 720")(lambda t: consolidate.prunable(t.act, t.now))
-query("faded_preview", f"SELECT id, importance FROM act WHERE importance < 0.45 AND access_count <= 8 AND {hours('created_at', TS)} >= 720")(lambda t: consolidate.faded(t.act, t.now))
 query("weak_replay", "SELECT id, round(least(1.0, strength + g), 6) AS strength, round(least(2.0, storage_strength + g), 6) AS storage_strength FROM (SELECT *, 0.03 * (0.5 + importance) AS g FROM act WHERE kind = 'semantic' AND importance >= 0.6 AND r < 0.35 ORDER BY importance DESC, seq DESC LIMIT 100)")(lambda t: consolidate.weak_replay(t.act, t.now))
 _CONFLICTS = f""", facts AS MATERIALIZED (SELECT *, list_distinct(w) AS words FROM act WHERE kind = 'semantic' AND confidence >= 0.6),
 fc AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY confidence DESC, importance DESC, seq DESC) AS k FROM (SELECT id, seq, content_hash, confidence, importance, words, unnest(cues) AS cue FROM facts)) WHERE k <= 120),
