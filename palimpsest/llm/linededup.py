@@ -141,7 +141,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str
     may have any other names; one named like `removed` is replaced.
     """
     columns = [c for c in docs.columns if c != removed]
-    gone = common.written(_listed(repeated(docs, key, text)).select(F.col("__id").alias("__i"), F.col("__th").alias("__t"), "seqs"), "doomed")
+    gone = common.written(_listed(repeated(docs, key, text)).select(F.col("__id").alias("__i"), F.col("__th").alias("__t"), F.col("seqs").alias("__seqs")), "doomed")
     # Only documents that may lose a chunk are dealt out by id.
     marked = docs.select(*(F.col(f"`{c}`") for c in columns), F.xxhash64(F.col(text)).alias("__th"))
     marked = marked.withColumn("__some", common.Filter.of(gone, "__t").column(F.col("__th")))
