@@ -25,8 +25,10 @@ from palimpsest.llm.components import components
 
 SHINGLE = 5
 GROUPS = 128
+#: A group's count is kept in a byte; at this value it may be more, and bounds nothing.
+FULL = 255
 #: Shingles that occur so often in a block of texts come last in the common order; so many of them are told apart.
-OFTEN, OFTEN_MOST, OFTEN_BLOCK = 4, 65_536, 16 << 20
+OFTEN, OFTEN_MOST, OFTEN_BLOCK = 3, 65_536, 6 << 20
 #: Members of a cell whose pairs are listed at once, members of a block of a larger cell, and of a leaf.
 LISTED, CELL_BLOCK, LEAF, FAN = 12, 2048, 32, 8
 #: Pairs of a centre that are verified side by side.
@@ -73,7 +75,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = common.SpanHasher()
         for big in common.blocks(batches, "__text", OFTEN_BLOCK):
-            parts = [np.concatenate([*_sets(b.column(0), hasher), np.zeros(0, np.uint64)]) for b in common.blocks([big], "__text", 2 << 20)]
+            parts = [np.concatenate([*_sets(b.column(0), hasher), np.zeros(0, np.uint64)]) for b in common.blocks([big], "__text", 1 << 19)]
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
             some = n >= OFTEN
             yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], names=["key", "n"])
@@ -89,9 +91,9 @@ def describe(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = common.SpanHasher()
-        for block in common.blocks(batches, "__text", 2 << 20):
+        for block in common.blocks(batches, "__text", 1 << 19):
             sets = _sets(block.column(2), hasher)
-            counts = [np.minimum(counts_of(s), 65535).astype(np.uint16).tobytes() for s in sets]
+            counts = [np.minimum(counts_of(s), FULL).astype(np.uint8).tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [block.column(0), block.column(1), pa.array([identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary())],
                 names=["__id", "th", "sid", "n", "counts"],
@@ -105,7 +107,7 @@ def cells(docs: DataFrame, often: np.ndarray) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = common.SpanHasher()
-        for block in common.blocks(batches, "__text", 2 << 20):
+        for block in common.blocks(batches, "__text", 1 << 19):
             known = {identity(s): s for s in _sets(block.column(0), hasher) if len(s)}  # copies in a block meet here
             parts = [first_fifth(s, often) for s in known.values()]
             keys = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
@@ -188,6 +190,8 @@ class RTree:
     def _apart(self, a: int, b: int) -> bool:
         if 5 * self.most[a] < 4 * self.least[b] or 5 * self.most[b] < 4 * self.least[a]:
             return True
+        if (self.high[a] == FULL).any() and (self.high[b] == FULL).any():
+            return False
         return 9 * int(np.minimum(self.high[a], self.high[b]).sum()) < 4 * (self.least[a] + self.least[b])
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -214,15 +218,15 @@ class RTree:
 
 
 def close(ca: np.ndarray, na: np.ndarray, cb: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs whose sizes and summed smaller counts allow a similarity of 0.8. Counts at 65535 bound nothing."""
+    """Places of pairs whose sizes and summed smaller counts allow a similarity of 0.8. Counts at FULL bound nothing."""
     bound = np.minimum(ca[:, None, :], cb[None, :, :]).sum(axis=2)
-    bound = np.where(((ca == 65535).any(axis=1)[:, None]) & ((cb == 65535).any(axis=1)[None]), 1 << 60, bound)
+    bound = np.where(((ca == FULL).any(axis=1)[:, None]) & ((cb == FULL).any(axis=1)[None]), 1 << 60, bound)
     ok = (9 * bound >= 4 * (na[:, None] + nb[None])) & (5 * na[:, None] >= 4 * nb[None]) & (5 * nb[None] >= 4 * na[:, None])
     return np.nonzero(ok)
 
 
 def unpack(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -310,33 +314,25 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
                 if not part.num_rows:
                     continue
                 ca, cb = unpack(part.column(4)), unpack(part.column(5))
-                free = (ca == 65535).any(axis=1) & (cb == 65535).any(axis=1)
+                free = (ca == FULL).any(axis=1) & (cb == FULL).any(axis=1)
                 ok = free | (9 * np.minimum(ca, cb).sum(axis=1) >= 4 * (np.asarray(part.column(2)) + np.asarray(part.column(3))))
                 yield part.filter(pa.array(ok)).select(["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def texts_of(pairs: DataFrame, points: DataFrame, marked: DataFrame) -> DataFrame:
-    """sid, text of the sets in pairs (a, b). Texts that no pair needs stay where they are: a filter of fixed size holds
-    them off before the join. points: sid, th, __id; marked: __id, __th, __text."""
-    sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    need = common.written(sids.join(points, "sid").select("sid", "th", F.col("__id").alias("__p")), "need")
-    some = marked.where(common.Filter.of(need, "th").column(F.col("__th")))
-    found = some.join(need, (some["__th"] == need["th"]) & some["__id"].eqNullSafe(need["__p"]))
-    return common.written(found.select("sid", F.col("__text").alias("text")).dropDuplicates(["sid"]), "texts")
-
-
 def verified(pairs: DataFrame, points: DataFrame, marked: DataFrame) -> DataFrame:
     """u, v of the pairs (a, b, each once) whose shingle sets are linked. A centre's pairs are dealt out, SPREAD to a
-    task's group, with a copy of the centre's text for each."""
+    task's group, with a copy of the centre's text for each. points: sid, th; marked: __th, __text. Texts that no pair
+    needs stay where they are: a filter of fixed size holds them off. Copies of a text meet in each task first."""
     pairs = common.written(pairs, "pairs")
-    texts = texts_of(pairs, points, marked)
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).alias("__n"))
     dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("__n")).alias("part"))
-    dealt = common.written(dealt, "dealt")
-    centres = dealt.select("a", "part").distinct().join(texts, dealt["a"] == texts["sid"]).select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
-    others = dealt.join(texts, dealt["b"] == texts["sid"]).select("a", "part", F.lit(1).alias("side"), "b", "text")
+    roles = dealt.select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b")).distinct().unionByName(dealt.select("a", "part", F.lit(1).alias("side"), "b"))
+    roles = common.written(roles.join(points.select(F.col("sid").alias("b"), "th"), "b").select("a", "part", "side", "b", "th"), "roles")
+    some = marked.where(common.Filter.of(roles, "th").column(F.col("__th")))
+    texts = some.groupBy(F.col("__th").alias("th")).agg(F.first("__text").alias("text"))
+    rows = roles.join(texts, "th").select("a", "part", "side", "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = common.SpanHasher()
@@ -352,7 +348,7 @@ def verified(pairs: DataFrame, points: DataFrame, marked: DataFrame) -> DataFram
                     vs.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return centres.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(run, "u long, v long")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(run, "u long, v long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
