@@ -99,7 +99,7 @@ class Store:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def _pointer(self, name: str) -> str:
-        return f"{self.path}/{name}/_CURRENT"
+        return f"{self.path}/{name}/CURRENT"
 
     def version(self, name: str) -> str | None:
         fs, where = self._fs(self._pointer(name))
