@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,17 +95,75 @@ def timeline(mem: DataFrame) -> DataFrame:
     return mem.where("kind = 'episodic'").groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.min_by("id", "seq").alias("first_id"))
 
 
-def similar_pairs(mem: DataFrame, threshold: float = 0.6, most: int = 200) -> DataFrame:
-    """Pairs whose shared words make up `threshold` of the smaller's. Words of more than `most` memories pair nothing by
-    themselves; they count in pairs that a rarer word brings together."""
-    words = mem.select("id", F.array_distinct(text.tokenize(F.col("content"))).alias("w"))
-    rows = words.select("id", F.explode("w").alias("t"))
-    rare = rows.groupBy("t").count().where((F.col("count") > 1) & (F.col("count") <= most)).select("t")
-    brought = rows.join(rare, "t", "left_semi")
-    pairs = brought.withColumnRenamed("id", "a").join(brought.withColumnRenamed("id", "b"), "t").where("a < b").select("a", "b").distinct()
-    full = pairs.join(words.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    share = F.size(F.array_intersect("wa", "wb")) / F.least(F.size("wa"), F.size("wb"))
-    return full.select("a", "b", F.round(share, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+def _word_sets(mem: DataFrame) -> DataFrame:
+    """id, its distinct words in order with spaces between (no word holds one), their number, and a digest of them."""
+    rows = mem.select("id", F.array_sort(F.array_distinct(text.tokenize(F.col("content")))).alias("w"))
+    return rows.select("id", F.concat_ws(" ", "w").alias("w"), F.size("w").alias("size")).withColumn("key", F.sha2("w", 256))
+
+
+def _block_pairs(sets: DataFrame, blocks: Column) -> DataFrame:
+    """Each row once for each pair i <= j of blocks that its own (blk) is in."""
+    rows = sets.withColumn("blocks", blocks.cast("int")).withColumn("blk", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("blk", "other"), "j": F.greatest("blk", "other")}).drop("blocks", "other")
+
+
+def _overlaps(table: pa.Table, i: int, j: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each row of block i: its number, the rows of block j (later ones, if i is j), the common words and the smaller
+    number of words with each."""
+    w = pc.split_pattern(pa.concat_arrays(table["w"].chunks), " ").flatten()
+    code = np.asarray(w.filter(pc.not_equal(w, "")).dictionary_encode().indices)
+    size = np.asarray(table["size"]).astype(np.int64)
+    offs = np.concatenate([[0], np.cumsum(size)])
+    blk = np.asarray(table["blk"])
+    right = np.nonzero(blk == j)[0]
+    at = np.full(len(blk), -1)
+    at[right] = np.arange(len(right))
+    place = np.repeat(at, size)
+    some = np.nonzero(place >= 0)[0]
+    order = some[np.argsort(code[some], kind="stable")]
+    post = place[order]
+    ends = np.searchsorted(code[order], np.arange(code.max(initial=-1) + 2))
+    for a in np.nonzero(blk == i)[0]:
+        lists = [post[ends[c] : ends[c + 1]] for c in code[offs[a] : offs[a + 1]]]
+        common = np.bincount(np.concatenate(lists), minlength=len(right)) if lists else np.zeros(len(right), np.int64)
+        first = at[a] + 1 if i == j else 0
+        yield a, right[first:], common[first:], np.minimum(size[a], size[right[first:]])
+
+
+def similar_pairs(mem: DataFrame, threshold: float = 0.6, block_words: int = 3_000_000) -> DataFrame:
+    """All pairs whose shared words make up `threshold` of the smaller's. Equal word sets count as one until the end; the
+    distinct sets are compared in pairs of blocks of about `block_words` words."""
+    words = _word_sets(mem).where("size > 0").checkpoint()
+    sets = words.groupBy("key").agg(F.min("id").alias("sid"), F.any_value("w").alias("w"), F.any_value("size").alias("size"), F.count("*").alias("n")).checkpoint()
+    total = sets.agg(F.sum("size")).first()[0] or 0
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
+        out = [[np.zeros(0, np.int64)] * 4]
+        for a, rows, common, least in _overlaps(table, i, j):
+            some = np.nonzero(common >= (threshold - 1e-6) * least)[0]
+            if len(some):
+                out.append([np.full(len(some), a), rows[some], common[some], least[some]])
+        a, b, common, least = (np.concatenate(x) for x in zip(*out))
+        sid = table["sid"].combine_chunks()
+        return pa.table([sid.take(pa.array(a)), sid.take(pa.array(b)), pa.array(common), pa.array(least)], names=["x", "y", "common", "least"])
+
+    cells = _block_pairs(sets.select("key", "sid", "w", "size"), F.lit(-(-total // block_words) or 1))
+    found = cells.groupBy("i", "j").applyInArrow(run, "x string, y string, common long, least long")
+    share = F.round(F.col("common") / F.col("least"), 6)
+    found = found.select("x", "y", share.alias("similarity")).where(F.col("similarity") >= threshold)
+    # The memories of a set in lists of about 64, so that a large set is not one row or one task.
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 64))
+    lists = words.select("id", "key").join(sets.select("key", "sid", "n"), "key").groupBy("sid", part.alias("part")).agg(F.collect_list("id").alias("ids"))
+    x, y = (lists.select(F.col("sid").alias(s), F.col("part").alias(f"{s}_part"), F.col("ids").alias(f"{s}_ids")) for s in "xy")
+    across = found.join(x, "x").join(y, "y")
+    copies = sets.where("n > 1").select(F.col("sid").alias("x"), F.col("sid").alias("y"), F.lit(1.0).alias("similarity")).where(F.col("similarity") >= threshold)
+    within = copies.join(x, "x").join(y, "y").where("x_part <= y_part")
+    rows = across.unionByName(within).repartition("x", "y", "x_part", "y_part")
+    rows = rows.select("similarity", "y_ids", (F.col("x") == F.col("y")).alias("same"), (F.col("x_part") == F.col("y_part")).alias("once"), F.explode("x_ids").alias("p"))
+    rows = rows.select("similarity", "same", "once", "p", F.explode("y_ids").alias("q")).where("not (same and once) or p < q")
+    return rows.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
 
 
 def interference(mem: DataFrame, least: int = 3, most: int = 60) -> DataFrame:

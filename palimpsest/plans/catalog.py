@@ -203,7 +203,7 @@ query("topic_drift", _STORY + ", top AS (SELECT * FROM story WHERE rank <= 5), n
 query("timeline", "SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, min_by(id, seq) AS first_id FROM act WHERE kind = 'episodic' GROUP BY 1")(lambda t: reports.timeline(t.act))
 query("similarity_pairs", """, ws AS MATERIALIZED (SELECT id, list_distinct(w) AS w FROM act), wt AS MATERIALIZED (SELECT id, unnest(w) AS t FROM ws), br AS MATERIALIZED (SELECT id, t FROM wt WHERE t IN (SELECT t FROM wt GROUP BY t HAVING count(*) BETWEEN 2 AND 20)),
 pp AS MATERIALIZED (SELECT DISTINCT a.id AS a, b.id AS b FROM br a JOIN br b ON a.t = b.t AND a.id < b.id)
-SELECT a, b, similarity FROM (SELECT a, b, round(len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)), 6) AS similarity FROM pp JOIN ws x ON x.id = a JOIN ws y ON y.id = b) WHERE similarity >= 0.6""")(lambda t: reports.similar_pairs(t.act, most=20))
+SELECT a, b, similarity FROM (SELECT a, b, round(len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)), 6) AS similarity FROM pp JOIN ws x ON x.id = a JOIN ws y ON y.id = b) WHERE similarity >= 0.6""")(lambda t: reports.similar_pairs(t.act))
 query("interference", """, ws AS MATERIALIZED (SELECT id, list_distinct(w) AS w FROM act), cs AS MATERIALIZED (SELECT cue, count(*) AS n FROM cues GROUP BY cue HAVING count(*) BETWEEN 3 AND 60)
 SELECT a.cue, n AS members, round(avg(len(list_intersect(x.w, y.w)) / greatest(1, least(len(x.w), len(y.w)))), 6) AS interference FROM cs JOIN cues a USING (cue) JOIN cues b ON b.cue = a.cue AND a.id < b.id JOIN ws x ON x.id = a.id JOIN ws y ON y.id = b.id GROUP BY ALL""")(lambda t: reports.interference(t.act))
 query("difficulty", "SELECT topic, CASE WHEN r >= 0.75 THEN 'easy' WHEN r >= 0.35 THEN 'useful' WHEN r >= 0.12 THEN 'hard' ELSE 'lost' END AS level, count(*) AS n FROM act GROUP BY ALL")(lambda t: reports.difficulty(t.act, t.now))
