@@ -166,15 +166,27 @@ def similar_pairs(mem: DataFrame, threshold: float = 0.6, block_words: int = 3_0
     return rows.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
 
 
-def interference(mem: DataFrame, least: int = 3, most: int = 60) -> DataFrame:
-    """For each cue of several memories, the mean share of words that its pairs have in common."""
-    words = mem.select("id", F.array_distinct(text.tokenize(F.col("content"))).alias("w"))
+def interference(mem: DataFrame, least: int = 3, block: int = 4096) -> DataFrame:
+    """For each cue of several memories, the mean share of words that its pairs have in common. Equal word sets of a cue
+    count as one with their number; a large cue is compared in pairs of blocks of about `block` sets."""
     cues = mem.select(F.explode("cues").alias("cue"), "id")
-    sizes = cues.groupBy("cue").count().where((F.col("count") >= least) & (F.col("count") <= most))
-    rows = cues.join(sizes, "cue").join(words, "id")
-    a, b = rows.select("cue", "count", F.col("id").alias("a"), F.col("w").alias("wa")), rows.select("cue", F.col("id").alias("b"), F.col("w").alias("wb"))
-    share = F.size(F.array_intersect("wa", "wb")) / F.greatest(F.lit(1), F.least(F.size("wa"), F.size("wb")))
-    return a.join(b, "cue").where("a < b").groupBy("cue").agg(F.max("count").alias("members"), avg6(share).alias("interference"))
+    sizes = cues.groupBy("cue").agg(F.count("*").alias("members")).where(F.col("members") >= least)
+    sets = cues.join(sizes.select("cue"), "cue", "left_semi").join(_word_sets(mem), "id").groupBy("cue", "key").agg(F.any_value("w").alias("w"), F.any_value("size").alias("size"), F.count("*").alias("n")).checkpoint()
+    blocks = sets.groupBy("cue").agg(F.ceil(F.count("*") / block).alias("blocks"))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        cue, i, j = (k.as_py() for k in key)
+        n = np.asarray(table["n"])
+        total = 0.0
+        for a, rows, common, small in _overlaps(table, i, j):
+            total += n[a] * float((common / np.maximum(1, small)) @ n[rows])
+        if i == j:
+            total += float((n * (n - 1) // 2)[np.asarray(table["size"]) > 0].sum())
+        return pa.table({"cue": [cue], "total": [total]})
+
+    cells = _block_pairs(sets.join(blocks, "cue"), F.col("blocks"))
+    sums = cells.groupBy("cue", "i", "j").applyInArrow(run, "cue string, total double").groupBy("cue").agg(F.sum("total").alias("total"))
+    return sizes.join(sums, "cue").select("cue", "members", F.round(F.col("total") / (F.col("members") * (F.col("members") - 1) / 2), 6).alias("interference"))
 
 
 def difficulty(mem: DataFrame, now: Column) -> DataFrame:
