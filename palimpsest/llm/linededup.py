@@ -4,10 +4,20 @@ A rolling hash over the hashes of neighbouring lines has its local minima at
 places that depend on nearby content only, so chunk ends shift with the text.
 Chunks that occur more than once anywhere are compared byte by byte; the first
 occurrence stays and the others are removed.
+
+Chunk ends may fall anywhere in a short passage, so runs of lines are looked for
+besides. Any repeated run of MIN_WORDS words or more is the union of the shortest
+runs of so many words that start or end at its lines: a run that starts at a line
+and would pass the end of the passage has less words left, so the one that ends
+with the passage holds that line. These shortest runs are compared everywhere, by
+128-bit digests of their bytes, and all but the first of equal ones are removed.
+Lines of MIN_WORDS words or more are chunks of their own; runs may pass them, but
+their words do not count, so a shorter rest beside a repeated long line stays.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +31,8 @@ from palimpsest.llm import common
 WINDOW = 2
 #: A chunk counts if it has so many lines, or so many words; a line of so many words is a chunk of its own.
 MIN_LINES, MIN_WORDS = 2, 50
+#: Bytes of text that a worker takes at once.
+BLOCK = 1 << 19
 
 
 class Chunks:
@@ -58,6 +70,9 @@ class Chunks:
         stop = np.nonzero(cut)[0]
         begin = np.concatenate([[0], stop[:-1] + 1]).astype(np.int64)
         self.data, self.offs = data, offs
+        self.line_owner, self.line_start, self.line_end, self.line_words, self.long = owner, starts, ends, words, long
+        self.begin, self.stop = begin, stop
+        self.line = np.arange(len(owner)) - np.searchsorted(owner, np.arange(n))[owner]
         self.owner = owner[begin]
         self.start, self.end = starts[begin], ends[stop]
         self.lines = stop - begin + 1
@@ -71,77 +86,101 @@ class Chunks:
         """Which chunks are long enough to be removed where they repeat."""
         return ((self.lines >= min_lines) & (self.words > 0)) | (self.words >= min_words)
 
+    def runs(self, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+        """First and last line of the shortest runs of `min_words` words, those of long lines not counted, that start or
+        end at each line of a text."""
+        m = len(self.line_owner)
+        total = np.concatenate([[0], np.cumsum(np.where(self.long, 0, self.line_words))])
+        at = np.arange(m)
+        last = np.searchsorted(total, total[:-1] + min_words) - 1
+        on = at[last < m]
+        on = on[self.line_owner[last[on]] == self.line_owner[on]]
+        first = np.searchsorted(total, total[1:] - min_words, "right") - 1
+        back = at[first >= 0]
+        back = back[self.line_owner[first[back]] == self.line_owner[back]]
+        both = np.unique(np.concatenate([on << 32 | last[on], first[back] << 32 | back]))
+        return both >> 32, both & 0xFFFFFFFF
+
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("__id"), F.xxhash64(F.col(text)).alias("__th"), F.col(text).alias("__text"))
 
 
-def _chunk_rows(rows: DataFrame) -> DataFrame:
-    """__id, __th, seq, h, size of each chunk that counts, without its text."""
-    kind = rows.schema["__id"].dataType.simpleString()
+def _hashes(rows: DataFrame) -> DataFrame:
+    """h of each chunk that counts and of each run; those of runs are mixed once more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = common.SpanHasher()
-        for block in common.blocks(batches, "__text", 1 << 20):
+        for block in common.blocks(batches, "__text", BLOCK):
             c = Chunks(block.column(2), hasher)
-            some = np.nonzero(c.counting())[0]
-            owner = pa.array(c.owner[some])
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0).take(owner), block.column(1).take(owner), pa.array(c.seq[some].astype(np.int32)), pa.array(c.hash[some].astype(np.int64)), pa.array((c.end - c.start)[some])],
-                names=["__id", "__th", "seq", "h", "size"],
-            )
+            first, last = c.runs()
+            runs = common.mix(hasher(c.data, c.line_start[first], c.line_end[last]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c.hash[c.counting()], runs]).astype(np.int64))], names=["h"])
 
-    return rows.mapInArrow(run, f"__id {kind}, __th long, seq int, h long, size long")
+    return rows.mapInArrow(run, "h long")
 
 
 def _listed(df: DataFrame) -> DataFrame:
-    """A row for each document with the sorted numbers of its chunks in df."""
-    return df.groupBy("__id", "__th").agg(F.sort_array(F.collect_set("seq")).alias("seqs"))
+    """A row for each document with the sorted numbers of its chunks in df, and its runs (first line << 32 | last line)."""
+    chunk = F.when(F.col("stop") < 0, F.col("seq"))
+    run = F.when(F.col("stop") >= 0, F.shiftleft(F.col("seq").cast("long"), 32).bitwiseOR(F.col("stop").cast("long")))
+    return df.groupBy("__id", "__th").agg(F.sort_array(F.collect_set(chunk)).alias("seqs"), F.collect_set(run).alias("runs"))
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """__id, __th, seq of the chunks to remove: all occurrences but the first, by id, then place, of chunks with equal
-    bytes. Rows that are equal in id and text are one document."""
+    """__id, __th, seq, stop of the chunks (number, -1) and runs (first line, last line) to remove: all occurrences but
+    the first, by id, then place, of chunks with equal bytes and of equal runs. Runs that overlap the first within its
+    text stay. Rows that are equal in id and text are one document."""
     rows = _identified(docs, key, text)
-    places = common.written(_chunk_rows(rows).distinct(), "chunks")
     # A filter of the hashes that occur twice keeps the texts where they are; what it lets through too many is told
     # apart with the rest, byte by byte.
-    twice = common.Filter.of(places.groupBy("h", "size").agg(F.count("*").alias("n")).where("n > 1"), "h")
+    twice = common.Filter.of(_hashes(rows).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h")
     kind = rows.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bits = common.SpanHasher(), twice.open()
-        for block in common.blocks(batches, "__text", 1 << 20):
+        for block in common.blocks(batches, "__text", BLOCK):
             c = Chunks(block.column(2), hasher)
             some = np.nonzero(c.counting())[0]
             some = some[common.Filter.among(bits, c.hash[some].astype(np.int64))]
+            first, last = c.runs()
+            here = common.Filter.among(bits, common.mix(hasher(c.data, c.line_start[first], c.line_end[last])).astype(np.int64))
+            first, last = first[here], last[here]
             raw = c.data.tobytes()
-            owner = pa.array(c.owner[some])
+            owner = pa.array(np.concatenate([c.owner[some], c.line_owner[first]]))
+            seq = np.concatenate([c.seq[some], c.line[first]]).astype(np.int32)
+            stop = np.concatenate([np.full(len(some), -1), c.line[last]]).astype(np.int32)
+            # No text holds the byte FF, so no chunk equals a digest.
+            spans = [raw[c.start[p] : c.end[p]] for p in some]
+            spans += [b"\xff" + hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(c.line_start[first], c.line_end[last])]
             yield pa.RecordBatch.from_arrays(
-                [block.column(0).take(owner), block.column(1).take(owner), pa.array(c.seq[some].astype(np.int32)), pa.array([raw[c.start[p] : c.end[p]] for p in some], pa.binary())],
-                names=["__id", "__th", "seq", "chunk"],
+                [block.column(0).take(owner), block.column(1).take(owner), pa.array(seq), pa.array(stop), pa.array(spans, pa.binary())],
+                names=["__id", "__th", "seq", "stop", "chunk"],
             )
 
-    chunks = rows.mapInArrow(run, f"__id {kind}, __th long, seq int, chunk binary")
+    chunks = rows.mapInArrow(run, f"__id {kind}, __th long, seq int, stop int, chunk binary")
     # Grouping by the bytes themselves compares them; partial aggregation meets a frequent chunk in each task first.
-    place = F.struct("__id", "__th", "seq")
-    spots = common.written(chunks.select(place.alias("place"), F.sha2("chunk", 256).alias("digest"), "chunk"), "spots")
-    first = spots.groupBy("chunk").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.sha2("chunk", 256).alias("digest"), "first")
+    place = F.struct("__id", "__th", "seq", "stop")
+    digest = F.unhex(F.sha2("chunk", 256)).alias("digest")
+    spots = common.written(chunks.select(place.alias("place"), digest, "chunk"), "spots")
+    first = spots.groupBy("chunk").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select(digest, "first")
     first = common.written(first, "firsts")
-    doomed = spots.select("place", "digest").join(first, "digest").where("place <> first")
+    apart = (F.col("place.stop") < 0) | ~F.col("place.__id").eqNullSafe(F.col("first.__id")) | (F.col("place.__th") != F.col("first.__th")) | (F.col("place.seq") > F.col("first.stop"))
+    doomed = spots.select("place", "digest").join(first, "digest").where((F.col("place") != F.col("first")) & apart)
     return doomed.select("place.*").distinct()
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "removed_chunks") -> DataFrame:
-    """All columns of docs, with repeated chunks cut from the text, and `removed`, the number of chunks cut.
+    """All columns of docs, with repeated chunks and runs cut from the text, and `removed`, the number of chunks cut and
+    of stretches of further lines cut in runs.
 
-    A removed chunk goes with its line end. Null text stays null, without chunks; empty text and documents without a
+    A removed chunk or line goes with its line end. Null text stays null, without chunks; empty text and documents without a
     repeated chunk stay as they are; a document all of whose chunks repeat elsewhere becomes empty. The first occurrence
     is that with the lowest id (nulls first), then text hash, then place. An empty table gives no rows. Columns of docs
     may have any other names; one named like `removed` is replaced.
     """
     columns = [c for c in docs.columns if c != removed]
-    gone = common.written(_listed(repeated(docs, key, text)).select(F.col("__id").alias("__i"), F.col("__th").alias("__t"), F.col("seqs").alias("__seqs")), "doomed")
+    gone = common.written(_listed(repeated(docs, key, text)).select(F.col("__id").alias("__i"), F.col("__th").alias("__t"), F.col("seqs").alias("__seqs"), F.col("runs").alias("__runs")), "doomed")
     # Only documents that may lose a chunk are dealt out by id.
     marked = docs.select(*(F.col(f"`{c}`") for c in columns), F.xxhash64(F.col(text)).alias("__th"))
     marked = marked.withColumn("__some", common.Filter.of(gone, "__t").column(F.col("__th")))
@@ -153,22 +192,31 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = common.SpanHasher()
-        for block in common.blocks(batches, text, 1 << 20):
-            lists = block.column(len(columns)).to_pylist()
-            some = [k for k, s in enumerate(lists) if s]
+        for block in common.blocks(batches, text, BLOCK):
+            lists, spans = (block.column(len(columns) + k).to_pylist() for k in range(2))
+            some = [k for k in range(len(lists)) if lists[k] or spans[k]]
+            cut = [0] * len(lists)
             texts = block.column(where)
             if some:
                 rows = texts.to_pylist()
                 c = Chunks(texts.take(pa.array(some)), hasher)
                 raw = c.data.tobytes()
                 ends = np.searchsorted(c.owner, np.arange(len(some) + 1))
+                line_ends = np.searchsorted(c.line_owner, np.arange(len(some) + 1))
                 for r, k in enumerate(some):
-                    drop = set(lists[k])
-                    kept = [raw[c.start[p] : c.end[p]] for p in range(ends[r], ends[r + 1]) if c.seq[p] not in drop]
-                    rows[k] = b"\n".join(kept).decode()
+                    low = line_ends[r]
+                    gone = np.zeros(line_ends[r + 1] - low, bool)
+                    for s in lists[k] or ():
+                        gone[c.begin[ends[r] + s] - low : c.stop[ends[r] + s] + 1 - low] = True
+                    more = np.zeros(len(gone), bool)
+                    for s in spans[k] or ():
+                        more[s >> 32 : (s & 0xFFFFFFFF) + 1] = True
+                    more &= ~gone
+                    cut[k] = len(lists[k] or ()) + int(more[0]) + int((more[1:] & ~more[:-1]).sum())
+                    rows[k] = b"\n".join([raw[c.line_start[p] : c.line_end[p]] for p in np.nonzero(~gone & ~more)[0] + low]).decode()
                 texts = pa.array(rows, texts.type)
             made = [texts if k == where else block.column(k) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*made, pa.array([len(s or ()) for s in lists], pa.int32())], names=[*columns, removed])
+            yield pa.RecordBatch.from_arrays([*made, pa.array(cut, pa.int32())], names=[*columns, removed])
 
     return plain.unionByName(joined.mapInArrow(run, fields))
 

@@ -191,6 +191,31 @@ def test_long_passage_is_found_wherever_it_stands(spark):
     assert got[0] == rows[0][1] and all(got[k] == f"own {k}\nend {k}" for k in range(1, 5))
 
 
+def test_passage_of_lines_is_found_between_any_neighbours(spark):
+    """Passages of 2 to 6 lines of under 50 words each, 60 words or more in all; every line of the later ones goes."""
+    rows, want = [], {}
+    for m in range(2, 7):
+        for p in range(8):
+            size = -(-60 // m) if m > 2 else 40
+            passage = [" ".join(f"w{m}x{p}x{k}x{j}" for j in range(size)) for k in range(m)]
+            for k in range(3):
+                i = len(rows)
+                own = [f"own {i} {j}" for j in range(6)]
+                rows.append((i, "\n".join([*own[:3], *passage, *own[3:]])))
+                want[i] = rows[-1][1] if k == 0 else "\n".join(own)
+    # A line of over 50 words in the middle does not part the rest of a passage.
+    passage = [" ".join(f"{side}{j}" for j in range(n)) for side, n in (("left", 30), ("middle", 60), ("right", 30))]
+    for k in range(2):
+        i = len(rows)
+        rows.append((i, "\n".join([f"own {i}", *passage, f"end {i}"])))
+        want[i] = rows[-1][1] if k == 0 else f"own {i}\nend {i}"
+    same = " ".join(f"r{j}" for j in range(30))
+    rows.append((len(rows), "\n".join([same] * 4)))
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in want} == want
+    assert got[len(want)].startswith(same)
+
+
 # --- n-gram join
 
 
