@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TABLES, SEED = 12, 42
+#: Queries that are sent to all tasks at once; more are met in blocks of so many.
+BLOCK = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,15 +24,27 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-def top_k(vectors: DataFrame, query_ids: list[int], k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query, id, similarity, rank: each of a few queries against all rows, by exact cosine."""
-    queries = vectors.where(F.col(key).isin(*query_ids)).select(F.col(key).alias("query"), F.col(column).alias("q"))
-    rows = vectors.join(F.broadcast(queries), F.col(key) != F.col("query"))  # the queries are the caller's short list
+def _chosen(vectors: DataFrame, queries: list[int] | DataFrame, key: str) -> DataFrame:
+    """The rows of the queries, given as a list or as a table with their ids."""
+    if isinstance(queries, DataFrame):
+        return vectors.join(queries.select(key).distinct(), key, "left_semi")
+    return vectors.where(F.col(key).isin(*queries))
+
+
+def _few(queries: list[int] | DataFrame) -> bool:
+    return (queries.count() if isinstance(queries, DataFrame) else len(queries)) <= BLOCK
+
+
+def top_k(vectors: DataFrame, query_ids: list[int] | DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """query, id, similarity, rank: each query against all rows, by exact cosine."""
+    queries = _chosen(vectors, query_ids, key).select(F.col(key).alias("query"), F.col(column).alias("q"))
+    queries = F.broadcast(queries) if _few(query_ids) else queries.repartition(-(-queries.count() // BLOCK))
+    rows = vectors.join(queries, F.col(key) != F.col("query"))
     rows = rows.select("query", F.col(key).alias("id"), F.round(cosine(F.col(column), F.col("q")), 6).alias("similarity"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
 
 
-def knn_vote(vectors: DataFrame, query_ids: list[int], k: int = 9) -> DataFrame:
+def knn_vote(vectors: DataFrame, query_ids: list[int] | DataFrame, k: int = 9) -> DataFrame:
     """query, label, votes: the label most of the nearest rows have (ties: the lower)."""
     near = top_k(vectors, query_ids, k).join(vectors.select(F.col("vec_id").alias("id"), "label"), "id")
     votes = near.groupBy("query", "label").agg(F.count("*").alias("votes"))
@@ -61,17 +75,20 @@ def buckets(vectors: DataFrame, dim: int, bits: int, probe: bool = False, key: s
     return vectors.select(key, F.explode(signs(column)).alias("bucket"))
 
 
-def lsh_top_k(vectors: DataFrame, query_ids: list[int], dim: int, k: int = 10) -> DataFrame:
+def lsh_top_k(vectors: DataFrame, query_ids: list[int] | DataFrame, dim: int, k: int = 10) -> DataFrame:
     """Like top_k, among rows that share a bucket with the query or with a bucket one sign away."""
     bits = bits_for(vectors.count())
-    asked = buckets(vectors.where(F.col("vec_id").isin(*query_ids)), dim, bits, probe=True).withColumnRenamed("vec_id", "query")
-    pairs = buckets(vectors, dim, bits).join(F.broadcast(asked), "bucket").where("vec_id <> query").select("query", "vec_id").distinct()  # a few queries' buckets
-    q = vectors.where(F.col("vec_id").isin(*query_ids)).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    scored = pairs.join(vectors, "vec_id").join(F.broadcast(q), "query").select("query", F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    chosen = _chosen(vectors, query_ids, "vec_id")
+    asked = buckets(chosen, dim, bits, probe=True).withColumnRenamed("vec_id", "query")
+    q = chosen.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    if _few(query_ids):
+        asked, q = F.broadcast(asked), F.broadcast(q)
+    pairs = buckets(vectors, dim, bits).join(asked, "bucket").where("vec_id <> query").select("query", "vec_id").distinct()
+    scored = pairs.join(vectors, "vec_id").join(q, "query").select("query", F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, query_ids: list[int], dim: int, k: int = 10, exact_up_to: int = 10_000) -> DataFrame:
+def search(vectors: DataFrame, query_ids: list[int] | DataFrame, dim: int, k: int = 10, exact_up_to: int = 10_000) -> DataFrame:
     """Exact where the table is small, else through the buckets."""
     return top_k(vectors, query_ids, k) if vectors.count() <= exact_up_to else lsh_top_k(vectors, query_ids, dim, k)
 

@@ -227,9 +227,9 @@ _COS = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[
 _NEAR = f"WITH nr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank FROM (SELECT q.vec_id AS query, v.vec_id AS id, v.label, {_COS} AS similarity FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)) "
 
 
-def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, list[int]]:
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = source.table(spark, d, "embeddings")
-    return rows, [r[0] for r in rows.where("vec_id % 100 = 0").select("vec_id").orderBy("vec_id").limit(1000).collect()]
+    return rows, rows.where("vec_id % 100 = 0").select("vec_id")
 
 
 plain("cosine_topk", _NEAR + "SELECT query, id, similarity, rank FROM nr WHERE rank <= 10")(lambda s, d: vector.top_k(*_vectors(s, d)))
