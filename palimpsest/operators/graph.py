@@ -18,10 +18,20 @@ def cue_rows(mem: DataFrame, most: int | None = None) -> DataFrame:
     return rows.join(rows.groupBy("cue").count().where(F.col("count") <= most).select("cue"), "cue", "left_semi")
 
 
+def linked_cues(mem: DataFrame, most: int = 200) -> DataFrame:
+    """cue_rows without cues of more than `most` memories and of more than a hundredth of all."""
+    rows = mem.select(F.explode("cues").alias("cue"), "id", "seq")
+    limit = mem.agg(F.greatest(F.lit(most), F.floor(F.count("*") / 100)).alias("limit"))
+    kept = rows.groupBy("cue").count().crossJoin(F.broadcast(limit)).where("count <= limit")  # limit is one row
+    return rows.join(kept.select("cue"), "cue", "left_semi")
+
+
 def batch_links(mem: DataFrame, most: int = 200, per_item: int = 64) -> DataFrame:
     """src < dst, weight 1: each memory and the `per_item` newest others that share a cue with it."""
-    rows = cue_rows(mem, most)
-    pairs = _shared(rows, "a", "b").join(_shared(rows, "b", "a"), "cue").where("a <> b").select("a", "b", "b_seq").distinct()
+    rows = linked_cues(mem, most)
+    # Of a cue no memory links to others than its newest, one more than per_item as it may be among them itself.
+    newest = rows.withColumn("k", F.row_number().over(Window.partitionBy("cue").orderBy(F.desc("seq")))).where(F.col("k") <= per_item + 1)
+    pairs = _shared(rows, "a", "b").join(_shared(newest, "b", "a"), "cue").where("a <> b").select("a", "b", "b_seq").distinct()
     near = pairs.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("b_seq")))).where(F.col("k") <= per_item)
     return near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct().withColumn("weight", F.lit(1.0))
 
@@ -48,7 +58,7 @@ def degrees(links: DataFrame) -> DataFrame:
 
 def bridges(mem: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:
     """Unlinked pairs that share a cue."""
-    rows = cue_rows(mem, most)
+    rows = linked_cues(mem, most)
     pairs = _shared(rows, "a", "b").join(_shared(rows, "b", "a"), "cue").where("a < b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("cue").alias("cue"))
     return pairs.join(links, ["src", "dst"], "left_anti")
 
