@@ -20,6 +20,9 @@ TOKEN = re.compile(
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 #: Elements whose contents are not text of the page.
 SKIPPED = ("script", "style", "title", "textarea", "template", "noscript", "iframe", "svg", "select", "object", "canvas")
+#: Those that take the rest of the page where their end tag is missing; the others are then passed over as single tags.
+RAW = ("script", "style", "title", "textarea")
+SKIPPED_END = {name: re.compile(f"</{name}(?![^\\s/>])", re.I | re.A) for name in SKIPPED}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -69,7 +72,7 @@ def leaves(page: str) -> list[Leaf]:
     stack: list[tuple[str, frozenset[str]]] = []
     text: list[str] = []
     linked = links = 0
-    lower = None
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -104,12 +107,14 @@ def leaves(page: str) -> list[Leaf]:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if name in SKIPPED:
-            if not closing and not attributes.endswith("/"):
-                lower = page.lower() if lower is None else lower
-                if len(lower) != len(page):
-                    lower = page  # lower-casing moved places; only tags in lower case end the element then
-                end = lower.find(f"</{name}", at)
-                at = len(page) if end < 0 else end
+            if not closing and not attributes.endswith("/") and name not in endless:
+                end = SKIPPED_END[name].search(page, at)
+                if end:
+                    at = end.start()
+                elif name in RAW:
+                    at = len(page)
+                else:
+                    endless.add(name)  # nor is there one further on
             continue
         inline = name in INLINE
         if not inline:

@@ -75,6 +75,18 @@ def test_extract_keeps_rows(spark, field):
     assert html.extract(rows.limit(0), field).count() == 0
 
 
+def test_skipped_elements_end_where_they_should():
+    def texts(page):
+        return [leaf.text for leaf in html.leaves(page)]
+
+    for name in ("select", "object", "noscript", "iframe", "canvas", "svg"):
+        assert texts(f"<p>one</p><{name}><p>two</p><p>three</p>") == ["one", "two", "three"]
+        assert texts(f"<p>one</p><{name}><p>two</p></{name}><p>three</p>") == ["one", "three"]
+    for name in ("SCRIPT", "STYLE"):
+        assert texts(f"<p>\u0130</p><{name}>x</{name}><p>three</p>") == ["\u0130", "three"]
+        assert texts(f"<p>one</p><{name}><p>two</p>") == ["one"]
+
+
 def test_blocks_hold_whole_rows():
     batch = pa.record_batch([pa.array(["a" * 10, None, "b" * 50, "c"])], names=["t"])
     assert [b.num_rows for b in common.blocks([batch], "t", 20)] == [2, 1, 1]
