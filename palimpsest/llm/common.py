@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -11,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +22,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset (tests) a local one is set."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one beside the warehouse, which executors
+    share as well."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="palimpsest-")
+        found = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "palimpsest-shared")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -72,7 +73,6 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x5851F42D4C957F2D
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,25 +83,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class SpanHasher:
-    """64-bit polynomial hashes of any spans of a byte array, by prefix sums; powers are kept between calls."""
+#: Spans of so many bytes at most are hashed side by side, eight bytes a step; longer ones one by one.
+_SIDE_BY_SIDE = 48
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
-    def __init__(self) -> None:
-        self.pow = np.ones(1, np.uint64)
-        self.inv = np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
-        if len(self.pow) < n + 1:
-            for name, base in (("pow", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
-                seq = np.full(n + 1, base, np.uint64)
-                seq[0] = 1
-                setattr(self, name, np.multiply.accumulate(seq))
-
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grow(len(data))
-        cum = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.pow[: len(data)], out=cum[1:])
-        return mix((cum[ends] - cum[starts]) * self.inv[starts])
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of any spans of a byte array. Every step mixes the bits anew, so no regular texts collide by rule."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words_at = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    at = np.nonzero(size <= _SIDE_BY_SIDE)[0]
+    place, left = starts[at], size[at]
+    while len(at):
+        more = left > 0
+        if not more.all():
+            at, place, left = at[more], place[more], left[more]
+            continue
+        out[at] = mix(out[at] ^ (words_at[place] & _MASKS[np.minimum(left, 8)]))
+        place, left = place + 8, left - 8
+    for k in np.nonzero(size > _SIDE_BY_SIDE)[0].tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,13 +126,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingle_sets(col: pa.Array, hasher: SpanHasher, size: int = 5) -> list[np.ndarray]:
+def shingle_sets(col: pa.Array, size: int = 5) -> list[np.ndarray]:
     """Of each text the sorted distinct 64-bit hashes of its word shingles; with fewer words, of the whole
     sequence; without words, none. A-Z are lower-cased first."""
     data, offs = utf8(col)
     data = _LOWER[data]
     starts, ends, text = words(data, offs)
-    h = hasher(data, starts, ends)
+    h = span_hashes(data, starts, ends)
     first = np.searchsorted(text, np.arange(len(offs)))
     if len(h) >= size:
         s = np.zeros(len(h) - size + 1, np.uint64)
@@ -148,22 +152,24 @@ def shingle_sets(col: pa.Array, hasher: SpanHasher, size: int = 5) -> list[np.nd
     return out
 
 
-#: Bits of a filter, whatever the number of its members: 4 MB.
-FILTER_BITS = 25
+#: Bits of a filter for each member, and the least and the most bits (as powers of two; the largest has 32 MB).
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 16, 16, 28
 _PIECE = 15
 
 
 class Filter:
-    """A Bloom filter of 64-bit numbers, of fixed size. It may hold more than its members, never less; the more
-    members, the less it holds off."""
+    """A Bloom filter of 64-bit numbers, sized by their count up to a bound. It may hold more than its members, never
+    less; beyond the bound (some 16 million members) it holds off less and less, and what it lets through is told
+    apart by the join that follows."""
 
     def __init__(self, bits: np.ndarray) -> None:
         self.packed = zlib.compress(bits.tobytes(), 1)
 
     @staticmethod
-    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def places(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two places of each number among so many bits (a power of two)."""
         h = mix(np.asarray(x).astype(np.int64).view(np.uint64))
-        mask = np.uint64((1 << FILTER_BITS) - 1)
+        mask = np.uint64(bits - 1)
         return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
     def open(self) -> np.ndarray:
@@ -172,18 +178,20 @@ class Filter:
     @staticmethod
     def among(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
         out = np.ones(len(x), bool)
-        for p in Filter.places(x):
+        for p in Filter.places(x, 8 * len(bits)):
             out &= ((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
         return out
 
     @staticmethod
     def of(df: DataFrame, column: str) -> Filter:
-        """Of a column of longs (nulls are left out). Tasks set bits; the pieces of the bit map are joined in Spark."""
+        """Of a column of longs (nulls are left out) of a written table, which is read twice: its rows are counted
+        first. Tasks set bits; the pieces of the bit map are joined in Spark."""
+        power = min(max((FILTER_SHARE * df.count()).bit_length(), FILTER_LEAST), FILTER_MOST)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+            bits = np.zeros(1 << (power - 3), np.uint8)
             for batch in batches:
-                for p in Filter.places(np.asarray(batch.column(0))):
+                for p in Filter.places(np.asarray(batch.column(0)), 1 << power):
                     np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
             rows = bits.reshape(-1, 1 << (_PIECE - 3))
             some = np.nonzero(rows.any(axis=1))[0]
@@ -196,8 +204,8 @@ class Filter:
             return pdf.head(1).assign(bits=merged.tobytes())
 
         parts = df.select(F.col(column).cast("long").alias("x")).where("x is not null").mapInArrow(run, "piece int, bits binary")
-        bits = np.zeros((1 << (FILTER_BITS - _PIECE), 1 << (_PIECE - 3)), np.uint8)
-        for row in parts.groupBy("piece").applyInPandas(join, "piece int, bits binary").collect():  # of fixed size
+        bits = np.zeros((1 << (power - _PIECE), 1 << (_PIECE - 3)), np.uint8)
+        for row in parts.groupBy("piece").applyInPandas(join, "piece int, bits binary").collect():  # 32 MB at most
             bits[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
         return Filter(bits)
 

@@ -38,7 +38,7 @@ BLOCK = 1 << 19
 class Chunks:
     """The chunks of a block of texts: owner, first and last byte (end), lines and words of each."""
 
-    def __init__(self, col: pa.Array, hasher: common.SpanHasher, window: int = WINDOW, min_words: int = MIN_WORDS) -> None:
+    def __init__(self, col: pa.Array, window: int = WINDOW, min_words: int = MIN_WORDS) -> None:
         data, offs = common.utf8(col)
         n = len(offs) - 1
         # Every text has at least one line; a line's bytes exclude its line end.
@@ -55,7 +55,7 @@ class Chunks:
         ends[last] = offs[1:][owner[last]]
         w_start, _, _ = common.words(data, offs)
         words = np.searchsorted(w_start, ends) - np.searchsorted(w_start, starts)
-        h = hasher(data, starts, ends)
+        h = common.span_hashes(data, starts, ends)
         rolled = h.copy()
         for k in range(1, window):
             same = owner[k:] == owner[:-k]
@@ -78,7 +78,7 @@ class Chunks:
         self.lines = stop - begin + 1
         total = np.concatenate([[0], np.cumsum(words)])
         self.words = total[stop + 1] - total[begin]
-        self.hash = hasher(data, self.start, self.end)
+        self.hash = common.span_hashes(data, self.start, self.end)
         firsts = np.searchsorted(self.owner, np.arange(n))
         self.seq = np.arange(len(self.owner)) - firsts[self.owner]
 
@@ -110,11 +110,10 @@ def _hashes(rows: DataFrame) -> DataFrame:
     """h of each chunk that counts and of each run; those of runs are mixed once more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = common.SpanHasher()
         for block in common.blocks(batches, "__text", BLOCK):
-            c = Chunks(block.column(2), hasher)
+            c = Chunks(block.column(2))
             first, last = c.runs()
-            runs = common.mix(hasher(c.data, c.line_start[first], c.line_end[last]))
+            runs = common.mix(common.span_hashes(c.data, c.line_start[first], c.line_end[last]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c.hash[c.counting()], runs]).astype(np.int64))], names=["h"])
 
     return rows.mapInArrow(run, "h long")
@@ -134,17 +133,18 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows = _identified(docs, key, text)
     # A filter of the hashes that occur twice keeps the texts where they are; what it lets through too many is told
     # apart with the rest, byte by byte.
-    twice = common.Filter.of(_hashes(rows).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h")
+    often = _hashes(rows).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    twice = common.Filter.of(common.written(often, "twice"), "h")
     kind = rows.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bits = common.SpanHasher(), twice.open()
+        bits = twice.open()
         for block in common.blocks(batches, "__text", BLOCK):
-            c = Chunks(block.column(2), hasher)
+            c = Chunks(block.column(2))
             some = np.nonzero(c.counting())[0]
             some = some[common.Filter.among(bits, c.hash[some].astype(np.int64))]
             first, last = c.runs()
-            here = common.Filter.among(bits, common.mix(hasher(c.data, c.line_start[first], c.line_end[last])).astype(np.int64))
+            here = common.Filter.among(bits, common.mix(common.span_hashes(c.data, c.line_start[first], c.line_end[last])).astype(np.int64))
             first, last = first[here], last[here]
             raw = c.data.tobytes()
             owner = pa.array(np.concatenate([c.owner[some], c.line_owner[first]]))
@@ -191,7 +191,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str
     where = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = common.SpanHasher()
         for block in common.blocks(batches, text, BLOCK):
             lists, spans = (block.column(len(columns) + k).to_pylist() for k in range(2))
             some = [k for k in range(len(lists)) if lists[k] or spans[k]]
@@ -199,7 +198,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str
             texts = block.column(where)
             if some:
                 rows = texts.to_pylist()
-                c = Chunks(texts.take(pa.array(some)), hasher)
+                c = Chunks(texts.take(pa.array(some)))
                 raw = c.data.tobytes()
                 ends = np.searchsorted(c.owner, np.arange(len(some) + 1))
                 line_ends = np.searchsorted(c.line_owner, np.arange(len(some) + 1))

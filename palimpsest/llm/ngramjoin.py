@@ -1,232 +1,324 @@
-"""N-gram Jaccard join by count vectors in R-trees.
-
-A document's shingles are hashed into groups; the groups' counts are a point.
-The overlap of two documents is at most the sum of the smaller counts of each
-coordinate, and that of any two boxes of points at most the sum of the smaller
-upper bounds. Pairs of documents that may be close enough meet in cells: a
-link needs a common shingle among the first fifth of both sets in one common
-order, so each cell holds the documents with one such shingle. A cell's
-documents are joined through an R-tree, and surviving pairs are verified on
-their shingle sets.
+"""N-gram Jaccard join by count vectors in an R-tree.
+
+A document's 5-word shingles are hashed into groups; how often each group occurs
+is a point with as many coordinates as there are groups. The overlap of two sets
+is at most the sum of the smaller counts of each coordinate, and that of any two
+boxes of points at most the sum of the smaller upper bounds. There are so many
+groups (2^32) that points and boxes are sparse, so boxes of unlike documents
+hardly share a coordinate and are parted high in the tree.
+
+1. Documents that can have no partner stay out: of a linked pair both sets share
+   some of their first shingles in the order of the hashes, so a document whose
+   first shingles occur nowhere else is linked with nothing.
+2. The rest are packed by their heaviest groups: points that share a shingle
+   among the rarest fifth of their sets are packed together, as all linked ones
+   do, and cut into subtrees of bounded size. A subtree is one task's work: tree,
+   bounds, verification on the sets, then on the words themselves.
+3. Subtrees that share such a shingle are joined in pairs, for what is not yet in
+   one component.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common
 from palimpsest.llm.components import components
 
 SHINGLE = 5
-GROUPS = 128
-#: A group's count is kept in a byte; at this value it may be more, and bounds nothing.
-FULL = 255
-#: Shingles that occur so often in a block of texts come last in the common order; so many of them are told apart.
-OFTEN, OFTEN_MOST, OFTEN_BLOCK = 3, 65_536, 6 << 20
-#: Members of a cell whose pairs are listed at once, members of a block of a larger cell, and of a leaf.
-LISTED, CELL_BLOCK, LEAF, FAN = 12, 2048, 32, 8
-#: Pairs of a centre that are verified side by side.
-SPREAD = 48
+#: Of a set the first n / MORE shingles beyond the first fifth are looked at to tell which documents may have a partner.
+MORE = 8
+#: Points of a leaf, children of a node.
+LEAF, FAN = 32, 8
+#: Points and shingles of a subtree; a larger document is a subtree by itself.
+POINTS, SHINGLES = 4096, 1 << 19
+#: Text that is hashed at once.
+BLOCK = 1 << 20
 
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Jaccard similarity of two sorted sets is 0.8 or more."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= 80 * (len(a) + len(b) - both) and both > 0
+
+def enough(both: int, a: int, b: int) -> bool:
+    """Jaccard similarity 0.8 or more of sets of a and b members with `both` common ones."""
+    return both > 0 and 100 * both >= 80 * (a + b - both)
 
 
-def identity(s: np.ndarray) -> int:
-    """A signed 64-bit digest of a set."""
-    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63)
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Of two sorted sets of hashes."""
+    return enough(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))
 
 
-def first_fifth(s: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The shingles of which two linked sets share one at least: the first floor(n/5)+1, rare ones by hash, then frequent ones."""
-    n = len(s)
-    if not n:
-        return s
-    if len(often):
-        at = np.searchsorted(often, s)
-        at[at == len(often)] = 0
-        common_ones = often[at] == s
-        if common_ones.any():
-            s = np.concatenate([s[~common_ones], s[common_ones]])
-    return s[: n // 5 + 1]
+def words_linked(a: str, b: str) -> bool:
+    """Of the shingles of two texts, compared as words."""
+    sets = []
+    for text in (a, b):
+        w = _WORD.findall(text.encode().translate(_LOWER))
+        sets.append({tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))})
+    return enough(len(sets[0] & sets[1]), len(sets[0]), len(sets[1]))
 
 
-def counts_of(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((s >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
+def identity(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit digest of a set, as two signed numbers."""
+    d = xxhash.xxh3_128_intdigest(s.tobytes(), seed=len(s))
+    return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _sets(col: pa.Array, hasher: common.SpanHasher) -> list[np.ndarray]:
-    return common.shingle_sets(col, hasher, SHINGLE)
+def _sets(col: pa.Array) -> list[np.ndarray]:
+    return common.shingle_sets(col, SHINGLE)
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that are frequent somewhere, the most frequent OFTEN_MOST at most. They only order
-    the search; links don't depend on them."""
+def describe(docs: DataFrame) -> DataFrame:
+    """__id, th and th2 (digests of the text), sid and sid2 (identity of the set), n of every document."""
+    kind = docs.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = common.SpanHasher()
-        for big in common.blocks(batches, "__text", OFTEN_BLOCK):
-            parts = [np.concatenate([*_sets(b.column(0), hasher), np.zeros(0, np.uint64)]) for b in common.blocks([big], "__text", 1 << 19)]
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            some = n >= OFTEN
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], names=["key", "n"])
+        for block in common.blocks(batches, "__text", BLOCK):
+            sets = _sets(block.column(3))
+            who = [identity(s) for s in sets]
+            made = [pa.array([w[0] for w in who], pa.int64()), pa.array([w[1] for w in who], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*block.columns[:3], *made], names=["__id", "th", "th2", "sid", "sid2", "n"])
 
-    found = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = found.where(F.col("n") >= 16).orderBy(F.desc("n"), "key").limit(OFTEN_MOST).select("key").toArrow()
-    return np.sort(np.asarray(top.column(0)).astype(np.int64).view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
+    return docs.select("__id", *_digests(), "__text").mapInArrow(run, f"__id {kind}, th long, th2 long, sid long, sid2 long, n long")
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """__id, th (text hash), sid (set identity), n, counts of every document."""
-    kind = docs.schema["__id"].dataType.simpleString()
+def _digests() -> list:
+    return [F.xxhash64("__text").alias("th"), F.xxhash64(F.lit(7), "__text").alias("th2")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = common.SpanHasher()
-        for block in common.blocks(batches, "__text", 1 << 19):
-            sets = _sets(block.column(2), hasher)
-            counts = [np.minimum(counts_of(s), FULL).astype(np.uint8).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0), block.column(1), pa.array([identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(counts, pa.binary())],
-                names=["__id", "th", "sid", "n", "counts"],
-            )
 
-    return docs.select("__id", F.xxhash64("__text").alias("th"), "__text").mapInArrow(run, f"__id {kind}, th long, sid long, n long, counts binary")
+def beyond(n: int) -> int:
+    """How many of its first shingles a set of n members must share with a partner that looks at as many or more."""
+    return 1 + n // MORE
+
 
+def suspects(docs: DataFrame) -> DataFrame:
+    """sid of the sets that may have a partner.
 
-def cells(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """cell, first, sid: the members of cells with two different sets at least; first is the cell's smallest sid."""
+    Two linked sets of a and b members share l of the first a // 5 + l and b // 5 + l of the hashes, for any l. Each
+    set looks at its first n // 5 + beyond(n); a partner has 0.8 n members at least, so beyond(0.8 n) of them occur in
+    another set's. Counts are upper bounds, as copies of a set in several blocks may be counted more than once. Of the
+    sets of a block that share a hash only two are dealt out, so no hash becomes one task's burden.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = common.SpanHasher()
-        for block in common.blocks(batches, "__text", 1 << 19):
-            known = {identity(s): s for s in _sets(block.column(0), hasher) if len(s)}  # copies in a block meet here
-            parts = [first_fifth(s, often) for s in known.values()]
-            keys = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
-            sids = np.repeat(np.fromiter(known, np.int64, len(known)), [len(p) for p in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sids)], names=["cell", "sid"])
+        for block in common.blocks(batches, "__text", 4 * BLOCK):
+            known: dict[int, tuple[np.ndarray, int]] = {}
+            for part in common.blocks([block], "__text", BLOCK):
+                for s in _sets(part.column(0)):
+                    if len(s):
+                        known.setdefault(identity(s)[0], (s[: len(s) // 5 + beyond(len(s))], beyond(-(-4 * len(s) // 5))))
+            if not known:
+                continue
+            parts = [p for p, _ in known.values()]
+            sids, need = np.fromiter(known, np.int64, len(known)), np.array([k for _, k in known.values()], np.int64)
+            cell, at = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            order = np.argsort(cell, kind="stable")
+            cell, at = cell[order].view(np.int64), at[order]
+            same = cell[1:] == cell[:-1]
+            inner = np.zeros(len(cell), bool)
+            inner[1:-1] = same[1:] & same[:-1]  # neither the first nor the last of a hash
+            here = np.bincount(at[inner], minlength=len(sids))
+            cell, at = cell[~inner], at[~inner]
+            none = np.zeros(len(cell), np.int32)
+            own = common.mix(sids.view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([cell, own])), pa.array(np.concatenate([sids[at], sids])), pa.array(np.concatenate([none, here]).astype(np.int32)), pa.array(np.concatenate([none, need]).astype(np.int32))],
+                names=["cell", "sid", "here", "need"],
+            )
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by cell and sid. Of the cell at a batch's end, only its first member is kept in mind.
-        last = None  # cell, first sid, last sid, whether the first was given out
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by cell and sid; a batch's last row waits for what follows it.
+        last = (None, None, False)
 
-        def batch_of(c, f, s):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(f, pa.int64()), pa.array(s, pa.int64())], names=["cell", "first", "sid"])
+        def made(sid, c, need):
+            return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(c.astype(np.int64)), pa.array(need.astype(np.int64))], names=["sid", "c", "need"])
 
         for batch in batches:
-            cell, sid = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            cell, sid, here, need = (np.asarray(batch.column(k)) for k in range(4))
+            own = need > 0
+            yield made(sid[own], here[own], need[own])
+            cell, sid = cell[~own], sid[~own]
+            if last[0] is not None:
+                cell, sid = np.append(last[0], cell), np.append(last[1], sid)
             if not len(cell):
                 continue
             new = np.ones(len(cell), bool)
             new[1:] = (cell[1:] != cell[:-1]) | (sid[1:] != sid[:-1])
-            if last and cell[0] == last[0] and sid[0] == last[2]:
-                new[0] = False
             cell, sid = cell[new], sid[new]
-            if not len(cell):
-                continue
-            start = np.ones(len(cell), bool)
-            start[1:] = cell[1:] != cell[:-1]
-            where = np.maximum.accumulate(np.where(start, np.arange(len(cell)), 0))
-            first = sid[where]
-            given = True
-            if last and cell[0] == last[0]:
-                same = where == 0
-                first = np.where(same, last[1], first)
-                if not last[3]:
-                    yield batch_of([last[0]], [last[1]], [last[1]])
-                multi_head = same
-            else:
-                multi_head = np.zeros(len(cell), bool)
-            size = np.bincount(where, minlength=len(cell))[where]
-            out = (size > 1) | multi_head
-            given = bool(out[-1])
-            if out.any():
-                yield batch_of(cell[out], first[out], sid[out])
-            last = (int(cell[-1]), int(first[-1]), int(sid[-1]), given)
-
-    rows = docs.select("__text").mapInArrow(emit, "cell long, sid long")
-    return rows.repartition(F.col("cell")).sortWithinPartitions("cell", "sid").mapInArrow(group, "cell long, first long, sid long")
-
-
-def may_link(na, nb):
-    """Columns: the sizes allow a similarity of 0.8."""
-    return (na * 5 >= nb * 4) & (nb * 5 >= na * 4)
+            shared = np.zeros(len(cell), bool)
+            shared[1:] = cell[1:] == cell[:-1]
+            shared[:-1] |= shared[1:]
+            shared[0] |= last[2]
+            last = (cell[-1], sid[-1], bool(shared[-1]))
+            found, c = np.unique(sid[:-1][shared[:-1]], return_counts=True)
+            yield made(found, c, np.zeros(len(found)))
+        if last[2]:
+            yield made(np.array([last[1]], np.int64), np.ones(1), np.zeros(1))
+
+    rows = docs.select("__text").where("__text is not null").mapInArrow(emit, "cell long, sid long, here int, need int")
+    found = rows.repartition(F.col("cell")).sortWithinPartitions("cell", "sid").mapInArrow(count, "sid long, c long, need long")
+    return found.groupBy("sid").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("sid")
+
+
+def members_of(texts: DataFrame) -> DataFrame:
+    """cell, sid, n, m, first: which sets of texts (sid, n, text) have a shingle (cell) among the first n // 5 + 1 of
+    their set, rare ones first; m sets have it, of which first is the smallest. Only shingles with two sets at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, "text", BLOCK):
+            sets = _sets(block.column(2))
+            size = [len(s) for s in sets]
+            cells = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.repeat(np.asarray(block.column(0)), size)), pa.array(np.repeat(size, size).astype(np.int32))], names=["cell", "sid", "n"])
+
+    rows = texts.select("sid", "n", "text").mapInArrow(run, "cell long, sid long, n int")
+    df = rows.groupBy("cell").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("sid")
+    ranked = rows.join(df, "cell").withColumn("__k", F.row_number().over(own.orderBy("df", "cell"))).withColumn("__c", F.count("*").over(own))
+    # The others of a set's n shingles occur nowhere else and come before these.
+    rare = common.written(ranked.where(F.col("__k") + F.col("n") - F.col("__c") <= F.floor(F.col("n") / 5) + 1).select("cell", "sid", "n"), "rare")
+    cells = rare.groupBy("cell").agg(F.count("*").alias("m"), F.min("sid").alias("first")).where("m > 1")
+    return common.written(rare.join(cells, "cell"), "members")
+
+
+def packed(members: DataFrame) -> DataFrame:
+    """sid, block, at (place in the block) of every member: blocks are runs of like points, of bounded size. Points that hang together by
+    shared cells come next to each other, then those with the same most frequent cell, then those of like size."""
+    hang = components(members.where("sid <> first").select(F.col("first").alias("u"), F.col("sid").alias("v")))
+    home = members.groupBy("sid").agg(F.max(F.struct("m", "cell"))["cell"].alias("home"), F.first("n").alias("n"))
+    points = common.written(home.join(hang, home["sid"] == hang["id"]).select("sid", "n", "home", F.col("root").alias("bundle")), "points")
+    sizes = points.groupBy("bundle").agg(F.count("*").alias("many"), F.sum("n").alias("much"))
+    points = points.join(sizes, "bundle").withColumn("wide", F.when((F.col("many") > POINTS) | (F.col("much") > SHINGLES), F.col("home")))
+    order = ["bundle", "wide", "home", "n", "sid"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, last, count, total = TaskContext.get().partitionId() << 32, None, 0, 0
+        for batch in batches:
+            out, places = [], []
+            for sid, n, bundle, many, much in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                # A bundle that fits into a block is not cut.
+                ahead = (many, much) if bundle != last else (1, n)
+                fits = ahead[0] <= POINTS and ahead[1] <= SHINGLES
+                if count and ((fits and (count + ahead[0] > POINTS or total + ahead[1] > SHINGLES)) or (not fits and bundle != last) or count + 1 > POINTS or total + n > SHINGLES):
+                    block, count, total = block + 1, 0, 0
+                last, count, total = bundle, count + 1, total + n
+                out.append(block)
+                places.append(count)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64()), pa.array(places, pa.int64())], names=["sid", "block", "at"])
+
+    rows = points.repartitionByRange(F.col("bundle"), F.col("wide")).sortWithinPartitions(*order)
+    return common.written(rows.select("sid", "n", "bundle", "many", "much").mapInArrow(run, "sid long, block long, at long"), "blocks")
+
+
+class Points:
+    """The points of one task: sets, their group counts, texts, and which component each is in."""
+
+    def __init__(self, sid: list[int], root: list[int], text: list[str]) -> None:
+        self.sid, self.text = sid, text
+        self.sets = []
+        for part in common.blocks([pa.RecordBatch.from_arrays([pa.array(text, pa.large_string())], names=["t"])], "t", BLOCK):
+            self.sets += _sets(part.column(0))
+        self.n = np.array([len(s) for s in self.sets], np.int64)
+        self.label = np.unique(np.array(root, np.int64), return_inverse=True)[1]
+        self.groups = [np.unique((s >> np.uint64(32)).astype(np.uint32), return_counts=True) for s in self.sets]
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether two points are linked; then their components become one."""
+        if not linked(self.sets[a], self.sets[b]) or not words_linked(self.text[a], self.text[b]):
+            return False
+        self.label[self.label == self.label[b]] = self.label[a]
+        return True
 
 
 class RTree:
-    """Points in leaves, packed by size and by the weight of the first half of the groups; boxes keep upper bounds."""
-
-    def __init__(self, counts: np.ndarray, n: np.ndarray) -> None:
-        order = np.argsort(n, kind="stable")
-        half = counts[:, : counts.shape[1] // 2].sum(axis=1)
-        slab = LEAF * FAN
-        order = np.concatenate([order[k : k + slab][np.argsort(half[order[k : k + slab]], kind="stable")] for k in range(0, len(order), slab)])
-        self.counts, self.n = counts, n
-        self.nodes = [(None, order[k : k + LEAF]) for k in range(0, len(order), LEAF)]
-        high = [counts[m].max(axis=0) for _, m in self.nodes]
-        least, most = [n[m].min() for _, m in self.nodes], [n[m].max() for _, m in self.nodes]
-        level = list(range(len(self.nodes)))
+    """Sparse points in leaves in the order given; a node keeps the coordinatewise maximum of the counts below it, the
+    least and the greatest size."""
+
+    def __init__(self, points: Points, members: np.ndarray) -> None:
+        self.points, self.members = points, members
+        self.nodes: list[tuple] = []  # children, first and last member, groups, greatest counts, least and greatest size
+        self.dense: dict[int, np.ndarray] = {}
+        level = []
+        for k in range(0, len(members), LEAF):
+            some = members[k : k + LEAF]
+            level.append(self._node(None, k, k + len(some), [points.groups[i] for i in some], [points.n[i] for i in some], [points.n[i] for i in some]))
         while len(level) > 1:
             above = []
             for k in range(0, len(level), FAN):
                 kids = level[k : k + FAN]
-                self.nodes.append((kids, None))
-                high.append(np.max([high[i] for i in kids], axis=0))
-                least.append(min(least[i] for i in kids))
-                most.append(max(most[i] for i in kids))
-                above.append(len(self.nodes) - 1)
+                low, high = self.nodes[kids[0]][1], self.nodes[kids[-1]][2]
+                above.append(self._node(kids, low, high, [self.nodes[i][3:5] for i in kids], [self.nodes[i][5] for i in kids], [self.nodes[i][6] for i in kids]))
             level = above
         self.root = level[0] if level else None
-        self.high, self.least, self.most = high, least, most
 
-    def _apart(self, a: int, b: int) -> bool:
-        if 5 * self.most[a] < 4 * self.least[b] or 5 * self.most[b] < 4 * self.least[a]:
-            return True
-        if (self.high[a] == FULL).any() and (self.high[b] == FULL).any():
-            return False
-        return 9 * int(np.minimum(self.high[a], self.high[b]).sum()) < 4 * (self.least[a] + self.least[b])
-
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of points whose bound allows a similarity of 0.8, each once."""
-        stack = [] if self.root is None else [(self.root, self.root)]
-        while stack:
-            a, b = stack.pop()
-            if a != b and self._apart(a, b):
+    def _node(self, kids, low, high, boxes, least, most) -> int:
+        groups, counts = np.concatenate([g for g, _ in boxes]), np.concatenate([c for _, c in boxes])
+        order = np.argsort(groups, kind="stable")
+        groups, counts = groups[order], counts[order]
+        start = np.nonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))[0]
+        self.nodes.append((kids, low, high, groups[start], np.maximum.reduceat(counts, start), min(least), max(most)))
+        return len(self.nodes) - 1
+
+    def matrix(self, leaf: int) -> np.ndarray:
+        """Counts of a leaf's points, a row each, over the groups of its box."""
+        if leaf not in self.dense:
+            _, low, high, groups, *_ = self.nodes[leaf]
+            out = np.zeros((high - low, len(groups)), np.uint16)
+            for row, i in enumerate(self.members[low:high]):
+                g, c = self.points.groups[i]
+                out[row, np.searchsorted(groups, g)] = c
+            self.dense[leaf] = out
+        return self.dense[leaf]
+
+
+def tree_links(a: RTree, b: RTree) -> list[tuple[int, int]]:
+    """Links that join components, between the points of two trees or (a is b) within one."""
+    points, out = a.points, []
+    stack = [] if a.root is None or b.root is None else [(a.root, b.root)]
+    while stack:
+        x, y = stack.pop()
+        kx, lx, hx, gx, cx, nx, mx = a.nodes[x]
+        ky, ly, hy, gy, cy, ny, my = b.nodes[y]
+        ix, iy = a.members[lx:hx], b.members[ly:hy]
+        one = points.label[ix[0]]
+        if (points.label[ix] == one).all() and (points.label[iy] == one).all():
+            continue
+        own = a is b and x == y
+        if not own:
+            if 5 * mx < 4 * ny or 5 * my < 4 * nx:
+                continue
+            at = np.minimum(np.searchsorted(gy, gx), len(gy) - 1)
+            both = gy[at] == gx
+            at = at[both]
+            if 9 * int(np.minimum(cx[both], cy[at]).sum()) < 4 * (nx + ny):
                 continue
-            (ka, ma), (kb, mb) = self.nodes[a], self.nodes[b]
-            if ka is None and kb is None:
-                i, j = close(self.counts[ma], self.n[ma], self.counts[mb], self.n[mb])
-                if a == b:
-                    i, j = i[i < j], j[i < j]
-                if len(i):
-                    yield ma[i], mb[j]
-            elif ka is not None and (kb is None or a == b or len(ka) >= len(kb)):
-                if a == b:
-                    stack += [(x, y) for p, x in enumerate(ka) for y in ka[p:]]
-                else:
-                    stack += [(x, b) for x in ka]
-            else:
-                stack += [(a, y) for y in kb]
-
-
-def close(ca: np.ndarray, na: np.ndarray, cb: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs whose sizes and summed smaller counts allow a similarity of 0.8. Counts at FULL bound nothing."""
-    bound = np.minimum(ca[:, None, :], cb[None, :, :]).sum(axis=2)
-    bound = np.where(((ca == FULL).any(axis=1)[:, None]) & ((cb == FULL).any(axis=1)[None]), 1 << 60, bound)
-    ok = (9 * bound >= 4 * (na[:, None] + nb[None])) & (5 * na[:, None] >= 4 * nb[None]) & (5 * nb[None] >= 4 * na[:, None])
-    return np.nonzero(ok)
-
-
-def unpack(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+        if kx is not None and (ky is None or own or len(kx) >= len(ky)):
+            stack += [(p, q) for k, p in enumerate(kx) for q in kx[k:]] if own else [(p, y) for p in kx]
+        elif ky is not None:
+            stack += [(x, q) for q in ky]
+        else:
+            left, right = (a.matrix(x), b.matrix(y)) if own else (a.matrix(x)[:, both], b.matrix(y)[:, at])
+            bound = np.zeros((len(ix), len(iy)), np.float32)
+            for t in range(1, int(min(left.max(initial=0), right.max(initial=0))) + 1):
+                bound += (left >= t).astype(np.float32) @ (right >= t).astype(np.float32).T
+            na, nb = points.n[ix][:, None], points.n[iy][None]
+            ok = (9 * bound >= 4 * (na + nb)) & (5 * na >= 4 * nb) & (5 * nb >= 4 * na)
+            if own:
+                ok &= np.arange(len(ix))[:, None] < np.arange(len(iy))[None]
+            p, q = np.nonzero(ok)
+            for k in np.argsort(-bound[p, q] / (na[p, 0] + nb[0, q]), kind="stable"):
+                i, j = int(ix[p[k]]), int(iy[q[k]])
+                if points.label[i] != points.label[j] and points.join(i, j):
+                    out.append((points.sid[i], points.sid[j]))
+    return out
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -252,103 +344,21 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def listed_pairs(rows: DataFrame) -> DataFrame:
-    """a, b of cells of LISTED members at most (columns cell, sid, n, root): pairs of different roots and fitting sizes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
-
-        def pairs(cell, sid, n, root):
-            for k in range(1, LISTED):
-                i = np.nonzero(cell[:-k] == cell[k:])[0] if len(cell) > k else np.zeros(0, np.int64)
-                if not len(i):
-                    break
-                j = i + k
-                ok = (root[i] != root[j]) & (5 * n[i] >= 4 * n[j]) & (5 * n[j] >= 4 * n[i])
-                a, b = sid[i[ok]], sid[j[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        for batch in batches:
-            columns = [np.concatenate([h, np.asarray(batch.column(k))]) for k, h in enumerate(held)]
-            # The last cell may go on in the next batch; it has few rows.
-            whole = len(columns[0])
-            if whole:
-                whole -= int(np.argmax(np.append(columns[0][::-1] != columns[0][-1], True)))
-            yield from pairs(*(c[:whole] for c in columns))
-            held = [c[whole:] for c in columns]
-        yield from pairs(*held)
-
-    return rows.select("cell", "sid", "n", "root").repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
-
-
-def tree_pairs(rows: DataFrame) -> DataFrame:
-    """a, b of larger cells (columns cell, size, sid, n, root, counts). A cell is cut into blocks; blocks meet in pairs."""
-    blocks = F.ceil(F.col("size") / CELL_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
-    met = rows.withColumn("__o", own).withColumn("__x", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select("cell", F.least("__o", "__x").cast("long").alias("i"), F.greatest("__o", "__x").cast("long").alias("j"), "sid", "n", "root", "counts", "__o")
+def linked_in_blocks(rows: DataFrame) -> DataFrame:
+    """u, v: links that join components, of rows i, j, block, at, sid, root, text: the points of block i among
+    themselves where i = j, else those of block i with those of block j. Rows of a group come in the order of at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches, 3):
-            sid, n, root, own = (np.asarray(t.column(k)) for k in (3, 4, 5, 7))
-            i, j = t.column(1)[0].as_py(), t.column(2)[0].as_py()
-            for a, b in RTree(unpack(t.column(6)), n).pairs():
-                ok = (root[a] != root[b]) & ((own[a] != own[b]) if i != j else True)
-                a, b = sid[a[ok]], sid[b[ok]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return met.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, "a long, b long")
+        for t in grouped(batches, 2):
+            points = Points(*(t.column(k).to_pylist() for k in (4, 5, 6)))
+            block, at = np.asarray(t.column(2)), np.arange(t.num_rows)
+            i, j = t.column(0)[0].as_py(), t.column(1)[0].as_py()
+            first = RTree(points, at[block == i])
+            found = np.array(tree_links(first, first if i == j else RTree(points, at[block == j])), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
-
-def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs whose count vectors allow a link; points: sid, n, counts."""
-    a = points.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    b = points.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-    rows = pairs.join(a, "a").join(b, "b").where(may_link(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb", "ca", "cb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                if not part.num_rows:
-                    continue
-                ca, cb = unpack(part.column(4)), unpack(part.column(5))
-                free = (ca == FULL).any(axis=1) & (cb == FULL).any(axis=1)
-                ok = free | (9 * np.minimum(ca, cb).sum(axis=1) >= 4 * (np.asarray(part.column(2)) + np.asarray(part.column(3))))
-                yield part.filter(pa.array(ok)).select(["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, points: DataFrame, marked: DataFrame) -> DataFrame:
-    """u, v of the pairs (a, b, each once) whose shingle sets are linked. A centre's pairs are dealt out, SPREAD to a
-    task's group, with a copy of the centre's text for each. points: sid, th; marked: __th, __text. Texts that no pair
-    needs stay where they are: a filter of fixed size holds them off. Copies of a text meet in each task first."""
-    pairs = common.written(pairs, "pairs")
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).alias("__n"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("__n")).alias("part"))
-    roles = dealt.select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b")).distinct().unionByName(dealt.select("a", "part", F.lit(1).alias("side"), "b"))
-    roles = common.written(roles.join(points.select(F.col("sid").alias("b"), "th"), "b").select("a", "part", "side", "b", "th"), "roles")
-    some = marked.where(common.Filter.of(roles, "th").column(F.col("__th")))
-    texts = some.groupBy(F.col("__th").alias("th")).agg(F.first("__text").alias("text"))
-    rows = roles.join(texts, "th").select("a", "part", "side", "b", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = common.SpanHasher()
-        mark = centre = None
-        for block in common.blocks(batches, "text", 1 << 20):
-            sets = _sets(block.column(4), hasher)
-            us, vs = [], []
-            for a, part, side, b, s in zip(*(block.column(k).to_pylist() for k in range(4)), sets):
-                if side == 0:
-                    mark, centre = (a, part), s
-                elif mark == (a, part) and linked(centre, s):
-                    us.append(a)
-                    vs.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(run, "u long, v long")
+    rows = rows.select("i", "j", "block", "at", "sid", "root", "text").repartition("i", "j").sortWithinPartitions("i", "j", "block", "at", "sid")
+    return common.written(rows.mapInArrow(run, "u long, v long"), "links")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,39 +368,55 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     links reach. Null or empty texts and texts without words have no shingles and are linked with nothing; their
     component is their own key. Documents with equal sets are one set in the search. A null key counts as no smallest
     key, so a component of null keys only has a null id. Repeated rows are linked. An empty table gives no rows.
+    Shingles are 64-bit hashes of their words and sets are told by 128 bits; a link between different sets is taken
+    only after its words are compared.
     """
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
-    only = rows.select("__text").where("__text is not null")
     meta = common.written(describe(rows), "meta")
-    often = frequent(only)
-    members = common.written(cells(only, often), "cells")
-
-    # One document of each set stands for it.
-    points = meta.where("n > 0").groupBy("sid").agg(F.min(F.struct("n", "counts", "th", "__id")).alias("p")).select("sid", "p.*")
-    points = common.written(points.join(members.select("sid").distinct(), "sid", "left_semi"), "points")
-    slim = points.select("sid", "n", "counts")
-    marked = rows.withColumn("__th", F.xxhash64("__text"))
-
-    # First each cell's members against its smallest; most groups of near copies are joined by that.
-    stars = members.where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
-    first = common.written(verified(bounded(stars, slim), points, marked), "links")
-    roots = components(first)
-
-    # Then, in cells that still hold several components, all pairs of different ones.
-    placed = members.join(roots, members["sid"] == roots["id"], "left").select("cell", "sid", F.coalesce("root", "sid").alias("root"))
-    open_cells = placed.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("cell", "size")
-    rest = common.written(placed.join(open_cells, "cell").join(slim.select("sid", "n"), "sid"), "rest")
-    listed = listed_pairs(rest.where(F.col("size") <= LISTED)).distinct()
-    packed = tree_pairs(rest.where(F.col("size") > LISTED).join(slim.select("sid", "counts"), "sid")).distinct()
-    more = bounded(listed, slim).unionByName(packed).distinct()
-    links = first.unionByName(verified(more, points, marked))
+    few = common.written(suspects(rows), "suspects")
+
+    # One text of each set stands for it.
+    points = meta.where("n > 0").join(few, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("th", "th2", "n")).alias("p")).select("sid", "p.*")
+    points = common.written(points, "chosen")
+    some = rows.select("__text", *_digests()).where(common.Filter.of(points, "th").column(F.col("th")))
+    texts = some.groupBy("th", "th2").agg(F.first("__text").alias("text")).join(points, ["th", "th2"]).select("sid", "n", "text")
+    texts = common.written(texts, "texts")
+
+    members = members_of(texts)
+    placed = packed(members)
+    alone = F.col("block").alias("i"), F.col("block").alias("j")
+    links = linked_in_blocks(texts.join(placed, "sid").select(*alone, "block", "at", "sid", F.col("sid").alias("root"), "text"))
+    links = links.unionByName(_across(members, placed, texts, links))
     final = components(links)
 
-    named = meta.join(final, meta["sid"] == final["id"], "left").select("__id", "n", F.coalesce("root", "sid").alias("root"))
-    least = named.where("n > 0").groupBy("root").agg(F.min("__id").alias("least"))
-    whole = named.where("n > 0").join(least, "root").select("__id", "n", "least")
-    alone = named.where("n = 0").select("__id", "n", F.col("__id").alias("least"))
-    return whole.unionByName(alone).select(F.col("__id").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    least = meta.where("n > 0").groupBy("sid", "sid2").agg(F.min("__id").alias("least"))
+    named = least.join(final, least["sid"] == final["id"], "left").select("sid", "sid2", "least", F.coalesce("root", "sid").alias("root"), F.when(F.col("root").isNull(), F.col("sid2")).alias("alone"))
+    whole = named.groupBy("root", "alone").agg(F.min("least").alias("component"))
+    classes = named.join(whole, named["root"].eqNullSafe(whole["root"]) & named["alone"].eqNullSafe(whole["alone"])).select("sid", "sid2", "component")
+    # Sets of one document have no class but their own, and stay where they are.
+    classes = common.written(classes, "classes")
+    out = meta.join(classes, ["sid", "sid2"], "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("__id"))
+    return out.select(F.col("__id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _across(members: DataFrame, placed: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between points of different blocks that share a cell and are not yet in one component."""
+    spread = members.select("cell", "sid").join(placed, "sid")
+    several = spread.groupBy("cell").agg(F.min("block").alias("x"), F.max("block").alias("y")).where("x < y").select("cell")
+    spread = common.written(spread.join(several, "cell"), "spread")
+    if spread.isEmpty():
+        return links.limit(0)
+    roots = components(links)
+    spread = spread.join(roots, spread["sid"] == roots["id"], "left").select("cell", "sid", "block", "at", F.coalesce("root", "sid").alias("root"))
+    open_cells = spread.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
+    spread = common.written(spread.join(open_cells, "cell"), "open")
+    held = spread.select("cell", "block").distinct()
+    pairs = held.select("cell", F.col("block").alias("i")).join(held.select("cell", F.col("block").alias("j")), "cell").where("i < j").select("i", "j").distinct()
+    pairs = common.written(pairs, "pairs")
+    points = spread.select("block", "sid", "at", "root").distinct()
+    dealt = pairs.join(points, pairs["i"] == points["block"]).unionByName(pairs.join(points, pairs["j"] == points["block"]))
+    return linked_in_blocks(dealt.join(texts.select("sid", "text"), "sid"))
 
 
 def op10_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from palimpsest.llm import bpe, common, linededup, mixing, ngramjoin, ogg, sharding, sketch
+from palimpsest.llm.components import components
 
 DIR = "/root/testdata/sf0.001"
 
@@ -145,10 +146,10 @@ def test_sketch_estimates_containment(spark):
 
 
 def brute_lines(rows):
-    hasher, occurrences, first = common.SpanHasher(), [], {}
+    occurrences, first = [], {}
     for i, t in rows:
         if t is not None:
-            c = linededup.Chunks(pa.array([t]), hasher)
+            c = linededup.Chunks(pa.array([t]))
             raw = c.data.tobytes()
             occurrences += [(i, int(s), raw[a:b]) for s, a, b, ok in zip(c.seq, c.start, c.end, c.counting()) if ok]
     for i, s, chunk in sorted(occurrences):
@@ -159,7 +160,7 @@ def brute_lines(rows):
         if t is None:
             out.add((i, None, 0))
             continue
-        c = linededup.Chunks(pa.array([t]), hasher)
+        c = linededup.Chunks(pa.array([t]))
         raw = c.data.tobytes()
         kept = [raw[a:b] for s, a, b in zip(c.seq, c.start, c.end) if (i, int(s)) not in gone]
         n = len(c.seq) - len(kept)
@@ -243,9 +244,11 @@ def brute_links(rows):
     return {(i, len(s), least[root(k)]) for k, ((i, _), s) in enumerate(zip(rows, sets))}
 
 
-@pytest.mark.parametrize("listed", [12, 2])
-def test_ngram_join(spark, monkeypatch, listed):
-    monkeypatch.setattr(ngramjoin, "LISTED", listed)
+@pytest.mark.parametrize("points, one_task", [(4096, 500_000), (3, 0)])
+def test_ngram_join(spark, monkeypatch, points, one_task):
+    """In one subtree, and in many small ones that are joined in pairs."""
+    monkeypatch.setattr(ngramjoin, "POINTS", points)
+    monkeypatch.setattr(ngramjoin, "components", lambda edges: components(edges, one_task=one_task))
     rng = random.Random(5)
     words = [f"w{k}" for k in range(30)]
     base = [[rng.choice(words) for _ in range(rng.choice([1, 3, 5, 6, 9, 20, 40, 80]))] for _ in range(40)]
@@ -266,15 +269,69 @@ def test_ngram_join_of_nothing(spark):
     assert [r["component_id"] for r in ngramjoin.join(same).collect()] == [7] * 4
 
 
-def test_tree_misses_no_pair():
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 9, (30, ngramjoin.GROUPS))
-    counts = np.maximum(0, base[rng.integers(0, 30, 400)] + (rng.random((400, ngramjoin.GROUPS)) < 0.05)).astype(np.int32)
-    n = counts.sum(axis=1)
-    i, j = ngramjoin.close(counts, n, counts, n)
-    want = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a < b}
-    got = {(min(a, b), max(a, b)) for x, y in ngramjoin.RTree(counts, n).pairs() for a, b in zip(x.tolist(), y.tolist())}
-    assert got == want
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_regular_words_are_not_taken_for_one(spark):
+    """Polynomial hashes modulo 2**64 are equal for these two words; nothing links them."""
+    word = thue_morse(1024)
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, " ".join([word] * 5)), (4, " ".join([word.translate(str.maketrans("ab", "ba"))] * 5))]
+    got = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_large_group_of_near_copies(spark):
+    """An original and copies that mostly are too far from each other, so only the original joins them."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for k in rng.sample(range(len(w)), 0 if i == 150 else rng.choice([1, 2, 2, 3, 4])):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join([f"p{i}x{k}" for k in range(30)] + base[:40])) for i in range(50)]
+    got = ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == brute_links(rows)
+
+
+@pytest.mark.parametrize("more", [8, 1])
+def test_only_sets_without_partner_stay_out(spark, monkeypatch, more):
+    monkeypatch.setattr(ngramjoin, "MORE", more)
+    rows = [(r["doc_id"], r["text"]) for r in common.load(spark, DIR, "documents").collect()]
+    df = spark.createDataFrame(rows, "__id long, __text string")
+    kept = {r["sid"] for r in ngramjoin.suspects(df).collect()}
+    sets = {i: common.shingle_sets(pa.array([t]))[0] for i, t in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and ngramjoin.linked(sets[a], sets[b]) and ngramjoin.identity(sets[a]) != ngramjoin.identity(sets[b]):
+                assert {ngramjoin.identity(sets[a])[0], ngramjoin.identity(sets[b])[0]} <= kept
+
+
+def test_tree_misses_no_link():
+    rng = random.Random(2)
+    base = [[f"w{rng.randrange(2000)}" for _ in range(rng.choice([8, 30, 60]))] for _ in range(30)]
+    texts = []
+    for _ in range(400):
+        w = list(rng.choice(base))
+        w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(w))
+    points = ngramjoin.Points(list(range(400)), list(range(400)), texts)
+    order = np.array(rng.sample(range(400), 400))
+    tree, other = ngramjoin.RTree(points, order[:150]), ngramjoin.RTree(points, order[150:])
+    links = ngramjoin.tree_links(tree, tree) + ngramjoin.tree_links(other, other) + ngramjoin.tree_links(tree, other)
+    assert len(links) + len(set(points.label.tolist())) == 400
+    want = {i: c for i, _, c in brute_links(list(enumerate(texts)))}
+    assert len(set(want.values())) == len(set(points.label.tolist()))
+    assert all((points.label[i] == points.label[j]) == (want[i] == want[j]) for i in range(400) for j in range(i))
+
+
+def test_span_hashes():
+    data = np.frombuffer(b"abcdefgh" * 20, np.uint8)
+    starts, ends = np.array([0, 8, 0, 1, 3, 0, 0, 5]), np.array([8, 16, 160, 9, 3, 48, 49, 5])
+    h = common.span_hashes(data, starts, ends)
+    assert h[0] == h[1] and h[4] == h[7] and len(set(h.tolist())) == 6
 
 
 # --- mixing
