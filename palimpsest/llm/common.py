@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 import zlib
@@ -31,14 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs nothing."""
+#: Tables written within each scratch() that is open, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, hold: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs nothing. With hold
+    the table outlives the innermost scratch()."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    if len(_OPEN) > hold:
+        _OPEN[-1 - hold].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside, but for those on hold, are deleted at the end; what is returned must not read them."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, mod 3, is 1; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

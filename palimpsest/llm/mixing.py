@@ -1,8 +1,15 @@
-"""Mixing sources to target weights: iterative proportional fitting of token weights, then sampling by calibrated probabilities."""
+"""Mixing sources to target weights: iterative proportional fitting of token weights, then sampling by calibrated probabilities.
+
+Topics are learned from the documents: TOPICS words that are frequent, yet in no more than a tenth of the documents,
+stand for one each; a document's topic is the one whose count there, weighted by rarity, is greatest.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,26 +24,83 @@ ITERATIONS = 25
 #: Up to so many cells the fit runs on the driver and its result is broadcast; beyond, as DataFrame steps and a join.
 CELLS_ON_DRIVER = 100_000
 SEED = 97
-WORD = r"[^\x20\x09-\x0D]+"
+#: Number of topics, and the letters a to z that a topic's word has in a row at least.
+TOPICS, LETTERS = 48, 5
+#: A topic's word is in one of so many documents at most.
+RARITY = 10
+BLOCK = 1 << 22
+
+
+def _runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of the runs of LETTERS letters a to z or more."""
+    inside = (data >= 97) & (data <= 122)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offs] = True
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    starts = np.nonzero(inside & (~before | edge[:-1]))[0]
+    ends = np.nonzero(inside & (~after | edge[1:]))[0] + 1
+    long = ends - starts >= LETTERS
+    starts, ends = starts[long], ends[long]
+    return starts, ends, np.searchsorted(offs, starts, "right") - 1
+
+
+def topic_words(docs: DataFrame, text: str = "text", topics: int = TOPICS) -> list[tuple[str, float]]:
+    """The words of the topics and their weights, ln(documents / documents with the word). Counts are over all
+    documents; of words with equal counts the first in the alphabet is taken. The list has `topics` entries at most."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, "__text", BLOCK):
+            data, offs = common.utf8(block.column(0))
+            starts, ends, owner = _runs(data, offs)
+            h = common.span_hashes(data, starts, ends)
+            order = np.lexsort((owner, h))
+            h, owner, starts, ends = h[order], owner[order], starts[order], ends[order]
+            word = np.ones(len(h), bool)
+            word[1:] = h[1:] != h[:-1]
+            first = word.copy()
+            first[1:] |= owner[1:] != owner[:-1]
+            n = np.bincount(np.cumsum(word)[first] - 1) if len(h) else h
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([raw[a:b].decode() for a, b in zip(starts[word].tolist(), ends[word].tolist())], pa.string()), pa.array(n.astype(np.int64))], names=["word", "n"]
+            )
 
-def topic_of(text: Column) -> Column:
-    """A plain topic of a text's form: tabular, shouted, marked-up, listed, brief, long or prose."""
-    n = F.length(text)
-    lines = n - F.length(F.translate(text, "\n", "")) + 1
-    return (
-        F.when(text.contains(" | "), "tabular")
-        .when(text.contains("!! "), "shouted")
-        .when(text.rlike(r"[#$%&*]{3}"), "marked")
-        .when(n < 400, "brief")
-        .when(lines * 120 > n, "listed")
-        .when(n >= 6000, "long")
-        .otherwise("prose")
-    )
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    total = docs.count()
+    found = rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = found.where((F.col("n") >= 2) & (F.col("n") * RARITY <= total)).orderBy(F.desc("n"), "word").limit(topics).collect()
+    return [(r["word"], float(np.log(total / r["n"]))) for r in top]
 
 
-def tokens_of(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD)).cast("long")
+def annotated(df: DataFrame, words: list[tuple[str, float]], text: str, topic: str, tokens: str) -> DataFrame:
+    """df with two columns added: each text's topic (`other` where no topic's word occurs) and its number of tokens, runs
+    without bytes 0x20, 0x09-0x0D. Rows stay where they are."""
+    names = sorted(w for w, _ in words)
+    weight = np.array([dict(words)[w] for w in names])
+    raw = [np.frombuffer(w.encode(), np.uint8) for w in names]
+    keys = np.array([common.span_hashes(w, np.array([0]), np.array([len(w)]))[0] for w in raw], np.uint64)
+    place = np.argsort(keys)
+    sorted_keys = keys[place]
+    labels = np.array([*names, "other"], object)
+    fields = ", ".join([f"`{c}` {t.simpleString()}" for c, t in ((f.name, f.dataType) for f in df.schema)] + [f"`{topic}` string, `{tokens}` long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, text, BLOCK):
+            data, offs = common.utf8(block.column(block.schema.get_field_index(text)))
+            n = block.num_rows
+            count = np.bincount(common.words(data, offs)[2], minlength=n)
+            best = np.full(n, len(names))
+            if len(names):
+                starts, ends, owner = _runs(data, offs)
+                h = common.span_hashes(data, starts, ends)
+                at = np.minimum(np.searchsorted(sorted_keys, h), len(names) - 1)
+                hit = sorted_keys[at] == h
+                score = np.bincount(owner[hit] * len(names) + place[at[hit]], minlength=n * len(names)).reshape(n, -1) * weight
+                best = np.where(score.any(axis=1), np.argmax(np.round(score, 9), axis=1), len(names))
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(labels[best], pa.string()), pa.array(count.astype(np.int64))], names=[*block.schema.names, topic, tokens])
+
+    return df.mapInArrow(run, fields)
 
 
 def draw(key: Column, seed: int = SEED) -> Column:
@@ -88,37 +152,21 @@ def fit_as_frames(cells: DataFrame, targets: dict[str, DataFrame], iterations: i
             factor = sums.join(target.withColumnRenamed("share", "__aim"), d, "left").select(d, (F.coalesce("__aim", F.lit(0.0)) / F.col("__now")).alias("__f"))
             now = now.join(factor, d).withColumn("share", F.col("share") * F.col("__f")).drop("__f")
         now = common.written(now, "fit")
-    # The scale at which the expected tokens meet the budget, by halving.
+    # Which cells are kept whole is found by halving; the scale of the others follows in closed form.
     low, high = 0.0, float(now.agg(F.max(F.col("tokens") / F.col("share"))).first()[0])
     for _ in range(60):
         middle = (low + high) / 2
         got = now.agg(F.sum(F.least(F.col("tokens").cast("double"), middle * F.col("share")))).first()[0]
         low, high = (middle, high) if got < budget else (low, middle)
-    total = now.agg(F.sum("share")).first()[0]
-    return now.withColumn("probability", F.least(F.lit(1.0), high * F.col("share") / F.col("tokens"))).withColumn("share", F.col("share") / total)
-
+    whole = F.col("share") * high >= F.col("tokens")
+    sums = now.agg(F.sum("share").alias("all"), F.sum(F.when(whole, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(~whole, F.col("share"))).alias("left")).first()
+    scale = (budget - sums["full"]) / sums["left"] if sums["left"] else high
+    return now.withColumn("probability", F.least(F.lit(1.0), scale * F.col("share") / F.col("tokens"))).withColumn("share", F.col("share") / sums["all"])
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, powers: dict[str, float] | None = None,
-        topic: Column | None = None, key: str = "doc_id", text: str = "text", seed: int = SEED, iterations: int = ITERATIONS,
-        on_driver: int = CELLS_ON_DRIVER) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, share (of its cell), probability and keep for every row.
 
-    targets: shares of values by dimension; a dimension that is left out gets power targets. Values without a target are
-    not sampled. Null values count as `unknown`; null text has no tokens. Cells without tokens are kept whole, as they
-    weigh nothing. Rows with equal keys share their draw. An empty table gives no rows.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    slim = docs.select(
-        F.col(key).alias("doc_id"),
-        F.coalesce("source", F.lit("unknown")).alias("source"),
-        F.coalesce("lang", F.lit("unknown")).alias("lang"),
-        (topic if topic is not None else topic_of(body)).alias("topic"),
-        tokens_of(body).alias("n_tokens"),
-    )
-    slim = common.written(slim, "tokens")
-    spark = docs.sparkSession
-    cells = slim.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    cells = common.written(cells, "cells")
+def _fitted(cells: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float, powers: dict[str, float] | None, iterations: int, on_driver: int) -> tuple[DataFrame, bool]:
+    """Dims, share and probability of each cell, and whether the cells are few enough to broadcast."""
+    spark = cells.sparkSession
     aims = power_targets(cells, DIMENSIONS, powers or POWERS)
     for d, given in (targets or {}).items():
         total = sum(given.values())
@@ -126,19 +174,50 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     sums = cells.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()
     small = sums["n"] <= on_driver
     if not sums["t"]:
-        fitted = cells.select(*DIMENSIONS, F.lit(0.0).alias("share"), F.lit(1.0).alias("probability"))
-    elif small:
-        rows = sorted((tuple(r[d] for d in DIMENSIONS), r["tokens"]) for r in cells.where("tokens > 0").collect())  # CELLS_ON_DRIVER at most
-        keys, tokens = [k for k, _ in rows], np.array([t for _, t in rows], float)
-        by = [{r[d]: r["share"] for r in aims[d].collect()} for d in DIMENSIONS]
-        share = fit_on_driver(keys, tokens, by, iterations)
-        chance = probabilities(share, tokens, budget * float(sums["t"]))
-        fitted = spark.createDataFrame([(*k, float(s), float(p)) for k, s, p in zip(keys, share, chance)], "source string, lang string, topic string, share double, probability double")
-    else:
-        fitted = fit_as_frames(cells, aims, iterations, budget * float(sums["t"])).select(*DIMENSIONS, "share", "probability")
-    joined = slim.join(F.broadcast(fitted) if small else fitted, list(DIMENSIONS), "left")
-    chance = F.coalesce("probability", F.lit(1.0))
-    return joined.select("doc_id", *DIMENSIONS, "n_tokens", F.coalesce("share", F.lit(0.0)).alias("share"), chance.alias("probability"), (draw(F.col("doc_id"), seed) < chance).alias("keep"))
+        return cells.select(*DIMENSIONS, F.lit(0.0).alias("share"), F.lit(1.0).alias("probability")), small
+    if not small:
+        return fit_as_frames(cells, aims, iterations, budget * float(sums["t"])).select(*DIMENSIONS, "share", "probability"), small
+    rows = sorted((tuple(r[d] for d in DIMENSIONS), r["tokens"]) for r in cells.where("tokens > 0").collect())  # CELLS_ON_DRIVER at most
+    keys, tokens = [k for k, _ in rows], np.array([t for _, t in rows], float)
+    by = [{r[d]: r["share"] for r in aims[d].collect()} for d in DIMENSIONS]
+    share = fit_on_driver(keys, tokens, by, iterations)
+    chance = probabilities(share, tokens, budget * float(sums["t"]))
+    return spark.createDataFrame([(*k, float(s), float(p)) for k, s, p in zip(keys, share, chance)], "source string, lang string, topic string, share double, probability double"), small
+
+
+def with_chances(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, powers: dict[str, float] | None = None,
+                 key: str = "doc_id", text: str = "text", seed: int = SEED, iterations: int = ITERATIONS, on_driver: int = CELLS_ON_DRIVER,
+                 topics: int = TOPICS) -> DataFrame:
+    """docs with __source, __lang, __topic, __tokens, __share, __probability and __keep added. Texts are read three
+    times (words, cells, chances) and dealt out nowhere, as long as the cells are few enough to broadcast."""
+    words = topic_words(docs, text, topics)
+    named = {"__source": F.coalesce("source", F.lit("unknown")), "__lang": F.coalesce("lang", F.lit("unknown"))}
+    slim = annotated(docs.select(*(c.alias(n) for n, c in named.items()), F.col(text).alias("__text")), words, "__text", "__topic", "__tokens")
+    dims = [f"__{d}" for d in DIMENSIONS]
+    cells = slim.groupBy(*dims).agg(F.sum("__tokens").alias("tokens")).withColumnsRenamed(dict(zip(dims, DIMENSIONS)))
+    fitted, small = _fitted(common.written(cells, "cells"), targets, budget, powers, iterations, on_driver)
+    fitted = fitted.withColumnsRenamed({**dict(zip(DIMENSIONS, dims)), "share": "__share", "probability": "__probability"})
+    rows = annotated(docs.withColumns(named), words, text, "__topic", "__tokens")
+    rows = rows.join(F.broadcast(fitted) if small else fitted, dims, "left").fillna({"__share": 0.0, "__probability": 1.0})
+    return rows.withColumn("__keep", draw(F.col(key), seed) < F.col("__probability"))
+
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, share (of its cell), probability and keep for every row.
+
+    targets: shares of values by dimension; a dimension that is left out gets power targets. Values without a target are
+    not sampled. Null values count as `unknown`; null text has no tokens. Cells without tokens are kept whole, as they
+    weigh nothing. Rows with equal keys share their draw. An empty table gives no rows. Columns of docs may have any
+    names that don't begin with two underscores.
+    """
+    narrow = docs.select(F.col(key).alias("doc_id"), "source", "lang", F.col(text).alias("text"))
+    rows = with_chances(narrow, targets, **how)
+    return rows.select("doc_id", *(F.col(f"__{d}").alias(d) for d in DIMENSIONS), F.col("__tokens").alias("n_tokens"), F.col("__share").alias("share"), F.col("__probability").alias("probability"), F.col("__keep").alias("keep"))
+
+
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, **how) -> DataFrame:
+    """The rows of docs that mix() keeps, with their own columns."""
+    return with_chances(docs, targets, **how).where("__keep").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,14 +237,16 @@ def oracle(iterations: int = ITERATIONS) -> str:
         f"aim_{d} AS MATERIALIZED (SELECT {d}, w / sum(w) OVER () AS share FROM (SELECT {d}, pow(sum(tokens)::DOUBLE, {POWERS[d]}) AS w FROM cells WHERE tokens > 0 GROUP BY {d}))"
         for d in DIMENSIONS
     ]
-    return f"""WITH docs AS MATERIALIZED (
-  SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
-    CASE WHEN contains(t, ' | ') THEN 'tabular' WHEN contains(t, '!! ') THEN 'shouted'
-      WHEN regexp_matches(t, '[#$%&*]{{3}}') THEN 'marked' WHEN length(t) < 400 THEN 'brief'
-      WHEN (length(t) - length(replace(t, chr(10), '')) + 1) * 120 > length(t) THEN 'listed'
-      WHEN length(t) >= 6000 THEN 'long' ELSE 'prose' END AS topic,
+    return f"""WITH texts AS MATERIALIZED (SELECT *, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+occurs AS MATERIALIZED (SELECT rid, unnest(regexp_extract_all(t, '[a-z]{{{LETTERS},}}')) AS w FROM texts),
+vocabulary AS MATERIALIZED (SELECT w, ln((SELECT count(*) FROM texts) / count(DISTINCT rid)) AS weight FROM occurs GROUP BY w
+  HAVING count(DISTINCT rid) >= 2 AND count(DISTINCT rid) * {RARITY} <= (SELECT count(*) FROM texts) ORDER BY count(DISTINCT rid) DESC, w LIMIT {TOPICS}),
+topics AS MATERIALIZED (SELECT rid, w AS topic FROM (SELECT rid, w, row_number() OVER (PARTITION BY rid ORDER BY round(count(*) * any_value(weight), 9) DESC, w) AS k
+  FROM occurs JOIN vocabulary USING (w) GROUP BY rid, w) WHERE k = 1),
+docs AS MATERIALIZED (
+  SELECT rid, doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, coalesce(topic, 'other') AS topic,
     len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
-  FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+  FROM texts LEFT JOIN topics USING (rid)),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
 {", ".join(aims)},
 fit0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens / sum(tokens) OVER () AS share FROM cells WHERE tokens > 0),

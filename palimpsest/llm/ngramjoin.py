@@ -372,9 +372,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     only after its words are compared.
     """
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
-    meta = common.written(describe(rows), "meta")
-    few = common.written(suspects(rows), "suspects")
+    with common.scratch(docs.sparkSession):
+        meta = common.written(describe(rows), "meta", hold=True)
+        classes = common.written(_classes(rows, meta), "classes", hold=True)
+    out = meta.join(classes, ["sid", "sid2"], "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("__id"))
+    return out.select(F.col("__id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
 
+def _classes(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    """sid, sid2, component of every set."""
+    few = common.written(suspects(rows), "suspects")
     # One text of each set stands for it.
     points = meta.where("n > 0").join(few, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("th", "th2", "n")).alias("p")).select("sid", "p.*")
     points = common.written(points, "chosen")
@@ -390,14 +398,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     final = components(links)
 
     least = meta.where("n > 0").groupBy("sid", "sid2").agg(F.min("__id").alias("least"))
-    named = least.join(final, least["sid"] == final["id"], "left").select("sid", "sid2", "least", F.coalesce("root", "sid").alias("root"), F.when(F.col("root").isNull(), F.col("sid2")).alias("alone"))
-    whole = named.groupBy("root", "alone").agg(F.min("least").alias("component"))
-    classes = named.join(whole, named["root"].eqNullSafe(whole["root"]) & named["alone"].eqNullSafe(whole["alone"])).select("sid", "sid2", "component")
-    # Sets of one document have no class but their own, and stay where they are.
-    classes = common.written(classes, "classes")
-    out = meta.join(classes, ["sid", "sid2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("__id"))
-    return out.select(F.col("__id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    named = least.join(final, least["sid"] == final["id"], "left").select("sid", "sid2", "least", "root")
+    together = named.where("root is not null")
+    whole = together.groupBy("root").agg(F.min("least").alias("component"))
+    alike = named.where("root is null").select("sid", "sid2", F.col("least").alias("component"))
+    return together.join(whole, "root").select("sid", "sid2", "component").unionByName(alike)
 
 
 def _across(members: DataFrame, placed: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:

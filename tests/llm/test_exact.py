@@ -354,8 +354,40 @@ def test_fit_meets_marginals():
 def test_mix_edges_and_both_ways(spark):
     rows = [(k, "w " * (k % 9), ["a", "b", None][k % 3], "en" if k % 2 else None) for k in range(60)] + [(None, None, "a", "en")] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    one = {(r["doc_id"], round(r["probability"], 6)) for r in mixing.mix(df, iterations=4).collect()}
-    two = {(r["doc_id"], round(r["probability"], 6)) for r in mixing.mix(df, iterations=4, on_driver=0).collect()}
+    one = {(r["doc_id"], round(r["probability"], 9)) for r in mixing.mix(df, iterations=4).collect()}
+    two = {(r["doc_id"], round(r["probability"], 9)) for r in mixing.mix(df, iterations=4, on_driver=0).collect()}
     assert one == two and len(one) == 61
     assert mixing.mix(df.limit(0)).count() == 0
     assert {r["keep"] for r in mixing.mix(df.withColumn("text", df["text"].substr(1, 0))).collect()} == {True}
+    wide = df.withColumnsRenamed({}).selectExpr("*", "1 as topic", "'x' as share")
+    kept = {r["doc_id"] for r in mixing.mix(df, iterations=4).collect() if r["keep"]}
+    assert mixing.sample(wide, iterations=4).columns == wide.columns and {r["doc_id"] for r in mixing.sample(wide, iterations=4).collect()} == kept
+
+
+def test_mix_to_given_targets(spark):
+    """Expected tokens meet the targets of all three dimensions, where no chance is capped."""
+    rng = random.Random(4)
+    rows = [(k, " ".join(["x"] * rng.randrange(1, 60) + ["seldom"] * (k % 10 == 0)), rng.choice("ab"), rng.choice(["en", "fr"])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.mix(df, {"source": {"a": 3, "b": 1}, "lang": {"en": 0.4, "fr": 0.6}, "topic": {"seldom": 0.1, "other": 0.9}}, budget=0.3).collect()
+    assert {r["topic"] for r in got} == {"seldom", "other"} and max(r["probability"] for r in got) < 1
+    total = sum(r["n_tokens"] * r["probability"] for r in got)
+    for d, value, share in (("source", "a", 0.75), ("lang", "fr", 0.6), ("topic", "seldom", 0.1)):
+        assert abs(sum(r["n_tokens"] * r["probability"] for r in got if r[d] == value) / total - share) < 1e-6
+    assert abs(total / sum(r["n_tokens"] for r in got) - 0.3) < 1e-6
+
+
+def test_topics_by_definition(spark):
+    rows = [(r["doc_id"], r["text"], "s", "l") for r in common.load(spark, DIR, "documents").collect()]
+    words = {i: re.findall("[a-z]{5,}", t or "") for i, t, _, _ in rows}
+    seen = {}
+    for i, w in words.items():
+        for x in set(w):
+            seen[x] = seen.get(x, 0) + 1
+    top = sorted((-n, x) for x, n in seen.items() if n >= 2 and n * 10 <= len(rows))[: mixing.TOPICS]
+    weight = {x: np.log(len(rows) / -n) for n, x in top}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    assert {x for x, _ in mixing.topic_words(df)} == set(weight)
+    for r in mixing.mix(df, iterations=1).collect():
+        score = sorted((-round(words[r["doc_id"]].count(x) * weight[x], 9), x) for x in set(words[r["doc_id"]]) & set(weight))
+        assert r["topic"] == (score[0][1] if score else "other")
