@@ -28,21 +28,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents; of repeated rows, one."""
+    """The document with the smallest id of each group of linked documents; of repeated rows, one. Rows with null ids
+    stay."""
     docs = docs.select(*COLUMNS)
     found = common.written(ngramjoin.join(docs), "groups")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    rows = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = common.written(rows.where("not stays").select(F.col("doc_id").alias("__gone"), F.xxhash64("doc_id").alias("__h")), "gone")
+    # A filter keeps the texts where they are; only rows that it names are dealt out and told apart.
+    some = common.Filter.of(gone, "__h").column(F.xxhash64("doc_id"))
+    marked = docs.withColumn("__some", F.col("doc_id").isNotNull() & some)
+    told = marked.where("__some").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    out = marked.where("not __some").unionByName(told).select(*COLUMNS)
+    several = common.written(rows.where("n > 1").select(F.col("doc_id").alias("__several")), "several")
+    if several.isEmpty():
+        return out
+    once = out.join(several, F.col("doc_id") == F.col("__several"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(several, F.col("doc_id") == F.col("__several"), "left_anti").unionByName(once)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents whose tokens meet the target weights."""
-    docs = docs.select(*COLUMNS)
-    chosen = mixing.mix(docs).where("keep").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["__kept"]), "left_semi")
+    return mixing.sample(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +73,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.load(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        with common.scratch(spark):
+            docs = common.written(stage(spark, docs, sf_dir), name, hold=True)
     return docs
