@@ -1,20 +1,23 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Tasks split texts into pre-tokens ("words"). A block of texts has a table of
-its distinct words: each is encoded once, and the ids are joined back to the
-words' places by position. A task remembers a bounded number of words between
-blocks. Decoding joins ids to a table of pieces. The vocabulary's size bounds
-the piece table; the block's words bound the word table, so no text and no
-word occurrence is ever shuffled.
+Spark splits all texts into pre-tokens ("words") and counts them; the most
+frequent TABLE_WORDS distinct words are encoded once each into a table of
+bounded size, which is broadcast and joined back to the words' places by
+position. Words beyond the table are seldom; a block of texts has a table of
+its own for them, in which each is encoded once. Decoding joins ids to a table
+of pieces, bounded by the vocabulary. No text and no word occurrence is dealt
+out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,9 +31,13 @@ from palimpsest.llm import common
 
 #: Byte-level pre-tokens ("words"), as the public vocabulary's pattern has them.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a task remembers between blocks, and words of a block.
-REMEMBERED_WORDS = 500_000
+#: Words of the broadcast table, and the longest ones in it (characters).
+TABLE_WORDS, TABLE_LONGEST = 200_000, 64
+#: Words beyond the table that a task remembers between blocks, and words of a block.
+REMEMBERED_WORDS = 300_000
 BLOCK_WORDS = 400_000
+#: Text that is counted at once.
+COUNT_BYTES = 16 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -84,39 +91,104 @@ class Splitter:
         return words(text)
 
 
-def merge_ranks(vocabulary: str) -> dict[bytes, int] | None:
-    """Ranks of the pieces' bytes where the ids' order is the merges' order, else None."""
-    spec = json.loads(vocabulary)
-    alphabet = byte_alphabet()
-    special = {t["content"] for t in spec["added_tokens"]}
-    vocab = spec["model"]["vocab"]
-    order = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
-    if None in order or order != sorted(order) or (order and order[0] < 256):
-        return None
-    return {bytes(alphabet[c] for c in p): i for p, i in vocab.items() if p not in special}
+class Merges:
+    """Byte-pair merges of a vocabulary, applied to one word at a time."""
+
+    def __init__(self, vocabulary: str) -> None:
+        spec = json.loads(vocabulary)
+        supported(spec)
+        alphabet = byte_alphabet()
+        vocab = spec["model"]["vocab"]
+        self.start = {alphabet[c]: vocab[c] for c in alphabet if c in vocab}
+        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, m in enumerate(spec["model"]["merges"]):
+            left, right = m if isinstance(m, list) else m.split(" ")
+            self.ranks.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+        self.whole = {bytes(alphabet[c] for c in p): i for p, i in vocab.items() if all(c in alphabet for c in p)} if spec["model"].get("ignore_merges") else {}
+
+    def __call__(self, word: str) -> list[int]:
+        """Ids of a word: of all neighbours the pair that was merged first in training is joined, the leftmost first,
+        until none is left."""
+        raw = word.encode()
+        if raw in self.whole:
+            return [self.whole[raw]]
+        ids = [self.start[b] for b in raw if b in self.start]
+        n, ranks = len(ids), self.ranks
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r[0], k, r[1], ids[k], ids[k + 1]) for k in range(n - 1) if (r := ranks.get((ids[k], ids[k + 1])))]
+        heapq.heapify(heap)
+        while heap:
+            _, k, made, left, right = heapq.heappop(heap)
+            nxt = after[k]
+            if ids[k] != left or nxt >= n or ids[nxt] != right:
+                continue  # one of the two has been joined meanwhile
+            ids[k], ids[nxt] = made, -1
+            end = after[k] = after[nxt]
+            if end < n:
+                before[end] = k
+                if r := ranks.get((made, ids[end])):
+                    heapq.heappush(heap, (r[0], k, r[1], made, ids[end]))
+            if (prev := before[k]) >= 0 and (r := ranks.get((ids[prev], made))):
+                heapq.heappush(heap, (r[0], prev, r[1], ids[prev], made))
+        return [i for i in ids if i >= 0]
+
+
+def supported(spec: dict) -> None:
+    """Raises unless words are split by the byte-level pattern and nothing else changes texts or ids."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if not plain or spec.get("normalizer") or model.get("type") != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        raise ValueError("only byte-level BPE vocabularies without normalizer are supported")
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"]):
+        raise ValueError("added tokens that strip or need word bounds are not supported")
+
+
+def word_table(df: DataFrame, vocabulary: str, text: str = "text", most: int = TABLE_WORDS) -> pa.Table:
+    """word, ids of the `most` most frequent words of TABLE_LONGEST characters at most (ties: the first in order), each
+    encoded once. The bounds keep the table under some 20 MB whatever the corpus."""
+    packed = zlib.compress(vocabulary.encode())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = Splitter(zlib.decompress(packed).decode())
+        for block in common.blocks(batches, "__text", COUNT_BYTES):
+            seen: Counter = Counter()
+            for t in block.column(0).to_pylist():
+                seen.update(split(t))
+            words = [w for w in seen if len(w) <= TABLE_LONGEST]
+            for start in range(0, len(words), 100_000):
+                some = words[start : start + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([seen[w] for w in some], pa.int64())], names=["word", "n"])
+
+    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spec = zlib.decompress(packed).decode()
+        special, merges = {t["content"]: [t["id"]] for t in json.loads(spec)["added_tokens"]}, Merges(spec)
+        for batch in batches:
+            ids = [special.get(w) or merges(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    rows = df.select(F.col(f"`{text}`").alias("__text")).where("__text is not null")
+    found = rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = common.written(found.orderBy(F.desc("n"), "word").limit(most).select("word"), "words")
+    return top.repartition(16).mapInArrow(encode_words, "word string, ids array<int>").toArrow()
 
 
 class WordTable(dict):
-    """The table of distinct words: a word's place; `ids` has the ids of all places one after another.
+    """Distinct words and their places; `ids` has the ids of all places one after another.
 
-    A word is encoded when it is first looked up. `trim` empties a table that has grown beyond its bound.
+    It begins with the broadcast table. A word beyond is encoded when it is first looked up; `trim` forgets those
+    words once there are more than its bound.
     """
 
-    def __init__(self, vocabulary: str) -> None:
-        ranks = merge_ranks(vocabulary)
+    def __init__(self, vocabulary: str, table: pa.Table) -> None:
         self.special = {t["content"]: [t["id"]] for t in json.loads(vocabulary)["added_tokens"]}
-        if ranks is None:
-            from tokenizers import Tokenizer
-
-            whole = Tokenizer.from_str(vocabulary)
-            whole.no_padding()
-            whole.no_truncation()
-            self.encode = lambda word: whole.encode(word, add_special_tokens=False).ids
-        else:
-            import tiktoken
-
-            self.encode = tiktoken.Encoding("own", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.trim(0)
+        self.encode = Merges(vocabulary)
+        words, lists = table.column("word").to_pylist(), table.column("ids").combine_chunks()
+        super().__init__(zip(words, range(len(words))))
+        offs = np.asarray(lists.offsets, np.int64) if len(words) else np.zeros(1, np.int64)
+        self.known = len(words)
+        self.known_ids = np.asarray(lists.values, np.int32)[offs[0] : offs[-1]] if len(words) else np.zeros(0, np.int32)
+        self.known_ends = offs[1:] - offs[0]
+        self.ids, self.ends = array("i"), array("q")
 
     def __missing__(self, word: str) -> int:
         found = self.special.get(word) or self.encode(word)
@@ -125,9 +197,15 @@ class WordTable(dict):
         place = self[word] = len(self)
         return place
 
+    def columns(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each place's end."""
+        ids = np.concatenate([self.known_ids, np.array(self.ids, np.int32)])
+        return ids, np.concatenate([self.known_ends, np.array(self.ends, np.int64) + len(self.known_ids)])
+
     def trim(self, most: int = REMEMBERED_WORDS) -> None:
-        if len(self) >= most:
-            self.clear()
+        if len(self) - self.known >= most:
+            for word in list(self)[self.known :]:
+                del self[word]
             self.ids, self.ends = array("i"), array("q")
 
 
@@ -143,10 +221,10 @@ def encode_block(lists: list[list[str]], table: WordTable) -> tuple[np.ndarray,
     table.trim()
     offs = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
     place = np.fromiter(map(table.__getitem__, chain.from_iterable(lists)), np.int64, int(offs[-1]))
-    ends = np.array(table.ends, np.int64)
+    ids, ends = table.columns()
     length = np.diff(ends, prepend=0)
     taken = length[place]
-    out = spread(np.array(table.ids, np.int32), (ends - length)[place], taken)
+    out = spread(ids, (ends - length)[place], taken)
     return out, np.concatenate([[0], np.cumsum(taken)])[offs]
 
 
@@ -167,15 +245,22 @@ class Pieces:
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` (default: all but text) and `ids` array<int>, the text's token ids.
 
-    Null or empty text: no ids. Repeated rows are encoded alike. A kept column named like `ids` is replaced.
+    Null or empty text: no ids. Repeated rows are encoded alike. A kept column named like `ids` is replaced. The words
+    are counted, and their table made, when this is called. Vocabularies that split otherwise raise ValueError.
     """
+    supported(json.loads(vocabulary))
     keep = [c for c in (df.columns if keep is None else keep) if c not in (text, ids)]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
-    packed = zlib.compress(vocabulary.encode())
+    sink = pa.BufferOutputStream()
+    found = word_table(df, vocabulary, text)
+    with pa.ipc.new_stream(sink, found.schema) as out:
+        out.write_table(found)
+    sent = df.sparkSession.sparkContext.broadcast((zlib.compress(vocabulary.encode()), zlib.compress(sink.getvalue().to_pybytes(), 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spec = zlib.decompress(packed).decode()
-        split, table = Splitter(spec), WordTable(spec)
+        spec, known = (zlib.decompress(x) for x in sent.value)
+        spec, known = spec.decode(), pa.ipc.open_stream(known).read_all()
+        split, table = Splitter(spec), WordTable(spec, known)
         for batch in common.blocks(batches, "__text"):
             start, lists, n = 0, [], 0
             for k, t in enumerate(batch.column(batch.num_columns - 1).to_pylist(), 1):
