@@ -17,6 +17,8 @@ from palimpsest.llm import common
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
+#: A tag that the page ends within is no text.
+UNFINISHED = re.compile(r"</?[a-zA-Z]")
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 #: Elements whose contents are not text of the page.
 SKIPPED = ("script", "style", "title", "textarea", "template", "noscript", "iframe", "svg", "select", "object", "canvas")
@@ -29,7 +31,6 @@ INLINE = frozenset(
 )
 #: An element that opens ends these open ones.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-KEEPS_P = INLINE
 #: Groups of parts of class, id and role names.
 NAME_PARTS = {
     "advert": ("ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "dfp", "teaser"),
@@ -47,6 +48,7 @@ PART_GROUP = {p: g for g, parts in NAME_PARTS.items() for p in parts}
 SPACE = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 #: Tags whose presence above a block is a feature.
 TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "table", "td", "p", "h1", "h2", "h3", "blockquote", "pre", "figure", "figcaption", "button", "dialog", "div", "dl", "address", "details", "fieldset", "body", "menu")
+TAG_SET = frozenset(TAGS)
 
 
 def groups_of(attributes: str) -> frozenset[str]:
@@ -57,21 +59,71 @@ def groups_of(attributes: str) -> frozenset[str]:
 
 
 class Leaf:
-    """A run of text without a block element's start or end inside: its text, the elements above it, and its links."""
-
-    __slots__ = ("above", "groups", "linked", "text")
-
-    def __init__(self, text: str, above: tuple[str, ...], groups: frozenset[str], linked: int) -> None:
-        self.text, self.above, self.groups, self.linked = text, above, groups, linked
+    """A run of text without a block element's start or end inside: its text, the names of the elements above it, the
+    nearest block element, the groups of their names, and how many of its words are in links."""
+
+    __slots__ = ("above", "groups", "linked", "parent", "text")
+
+    def __init__(self, text: str, above: frozenset[str], parent: str, groups: frozenset[str], linked: int) -> None:
+        self.text, self.above, self.parent, self.groups, self.linked = text, above, parent, groups, linked
+
+
+class Stack:
+    """The open elements. What holds for all elements above a block is kept for each of them, and so are the places of
+    each name, so every step takes the same time however deep a page nests."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.above: list[frozenset[str]] = [frozenset()]
+        self.groups: list[frozenset[str]] = [frozenset()]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, groups: frozenset[str]) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name not in INLINE:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        last = self.above[-1]
+        self.above.append(last if name in last or name not in TAG_SET else last | {name})
+        self.groups.append(self.groups[-1] if groups <= self.groups[-1] else self.groups[-1] | groups)
+
+    def cut(self, place: int) -> None:
+        """Ends the element at a place and all above it."""
+        while len(self.names) > place:
+            name = self.names.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+            self.above.pop()
+            self.groups.pop()
+
+    def close(self, name: str) -> None:
+        """An end tag: ends the nearest element of the name; an inline one doesn't reach beyond a block."""
+        if self.places.get(name):
+            place = self.places[name][-1]
+            if name not in INLINE or not self.blocks or self.blocks[-1] < place:
+                self.cut(place)
+
+    def make_room(self, name: str) -> None:
+        """A block element opens: ends open paragraphs and the elements that it can't be in."""
+        while self.blocks and (self.names[self.blocks[-1]] == "p" or self.names[self.blocks[-1]] in ENDS.get(name, ())):
+            self.cut(self.blocks[-1])
+
+    def parent(self) -> str:
+        return self.names[self.blocks[-1]] if self.blocks else ""
+
+    def links(self) -> bool:
+        return bool(self.places.get("a"))
 
 
 def leaves(page: str) -> list[Leaf]:
-    """The leaf blocks of a page in page order. Tags may be unclosed or wrongly nested; white space is collapsed and
-    character references are decoded."""
+    """The leaf blocks of a page in page order. Tags may be unclosed or wrongly nested, to any depth; white space is
+    collapsed and character references are decoded."""
     out: list[Leaf] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = Stack()
     text: list[str] = []
-    linked = links = 0
+    linked = 0
     endless: set[str] = set()
 
     def flush() -> None:
@@ -79,10 +131,7 @@ def leaves(page: str) -> list[Leaf]:
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                groups: set[str] = set()
-                for _, g in stack:
-                    groups |= g
-                out.append(Leaf(whole, tuple(t for t, _ in stack), frozenset(groups), linked))
+                out.append(Leaf(whole, stack.above[-1], stack.parent(), stack.groups[-1], linked))
             text.clear()
         linked = 0
 
@@ -91,14 +140,15 @@ def leaves(page: str) -> list[Leaf]:
         if piece:
             piece = refs.unescape(piece) if "&" in piece else piece
             text.append(piece)
-            if links:
+            if stack.links():
                 linked += len(piece.split())
 
     at = 0
     while True:
         m = TOKEN.search(page, at)
         if not m:
-            add(page[at:])
+            cut = UNFINISHED.search(page, at)
+            add(page[at : cut.start() if cut else len(page)])
             break
         add(page[at : m.start()])
         at = m.end()
@@ -122,22 +172,12 @@ def leaves(page: str) -> list[Leaf]:
         elif name == "br":
             text.append(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if inline and any(t not in INLINE for t, _ in stack[k + 1 :]):
-                        break
-                    del stack[k:]
-                    break
+            stack.close(name)
         elif name not in VOID:
             if not inline:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or stack[k][0] in ENDS.get(name, ()):
-                        del stack[k:]
-                    elif stack[k][0] not in INLINE:
-                        break
+                stack.make_room(name)
             if not attributes.endswith("/"):
-                stack.append((name, groups_of(attributes) if "=" in attributes else frozenset()))
-        links = sum(t == "a" for t, _ in stack) if name == "a" or not inline else links
+                stack.push(name, groups_of(attributes) if "=" in attributes else frozenset())
     flush()
     return out
 
@@ -145,10 +185,9 @@ def leaves(page: str) -> list[Leaf]:
 def observations(leaf: Leaf, seen_heading: bool) -> list[str]:
     """Names of the binary features that a leaf has."""
     n = len(leaf.text.split())
-    above = set(leaf.above)
+    above = leaf.above
     inside = "article" in above or "main" in above or "main" in leaf.groups
-    blocks = [t for t in leaf.above if t not in INLINE]
-    out = ["all", f"parent:{blocks[-1] if blocks and blocks[-1] in TAGS else '-'}"]
+    out = ["all", f"parent:{leaf.parent if leaf.parent in TAG_SET else '-'}"]
     out += [f"above:{t}" for t in TAGS if t in above]
     out += [f"name:{g}" for g in leaf.groups]
     out += [f"words:{sum(n > k for k in (2, 5, 10, 25, 60))}", f"links:{sum(leaf.linked > k * n for k in (0, 0.3, 0.7))}"]
@@ -280,7 +319,11 @@ def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[str, list[int]]]:
         for _ in range(k):
             kind = rng.random()
             t = words(1, 4) if kind < 0.15 else words(5, 120)
-            if kind > 0.9:
+            if kind > 0.98:
+                out += around("dl", "", [x for _ in range(rng.randint(1, 3)) for x in ((f"<dt>{words(1, 3, '')}", label), (f"<dd>{words(2, 20)}", label))])
+            elif kind > 0.96:
+                out += [(f"<pre>{words(2, 30)}</pre>", label)]
+            elif kind > 0.9:
                 out += [(f"<h2>{words(2, 6, '')}</h2>", label)]
             if kind > 0.85:
                 out += around("ul", "", [(f"<li>{words(2, 20)}</li>", label) for _ in range(rng.randint(1, 4))])
@@ -299,6 +342,7 @@ def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[str, list[int]]]:
             (
                 lambda: around("div", named("ad", "ads", "advert", "ad-slot", "sponsored", "promo-box", "banner"), [(words(3, 25), 0)]),
                 lambda: around("aside", pick(("", named("sidebar", "related", "widget"))), [(f"<h3>{words(1, 4, '')}</h3>", 0), *paragraphs(1, 0), *around("ul", "", links(rng.randint(2, 6)))]),
+                lambda: around("aside", pick(("", named("pullout", "note"))), pick((paragraphs(1, 0), [(words(2, 9, ''), 0)], [(f"<p>{words(2, 9, '')}</p>", 0)]))),
                 lambda: around("div", named("sidebar", "right-rail", "related-posts", "popular"), paragraphs(rng.randint(1, 3), 0)),
                 lambda: around("div", named("cookie-notice", "consent", "gdpr-banner", "alert", "newsletter", "popup"), [(f"<p>{words(5, 40)}</p>", 0), (f"<button>{words(1, 2, '')}</button>", 0)]),
                 lambda: around("form", named("search", "login", "contact-form"), [(f"<label>{words(1, 3, '')}</label>", 0), (f"<p>{words(3, 12)}</p>", 0), (f"<button>{words(1, 2, '')}</button>", 0)]),
@@ -330,7 +374,11 @@ def labelled_pages(n: int = 300, seed: int = 3) -> list[tuple[str, list[int]]]:
         if rng.random() < 0.15:
             body += reader()
         shape = rng.random()
-        if shape < 0.5:
+        if shape < 0.06:  # pages that are laid out by tables, or name nothing
+            parts += around("table", "", around("tr", "", around("td", "", body)))
+        elif shape < 0.12:
+            parts += around(pick(("div", "section", "center")), "", body)
+        elif shape < 0.5:
             parts += around("article", pick(("", named("post", "entry", "story"))), body)
         elif shape < 0.65:
             parts += around("main", "", body)

@@ -1,5 +1,10 @@
 """Trained operators: held-out accuracy and edge cases."""
 
+import itertools
+import random
+import time
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +92,72 @@ def test_skipped_elements_end_where_they_should():
         assert texts(f"<p>one</p><{name}><p>two</p>") == ["one"]
 
 
+def test_viterbi_and_marginals_by_enumeration():
+    rng = random.Random(6)
+    names = [f"f{k}" for k in range(7)]
+    pages = [[[n for n in names if rng.random() < 0.4] for _ in range(rng.randrange(1, 7))] for _ in range(12)]
+    field = html.Field(pages, [[rng.randrange(2) for _ in p] for p in pages], steps=15)
+    mask = np.array([[k < len(p) for k in range(6)] for p in pages])
+    unary = np.zeros((12, 6, 2))
+    for i, p in enumerate(pages):
+        for k, b in enumerate(p):
+            unary[i, k] = sum((field.w[field.index[f]] for f in b), np.zeros(2))
+    node, edge = field._marginals(unary, mask, mask[:, 1:])
+    want = np.zeros((2, 2))
+    for i, p in enumerate(pages):
+        paths = list(itertools.product((0, 1), repeat=len(p)))
+        score = np.array([sum(unary[i, k, y] for k, y in enumerate(path)) + sum(field.t[a, b] for a, b in itertools.pairwise(path)) for path in paths])
+        assert field.viterbi(p) == list(paths[int(score.argmax())])
+        chance = np.exp(score - np.logaddexp.reduce(score))
+        for k in range(len(p)):
+            assert np.allclose(node[i, k, 1], sum(c for c, path in zip(chance, paths) if path[k]))
+        for c, path in zip(chance, paths):
+            for a, b in itertools.pairwise(path):
+                want[a, b] += c
+    assert np.allclose(edge, want)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><div id=top><a href=/>Home</a> <a href=/b>News</a></div><table><tr><td><h1>Rain on Monday</h1><p>It rained in the north for six hours, and the river rose.<p>Nobody was hurt.</table><div class=footer>Copyright 2020</div>", "Rain on Monday\nIt rained in the north for six hours, and the river rose.\nNobody was hurt."),
+        ("<article><h1>Terms</h1><dl><dt>Ebb<dd>The tide that falls.<dt>Flow<dd>The tide that rises.</dl><section class=comments><h3>Comments</h3><div class=comment><p>I liked this.</p></div></section></article>", "Terms\nEbb\nThe tide that falls.\nFlow\nThe tide that rises."),
+        ("<main><article><h1>A walk</h1><p>We set out early and met <a href=/m>Mara</a> at the bridge.</p><aside><p>Read more: maps</p></aside><p>By noon we were home again, tired and glad.</p></article></main><footer>All rights reserved</footer>", "A walk\nWe set out early and met Mara at the bridge.\nBy noon we were home again, tired and glad."),
+        ("<nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav><div class='cookie-banner'><p>We use cookies to improve this site.</p><button>Accept</button></div><div class=content><h2>Bread</h2><p>Mix flour with water and let it stand.</p><pre>200 g flour\n120 g water</pre></div>", "Bread\nMix flour with water and let it stand.\n200 g flour 120 g water"),
+    ],
+)
+def test_pages_written_by_hand(field, page, want):
+    assert html.main_text(page, field) == want
+
+
+def test_deep_pages_take_time_in_proportion():
+    def seconds(page):
+        began = time.process_time()
+        found = html.leaves(page)
+        return len(found), time.process_time() - began
+
+    for page in ("<div>x" * 60_000, "<b>x" * 60_000 + "<div>", "<p>x</em>" * 60_000, "<ul><li><div class=ad>x" * 20_000, "<b>" * 30_000 + "<div/>x" * 30_000):
+        n, took = seconds(page)
+        assert n and took < 8
+
+
+def test_ambiguous_and_nearest_codewords_by_definition(spark):
+    docs = spark.createDataFrame([("la le les des une", "fr")] * 9 + [("the and with of is", "en")] * 9 + [("der die und das ist", "de")] * 9, "text string, lang string")
+    model = langid.train(docs)
+    texts = ["la und the", "les des une la", "of is with", "q", "die les of und la the"]
+    counts, _ = langid.ngram_counts(texts, langid.letter_table())
+    x = langid.scaled(counts)
+    best, second, score, close = model.decode(x)
+    for k in range(len(texts)):
+        loss = []
+        for code in model.code:
+            margins = [float(np.clip(x[k] @ model.w[:, j] + model.b[j], -20, 20)) * code[j] for j in range(len(code))]
+            loss.append(sum(t * np.log1p(np.exp(-m)) for t, m in zip(model.trust, margins)))
+        order = sorted(range(len(loss)), key=lambda i: loss[i])
+        assert best[k] == order[0] and np.allclose(loss, model.losses(x[k : k + 1])[0])
+        assert close[k] == (loss[second[k]] - loss[order[0]] < langid.AMBIGUOUS)
+
+
 def test_blocks_hold_whole_rows():
     batch = pa.record_batch([pa.array(["a" * 10, None, "b" * 50, "c"])], names=["t"])
     assert [b.num_rows for b in common.blocks([batch], "t", 20)] == [2, 1, 1]
