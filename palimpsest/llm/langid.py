@@ -125,7 +125,8 @@ class Model:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """A model from a bounded sample of labelled rows: PER_LANGUAGE rows of a language and ALL_ROWS in all, those
-    with the smallest hashes of their text. None without labelled rows with letters."""
+    with the smallest hashes of their text, copies of a text once. Of more than ALL_ROWS // 4 languages the most
+    frequent are learned. None without labelled rows with letters."""
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     n = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(ALL_ROWS // 4).collect()}
     if not n:
@@ -134,7 +135,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | No
     share = F.lit(0.0)
     for k, c in n.items():
         share = F.when(F.col("lang") == k, F.lit(each / c)).otherwise(share)
-    chosen = labelled.where((F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) / (1 << 30)) < share)
+    place = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) / (1 << 30)
+    # Copies of a text are one row, and the same rows are taken in whatever order they come.
+    chosen = labelled.where(place < share).distinct().orderBy(place / share, F.xxhash64("text"), "lang").limit(ALL_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
@@ -150,7 +153,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | No
                 packed = [counts[k].astype(np.uint16).tobytes() if counts[k].max() < 65536 else (counts[k] * 65535 // counts[k].max()).astype(np.uint16).tobytes() for k in keep]
                 yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in keep], pa.string()), pa.array(packed, pa.binary())], names=["lang", "counts"])
 
-    rows = chosen.mapInArrow(run, "lang string, counts binary").limit(4 * ALL_ROWS).toArrow()
+    rows = chosen.mapInArrow(run, "lang string, counts binary").toArrow()
     if not rows.num_rows:
         return None
     languages = sorted(set(rows.column("lang").to_pylist()))

@@ -69,11 +69,10 @@ def row_numbers(df: DataFrame, key: str, ties: list[Column], name: str = "row")
 
     @F.pandas_udf("int")
     def range_of(keys: pd.Series) -> pd.Series:
-        missing = keys.isna()
-        place = np.searchsorted(bounds, keys.fillna(0).astype("int64"), "right") + 1
-        return pd.Series(np.where(missing, 0, place).astype(np.int32))
+        return pd.Series((np.searchsorted(bounds, keys.to_numpy(), "right") + 1).astype(np.int32))
 
-    parted = df.withColumn("__range", range_of(F.col(key)))
+    # Nulls stay out of the batches, which would turn to floats and blur ids beyond 2**53.
+    parted = df.withColumn("__range", F.when(F.col(key).isNull(), 0).otherwise(range_of(F.coalesce(key, F.lit(0)))))
     counts = {r["__range"]: r["count"] for r in parted.groupBy("__range").count().collect()}  # RANGES + 1 at most
     starts, at = [], 0
     for k in range(len(bounds) + 2):

@@ -86,9 +86,15 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     ranged = ranged.withColumn("__order", order)
     # The first row of each range; it follows the last row of the range above (the top range's: of the lowest range).
     tops = ranged.groupBy("__range").agg(F.max_by(F.struct("doc_id", "text", "__order"), "__order").alias("top"))
-    chain = Window.partitionBy(F.lit(0)).orderBy(F.desc("__range"))
-    whole = chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    above = tops.select(F.col("__range").alias("__from"), F.coalesce(F.lag("__range").over(chain), F.last("__range").over(whole)).alias("__above"))
+    # Ranges are chained within runs of RANGE_ROWS of them, and runs among themselves: a row for a million rows.
+    names = tops.select("__range", F.floor(F.col("__range") / RANGE_ROWS).alias("__run"))
+    runs = names.groupBy("__run").agg(F.min("__range").alias("low"))
+    outer = Window.partitionBy(F.lit(0)).orderBy(F.desc("__run"))
+    whole = outer.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    runs = runs.select("__run", F.coalesce(F.lag("low").over(outer), F.last("low").over(whole)).alias("__low"))
+    chain = Window.partitionBy("__run").orderBy(F.desc("__range"))
+    inner = names.withColumn("__lag", F.lag("__range").over(chain)).join(runs, "__run")
+    above = inner.select(F.col("__range").alias("__from"), F.coalesce("__lag", "__low").alias("__above"))
     ghosts = tops.join(above, tops["__range"] == above["__from"]).select("top.doc_id", "top.text", F.col("__above").alias("__range"), "top.__order", F.lit(True).alias("ghost"))
     return ranged.withColumn("ghost", F.lit(False)).unionByName(ghosts)
 
