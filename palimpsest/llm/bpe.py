@@ -32,12 +32,14 @@ from palimpsest.llm import common
 #: Byte-level pre-tokens ("words"), as the public vocabulary's pattern has them.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words of the broadcast table, and the longest ones in it (characters).
-TABLE_WORDS, TABLE_LONGEST = 200_000, 64
+TABLE_WORDS, TABLE_LONGEST = 150_000, 64
 #: Words beyond the table that a task remembers between blocks, and words of a block.
-REMEMBERED_WORDS = 300_000
-BLOCK_WORDS = 400_000
+REMEMBERED_WORDS = 100_000
+BLOCK_WORDS = 200_000
+#: Bytes of a word whose pairs are looked through for each merge; longer words keep them in a heap.
+SHORT = 48
 #: Text that is counted at once.
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 4 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -100,10 +102,14 @@ class Merges:
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
         self.start = {alphabet[c]: vocab[c] for c in alphabet if c in vocab}
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.size = max(vocab.values()) + 1
+        #: For two ids, left * size + right, the merge's rank; the id that a rank makes.
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, m in enumerate(spec["model"]["merges"]):
             left, right = m if isinstance(m, list) else m.split(" ")
-            self.ranks.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            self.ranks.setdefault(vocab[left] * self.size + vocab[right], rank)
+            self.made.append(vocab[left + right])
         self.whole = {bytes(alphabet[c] for c in p): i for p, i in vocab.items() if all(c in alphabet for c in p)} if spec["model"].get("ignore_merges") else {}
 
     def __call__(self, word: str) -> list[int]:
@@ -113,28 +119,45 @@ class Merges:
         if raw in self.whole:
             return [self.whole[raw]]
         ids = [self.start[b] for b in raw if b in self.start]
-        n, ranks = len(ids), self.ranks
+        return self._short(ids) if len(ids) <= SHORT else self._long(ids)
+
+    def _short(self, ids: list[int]) -> list[int]:
+        get, size, never = self.ranks.get, self.size, len(self.made)
+        ranks = [get(a * size + b, never) for a, b in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < never:
+            k = ranks.index(least)
+            ids[k : k + 2] = [self.made[least]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get(ids[k - 1] * size + ids[k], never)
+            if k < len(ranks):
+                ranks[k] = get(ids[k] * size + ids[k + 1], never)
+        return ids
+
+    def _long(self, ids: list[int]) -> list[int]:
+        n, ranks, size = len(ids), self.ranks, self.size
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r[0], k, r[1], ids[k], ids[k + 1]) for k in range(n - 1) if (r := ranks.get((ids[k], ids[k + 1])))]
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := ranks.get(ids[k] * size + ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, made, left, right = heapq.heappop(heap)
+            rank, k, left, right = heapq.heappop(heap)
             nxt = after[k]
             if ids[k] != left or nxt >= n or ids[nxt] != right:
                 continue  # one of the two has been joined meanwhile
+            made = self.made[rank]
             ids[k], ids[nxt] = made, -1
             end = after[k] = after[nxt]
             if end < n:
                 before[end] = k
-                if r := ranks.get((made, ids[end])):
-                    heapq.heappush(heap, (r[0], k, r[1], made, ids[end]))
-            if (prev := before[k]) >= 0 and (r := ranks.get((ids[prev], made))):
-                heapq.heappush(heap, (r[0], prev, r[1], ids[prev], made))
+                if (r := ranks.get(made * size + ids[end])) is not None:
+                    heapq.heappush(heap, (r, k, made, ids[end]))
+            if (prev := before[k]) >= 0 and (r := ranks.get(ids[prev] * size + made)) is not None:
+                heapq.heappush(heap, (r, prev, ids[prev], made))
         return [i for i in ids if i >= 0]
 
 
 def supported(spec: dict) -> None:
-    """Raises unless words are split by the byte-level pattern and nothing else changes texts or ids."""
+    """Raises ValueError unless words are split by the byte-level pattern and nothing else changes texts or ids."""
     split, model = spec.get("pre_tokenizer") or {}, spec["model"]
     plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
     if not plain or spec.get("normalizer") or model.get("type") != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):

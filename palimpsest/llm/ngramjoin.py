@@ -39,7 +39,7 @@ MORE = 8
 #: Points of a leaf, children of a node.
 LEAF, FAN = 32, 8
 #: Points and shingles of a subtree; a larger document is a subtree by itself.
-POINTS, SHINGLES = 4096, 1 << 19
+POINTS, SHINGLES = 4096, 1 << 18
 #: Text that is hashed at once.
 BLOCK = 1 << 20
 
@@ -228,7 +228,10 @@ class Points:
             self.sets += _sets(part.column(0))
         self.n = np.array([len(s) for s in self.sets], np.int64)
         self.label = np.unique(np.array(root, np.int64), return_inverse=True)[1]
-        self.groups = [np.unique((s >> np.uint64(32)).astype(np.uint32), return_counts=True) for s in self.sets]
+        self.groups = []
+        for s in self.sets:
+            g, c = np.unique((s >> np.uint64(32)).astype(np.uint32), return_counts=True)
+            self.groups.append((g, c.astype(np.uint16)))
 
     def join(self, a: int, b: int) -> bool:
         """Whether two points are linked; then their components become one."""
@@ -270,6 +273,8 @@ class RTree:
     def matrix(self, leaf: int) -> np.ndarray:
         """Counts of a leaf's points, a row each, over the groups of its box."""
         if leaf not in self.dense:
+            if len(self.dense) >= FAN:
+                self.dense.clear()
             _, low, high, groups, *_ = self.nodes[leaf]
             out = np.zeros((high - low, len(groups)), np.uint16)
             for row, i in enumerate(self.members[low:high]):
@@ -298,7 +303,7 @@ def tree_links(a: RTree, b: RTree) -> list[tuple[int, int]]:
             at = np.minimum(np.searchsorted(gy, gx), len(gy) - 1)
             both = gy[at] == gx
             at = at[both]
-            if 9 * int(np.minimum(cx[both], cy[at]).sum()) < 4 * (nx + ny):
+            if 9 * int(np.minimum(cx[both], cy[at]).sum(dtype=np.int64)) < 4 * (nx + ny):
                 continue
         if kx is not None and (ky is None or own or len(kx) >= len(ky)):
             stack += [(p, q) for k, p in enumerate(kx) for q in kx[k:]] if own else [(p, y) for p in kx]
@@ -342,6 +347,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+    common.give_back()
 
 
 def linked_in_blocks(rows: DataFrame) -> DataFrame:

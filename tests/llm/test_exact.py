@@ -51,6 +51,26 @@ def test_bpe_of_odd_texts(spark, reference):
     assert bpe.encode(df.limit(0), v).count() == 0
 
 
+def test_merges_both_ways(reference):
+    rng = random.Random(9)
+    merges = bpe.Merges(bpe.default_vocabulary())
+    for _ in range(3000):
+        word = "".join(rng.choice("aaeinrst onll thé中") for _ in range(rng.randrange(1, 60))).replace(" ", "")
+        if word:
+            start = [merges.start[b] for b in word.encode()]
+            assert merges._short(list(start)) == merges._long(list(start))
+    assert merges("tokenization") == reference.encode("tokenization", add_special_tokens=False).ids
+
+
+def test_other_ways_to_split_raise(spark):
+    import json
+
+    spec = json.loads(bpe.default_vocabulary())
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}):
+        with pytest.raises(ValueError):
+            bpe.encode(spark.createDataFrame([("a",)], "text string"), json.dumps(spec | change))
+
+
 # --- Ogg
 
 
