@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import lexicon as L
 
-COMPOUND = "[a-z0-9]+(?:[-_][a-z0-9]+)+"
+#: Words joined by hyphens. They begin where a word does, and words are taken whole, so no place is tried twice.
+COMPOUND = "(?<![a-z0-9])[a-z0-9]++(?:[-_][a-z0-9]++)+"
+WORD = "[a-z0-9]++"
 CJK = "[\\u4e00-\\u9fff]"
 ZH_DATE = "(\\d{4})\\s*年\\s*(\\d{1,2})\\s*月\\s*(\\d{1,2})\\s*日"
 ZH_WORD_DATE = "(\\d{4})年([一二三四五六七八九十零]+)月([一二三四五六七八九十零]+)日"
-ZH_MEASURE = "([一二三四五六七八九十零两]+)(元|块|本|个|台|条|张|件|杯|瓶)"
+ZH_MEASURE = "([一二三四五六七八九十百千万亿零两]+)(元|块|本|个|台|条|张|件|杯|瓶)"
 
 
 def _strings(values) -> Column:
@@ -63,7 +65,7 @@ def _groups(text: Column, pattern: str, n: int) -> Column:
 
 def _latin(low: Column) -> Column:
     whole = F.filter(F.regexp_extract_all(low, F.lit(COMPOUND), F.lit(0)), lambda t: ~t.isin(*L.STOPWORDS))
-    rest = F.regexp_extract_all(F.regexp_replace(low, COMPOUND, " "), F.lit("[a-z0-9]+"), F.lit(0))
+    rest = F.regexp_extract_all(F.regexp_replace(low, COMPOUND, " "), F.lit(WORD), F.lit(0))
     return whole, F.filter(rest, lambda t: (F.length(t) > 1) & ~t.isin(*L.STOPWORDS))
 
 
@@ -114,6 +116,60 @@ def expand_synonyms(terms: Column) -> Column:
     return F.array_distinct(F.concat(terms, F.flatten(more)))
 
 
+def expand_zh_synonyms(terms: Column) -> Column:
+    """The terms and those that stand for them in Chinese, one step far, and their words in the other language."""
+    more = [(w, tuple(x for x in group if x != w)) for group in L.ZH_SYNONYMS for w in group] + [(a, (b,)) for a, b in L.ZH_ENGLISH] + [(b, (a,)) for a, b in L.ZH_ENGLISH]
+    table: dict[str, tuple[str, ...]] = {}
+    for word, others in more:
+        table[word] = tuple(dict.fromkeys(table.get(word, ()) + others))
+    known = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), _strings(v))))
+    return F.array_distinct(F.concat(terms, F.flatten(F.transform(terms, lambda t: F.coalesce(known[t], F.array().cast("array<string>"))))))
+
+
+def place_of(content: Column) -> Column:
+    """Where something happened: the two to six Chinese letters after 在, 去 or 到, null where they name no place."""
+    two = F.regexp_extract(content, "(?:在|去|到)([\\u4e00-\\u9fff]{2}[室馆店站楼场院厅]?)", 1)
+    return F.when((two != "") & ~two.isin(*L.NO_PLACE), two)
+
+
+def rewritten(query: Column, terms: Column, expanded: Column) -> Column:
+    """The query with its further terms behind it, in order."""
+    return F.concat_ws(" ", F.array(query), F.array_sort(F.array_except(expanded, terms)))
+
+
+def question_kind(query: Column) -> Column:
+    """`math`, `transitive` or `compare` for questions that need several premises, else null."""
+    low = F.lower(query)
+    return F.when(low.rlike(L.MATH_QUESTION), "math").when(low.rlike(L.CHAIN_QUESTION), "transitive").when(low.rlike(L.COMPARE_QUESTION), "compare")
+
+
+def has_dimension(content: Column, kind: Column) -> Column:
+    """Whether a memory is a premise of that kind of question: it holds a quantity, or compares."""
+    quantity = content.rlike(L.QUANTITY)
+    compares = contains_any(content, ("比", "最", *L.DIMENSIONS))
+    return F.when(kind == "math", quantity).when(kind.isNotNull(), quantity | compares).otherwise(False)
+
+
+def pack_size(query: Column) -> Column:
+    """How many memories a question needs at once, 6 to 14."""
+    has = query.contains
+    several = F.length(query) - F.length(F.replace(query, F.lit("比"), F.lit(""))) >= 2
+    return F.greatest(
+        F.lit(6),
+        F.when(several | has("三个人") | has("几个人") | has("三位"), 10).otherwise(6),
+        F.when(has("四个人") | has("四位"), 12).otherwise(6),
+        F.when(has("五个人"), 14).otherwise(6),
+        F.when(has("、") | has("分别") | (has("和") & has("都")) | has("差多少") | has("单价"), 8).otherwise(6),
+    )
+
+
+def cue_in(cue: Column, query: Column) -> Column:
+    """Whether a query names a cue: Chinese ones anywhere, words as whole words, others anywhere."""
+    word = cue.rlike("^\\w+$") & ~has_cjk(cue)
+    whole = F.regexp_like(F.lower(query), F.concat(F.lit("\\b"), F.lower(cue), F.lit("\\b")))
+    return F.when(word, whole).otherwise(F.contains(F.lower(query), F.lower(cue)))
+
+
 def inflections(token: Column) -> Column:
     """Plain forms that an English token of four letters or more may come from."""
     cut = lambda k: F.substring(token, F.lit(1), F.length(token) - k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
+from palimpsest.sources.shared import shared_dir, written
 
 
 def item_terms(mem: DataFrame) -> DataFrame:
@@ -13,8 +14,31 @@ def item_terms(mem: DataFrame) -> DataFrame:
     return mem.select("id", F.array_distinct(F.concat(text.tokenize(F.col("content")), F.flatten(F.transform("cues", lambda c: text.tokenize(c))))).alias("terms"))
 
 
+def stored_terms(mem: DataFrame) -> DataFrame:
+    """item_terms, computed once and kept for all that reads them."""
+    return written(item_terms(mem), "terms")
+
+
 def term_index(mem: DataFrame) -> DataFrame:
-    return item_terms(mem).select(F.explode("terms").alias("term"), "id")
+    return exploded(item_terms(mem))
+
+
+def exploded(items: DataFrame) -> DataFrame:
+    # A plain explode would have Spark test whether there are terms, and compute them twice for it.
+    return items.select(F.explode_outer("terms").alias("term"), "id").where("term is not null")
+
+
+def inverted(mem: DataFrame, part_rows: int = 10_000) -> DataFrame:
+    """term, part, ids: the memories of each term, a frequent term's in several parts of about `part_rows`."""
+    terms = term_index(mem)
+    parts = terms.groupBy("term").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
+    dealt = terms.join(parts, "term").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    return dealt.groupBy("term", "part").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+
+
+def without_terms(terms: DataFrame, ids: DataFrame) -> DataFrame:
+    """A term index without the rows of some memories (id)."""
+    return terms.join(ids.select("id").distinct(), "id", "left_anti")
 
 
 def cue_index(mem: DataFrame) -> DataFrame:
@@ -61,13 +85,28 @@ def merge_rows(rows: DataFrame, keys: tuple[str, ...] = ("kind", "content_hash")
 
 def assign_seq(new: DataFrame, top: int, position: str = "input_pos") -> DataFrame:
     """Insert numbers after `top`, by the rows' own position."""
-    return new.withColumn("seq", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(position)) + F.lit(top))
+    return numbered(new, [position], "seq").withColumn("seq", F.col("seq") + F.lit(top + 1))
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds the number of each row from 0 in an order. Ranges of the order are numbered side by side; only their sizes
+    are gathered."""
+    shared_dir(df.sparkSession)  # for checkpoint()
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    sizes = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
+    starts, at = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        starts.append(at)
+        at += sizes.get(k, 0)
+    start = F.get(F.array(*map(F.lit, starts)) if starts else F.array(F.lit(0)), F.col("__part"))
+    return ranged.withColumn(name, (F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1 + start).cast("long")).drop("__part")
 
 
 def stats(mem: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """One row; with links also their number."""
     on = F.col("status") == "active"
     cues = mem.select(F.explode("cues").alias("cue")).agg(F.count_distinct("cue").alias("cues"))
-    return mem.agg(
+    one = mem.agg(
         F.count("*").alias("total"),
         F.count_if(on).alias("active"),
         F.count_if(on & (F.col("kind") == "episodic")).alias("episodic"),
@@ -75,6 +114,7 @@ def stats(mem: DataFrame, links: DataFrame | None = None) -> DataFrame:
         F.round(F.avg(F.when(on, F.col("importance"))), 6).alias("avg_importance"),
         F.round(F.avg(F.when(on, F.col("strength"))), 6).alias("avg_strength"),
     ).crossJoin(F.broadcast(cues))  # both sides are one row
+    return one if links is None else one.crossJoin(F.broadcast(links.agg(F.count("*").alias("links"))))
 
 
 def scan(mem: DataFrame, kind: str | None = None, status: str = "active", limit: int | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from palimpsest.operators import consolidate, graph, index, planning, practice,
 from palimpsest.plans import general
 from palimpsest.plans.oracle import ASKED, AROUSED, DUE_AT, IDLE, INTERVAL, MEM, RATE, TRIES, TS, hours, tokens
 from palimpsest.sources import memories as source
+from palimpsest.sources import shared
 from palimpsest.streaming import access
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,8 +34,12 @@ class Tables:
     def asked(self) -> DataFrame:
         return source.table(self.spark, self.dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
+    @cached_property
+    def items(self) -> DataFrame:
+        return index.stored_terms(self.act)
+
     def found(self, k: int = 10) -> DataFrame:
-        return recall.recall(self.asked(), self.act, self.now, k)
+        return recall.recall(self.asked(), self.act, self.now, k, self.items)
 
     def intents(self) -> DataFrame:
         orders = source.table(self.spark, self.dir, "orders")
@@ -129,14 +135,14 @@ query("test_generator", "SELECT id, CASE WHEN k % 2 = 1 THEN 'cue' ELSE 'cloze'
 
 # --- recall
 
-query("candidates_idf", ASKED + "SELECT query_id, id, hits, round(idf_hits, 6) AS idf_hits, k AS rank FROM best WHERE k <= 100", MEM + ", ")(lambda t: recall.candidates(t.asked(), t.act).select("query_id", "id", "hits", F.round("idf_hits", 6).alias("idf_hits"), "rank"))
+query("candidates_idf", ASKED + "SELECT query_id, id, hits, round(idf_hits, 6) AS idf_hits, k AS rank FROM best WHERE k <= 100", MEM + ", ")(lambda t: recall.candidates(t.asked(), t.act, t.items).select("query_id", "id", "hits", F.round("idf_hits", 6).alias("idf_hits"), "rank"))
 query("recall_keyword", ASKED + "SELECT * FROM found WHERE rank <= 5", MEM + ", ")(lambda t: t.found(5))
 query("recall_batch", ASKED + "SELECT query_id, count(*) AS n, round(max(score), 6) AS best, count(*) FILTER (confident) AS confident FROM found GROUP BY query_id", MEM + ", ")(lambda t: t.found().groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.count_if("confident").alias("confident")))
 query("recall_fallback", "SELECT id, seq, score FROM (SELECT id, seq, round(0.25 * least(1.0, r) + 0.40 * importance + 0.06 * trust + 0.05 * confidence + CASE WHEN affect IN " + AROUSED + " THEN 0.05 ELSE 0 END + CASE WHEN evidence_count >= 3 THEN 0.03 ELSE 0 END + CASE WHEN evidence_count > 1 THEN least(0.08, 0.02 * (evidence_count - 1)) ELSE 0 END, 6) AS score FROM act WHERE id IN (SELECT id FROM act ORDER BY seq DESC LIMIT 150) OR id IN (SELECT id FROM act ORDER BY importance DESC, seq DESC LIMIT 50)) ORDER BY score DESC, seq DESC LIMIT 5")(lambda t: recall.fallback(t.act, t.now))
 query("rrf_fusion", ASKED + """SELECT query_id, id, round(sum(part), 9) AS fused FROM (
   SELECT query_id, id, 1.0 / (60 + rank) AS part FROM found UNION ALL
   SELECT query_id, id, 1.6 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY idf_hits_r DESC, id)) FROM (SELECT query_id, id, round(idf_hits, 9) AS idf_hits_r FROM best WHERE k <= 24)) GROUP BY ALL""", MEM + ", ")(
-    lambda t: recall.fused({"score": (t.found(), 1.0), "idf": (recall.candidates(t.asked(), t.act), 1.6)})
+    lambda t: recall.fused({"score": (t.found(), 1.0), "idf": (recall.candidates(t.asked(), t.act, t.items), 1.6)})
 )
 query("confident_flag", ASKED + "SELECT query_id, confident FROM found WHERE rank = 1", MEM + ", ")(lambda t: t.found(1).select("query_id", "confident"))
 query("conflict_flag", ASKED + "SELECT DISTINCT query_id, f.id FROM found f JOIN act a ON f.id = a.id JOIN cues c ON c.cue = a.cues[1] JOIN act b ON b.id = c.id WHERE rank = 1 AND b.evidence_count >= 3 * greatest(1, a.evidence_count) AND b.trust >= a.trust", MEM + ", ")(lambda t: recall.conflict_flags(t.found(1), t.act))
@@ -201,11 +207,14 @@ _STORY = ", story AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY per
 query("life_story", _STORY + "SELECT period, strftime(DATE '2023-01-01' + period * 14, '%Y-%m-%d') AS start, topic, n, rank::INT AS rank FROM story WHERE rank <= 5")(lambda t: reports.life_story(t.act))
 query("topic_drift", _STORY + ", top AS (SELECT * FROM story WHERE rank <= 5), nw AS (SELECT topic, n FROM top WHERE period = (SELECT max(period) FROM top)), od AS (SELECT topic, n FROM top WHERE period = (SELECT max(period) FROM top) - 1) SELECT topic, coalesce(od.n, 0) AS before, coalesce(nw.n, 0) AS now, CASE WHEN od.n IS NULL THEN 'new' WHEN nw.n IS NULL THEN 'gone' WHEN nw.n > od.n THEN 'grew' WHEN nw.n < od.n THEN 'shrank' ELSE 'same' END AS change FROM nw FULL JOIN od USING (topic)")(lambda t: reports.drift(t.act))
 query("timeline", "SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, min_by(id, seq) AS first_id FROM act WHERE kind = 'episodic' GROUP BY 1")(lambda t: reports.timeline(t.act))
-query("similarity_pairs", """, ws AS MATERIALIZED (SELECT id, list_distinct(w) AS w FROM act), wt AS MATERIALIZED (SELECT id, unnest(w) AS t FROM ws), br AS MATERIALIZED (SELECT id, t FROM wt WHERE t IN (SELECT t FROM wt GROUP BY t HAVING count(*) BETWEEN 2 AND 20)),
-pp AS MATERIALIZED (SELECT DISTINCT a.id AS a, b.id AS b FROM br a JOIN br b ON a.t = b.t AND a.id < b.id)
-SELECT a, b, similarity FROM (SELECT a, b, round(len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)), 6) AS similarity FROM pp JOIN ws x ON x.id = a JOIN ws y ON y.id = b) WHERE similarity >= 0.6""")(lambda t: reports.similar_pairs(t.act))
-query("interference", """, ws AS MATERIALIZED (SELECT id, list_distinct(w) AS w FROM act), cs AS MATERIALIZED (SELECT cue, count(*) AS n FROM cues GROUP BY cue HAVING count(*) BETWEEN 3 AND 60)
-SELECT a.cue, n AS members, round(avg(len(list_intersect(x.w, y.w)) / greatest(1, least(len(x.w), len(y.w)))), 6) AS interference FROM cs JOIN cues a USING (cue) JOIN cues b ON b.cue = a.cue AND a.id < b.id JOIN ws x ON x.id = a.id JOIN ws y ON y.id = b.id GROUP BY ALL""")(lambda t: reports.interference(t.act))
+query("similarity_pairs", """, ws AS MATERIALIZED (SELECT id, list_distinct(w) AS w FROM act), wt AS MATERIALIZED (SELECT id, unnest(w) AS t FROM ws),
+pp AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM wt a JOIN wt b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)
+SELECT a, b, similarity FROM (SELECT a, b, round(common / least(len(x.w), len(y.w)), 6) AS similarity FROM pp JOIN ws x ON x.id = a JOIN ws y ON y.id = b) WHERE similarity >= 0.6""")(lambda t: _checkpointed(t, lambda _: reports.similar_pairs(t.act)))
+query("interference", """, ws AS MATERIALIZED (SELECT id, list_distinct(w) AS w FROM act), wt AS MATERIALIZED (SELECT id, unnest(w) AS t FROM ws),
+pp AS MATERIALIZED (SELECT a.id AS a, b.id AS b, count(*) AS common FROM wt a JOIN wt b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2),
+cs AS MATERIALIZED (SELECT cue, count(*) AS n FROM cues GROUP BY cue HAVING count(*) >= 3)
+SELECT a.cue, any_value(n) AS members, round(avg(coalesce(common, 0) / greatest(1, least(len(x.w), len(y.w)))), 6) AS interference FROM cs JOIN cues a USING (cue) JOIN cues b ON b.cue = a.cue AND a.id < b.id
+ JOIN ws x ON x.id = a.id JOIN ws y ON y.id = b.id LEFT JOIN pp ON pp.a = a.id AND pp.b = b.id GROUP BY a.cue""")(lambda t: _checkpointed(t, lambda _: reports.interference(t.act)))
 query("difficulty", "SELECT topic, CASE WHEN r >= 0.75 THEN 'easy' WHEN r >= 0.35 THEN 'useful' WHEN r >= 0.12 THEN 'hard' ELSE 'lost' END AS level, count(*) AS n FROM act GROUP BY ALL")(lambda t: reports.difficulty(t.act, t.now))
 query("emotion_profile", "SELECT *, CASE WHEN negative_ratio >= 0.4 THEN 'heavy' WHEN negative_ratio >= 0.2 THEN 'mixed' ELSE 'light' END AS state FROM (SELECT topic, count(*) AS n, count(*) FILTER (affect = 'negative') AS negative, round(count(*) FILTER (affect = 'negative') / count(*), 6) AS negative_ratio FROM act WHERE affect IS NOT NULL GROUP BY topic)")(lambda t: reports.emotions(t.act))
 query("rumination", "SELECT topic, count(*) AS n, max(access_count) AS most FROM act WHERE affect IN ('negative', 'arousing') AND access_count >= 5 GROUP BY topic")(lambda t: reports.rumination(t.act))
@@ -239,11 +248,8 @@ query("ngram_embed")(lambda t: vector.embeddings(t.act.select("id", "content")).
 
 
 def _checkpointed(t: Tables, f) -> DataFrame:
-    """Operators that cut lineage by checkpoint() need its folder; a session without one gets a local one (tests)."""
-    if not t.spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        t.spark.sparkContext.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    """Operators that cut lineage by checkpoint() need its folder set."""
+    shared.shared_dir(t.spark)
     return f(t.links())
 
 

@@ -56,7 +56,7 @@ mem AS MATERIALIZED (
 act AS MATERIALIZED (SELECT *, strength * storage_strength * exp(-{RATE} * {IDLE}) AS r, cues[1] AS topic FROM mem WHERE status = 'active'),
 terms AS MATERIALIZED (SELECT id, unnest(list_distinct(list_concat(w, flatten(list_transform(cues, lambda c: {tokens('c')}))))) AS term FROM act),
 cues AS MATERIALIZED (SELECT id, seq, unnest(cues) AS cue, generate_subscripts(cues, 1) - 1 AS pos FROM act),
-rare AS (SELECT cue FROM cues GROUP BY cue HAVING count(*) <= 200),
+rare AS (SELECT cue FROM cues GROUP BY cue HAVING count(*) <= greatest(200, (SELECT count(*) FROM act) // 100)),
 near AS MATERIALIZED (SELECT a.id AS a, b.id AS b, b.seq AS b_seq FROM cues a JOIN cues b ON a.cue = b.cue AND a.id <> b.id WHERE a.cue IN (SELECT cue FROM rare) GROUP BY ALL),
 links AS MATERIALIZED (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst, 1.0::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b_seq DESC) AS k FROM near) WHERE k <= 64),
 both_ways AS MATERIALIZED (SELECT src, dst, weight FROM links UNION ALL SELECT dst, src, weight FROM links)

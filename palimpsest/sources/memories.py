@@ -15,6 +15,9 @@ from palimpsest.functions.lexicon import ORIGINS
 #: The instant that reports are made for, where none is given.
 NOW = "2024-02-01 00:00:00"
 
+#: Tables of so many rows at most are dealt out evenly: their file may be one row group, which one task would read.
+SMALL = 100_000
+
 _TYPES = {
     T.StringType(): "id kind content content_hash origin ref status context affect",
     T.LongType(): "seq access_count retrieval_successes retrieval_failures evidence_count revision_count",
@@ -48,6 +51,8 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     d = F.col("doc_id")
+    if n <= SMALL:
+        docs = docs.repartition(spark.sparkContext.defaultParallelism)
     rows = docs.join(labels, "doc_id", "left").join(usage, "doc_id", "left")
     tokens = text.tokenize(F.col("text"))
     zero = F.lit(0).cast("long")

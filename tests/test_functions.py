@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from palimpsest.functions import curve, text
+from palimpsest.functions import curve, numeric, text, when
 from palimpsest.operators import planning, vector
 from palimpsest.sources import memories
 
@@ -24,7 +24,7 @@ def test_chinese_tokens(spark):
     tokens = lambda s: one(spark, s, lambda c: text.tokenize(c, cjk=True))
     assert tokens("2026年3月1日买书") == ["2026-03-01", "买", "书", "买书"]
     assert "2026-05-02" in tokens("2026年五月二日")
-    assert "3本" in tokens("三本") and "300元" not in tokens("花了三百元")  # numerals beyond tens are no measures
+    assert "3本" in tokens("三本") and "300元" in tokens("花了三百元") and "12000元" in tokens("一万二千元")
     assert one(spark, "一亿五千万", text.zh_number) == 150_000_000
     assert one(spark, "两千五百", text.zh_number) == 2500
 
@@ -79,3 +79,45 @@ def test_hashed_search_finds_most_neighbours(spark):
     exact = {(r["query"], r["id"]) for r in vector.top_k(rows, ids).collect()}
     found = {(r["query"], r["id"]) for r in vector.lsh_top_k(rows, ids, 64).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_places_and_synonyms(spark):
+    assert one(spark, "昨天在会议室里开会", text.place_of) == "会议室"
+    assert one(spark, "去公司开会", text.place_of) == "公司开会"[:2] and one(spark, "在现在", text.place_of) is None
+    assert one(spark, "nowhere", text.place_of) is None
+    terms = spark.createDataFrame([(["旅游", "手机", "oil"],)], "x array<string>")
+    got = terms.select(text.expand_zh_synonyms(F.col("x"))).first()[0]
+    assert set(got) == {"旅游", "旅行", "手机", "电话", "phone", "oil", "机油"}
+
+
+def test_questions(spark):
+    kinds = {"一共花了多少钱": "math", "谁最高": "transitive", "小明比小红高吗": "compare", "what is it": None}
+    for q, want in kinds.items():
+        assert one(spark, q, text.question_kind) == want
+    assert one(spark, "买了三本书", lambda c: text.has_dimension(c, F.lit("math"))) is True
+    assert one(spark, "天气", lambda c: text.has_dimension(c, F.lit("math"))) is False
+    assert one(spark, "小明比小红高，小红比小丽高，谁最高", text.pack_size) == 10 and one(spark, "x", text.pack_size) == 6
+    cue = lambda q, c: spark.createDataFrame([(q, c)], "q string, c string").select(text.cue_in(F.col("c"), F.col("q"))).first()[0]
+    assert cue("The Cat sat", "cat") and not cue("concatenate", "cat") and cue("去图书馆", "图书")
+
+
+def test_times(spark):
+    got = spark.createDataFrame([("What changed after 2024-01-05?",), ("the first trip in May 2023",), ("may I go before 2024/2/3",)], "q string")
+    rows = got.select(*(c.cast("string").alias(n) for n, c in when.asked_time(F.col("q")).items())).collect()
+    assert tuple(rows[0])[:3] == ("newest", "2024-01-05", None) and rows[0]["year"] == "2024"
+    assert rows[1]["direction"] == "oldest" and rows[1]["month"] == "5" and rows[1]["year"] == "2023"
+    assert rows[2]["direction"] == "oldest" and rows[2]["before"] == "2024-02-03"
+    assert one(spark, "Who came before and after?", when.order_asked) == "before" and one(spark, "two events after", when.hops_asked) == 2
+    assert str(one(spark, "2024年1月5日和3月7日", when.latest_date)) == "2024-03-07"
+    assert str(one(spark, "二零 2024年五月二日", when.latest_date)) == "2024-05-02" and one(spark, "x", when.latest_date) is None
+
+
+def test_numbers(spark):
+    check = lambda p, s=None: spark.createDataFrame([(p, s)], "p string, s double").select(*(c.alias(n) for n, c in numeric.numeric_check(F.col("p"), F.col("s")).items())).first()
+    assert check("走了3米和2公里")["mixed_units"] and check("8除以0")["zero_division"] and check("8除以05")["verdict"] == "consistent"
+    assert check("2小时行驶120公里", 60.0)["speed_agrees"] and check("2小时行驶200公里", 60.0)["verdict"] == "review_needed"
+    assert [q["unit"] for q in check("3元 2.5 小时")["quantities"]] == ["元", "小时"]
+    ladder = spark.createDataFrame([("3加4",)], "p string").select(*(c.alias(n) for n, c in numeric.math_ladder(F.col("p")).items())).first()
+    assert ladder["templates"] == ["a + b = c"] and ladder["verdict"] == "ready"
+    fall = spark.createDataFrame([("从20米落下",)], "p string").select(*(c.alias(n) for n, c in numeric.simulated(F.col("p")).items())).first()
+    assert fall["outcome"] == 2.02
