@@ -67,7 +67,7 @@ def hops_asked(query: Column) -> Column:
 
 def anchor_dates(terms: Column) -> Column:
     """The dates among a query's terms, in their order."""
-    return F.filter(F.transform(F.filter(terms, lambda t: t.rlike(r"^\d{4}-\d{2}-\d{2}$")), F.try_to_date), lambda d: d.isNotNull())
+    return F.filter(F.transform(F.filter(terms, lambda t: t.rlike(r"^\d{4}-\d{2}-\d{2}$")), lambda t: F.try_to_date(t)), lambda d: d.isNotNull())
 
 
 def event_date(content: Column, cues: Column) -> Column:

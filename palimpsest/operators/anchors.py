@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import text
+from palimpsest.functions import text, when
 
+# Questions about the last and about the next time.
+PAST = "上次|上一次|最近|最新|刚才|最后一次|前一次|现在|目前|当前|第一次|首次|头一回|结果|成绩|考了多少分|评分结果|考核结果|什么时候[^？?]{0,6}(?:的|了)"
+FUTURE = "下次|下一次|接下来|什么时候(?:续费|到期|上门|开工|交房|开始|结束|还款|复诊|面试|入职|复查)"
 #: Term lists of more memories than this are too general to look for records in.
 COMMON = 5000
 
@@ -31,8 +34,8 @@ ANCHORS = (
     Anchor("contact", "电话|号码|联系方式", "(?:\\d{3,4}-){1,2}\\d{3,4}|\\d{3,4}-\\d{7,8}|400-\\d{3}-\\d{4}"),
     Anchor("hours", "几点|营业时间|开门|关门", "营业|开门|关门|点到"),
     Anchor("problem", "什么问题|什么病|什么毛病|怎么了|什么情况|怎么解决|怎么处理|怎么办|怎么救|怎么治", "有虫|坏了|故障|失灵|破损|变形|闪烁|告警|鼓包|不制冷|磨脚|偏大|漏|丢失|褪色|松动|异响|碎了|压坏|空鼓|结膜炎|发炎|感染|过敏|瘦了|信号差|信号问题|化水|烂根|黄叶|枯萎|生虫|抢救|控水"),
-    Anchor("purchase", "买了什么|买了哪些|买过什么|放了哪些|放了什么|存放了哪些|存了什么|装了哪些|存了哪些", "买|购买|购入|入手|添置|存放|放入|存了|装了|收纳|放进|搁置", most=2),
-    Anchor("scope", "收哪些|收什么|有哪些|包含哪些|包括哪些|有哪几类|分几类|哪些种类|哪些项目|哪些内容|哪些服务|提供哪些|卖哪些", "范围|包括|包含|均可|不收|种类|分类|清单|项目|内容|车型|型号|类型|科室|部门|设施"),
+    Anchor("purchase", "买了什么|买了哪些|买过什么|买了什么设备|买了什么装备|放了哪些|放了什么|存放了哪些|存放了些什么|存了什么|装了哪些|收纳了哪些|放了什么物品|存了哪些", "买|购买|购入|入手|添置|存放|放入|存了|装了|收纳|放进|搁置", most=2),
+    Anchor("scope", "收哪些|收什么|可以收什么|有哪些|包含哪些|包括哪些|有哪几类|分几类|什么书|哪些种类|哪些项目|哪些内容|哪些服务|哪些业务|提供哪些|卖哪些", "范围|包括|包含|均可|不收|种类|分类|清单|项目|内容|车型|型号|类型|科室|部门|设施"),
 )
 
 
@@ -58,18 +61,29 @@ def anchored(queries: DataFrame, found: DataFrame, mem: DataFrame, anchors: tupl
     return out
 
 
-def date_boost(queries: DataFrame, mem: DataFrame) -> DataFrame:
-    """query_id, id: memories whose `date:` cue has the date, year or month that the query names."""
-    low = F.lower("query")
-    months = ["january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december"]
-    number = [1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 12]
-    month = F.coalesce(*(F.when(low.rlike(f"\\b{m}\\b"), n) for m, n in zip(months, number)), F.when(F.col("query").contains(" May") | low.rlike("\\bmay\\s+(?:\\d{1,2}(?:st|nd|rd|th)?|\\d{4})"), 5))
-    date = F.try_to_date(F.nullif(F.regexp_extract(low, "(\\d{4}-\\d{2}-\\d{2})", 1), F.lit("")))
-    hints = queries.select("query_id", date.alias("d"), F.nullif(F.regexp_extract(low, "\\b((?:19|20)\\d{2})\\b", 1), F.lit("")).cast("int").alias("y"), month.alias("m"))
-    cue = F.get(F.filter("cues", lambda c: c.startswith("date:")), 0)
-    dated = mem.select("id", F.try_to_date(F.regexp_extract(cue, "date:(\\d{4}-\\d{1,2}-\\d{1,2})", 1), "yyyy-M-d").alias("day")).where("day is not null")
-    # Equality on each kind of hint, so that each is a hash join.
-    by_day = hints.where("d is not null").join(dated, F.col("d") == F.col("day"))
-    by_year = hints.where("d is null and y is not null").join(dated, F.col("y") == F.year("day"))
-    by_month = hints.where("d is null and m is not null").join(dated, F.col("m") == F.month("day"))
-    return by_day.select("query_id", "id").unionByName(by_year.select("query_id", "id")).unionByName(by_month.select("query_id", "id")).distinct()
+def dated(queries: DataFrame, mem: DataFrame) -> DataFrame:
+    """query_id, id: memories whose `date:` cue has the day, year or month that the query names, or lies on the side of a
+    date that it names."""
+    asked = queries.select("query_id", *(c.alias(f"q_{n}") for n, c in when.asked_time(F.col("query")).items()))
+    days = mem.select("id", when.cue_date(F.col("cues")).alias("day")).where("day is not null")
+    exact = F.col("q_day").isNotNull() | F.col("q_after").isNotNull() | F.col("q_before").isNotNull()
+    inside = (F.col("q_after").isNull() | (F.col("day") >= F.col("q_after"))) & (F.col("q_before").isNull() | (F.col("day") <= F.col("q_before")))
+    # Years and months by hash joins; sides of a date by a range that Spark joins with the short list of queries.
+    ranged = days.join(F.broadcast(asked.where(exact)), inside).select("query_id", "id") if queries.count() <= 4096 else asked.where(exact).join(days, inside).select("query_id", "id")
+    loose = asked.where(~exact)
+    by_year = loose.where("q_year is not null").join(days, F.col("q_year") == F.year("day")).select("query_id", "id")
+    by_month = loose.where("q_month is not null").join(days, F.col("q_month") == F.month("day")).select("query_id", "id")
+    return ranged.unionByName(by_year).unionByName(by_month).distinct()
+
+
+def latest_of(queries: DataFrame, mem: DataFrame, items: DataFrame, today: Column, most: int = 1) -> DataFrame:
+    """query_id, id, day: for questions about the last or the next time, the records that share most words with the query,
+    of the latest date up to today, or the earliest after it."""
+    past = F.col("query").rlike(PAST)
+    future = F.col("query").rlike(FUTURE)
+    asked = queries.select("query_id", F.when(future, "next").when(past, "last").alias("side"), F.explode(F.array_distinct(text.tokenize(F.col("query"), cjk=True))).alias("term")).where("side is not null")
+    hits = items.select("id", F.explode("terms").alias("term")).join(asked, "term").groupBy("query_id", "side", "id").agg(F.count("*").alias("hits")).where("hits >= 2")
+    rows = hits.join(mem.select("id", "seq", when.latest_date(F.col("content")).alias("day")), "id").where("day is not null")
+    rows = rows.where(((F.col("side") == "last") & (F.col("day") <= today)) | ((F.col("side") == "next") & (F.col("day") > today)))
+    k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), F.when(F.col("side") == "next", F.datediff("day", F.lit("2000-01-01"))).otherwise(-F.datediff("day", F.lit("2000-01-01"))), F.desc("seq")))
+    return rows.withColumn("k", k).where(F.col("k") <= most).select("query_id", "id", F.col("day").cast("string").alias("day"), "hits")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,3 +154,50 @@ def sleep(mem: DataFrame, links: DataFrame, now: Column) -> tuple[DataFrame, Dat
 def upsert_facts(mem: DataFrame, new: DataFrame) -> DataFrame:
     """Facts of new merged into those of mem by text."""
     return index.merge_rows(mem.where("kind = 'semantic'").unionByName(new))
+
+
+def rem_resolved(mem: DataFrame, pairs: DataFrame, loss: float = 0.1, floor: float = 0.4) -> DataFrame:
+    """id, confidence of the facts in conflicts (id_a, id_b) where both are sure beyond a half: each conflict costs a tenth,
+    down to 0.4. A partner counts by what it was before the night."""
+    sure = mem.where("confidence > 0.5").select("id")
+    both = pairs.join(sure.withColumnRenamed("id", "id_a"), "id_a", "left_semi").join(sure.withColumnRenamed("id", "id_b"), "id_b", "left_semi")
+    n = both.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return mem.join(n, "id").select("id", F.round(F.greatest(F.lit(floor), F.col("confidence") - loss * F.col("n")), 6).alias("confidence"))
+
+
+def reflections(mem: DataFrame, links: DataFrame, most: int = 20, least: int = 2) -> DataFrame:
+    """id, n, contents: facts of two pieces of evidence or more with the texts, in order of time, of the episodes linked to
+    them (two at least, the first `most` by seq): what a summary of them is made from."""
+    facts = mem.where("kind = 'semantic' and evidence_count >= 2").select(F.col("id").alias("fact"))
+    episodes = mem.where("kind = 'episodic'").select("id", "seq", "created_at", "content")
+    near = facts.join(graph.symmetric(links), F.col("fact") == F.col("src")).join(episodes, F.col("dst") == episodes["id"])
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("fact").orderBy("seq"))).where(F.col("k") <= most)
+    rows = near.groupBy("fact").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("created_at", "seq", "content"))).alias("c")).where(F.col("n") >= least)
+    return rows.select(F.col("fact").alias("id"), "n", F.transform("c", lambda x: x["content"]).alias("contents"))
+
+
+def reflected(mem: DataFrame, links: DataFrame, summarize: Callable[[list[str]], str]) -> DataFrame:
+    """id, content: facts rewritten by a user's summary of their episodes; those for which it raises stay."""
+
+    @F.pandas_udf("string")
+    def run(lists: pd.Series) -> pd.Series:
+        def one(texts):
+            try:
+                return summarize(list(texts))
+            except Exception:  # the user's own function
+                return None
+
+        return lists.map(one)
+
+    return reflections(mem, links).select("id", run("contents").alias("content")).where("content is not null")
+
+
+def resolved(mem: DataFrame) -> DataFrame:
+    """One row: facts outweighed, conflicts eased, and conflicts left without those facts."""
+    losers = accommodated(mem)
+    rest = mem.join(losers, "id", "left_anti")
+    pairs = conflicts(rest)
+    one = losers.agg(F.count("*").alias("accommodated"))
+    for df, name in ((rem_resolved(rest, pairs), "eased"), (pairs, "left")):
+        one = one.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))  # rows of one each
+    return one

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import when
+
 
 def _shared(a: DataFrame, left: str, right: str) -> DataFrame:
     return a.select(F.col("cue"), F.col("id").alias(left), F.col("seq").alias(f"{left}_seq"))
@@ -56,13 +58,56 @@ def degrees(links: DataFrame) -> DataFrame:
     return symmetric(links).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-def bridges(mem: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:
-    """Unlinked pairs that share a cue."""
+def bridges(mem: DataFrame, links: DataFrame, limit: int = 20) -> DataFrame:
+    """Unlinked pairs that share a cue among the newest 3 * limit memories (2 at least, 200 at most), `limit` of them, the
+    newest first."""
+    newest = mem.orderBy(F.desc("seq")).limit(min(max(2, 3 * limit), 200))
+    rows = newest.select(F.explode("cues").alias("cue"), "id", "seq")
+    pairs = _shared(rows, "a", "b").join(_shared(rows, "b", "a"), "cue").where("a_seq > b_seq").select("a", "b", "a_seq", "b_seq", "cue")
+    pairs = pairs.groupBy("a", "b", "a_seq", "b_seq").agg(F.count("*").alias("shared"), F.min("cue").alias("cue"))
+    pairs = pairs.withColumns({"src": F.least("a", "b"), "dst": F.greatest("a", "b")}).join(links.select("src", "dst"), ["src", "dst"], "left_anti")
+    return pairs.orderBy(F.desc("a_seq"), F.desc("b_seq")).limit(limit).select("src", "dst", "cue", "shared")
+
+
+def unlinked_pairs(mem: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:
+    """All unlinked pairs that share a cue that links are made by."""
     rows = linked_cues(mem, most)
     pairs = _shared(rows, "a", "b").join(_shared(rows, "b", "a"), "cue").where("a < b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("cue").alias("cue"))
     return pairs.join(links, ["src", "dst"], "left_anti")
 
 
+def related(links: DataFrame, mem: DataFrame, start: str, depth: int = 1, limit: int = 50) -> DataFrame:
+    """id of the memories first reached at exactly `depth` hops, in order of seq and content."""
+    edge = ring(links, [start], depth).where(F.col("hop") == depth)
+    return mem.join(edge.select("id"), "id", "left_semi").orderBy("seq", "content").limit(limit).select("id")
+
+
+def hop_report(links: DataFrame, start: list[str], depth: int) -> DataFrame:
+    """hop, n, ids of the memories first reached at each hop."""
+    return ring(links, start, depth).where("hop > 0").groupBy("hop").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+
+
+def association_report(mem: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: memories, linked and isolated ones, links, and links at each memory on average."""
+    ends = symmetric(links).join(mem.select(F.col("id").alias("src")), "src", "left_semi")
+    one = ends.agg(F.count_distinct("src").alias("connected"), F.count("*").alias("ends"))
+    rows = mem.agg(F.count("*").alias("memories")).crossJoin(F.broadcast(one))  # both are one row
+    return rows.select("memories", "connected", (F.col("memories") - F.col("connected")).alias("isolated"), (F.col("ends") / 2).cast("long").alias("pairs"), F.round(F.col("ends") / F.greatest(F.lit(1), F.col("memories")), 6).alias("average"))
+
+
+def community_report(mem: DataFrame, links: DataFrame, cues: int = 3, listed: int = 4) -> DataFrame:
+    """community, size, members (the first few by seq) and top_cues of the components of two memories or more."""
+    rows = mem.join(communities(links), "id")
+    sizes = rows.groupBy("community").agg(F.count("*").alias("size"))
+    k = F.row_number().over(Window.partitionBy("community").orderBy("seq"))
+    first = rows.withColumn("k", k).where(F.col("k") <= listed).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("k", "id"))).alias("m"))
+    counts = rows.select("community", F.explode("cues").alias("cue")).groupBy("community", "cue").agg(F.count("*").alias("n"))
+    k = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("n"), "cue"))
+    top = counts.withColumn("k", k).where(F.col("k") <= cues).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("k", "cue"))).alias("c"))
+    rows = sizes.join(first, "community").join(top, "community", "left")
+    return rows.select("community", "size", F.array_join(F.transform("m", lambda x: x["id"]), ",").alias("members"), F.array_join(F.transform("c", lambda x: x["cue"]), ",").alias("top_cues"))
+
+
 def ring(links: DataFrame, start: list[str], depth: int) -> DataFrame:
     """id, hop: the memories first reached at each hop up to `depth`."""
     spark = links.sparkSession
@@ -96,11 +141,9 @@ def communities(links: DataFrame, rounds: int = 12) -> DataFrame:
 
 def event_chain(mem: DataFrame) -> DataFrame:
     """id, next_id: the episode that follows by date among those of the same person and session."""
-    date = F.try_to_date(F.nullif(F.regexp_extract("content", "(\\d{4}-\\d{2}-\\d{2})", 1), F.lit("")))
-    cue_date = F.try_to_date(F.get(F.filter("cues", lambda c: c.rlike("^\\d{4}-\\d{2}-\\d{2}$")), 0))
-    person = F.get(F.filter("cues", lambda c: ~c.rlike("^\\d{4}-\\d{2}-\\d{2}$|session\\d+|^date:|^sid:")), 0)
-    session = F.regexp_extract(F.concat_ws(" ", "cues"), "session(\\d+)", 1)
-    rows = mem.where("kind = 'episodic'").select("id", "seq", F.coalesce(date, cue_date).alias("day"), person.alias("person"), session.alias("session")).where("day is not null")
+    cues = F.col("cues")
+    rows = mem.where("kind = 'episodic'").select("id", "seq", when.event_date(F.col("content"), cues).alias("day"), when.person_of(cues).alias("person"), when.session_of(cues).alias("session"))
+    rows = rows.where("day is not null")
     return rows.withColumn("next_id", F.lead("id").over(Window.partitionBy("person", "session").orderBy("day", "seq")))
 
 
@@ -110,6 +153,10 @@ def successors(mem: DataFrame) -> DataFrame:
     return rows.select("id", F.lead("id").over(Window.partitionBy("topic").orderBy("created_at", "seq")).alias("next_id"))
 
 
+def kg_nodes(mem: DataFrame) -> DataFrame:
+    return mem.select("id", F.substring("content", 1, 40).alias("label"), "kind")
+
+
 def kg_edges(mem: DataFrame, links: DataFrame) -> DataFrame:
     ids = mem.select("id")
     return links.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "weight")

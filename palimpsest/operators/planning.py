@@ -26,21 +26,34 @@ def set_intent(intents: DataFrame, ids: list, status: str) -> DataFrame:
     return intents.withColumn("status", F.when(hit, status).otherwise(F.col("status")))
 
 
+def remembered_intents(intents: DataFrame, new: DataFrame) -> DataFrame:
+    """Intents and new ones (id, due_at, context_cue); new ones are active, and an id that is known keeps its row."""
+    rows = new.join(intents.select("id"), "id", "left_anti").withColumn("status", F.lit("active"))
+    return intents.unionByName(rows.select(intents.columns))
+
+
 def intent_conflicts(intents: DataFrame, minutes: int = 60) -> DataFrame:
-    """Pairs of active intents under one cue that are due within `minutes` of each other. Buckets of that width meet
-    their own and the next, so no pair is compared that is further apart than two widths."""
+    """id_a, id_b, kind of active intents that clash: `time` where they are due within `minutes` of each other, else
+    `context` where their cue is the same. Buckets of the window's width meet their own and the next ones, so no pair is
+    compared that is further apart than two widths."""
     width = minutes * 60
     t = F.unix_seconds(F.col("due_at").cast("timestamp"))
     rows = intents.where("status = 'active'").select("id", "context_cue", t.alias("t"), F.floor(t / width).alias("b"))
-    a = rows.select(F.col("id").alias("a"), "context_cue", F.col("t").alias("ta"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-    b = rows.select(F.col("id").alias("c"), "context_cue", F.col("t").alias("tb"), "b")
-    return a.join(b, ["context_cue", "b"]).where((F.col("a") < F.col("c")) & (F.abs(F.col("ta") - F.col("tb")) < width)).select(F.col("a").alias("id_a"), F.col("c").alias("id_b"), "context_cue")
+    a = rows.select(F.col("id").alias("id_a"), F.col("t").alias("ta"), F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
+    b = rows.select(F.col("id").alias("id_b"), F.col("t").alias("tb"), "b")
+    near = a.join(b, "b").where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("ta") - F.col("tb")) < width)).select("id_a", "id_b", F.lit("time").alias("kind"))
+    cue = rows.where("context_cue <> ''")
+    same = cue.select(F.col("id").alias("id_a"), "context_cue").join(cue.select(F.col("id").alias("id_b"), "context_cue"), "context_cue").where("id_a < id_b").select("id_a", "id_b", F.lit("context").alias("kind"))
+    return near.unionByName(same.join(near, ["id_a", "id_b"], "left_anti"))
 
 
-def action_queue(intents: DataFrame, now: Column, limit: int = 50) -> DataFrame:
+def action_queue(intents: DataFrame, now: Column, limit: int = 20, minutes: int = 60) -> DataFrame:
+    """id, overdue, urgent, hours, clash of the active intents, overdue ones first, then by time."""
     rows = intents.where("status = 'active'").withColumn("hours", hours_between(now, F.col("due_at")))
-    rows = rows.select("id", (F.col("hours") < 0).alias("overdue"), F.col("hours").between(0, 1).alias("urgent"), F.round("hours", 6).alias("hours"))
-    return rows.orderBy(F.desc("overdue"), "hours", "id").limit(limit)
+    rows = rows.select("id", (F.col("hours") <= 0).alias("overdue"), (F.col("hours") <= 1).alias("urgent"), F.round("hours", 6).alias("hours"))
+    top = rows.orderBy(F.desc("overdue"), "hours", "id").limit(limit)
+    clashing = intent_conflicts(intents, minutes).select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().withColumn("clash", F.lit(True))
+    return top.join(clashing, "id", "left").withColumn("clash", F.coalesce("clash", F.lit(False)))
 
 
 def outcome_rates(outcomes: DataFrame, by: str = "step") -> DataFrame:
@@ -68,8 +81,31 @@ def dependency_levels(deps: DataFrame, most: int = 20) -> DataFrame:
 
 
 def nearest_events(events: DataFrame, anchors: DataFrame) -> DataFrame:
-    """anchor_id, side, k, event_id: the two nearest events of the same person before and after each anchor's time."""
-    rows = anchors.join(events, "person").where("event_at <> anchor_at")
-    side = F.when(F.col("event_at") > F.col("anchor_at"), "after").otherwise("before")
-    rows = rows.select("anchor_id", side.alias("side"), "event_id", F.abs(F.unix_micros(F.col("event_at").cast("timestamp")) - F.unix_micros(F.col("anchor_at").cast("timestamp"))).alias("gap"))
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("anchor_id", "side").orderBy("gap", "event_id"))).where("k <= 2").select("anchor_id", "side", "k", "event_id")
+    """anchor_id, side, k, event_id: the two nearest events of the same person before and after each anchor's time.
+
+    Events and anchors of a person are one sorted run; an anchor takes the last two times of events before it and the
+    first two after it, so no anchor meets all of a person's events. Events at the same time come in order of their ids.
+    """
+    times = events.groupBy("person", "event_at").agg(F.slice(F.array_sort(F.collect_list("event_id")), 1, 2).alias("ids"))
+    both = times.select("person", F.col("event_at").alias("at"), "ids", F.lit(None).cast(anchors.schema["anchor_id"].dataType).alias("anchor_id")).unionByName(
+        anchors.select("person", F.col("anchor_at").alias("at"), F.lit(None).cast(times.schema["ids"].dataType).alias("ids"), "anchor_id")
+    )
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    both = both.withColumns({"us": micros, "event": F.when(F.col("ids").isNotNull(), F.struct(micros.alias("us"), "ids"))})
+    run = Window.partitionBy("person").orderBy("us")
+    before, after = run.rangeBetween(Window.unboundedPreceding, -1), run.rangeBetween(1, Window.unboundedFollowing)
+    nearest = {
+        "p1": F.last("event", True).over(before), "n1": F.first("event", True).over(after),
+    }
+    rows = both.withColumns(nearest)
+    # The second nearest time is the nearest one's own neighbour.
+    own = rows.where("event is not null").select(F.col("person").alias("whose"), F.col("us").alias("u"), F.col("p1").alias("p2"), F.col("n1").alias("n2"))
+    asked = rows.where("anchor_id is not null").select("person", "anchor_id", F.col("us").alias("at"), "p1", "n1")
+    sides = []
+    for side, one, two in (("before", "p1", "p2"), ("after", "n1", "n2")):
+        found = asked.where(f"{one} is not null").join(own, (F.col("person") == F.col("whose")) & (F.col(f"{one}.us") == F.col("u")))
+        near = F.flatten(F.transform(F.array_compact(F.array(one, two)), lambda e: F.transform(e["ids"], lambda i: F.struct(e["us"].alias("us"), i.alias("event_id")))))
+        sides.append(found.select("anchor_id", "at", F.lit(side).alias("side"), F.explode(F.slice(near, 1, 2)).alias("e")))
+    out = sides[0].unionByName(sides[1]).select("anchor_id", "side", "e.event_id", F.abs(F.col("e.us") - F.col("at")).alias("gap"))
+    # An anchor id that stands for several times takes the nearest of all.
+    return out.withColumn("k", F.row_number().over(Window.partitionBy("anchor_id", "side").orderBy("gap", "event_id"))).where("k <= 2").select("anchor_id", "side", "k", "event_id")

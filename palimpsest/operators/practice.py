@@ -1,4 +1,4 @@
-"""Practice: answers scored, rivals weakened, plans estimated."""
+"""Practice: what to practise, answers scored, rivals weakened."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import curve
+from palimpsest.functions.lexicon import AROUSED
 from palimpsest.operators import review
 
 # Hours of steps by what they mention, the first that fits.
@@ -43,7 +44,80 @@ def tests(mem: DataFrame) -> DataFrame:
     return mem.select("id", F.when(turn == 1, "cue").otherwise("cloze").alias("kind"), F.when(turn == 1, F.get("cues", 0)).otherwise(F.concat(F.substring(F.col("content"), F.lit(1), n - F.floor(n / 3).cast("int")), F.lit("____"))).alias("prompt"))
 
 
-def effort(steps: DataFrame, base: float = 4.0) -> DataFrame:
-    """plan_id, hours, buffered: by what steps mention, longer steps 1.2 times, and a fifth on top."""
-    hours = F.coalesce(*(F.when(F.col("step").contains(w), h) for w, h in STEP_HOURS.items()), F.lit(base)) * F.when(F.length("step") > 12, 1.2).otherwise(1.0)
-    return steps.groupBy("plan_id").agg(F.round(F.sum(hours), 6).alias("hours"), F.round(F.sum(hours) * 1.2, 6).alias("buffered"))
+def success_rate() -> Column:
+    return F.when(curve.attempts() > 0, F.col("retrieval_successes") / F.nullif(curve.attempts(), F.lit(0))).otherwise(0.5)
+
+
+def due(mem: DataFrame, now: Column, limit: int = 5, kind: str | None = None, gap_hours: float = 24.0) -> DataFrame:
+    """id, cue, turn: memories to practise, shown by two of their cues only, which change with each attempt.
+
+    Of those due (retrievability under 0.5) the 2 * limit (12 at least) of the most useful difficulty, and of aroused ones
+    under 0.65 half the limit more; none that was seen within the gap (shorter for struggling memories, longer for known
+    ones). The kind asked for and aroused ones come first; then turns alternate between topics.
+    """
+    pool = max(2 * limit, 12)
+    rows = review.with_r(mem, now).withColumn("hard", F.round(F.abs(F.col("r") - 0.45), 9))
+    felt = F.coalesce(F.col("affect").isin(*AROUSED), F.lit(False))
+    first = rows.where("r < 0.5").orderBy("hard", F.desc("seq")).limit(pool)
+    wider = rows.where("r < 0.65").orderBy("hard", F.desc("seq")).limit(pool).where(felt)
+    extra = wider.join(first.select("id"), "id", "left_anti").orderBy("hard", F.desc("seq")).limit(max(1, limit // 2))
+    columns = first.columns
+    rows = first.withColumn("late", F.lit(0)).unionByName(extra.select(columns).withColumn("late", F.lit(1)))
+    rate, tried = success_rate(), curve.attempts() > 0
+    gap = gap_hours * F.when(tried & (rate < 0.5), 0.6).when(tried & (rate >= 0.9), 1.3).otherwise(1.0)
+    rows = rows.where(curve.hours_idle(now) >= gap)
+    other = [] if kind is None else [F.col("kind") != kind]
+    order = [*other, (~felt).cast("int"), F.col("late"), F.col("hard"), F.desc("seq")]
+    rows = rows.orderBy(*order).limit(limit).withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # `limit` rows
+    turn = F.row_number().over(Window.partitionBy(review.topic()).orderBy("k"))
+    rows = rows.withColumn("lap", turn)
+    n = F.size("cues")
+    start = (curve.attempts() % F.greatest(n, F.lit(1))).cast("int")
+    two = F.when(n >= 3, F.array(F.get("cues", start), F.get("cues", (start + 1) % n))).when(n > 0, F.slice("cues", 1, 2)).otherwise(F.array(F.substring("content", 1, 12)))
+    return rows.select("id", F.array_join(two, " / ").alias("cue"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("lap", "k")).alias("turn"))
+
+
+def plan(cards: DataFrame, mem: DataFrame, now: Column) -> DataFrame:
+    """id, cue, kind, next_review_s, overdue, retrievability, success_rate of the cards of a session."""
+    rows = review.with_r(mem, now).join(cards.select("id", "cue"), "id")
+    at = curve.next_review_at(now)
+    return rows.select("id", "cue", "kind", F.unix_seconds(at).alias("next_review_s"), (at < now).alias("overdue"), F.round("r", 6).alias("retrievability"), F.round(success_rate(), 6).alias("success_rate"))
+
+
+def forecast(mem: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """id, due_s, overdue, retrievability of the memories whose review falls within so many days (365 at most)."""
+    at = curve.next_review_at(now)
+    rows = review.with_r(mem, now).withColumn("at", at).where(F.col("at") <= curve.add_hours(now, F.lit(24.0 * min(max(1, days), 365))))
+    return rows.select("id", F.unix_seconds("at").alias("due_s"), (F.col("at") < now).alias("overdue"), F.round("r", 6).alias("retrievability"))
+
+
+def report(mem: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
+    """One row on a round of answers (id, attempt): how many, how many right, and how hard they were."""
+    scored = answered(mem, answers, now).select("id", "success")
+    rows = review.with_r(mem, now).join(scored, "id")
+    n = F.count("*")
+    return rows.agg(
+        n.alias("n"), F.count_if("success").alias("successes"), (n - F.count_if("success")).alias("failures"), F.round(F.count_if("success") / F.nullif(n, F.lit(0)), 3).alias("success_rate"),
+        F.round(F.avg("r"), 3).alias("mean_retrievability"), F.round(F.min("r"), 3).alias("min_retrievability"), F.round(F.max("r"), 3).alias("max_retrievability"),
+    )
+
+
+def review_batch(mem: DataFrame, answers: DataFrame) -> DataFrame:
+    """id, reviews, retrieval_successes, retrieval_failures, review_streak after answers (id, pos, success) one after the
+    other: the streak is what follows the last failure, or all of them on top of the old one."""
+    order = Window.partitionBy("id").orderBy("pos")
+    back = Window.partitionBy("id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = answers.withColumn("__fails", F.sum((~F.col("success")).cast("int")).over(back)).withColumn("__n", F.row_number().over(order))
+    sums = rows.groupBy("id").agg(F.count("*").alias("reviews"), F.count_if("success").alias("good"), F.count_if(~F.col("success")).alias("bad"), F.count_if(F.col("__fails") == 0).alias("tail"))
+    streak = F.when(F.col("bad") == 0, F.col("review_streak") + F.col("good")).otherwise(F.col("tail").cast("double"))
+    return mem.join(sums, "id").select("id", "reviews", (F.col("retrieval_successes") + F.col("good")).alias("retrieval_successes"), (F.col("retrieval_failures") + F.col("bad")).alias("retrieval_failures"), streak.alias("review_streak"))
+
+
+def learning_loop(mem: DataFrame, now: Column) -> DataFrame:
+    """One row: the topic to practise (the least mastered), how many reviews are overdue, and the figures to compare with
+    afterwards."""
+    from palimpsest.operators import insights, reports
+
+    focus = reports.mastery(mem, now).agg(F.min_by("topic", F.struct("mastery", "topic")).alias("focus"))
+    late = review.consistency(mem, now).select(F.col("overdue").alias("overdue"), "adherence")
+    return focus.crossJoin(F.broadcast(late)).crossJoin(F.broadcast(insights.snapshot(mem, now)))  # rows of one each

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,9 +88,50 @@ def lsh_top_k(vectors: DataFrame, query_ids: list[int] | DataFrame, dim: int, k:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, query_ids: list[int] | DataFrame, dim: int, k: int = 10, exact_up_to: int = 10_000) -> DataFrame:
-    """Exact where the table is small, else through the buckets."""
-    return top_k(vectors, query_ids, k) if vectors.count() <= exact_up_to else lsh_top_k(vectors, query_ids, dim, k)
+def search(vectors: DataFrame, query_ids: list[int] | DataFrame, dim: int, k: int = 10, exact: bool = True) -> DataFrame:
+    """Exact, or where asked for through the buckets, which miss some neighbours."""
+    return top_k(vectors, query_ids, k) if exact else lsh_top_k(vectors, query_ids, dim, k)
+
+
+def dense_pass(queries: DataFrame, mem: DataFrame, vectors: DataFrame, k: int = 24) -> DataFrame:
+    """query_id, id, similarity, rank: the memories nearest to each query's vector (query_id, vector). vectors: id, vector;
+    only memories of mem take part, which are picked before the neighbours are."""
+    rows = vectors.join(mem.select("id"), "id", "left_semi")
+    asked = queries.select("query_id", F.col("vector").alias("q"))
+    asked = F.broadcast(asked) if queries.count() <= BLOCK else asked
+    near = rows.crossJoin(asked).select("query_id", "id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("similarity"))  # a stated query set
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+
+
+def embedder(kind: str | None, function: Callable[[list[str]], list[list[float]]] | None = None, dim: int = 256) -> Callable[[DataFrame, str], DataFrame] | None:
+    """A function that adds `embedding` to a table's text column: `none`, `ngram`, or `callable` with a function of a list of
+    texts, which must return as many vectors."""
+    if kind in (None, "none"):
+        return None
+    if kind == "ngram":
+        return lambda rows, text="content": embeddings(rows, text, dim)
+    if kind != "callable" or function is None:
+        raise ValueError(f"no embedder {kind!r}")
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        out = function([t or "" for t in x])
+        if len(out) != len(x):
+            raise ValueError(f"{len(out)} vectors for {len(x)} texts")
+        return pd.Series([[float(v) for v in row] for row in out])
+
+    return lambda rows, text="content": rows.withColumn("embedding", run(F.col(text)))
+
+
+def cached(mem: DataFrame, cache: DataFrame, embed_rows: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The cache (content_hash, embedding) with the texts of mem that it lacks, each distinct text embedded once."""
+    new = missing(mem, cache).groupBy("content_hash").agg(F.min("content").alias("content"))
+    return cache.unionByName(embed_rows(new, "content").select("content_hash", "embedding"))
+
+
+def without(vectors: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Vectors without those of some ids, as after memories are purged."""
+    return vectors.join(ids.select(key).distinct(), key, "left_anti")
 
 
 def ngram_features(text: str) -> dict[str, int]:
@@ -127,12 +168,25 @@ def embed(text: str, dim: int = 256) -> list[float]:
 
 
 def embeddings(rows: DataFrame, text: str = "content", dim: int = 256) -> DataFrame:
-    """Adds `embedding`; each distinct text is embedded once for each batch."""
+    """Adds `embedding`. Each distinct text of a batch is embedded once, and each distinct feature of a batch is hashed
+    once; sums over all texts are one operation."""
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
-        known = {t: embed(t or "", dim) for t in x.unique()}
-        return x.map(known)
+        codes, texts = pd.factorize(x.fillna(""))
+        counted = [ngram_features(t) for t in texts]
+        features = list({f for c in counted for f in c})
+        place = {f: k for k, f in enumerate(features)}
+        digests = np.frombuffer(b"".join(hashlib.blake2b(f.encode(), digest_size=8).digest() for f in features), np.uint8).reshape(-1, 8)
+        slot = digests[:, :4].copy().view("<u4").ravel() % dim
+        sign = np.where(digests[:, 4] & 1, 1.0, -1.0)
+        owner = np.repeat(np.arange(len(counted)), [len(c) for c in counted])
+        which = np.fromiter((place[f] for c in counted for f in c), np.int64, len(owner))
+        n = np.fromiter((v for c in counted for v in c.values()), np.float64, len(owner))
+        sums = np.bincount(owner * dim + slot[which], sign[which] * (1 + np.log(n)), len(counted) * dim).reshape(-1, dim)
+        norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        sums = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
+        return pd.Series(list(sums[codes]), index=x.index)
 
     return rows.withColumn("embedding", run(F.col(text)))
 

@@ -31,6 +31,10 @@ class Tables:
     def links(self) -> DataFrame:
         return graph.batch_links(self.act)
 
+    @cached_property
+    def linked(self) -> DataFrame:
+        return shared.written(self.links(), "links")
+
     def asked(self) -> DataFrame:
         return source.table(self.spark, self.dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -189,9 +193,12 @@ query("assoc_degree", "SELECT src AS id, count(*) AS degree, round(sum(weight),
 query("communities", """, lab AS (SELECT src AS node, src AS label FROM both_ways UNION SELECT b.src, l.label FROM lab l JOIN both_ways b ON b.dst = l.node WHERE l.label < b.src)
 SELECT node AS id, min(label) AS community FROM lab GROUP BY node""")(lambda t: _checkpointed(t, graph.communities))
 query("multi_hop", ", hop1 AS (SELECT DISTINCT dst FROM both_ways WHERE src = 'd1' AND dst <> 'd1'), hop2 AS (SELECT DISTINCT b.dst FROM hop1 h JOIN both_ways b ON b.src = h.dst WHERE b.dst <> 'd1' AND b.dst NOT IN (SELECT dst FROM hop1)) SELECT 'd1' AS id, 0 AS hop UNION ALL SELECT dst, 1 FROM hop1 UNION ALL SELECT dst, 2 FROM hop2")(lambda t: graph.ring(t.links(), ["d1"], 2))
-query("bridge_suggestions", "SELECT a.id AS src, b.id AS dst, min(a.cue) AS cue FROM cues a JOIN cues b ON a.cue = b.cue AND a.id < b.id WHERE a.cue IN (SELECT cue FROM rare) AND (a.id, b.id) NOT IN (SELECT (src, dst) FROM links) GROUP BY 1, 2")(lambda t: graph.bridges(t.act, t.links()))
+query("bridge_suggestions", """, nw AS MATERIALIZED (SELECT id, seq FROM act ORDER BY seq DESC LIMIT 60), nc AS (SELECT nw.id, nw.seq, cue FROM nw JOIN cues USING (id)),
+ pr AS (SELECT least(a.id, b.id) AS src, greatest(a.id, b.id) AS dst, a.seq AS sa, b.seq AS sb, min(a.cue) AS cue, count(*) AS shared FROM nc a JOIN nc b ON a.cue = b.cue AND a.seq > b.seq GROUP BY ALL)
+SELECT src, dst, cue, shared FROM pr WHERE (src, dst) NOT IN (SELECT (src, dst) FROM links) ORDER BY sa DESC, sb DESC LIMIT 20""")(lambda t: graph.bridges(t.act, t.links()))
+query("unlinked_pairs", "SELECT a.id AS src, b.id AS dst, min(a.cue) AS cue FROM cues a JOIN cues b ON a.cue = b.cue AND a.id < b.id WHERE a.cue IN (SELECT cue FROM rare) AND (a.id, b.id) NOT IN (SELECT (src, dst) FROM links) GROUP BY 1, 2")(lambda t: graph.unlinked_pairs(t.act, t.links()))
 query("kg_export", "SELECT src, dst, weight FROM links")(lambda t: graph.kg_edges(t.act, t.links()))
-query("event_chain_next", "SELECT id, lead(id) OVER (PARTITION BY topic ORDER BY created_at, seq) AS next_id FROM act")(lambda t: graph.successors(t.act))
+query("topic_successors", "SELECT id, lead(id) OVER (PARTITION BY topic ORDER BY created_at, seq) AS next_id FROM act")(lambda t: graph.successors(t.act))
 
 # --- reports
 
@@ -225,11 +232,7 @@ query("calibration_ece", f"SELECT bucket, sum(n)::BIGINT AS attempts, round(sum(
 query("confidence", f"SELECT id, round(o, 6) AS confidence, round(c, 6) AS calibrated, CASE WHEN c >= 0.7 THEN 'high' WHEN c >= 0.4 THEN 'medium' ELSE 'low' END AS label, c < 0.4 OR (origin = 'inference' AND confidence < 0.8) AS should_confirm FROM (SELECT *, {_OWN} AS o, {_CAL} AS c FROM act)".replace("SELECT id, round(o", "SELECT id, round(o").replace("AND confidence < 0.8", "AND act_conf < 0.8").replace("(SELECT *, ", "(SELECT id, origin, confidence AS act_conf, "))(lambda t: reports.confidences(t.act, t.now))
 query("memory_status", "SELECT count(*) AS active, count(*) FILTER (r < 0.5) AS due, count(*) FILTER (revision_count > 0) AS revised, count(affect) AS emotional, round(avg(r), 6) AS avg_r FROM act")(lambda t: reports.status(t.act, t.now))
 query("learner_profile", f"SELECT n::BIGINT AS attempts, round(s / n, 6) AS success_rate, CASE WHEN n = 0 THEN 'unknown' WHEN s / n >= 0.8 THEN 'fast' WHEN s / n >= 0.6 THEN 'steady' ELSE 'struggling' END AS pace FROM (SELECT sum({TRIES}) AS n, sum(retrieval_successes) AS s FROM act)")(lambda t: reports.learner(t.act))
-query("schema_fit", """, tc AS MATERIALIZED (SELECT act.id, topic, cue FROM act JOIN cues USING (id) WHERE cue <> topic), sn AS (SELECT topic, cue, count(*) AS n FROM tc GROUP BY ALL)
-SELECT *, CASE WHEN fit >= 0.5 THEN 'fits' WHEN fit >= 0.3 THEN 'loose' ELSE 'odd' END AS state FROM (SELECT id, topic, round(count(*) FILTER (n > 1) / count(*), 6) AS fit FROM tc JOIN sn USING (topic, cue) GROUP BY id, topic)""")(lambda t: reports.schema_fit(t.act))
 query("memory_integration", ", tt AS (SELECT id, topic FROM act), ins AS (SELECT a.topic, count(*) AS links FROM links JOIN tt a ON a.id = src JOIN tt b ON b.id = dst WHERE a.topic = b.topic GROUP BY 1) SELECT topic, members, coalesce(ins.links, 0) AS links FROM (SELECT topic, count(*) AS members FROM tt GROUP BY topic HAVING count(*) >= 2) LEFT JOIN ins USING (topic)")(lambda t: reports.integration(t.act, t.links()))
-query("memory_health", _CONFLICTS + f", base AS (SELECT count(*) AS n, count(*) FILTER ({DUE_AT} < {TS}) AS overdue FROM act), lk AS (SELECT count(DISTINCT src) AS linked FROM both_ways), cr AS (SELECT count(*) AS crowded FROM (SELECT cue FROM cues GROUP BY cue HAVING count(*) > 10)), cl AS (SELECT count(*) AS conflicts FROM conf) SELECT n, linked, crowded, conflicts, overdue, (100 - (least(20, round_even(50 * (1 - linked / n), 0)::INT) + least(15, 3 * crowded) + least(20, 4 * conflicts) + least(10, 2 * overdue)))::BIGINT AS score FROM base, lk, cr, cl")(lambda t: reports.health(t.act, t.links(), consolidate.conflicts(t.act), t.now))
-
 # --- vectors
 
 _COS = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
@@ -265,8 +268,10 @@ def _then():
 
 query("intent_due", _INT + f"SELECT id, epoch(due_at)::BIGINT AS due_s FROM it WHERE status = 'active' AND due_at <= {_IN}", "")(lambda t: planning.due_intents(t.intents(), _then()))
 query("intent_report", _INT + f"SELECT count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'cancelled') AS cancelled, count(*) FILTER (status = 'active' AND due_at < {_IN}) AS overdue, (SELECT id FROM it WHERE status = 'active' AND due_at >= {_IN} ORDER BY due_at, id LIMIT 1) AS next_id FROM it", "")(lambda t: planning.intent_report(t.intents(), _then()))
-query("intent_conflicts", _INT + "SELECT a.id AS id_a, b.id AS id_b, a.context_cue FROM it a JOIN it b ON a.context_cue = b.context_cue AND a.id < b.id AND a.status = 'active' AND b.status = 'active' AND abs(epoch(a.due_at) - epoch(b.due_at)) < 60 * 86400", "")(lambda t: planning.intent_conflicts(t.intents(), 60 * 1440))
-query("action_queue", _INT + f"SELECT id, h < 0 AS overdue, h BETWEEN 0 AND 1 AS urgent, round(h, 6) AS hours FROM (SELECT *, (epoch_us(due_at) - epoch_us({_IN})) / 3.6e9 AS h FROM it WHERE status = 'active') ORDER BY overdue DESC, h, id LIMIT 50", "")(lambda t: planning.action_queue(t.intents(), _then()))
+query("intent_conflicts", _INT + """, ac AS MATERIALIZED (SELECT *, epoch(due_at) AS t FROM it WHERE status = 'active')
+SELECT a.id AS id_a, b.id AS id_b, 'time' AS kind FROM ac a JOIN ac b ON a.id < b.id AND abs(a.t - b.t) < 3600 UNION ALL SELECT a.id, b.id, 'context' FROM ac a JOIN ac b ON a.id < b.id AND a.context_cue = b.context_cue AND abs(a.t - b.t) >= 3600""", "")(lambda t: planning.intent_conflicts(t.intents()))
+query("action_queue", _INT + f""", ac AS MATERIALIZED (SELECT *, epoch(due_at) AS t, (epoch_us(due_at) - epoch_us({_IN})) / 3.6e9 AS h FROM it WHERE status = 'active'), tp AS (SELECT * FROM ac ORDER BY (h <= 0) DESC, h, id LIMIT 50)
+SELECT id, h <= 0 AS overdue, h <= 1 AS urgent, round(h, 6) AS hours, EXISTS (SELECT 1 FROM ac WHERE ac.id <> tp.id AND (abs(ac.t - tp.t) < 3600 OR ac.context_cue = tp.context_cue)) AS clash FROM tp""", "")(lambda t: planning.action_queue(t.intents(), _then(), 50))
 plain("outcome_rates", "SELECT step, trials, round(p, 6) AS rate, round(2 * abs(p - 0.5), 6) AS confidence FROM (SELECT o_orderpriority AS step, count(*) AS trials, avg((o_orderstatus = 'F')::INT) AS p FROM orders GROUP BY 1)")(
     lambda s, d: planning.outcome_rates(source.table(s, d, "orders").select(F.col("o_orderpriority").alias("step"), (F.col("o_orderstatus") == "F").alias("ok")))
 )
