@@ -28,7 +28,7 @@ SEED = 97
 TOPICS, LETTERS = 48, 5
 #: A topic's word is in one of so many documents at most.
 RARITY = 10
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 def _runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,7 +75,7 @@ def topic_words(docs: DataFrame, text: str = "text", topics: int = TOPICS) -> li
 
 def annotated(df: DataFrame, words: list[tuple[str, float]], text: str, topic: str, tokens: str) -> DataFrame:
     """df with two columns added: each text's topic (`other` where no topic's word occurs) and its number of tokens, runs
-    without bytes 0x20, 0x09-0x0D. Rows stay where they are."""
+    without bytes 0x20, 0x09-0x0D. Rows stay where they are, and only texts go to Python."""
     names = sorted(w for w, _ in words)
     weight = np.array([dict(words)[w] for w in names])
     raw = [np.frombuffer(w.encode(), np.uint8) for w in names]
@@ -83,24 +83,32 @@ def annotated(df: DataFrame, words: list[tuple[str, float]], text: str, topic: s
     place = np.argsort(keys)
     sorted_keys = keys[place]
     labels = np.array([*names, "other"], object)
-    fields = ", ".join([f"`{c}` {t.simpleString()}" for c, t in ((f.name, f.dataType) for f in df.schema)] + [f"`{topic}` string, `{tokens}` long"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches, text, BLOCK):
-            data, offs = common.utf8(block.column(block.schema.get_field_index(text)))
-            n = block.num_rows
-            count = np.bincount(common.words(data, offs)[2], minlength=n)
-            best = np.full(n, len(names))
-            if len(names):
-                starts, ends, owner = _runs(data, offs)
-                h = common.span_hashes(data, starts, ends)
-                at = np.minimum(np.searchsorted(sorted_keys, h), len(names) - 1)
-                hit = sorted_keys[at] == h
-                score = np.bincount(owner[hit] * len(names) + place[at[hit]], minlength=n * len(names)).reshape(n, -1) * weight
-                best = np.where(score.any(axis=1), np.argmax(np.round(score, 9), axis=1), len(names))
-            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(labels[best], pa.string()), pa.array(count.astype(np.int64))], names=[*block.schema.names, topic, tokens])
-
-    return df.mapInArrow(run, fields)
+    def of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offs = common.utf8(col)
+        n = len(offs) - 1
+        count = np.bincount(common.words(data, offs)[2], minlength=n)
+        best = np.full(n, len(names))
+        if len(names):
+            starts, ends, owner = _runs(data, offs)
+            h = common.span_hashes(data, starts, ends)
+            at = np.minimum(np.searchsorted(sorted_keys, h), len(names) - 1)
+            hit = sorted_keys[at] == h
+            score = np.bincount(owner[hit] * len(names) + place[at[hit]], minlength=n * len(names)).reshape(n, -1) * weight
+            best = np.where(score.any(axis=1), np.argmax(np.round(score, 9), axis=1), len(names))
+        return labels[best], count.astype(np.int64)
+
+    @F.arrow_udf("struct<topic: string, tokens: bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in batches:
+            batch = pa.RecordBatch.from_arrays([col], names=["t"])
+            made = [of(part.column(0)) for part in common.blocks([batch], "t", BLOCK)]
+            topics = pa.array([t for m in made for t in m[0]], pa.string())
+            counts = pa.array(np.concatenate([np.zeros(0, np.int64), *(m[1] for m in made)]))
+            yield pa.StructArray.from_arrays([topics, counts], names=["topic", "tokens"])
+
+    found = df.withColumn("__found", run(F.col(f"`{text}`")))
+    return found.withColumns({topic: F.col("__found.topic"), tokens: F.col("__found.tokens")}).drop("__found")
 
 
 def draw(key: Column, seed: int = SEED) -> Column:
