@@ -18,7 +18,15 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 4 << 20
 
 
+#: Rows of a batch that goes to Python. Texts may be long, and the buffers of both sides are kept for later batches.
+BATCH_ROWS = 2000
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; from now on the session sends BATCH_ROWS rows at most to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
