@@ -259,33 +259,7 @@ def learner(mem: DataFrame) -> DataFrame:
     return mem.agg(n.alias("attempts"), F.round(rate, 6).alias("success_rate"), F.when(n == 0, "unknown").when(rate >= 0.8, "fast").when(rate >= 0.6, "steady").otherwise("struggling").alias("pace"))
 
 
-def schema_fit(mem: DataFrame) -> DataFrame:
-    """How well each memory's cues fit its topic's other memories: the share of its further cues that they have too."""
-    rows = mem.select("id", review.topic().alias("topic"), F.explode("cues").alias("cue")).where("cue <> topic")
-    seen = rows.groupBy("topic", "cue").agg(F.count("*").alias("n"))
-    fit = rows.join(seen, ["topic", "cue"]).groupBy("id", "topic").agg(F.round(F.count_if(F.col("n") > 1) / F.count("*"), 6).alias("fit"))
-    return fit.withColumn("state", F.when(F.col("fit") >= 0.5, "fits").when(F.col("fit") >= 0.3, "loose").otherwise("odd"))
-
-
 def integration(mem: DataFrame, links: DataFrame) -> DataFrame:
     topics = mem.select("id", review.topic().alias("topic"))
     inside = links.join(topics.select(F.col("id").alias("src"), F.col("topic").alias("ts")), "src").join(topics.select(F.col("id").alias("dst"), F.col("topic").alias("td")), "dst").where("ts = td")
     return topics.groupBy("topic").agg(F.count("*").alias("members")).where("members >= 2").join(inside.groupBy(F.col("ts").alias("topic")).agg(F.count("*").alias("links")), "topic", "left").select("topic", "members", F.coalesce("links", F.lit(0)).alias("links"))
-
-
-def health(mem: DataFrame, links: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:
-    """100 less what isolation, crowded cues, conflicts and overdue reviews cost."""
-    linked = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().agg(F.count("*").alias("linked"))
-    crowded = mem.select(F.explode("cues").alias("cue")).groupBy("cue").count().where("count > 10").agg(F.count("*").alias("crowded"))
-    clash = pairs.agg(F.count("*").alias("conflicts"))
-    base = mem.agg(F.count("*").alias("n"), F.count_if(curve.next_review_at(now) < now).alias("overdue"))
-    one = base
-    for x in (linked, crowded, clash):
-        one = one.crossJoin(F.broadcast(x))  # rows of one each
-    lost = (
-        F.least(F.lit(20), F.bround(50 * (1 - F.col("linked") / F.col("n"))).cast("int"))
-        + F.least(F.lit(15), 3 * F.col("crowded"))
-        + F.least(F.lit(20), 4 * F.col("conflicts"))
-        + F.least(F.lit(10), 2 * F.col("overdue"))
-    )
-    return one.select("n", "linked", "crowded", "conflicts", "overdue", (100 - lost).cast("long").alias("score"))

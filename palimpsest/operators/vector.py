@@ -183,7 +183,7 @@ def embeddings(rows: DataFrame, text: str = "content", dim: int = 256) -> DataFr
         owner = np.repeat(np.arange(len(counted)), [len(c) for c in counted])
         which = np.fromiter((place[f] for c in counted for f in c), np.int64, len(owner))
         n = np.fromiter((v for c in counted for v in c.values()), np.float64, len(owner))
-        sums = np.bincount(owner * dim + slot[which], sign[which] * (1 + np.log(n)), len(counted) * dim).reshape(-1, dim)
+        sums = np.bincount(owner * dim + slot[which], sign[which] * (1 + np.log(n)), len(counted) * dim).astype(np.float64).reshape(-1, dim)
         norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         sums = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
         return pd.Series(list(sums[codes]), index=x.index)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from palimpsest.functions import curve, text
 from palimpsest.functions.lexicon import ORIGINS
+from palimpsest.sources import shared
 
 #: The instant that reports are made for, where none is given.
 NOW = "2024-02-01 00:00:00"
@@ -29,6 +30,9 @@ _ORDER = "id seq kind content content_hash origin ref occurred_at trust cues cre
 SCHEMA = T.StructType([T.StructField(c, next(t for t, names in _TYPES.items() if c in names.split())) for c in _ORDER.split()])
 
 
+INTENTS = "id string, due_at timestamp, context_cue string, status string, content string"
+
+
 def now(at: str = NOW) -> Column:
     return F.lit(at).cast("timestamp")
 
@@ -118,33 +122,115 @@ class Store:
             raise FileNotFoundError(name)
         return self.spark.read.parquet(f"{self.path}/{name}/{version}")
 
-    def write(self, name: str, df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    def write(self, name: str, df: DataFrame, by: list[str] | None = None, expected: str | None = None) -> DataFrame:
+        """A new snapshot. With expected, the version that df was made from: another one meanwhile raises ConcurrentWrite,
+        and the store stays as it is."""
         version = f"v-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*by) if by else df.write
         writer.parquet(f"{self.path}/{name}/{version}")
-        fs, where = self._fs(self._pointer(name))
+        if expected is not None and self.version(name) != expected:
+            raise ConcurrentWrite(name)
+        # The pointer is written whole beside the old one and takes its place in one step.
+        jvm = self.spark._jvm
+        fs, where = self._fs(f"{self._pointer(name)}-{uuid.uuid4().hex}")
         out = fs.create(where, True)
         out.write(bytearray(version.encode()))
         out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), self.spark._jsc.hadoopConfiguration())
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context.rename(where, jvm.org.apache.hadoop.fs.Path(self._pointer(name)), options)
         return self.read(name)
 
+    def vacuum(self, name: str) -> int:
+        """Deletes the snapshots that the pointer doesn't name; how many. Readers of older ones must have ended."""
+        current, gone = self.version(name), 0
+        fs, where = self._fs(f"{self.path}/{name}")
+        for status in fs.listStatus(where):
+            found = status.getPath()
+            if found.getName().startswith("v-") and found.getName() != current:
+                gone += bool(fs.delete(found, True))
+        return gone
+
     def merge(self, name: str, changes: DataFrame, key: str = "id") -> DataFrame:
         """Rows of changes in place of the rows with the same key."""
+        version = self.version(name)
         old = self.read(name)
-        return self.write(name, old.join(changes.select(key), key, "left_anti").unionByName(changes.select(old.columns)))
+        return self.write(name, old.join(changes.select(key), key, "left_anti").unionByName(changes.select(old.columns)), expected=version)
 
     def delete(self, name: str, keys: DataFrame, key: str = "id") -> DataFrame:
-        return self.write(name, self.read(name).join(keys.select(key).distinct(), key, "left_anti"))
+        return self.write(name, self.read(name).join(keys.select(key).distinct(), key, "left_anti"), expected=self.version(name))
+
+    def get_setting(self, key: str) -> str | None:
+        row = self.read_or("settings", "key string, value string").where(F.col("key") == key).first()
+        return row["value"] if row else None
+
+    def put_setting(self, key: str, value: str) -> None:
+        old = self.read_or("settings", "key string, value string").where(F.col("key") != key)
+        self.write("settings", old.unionByName(self.spark.createDataFrame([(key, value)], "key string, value string")))
+
+    def read_or(self, name: str, schema: str) -> DataFrame:
+        """A table, or an empty one where it was never written. Columns that it lacks are null: schemas may grow."""
+        if self.version(name) is None:
+            return self.spark.createDataFrame([], schema)
+        rows = self.read(name)
+        wanted = self.spark.createDataFrame([], schema).schema
+        return rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
 
     def export_json(self, path: str) -> None:
-        active(self.read("memories")).write.mode("overwrite").json(path)
+        """Active memories, intents and suppressed ids, as JSON lines in a folder each."""
+        active(self.read("memories")).write.mode("overwrite").json(f"{path}/memories")
+        self.read_or("intents", INTENTS).write.mode("overwrite").json(f"{path}/intents")
+        self.read_or("suppressed", "id string").write.mode("overwrite").json(f"{path}/suppressed")
 
     def import_json(self, path: str) -> DataFrame:
-        """Rows of an export under their own ids; ids already present keep the stored row."""
-        new = self.spark.read.schema(SCHEMA).json(path)
+        """Rows of an export under their own ids; ids already present keep the stored row. Intents and the suppressed ids that
+        exist come along."""
+        def rows(name: str, schema) -> DataFrame:
+            fs, where = self._fs(f"{path}/{name}")
+            return self.spark.read.schema(schema).json(f"{path}/{name}") if fs.exists(where) else self.spark.createDataFrame([], schema)
+
+        new = rows("memories", SCHEMA)
         old = self.read("memories")
-        return self.write("memories", old.unionByName(new.join(old.select("id"), "id", "left_anti").select(old.columns)))
+        out = self.write("memories", old.unionByName(new.join(old.select("id"), "id", "left_anti").select(old.columns)))
+        intents = self.read_or("intents", INTENTS)
+        self.write("intents", intents.unionByName(rows("intents", INTENTS).join(intents.select("id"), "id", "left_anti").select(intents.columns)))
+        ids = self.read_or("suppressed", "id string").unionByName(rows("suppressed", "id string")).distinct()
+        self.write("suppressed", ids.join(out.select("id"), "id", "left_semi"))
+        return out
+
+
+class MemoryStore(Store):
+    """A store without files: tables live as long as the session does."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.tables = spark, "", {}
+
+    def version(self, name: str) -> str | None:
+        return self.tables[name][0] if name in self.tables else None
+
+    def read(self, name: str) -> DataFrame:
+        if name in self.tables:
+            return self.tables[name][1]
+        if name == "memories":
+            return self.spark.createDataFrame([], SCHEMA)
+        raise FileNotFoundError(name)
+
+    def write(self, name: str, df: DataFrame, by: list[str] | None = None, expected: str | None = None) -> DataFrame:
+        if expected is not None and self.version(name) != expected:
+            raise ConcurrentWrite(name)
+        self.tables[name] = (uuid.uuid4().hex, shared.written(df, name))
+        return self.read(name)
+
+    def vacuum(self, name: str) -> int:
+        return 0
+
+
+class ConcurrentWrite(RuntimeError):
+    """Another write came between reading a table and writing it."""
 
 
-def open_store(spark: SparkSession, path: str) -> Store:
-    return Store(spark, os.fspath(path))
+def open_store(spark: SparkSession, path: str | None = None) -> Store:
+    """The store in a folder, or one in memory without a path."""
+    return MemoryStore(spark) if path is None else Store(spark, os.fspath(path))
