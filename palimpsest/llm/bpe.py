@@ -298,14 +298,16 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """All columns and `text`, the pieces of `ids` joined as UTF-8 (bytes that are not: U+FFFD).
+def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded", digest: str | None = None) -> DataFrame:
+    """All columns and `text`, the pieces of `ids` joined as UTF-8 (bytes that are not: U+FFFD). With digest, also a column
+    of that name: SHA-256 of the ids as little-endian unsigned 32-bit numbers, in hexadecimal.
 
     Null or empty ids: an empty text. Ids outside the vocabulary have no piece.
     """
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, digest)]
     where = keep.index(ids)
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(text, T.StringType(), False)])
+    more = [text] if digest is None else [text, digest]
+    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, T.StringType(), False) for c in more)])
     packed = zlib.compress(vocabulary.encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,30 +323,16 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
                 ends = at[offs - offs[0]]
                 raw = data.tobytes()
                 out = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([*block.columns, pa.array(out, pa.string())], names=[*keep, text])
+                columns = [*block.columns, pa.array(out, pa.string())]
+                if digest is not None:
+                    little = np.asarray(lists.values, np.int32)[offs[0] : offs[-1]].astype("<u4").tobytes()
+                    ends = 4 * (offs - offs[0])
+                    columns.append(pa.array([hashlib.sha256(little[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *more])
 
     return df.mapInArrow(run, schema)
 
 
-def digests(df: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of rows with ids and decoded."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            offs = np.asarray(lists.offsets, np.int64)
-            raw = np.asarray(lists.values, np.int32).astype("<u4").tobytes()
-            sums = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(offs[:-1], offs[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offs)), pa.array(sums, pa.string()), batch.column(2)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return df.select("doc_id", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("d")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
-
-
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -354,4 +342,5 @@ def default_vocabulary() -> str:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.load(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = default_vocabulary()
-    return digests(decode(encode(docs, vocabulary), vocabulary))
+    rows = decode(encode(docs, vocabulary), vocabulary, digest="ids_sha256")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
