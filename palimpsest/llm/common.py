@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import uuid
 import zlib
@@ -31,40 +32,71 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one beside the warehouse, which executors
-    share as well."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one beside the warehouse, on a local master
+    only: what executors of a cluster share can't be guessed."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "palimpsest-shared")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-#: Tables written within each scratch() that is open, the innermost last.
-_OPEN: list[list[str]] = []
+class _Open:
+    """Paths handed out within each scratch() that is open in this thread or task, the innermost last. A copy that
+    travels to a worker starts anew."""
+
+    def __init__(self) -> None:
+        self.paths: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open", default=())
+
+    def __reduce__(self):
+        return _Open, ()
+
+
+_OPEN = _Open()
+
+
+def _on(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop knows them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def shared_path(spark: SparkSession, name: str, hold: bool = False) -> str:
+    """A new path in the shared folder. It is deleted at the end of the innermost scratch() (with hold, of the next one
+    outside), otherwise with the application: only the caller knows when a result that reads it has been written."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    where, system = _on(spark, path)
+    system.deleteOnExit(where)
+    around = _OPEN.paths.get()
+    if len(around) > hold:
+        around[-1 - hold].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, hold: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs nothing. With hold
     the table outlives the innermost scratch()."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = shared_path(df.sparkSession, name, hold)
     df.write.parquet(path)
-    if len(_OPEN) > hold:
-        _OPEN[-1 - hold].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside, but for those on hold, are deleted at the end; what is returned must not read them."""
-    _OPEN.append([])
+    """Tables written inside, but for those on hold, are deleted at the end; what is returned must not read them. A
+    caller who puts a query and the writing of its result inside leaves nothing behind."""
+    mine: list[str] = []
+    token = _OPEN.paths.set((*_OPEN.paths.get(), mine))
     try:
         yield
     finally:
-        for path in _OPEN.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _OPEN.paths.reset(token)
+        for path in mine:
+            where, system = _on(spark, path)
+            system.delete(where, True)
+            system.cancelDeleteOnExit(where)
 
 
 def held_out(doc_id: str = "doc_id"):

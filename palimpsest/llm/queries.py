@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from palimpsest.llm import bpe, html, langid, linededup, mixing, ngramjoin, ogg, quality, sharding, sketch
+from palimpsest.llm import bpe, html, langid, licence, linededup, merkle, mixing, ngramjoin, ogg, quality, sharding, sketch, vectorcodes
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,8 +13,13 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_bpe": bpe.op9_bpe,
     "op10_ngram": ngramjoin.op10_ngram,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_licences": licence.op12_licences,
+    "op13_vector_codes": vectorcodes.op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.oracle(),
+    "op11_merkle": merkle.oracle(),
+    "op13_vector_codes": vectorcodes.oracle(),
 }
