@@ -14,7 +14,7 @@ from palimpsest.plans import general
 from palimpsest.plans.oracle import ASKED, AROUSED, DUE_AT, IDLE, INTERVAL, MEM, RATE, TRIES, TS, hours, tokens
 from palimpsest.sources import memories as source
 from palimpsest.sources import shared
-from palimpsest.streaming import access
+from palimpsest.streaming import access, due
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -291,5 +291,82 @@ plain("stream_tumbling", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, co
 plain("stream_sessions", """SELECT user_id, min(us) AS start_us, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 7200000000 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")(lambda s, d: access.sessions(s, f"{d}/events.parquet"))
 plain("stream_turns", ORACLES["turn_segments"])(lambda s, d: access.turns(s, f"{d}/conversations.parquet"))
 
+plain("stream_turns_kept", """WITH p AS (SELECT conv_id, turn, role, list_filter(list_transform(string_split_regex(text, '[。！？!?；;\\n]+'), lambda x: trim(x)), lambda x: x <> '')[1:4] AS parts FROM conversations
+ WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'user' AND turn = 0 AND length(text) % 5 = 0))
+SELECT conv_id, turn, role, (generate_subscripts(parts, 1) - 1)::INT AS part, unnest(parts) AS content, CASE WHEN length(unnest(parts)) <= 60 THEN 'semantic' ELSE 'episodic' END AS kind FROM p""")(
+    lambda s, d: access.turns(s, f"{d}/conversations.parquet", source.table(s, d, "conversations").where("role = 'user' and turn = 0 and length(text) % 5 = 0"))
+)
+
+#: Events as they arrive in four slices: every fifth 40 hours late, every seventh twice, the second time six hours later.
+SLICES = 4
+_ARRIVED = f"""WITH ev AS (SELECT event_id, ts, event_type, value, ts + CASE WHEN event_id % 5 = 0 THEN INTERVAL 40 HOUR ELSE INTERVAL 0 HOUR END AS arrival FROM events),
+arrived AS (SELECT * FROM ev UNION ALL SELECT * REPLACE (arrival + INTERVAL 6 HOUR AS arrival) FROM ev WHERE event_id % 7 = 0),
+span AS (SELECT min(epoch_us(arrival)) AS a, max(epoch_us(arrival)) AS b FROM arrived),
+sliced AS (SELECT event_id, ts, event_type, value, least({SLICES - 1}, (epoch_us(arrival) - a) * {SLICES} // (b - a))::INT AS slice FROM arrived, span),
+"""
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the slice in which they arrive."""
+    late = F.when(F.col("event_id") % 5 == 0, F.expr("interval 40 hours")).otherwise(F.expr("interval 0 hours"))
+    ev = source.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    ev = ev.withColumn("arrival", F.unix_micros(F.col("ts") + late))
+    rows = ev.unionByName(ev.where("event_id % 7 = 0").withColumn("arrival", F.col("arrival") + 6 * 3_600_000_000))
+    span = rows.agg(F.min("arrival").alias("a"), F.max("arrival").alias("b"))
+    return rows.crossJoin(F.broadcast(span)).withColumn("slice", F.least(F.lit(SLICES - 1), F.expr(f"(arrival - a) * {SLICES} div (b - a)")).cast("int")).drop("arrival", "a", "b")  # span is one row
+
+
+@plain("stream_windows_append", _ARRIVED + f"""marks AS (SELECT slice, date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY AS mark FROM sliced GROUP BY slice),
+before AS (SELECT s.slice, max(m.mark) AS mark FROM (SELECT DISTINCT slice FROM sliced) s LEFT JOIN marks m ON m.slice < s.slice GROUP BY s.slice),
+taken AS (SELECT DISTINCT event_id, ts, event_type, value FROM sliced JOIN before USING (slice) WHERE mark IS NULL OR ts > mark)
+SELECT epoch_us(date_trunc('day', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS value FROM taken
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(mark) FROM marks) GROUP BY 1, 2""")
+def _stream_windows_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _arrivals(spark, sf_dir)
+    into = shared.shared_path(spark, "windows")
+    return access.replayed(rows, F.col("slice"), SLICES, lambda stream: access.run_into(access.windows(stream), into)).drop("batch")
+
+
+_INTENT_EVENTS = f"""WITH it AS (SELECT o_orderkey AS id, o_orderdate AS at, o_orderdate + to_days((o_orderkey % 30 - 3)::INT) AS due_at FROM orders),
+gone AS (SELECT o_orderkey AS id, o_orderdate + to_days((o_orderkey % 20)::INT) AS cancelled_at FROM orders WHERE o_orderkey % 11 = 0),
+mark AS (SELECT greatest((SELECT max(at) FROM it), (SELECT max(cancelled_at) FROM gone)) - INTERVAL 2 DAY AS mark)
+"""
+
+
+@plain("stream_intents_due", _INTENT_EVENTS + """SELECT id, epoch_ms(due_at) AS due_ms FROM it LEFT JOIN gone USING (id), mark WHERE due_at <= mark AND (cancelled_at IS NULL OR cancelled_at > due_at)""")
+def _stream_intents_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as intents: due some days later or up to three days before they come; every eleventh is cancelled."""
+    key = F.col("o_orderkey")
+    orders = source.table(spark, sf_dir, "orders").select(key.alias("id"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    days = lambda n: F.make_dt_interval(n.cast("int"))
+    told = orders.select("id", "at", F.lit("remember").alias("kind"), (F.col("at") + days(F.col("id") % 30 - 3)).alias("due_at"))
+    gone = orders.where("id % 11 = 0").select("id", (F.col("at") + days(F.col("id") % 20)).alias("at"), F.lit("cancel").alias("kind"), F.lit(None).cast("timestamp").alias("due_at"))
+    events = told.unionByName(gone)
+    span = events.agg(F.min(F.unix_micros("at")).alias("a"), F.max(F.unix_micros("at")).alias("b"))
+    rows = events.crossJoin(F.broadcast(span)).withColumn("slice", F.least(F.lit(SLICES - 1), F.expr(f"(unix_micros(at) - a) * {SLICES} div (b - a)")).cast("int")).drop("a", "b")  # span is one row
+    into = shared.shared_path(spark, "due")
+    return access.replayed(rows, F.col("slice"), SLICES, lambda stream: access.run_into(due.due_intents(stream, "2 days"), into, "update", due.STORE)).select("id", "due_ms")
+
+
+@query("stream_access_merged", """, acc AS (SELECT 'd' || (event_id % (SELECT n FROM cnt)) AS id, count(*) AS n, max(ts) AS t FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT id, access_count + coalesce(n, 0) AS access_count, epoch_us(greatest(last_access_at, t)) AS accessed_us FROM mem LEFT JOIN acc USING (id)""")
+def _stream_access_merged(t: Tables) -> DataFrame:
+    """Purchases as accesses in three batches, the first of which comes again, folded into the memories half-way."""
+    n = source.table(t.spark, t.dir, "documents").count()
+    events = source.table(t.spark, t.dir, "events").where("event_type = 'purchase'")
+    rows = events.select("event_id", F.concat(F.lit("d"), (F.col("event_id") % n).cast("string")).alias("memory_id"), F.col("ts").cast("timestamp").alias("ts"))
+    store = source.open_store(t.spark, shared.shared_path(t.spark, "accessed"))
+    store.write("memories", t.mem.select("id", "access_count", "last_access_at"))
+    checkpoint = f"{store.path}/checkpoint"
+
+    def run(stream: DataFrame) -> DataFrame:
+        access.merge_accesses(stream, store.ledger, checkpoint)
+        access.take_accesses(store.ledger, rows, 0)  # what a driver does that was lost before it could note the batch
+        return access.fold_accesses(store.ledger)
+
+    access.replayed(rows, F.pmod(F.xxhash64("event_id"), F.lit(3)).cast("int"), 3, run)
+    return store.read("memories").select("id", "access_count", F.unix_micros("last_access_at").alias("accessed_us"))
+
+
 for _name, (_f, _sql) in general.ALL.items():
     plain(_name, _sql)(_f)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from palimpsest.functions import curve, text
 from palimpsest.functions.lexicon import ORIGINS
 from palimpsest.sources import shared
+from palimpsest.sources.ledger import ConcurrentWrite, Ledger
 
 #: The instant that reports are made for, where none is given.
 NOW = "2024-02-01 00:00:00"
@@ -97,61 +99,53 @@ def active(mem: DataFrame, kind: str | None = None) -> DataFrame:
 
 
 class Store:
-    """Tables in snapshot folders: a write makes a new folder, then moves a pointer, so readers never see half of it."""
+    """Tables of a folder under one log. A write makes a new part and commits it, so readers never see half of it, and of
+    two writers who began from the same version one wins."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.path}/{name}/CURRENT"
+        self.ledger = Ledger(spark, self.path)
 
     def version(self, name: str) -> str | None:
-        fs, where = self._fs(self._pointer(name))
-        return self.spark.read.text(self._pointer(name)).first()[0] if fs.exists(where) else None
+        """What identifies the table's present rows."""
+        parts = self.ledger.state()["tables"].get(name)
+        return None if parts is None else "|".join(p["at"] for p in parts)
 
     def read(self, name: str) -> DataFrame:
-        version = self.version(name)
-        if version is None:
+        parts = self.ledger.state()["tables"].get(name)
+        if parts is None:
             if name == "memories":
                 return self.spark.createDataFrame([], SCHEMA)
             raise FileNotFoundError(name)
-        return self.spark.read.parquet(f"{self.path}/{name}/{version}")
+        return self.ledger.frame(parts).drop("commit")
 
     def write(self, name: str, df: DataFrame, by: list[str] | None = None, expected: str | None = None) -> DataFrame:
         """A new snapshot. With expected, the version that df was made from: another one meanwhile raises ConcurrentWrite,
         and the store stays as it is."""
-        version = f"v-{uuid.uuid4().hex}"
-        writer = df.write.partitionBy(*by) if by else df.write
-        writer.parquet(f"{self.path}/{name}/{version}")
-        if expected is not None and self.version(name) != expected:
-            raise ConcurrentWrite(name)
-        # The pointer is written whole beside the old one and takes its place in one step.
-        jvm = self.spark._jvm
-        fs, where = self._fs(f"{self._pointer(name)}-{uuid.uuid4().hex}")
-        out = fs.create(where, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), self.spark._jsc.hadoopConfiguration())
-        rename = jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(where, jvm.org.apache.hadoop.fs.Path(self._pointer(name)), options)
+        self.write_all({name: df}, {} if expected is None else {name: expected}, {name: by} if by else {})
         return self.read(name)
 
-    def vacuum(self, name: str) -> int:
-        """Deletes the snapshots that the pointer doesn't name; how many. Readers of older ones must have ended."""
-        current, gone = self.version(name), 0
-        fs, where = self._fs(f"{self.path}/{name}")
-        for status in fs.listStatus(where):
-            found = status.getPath()
-            if found.getName().startswith("v-") and found.getName() != current:
-                gone += bool(fs.delete(found, True))
-        return gone
+    def write_all(self, tables: dict[str, DataFrame], expected: dict[str, str | None] | None = None, by: dict[str, list[str]] | None = None) -> None:
+        """New snapshots of several tables in one commit; expected as for write()."""
+        for _ in range(100):
+            t = self.ledger.transaction()
+            for name, version in (expected or {}).items():
+                parts = t.parts(name)
+                if (None if parts is None else "|".join(p["at"] for p in parts)) != version:
+                    raise ConcurrentWrite(name)
+            for name, df in tables.items():
+                t.write(name, df, (by or {}).get(name))
+            try:
+                t.commit()
+                return
+            except ConcurrentWrite:
+                if expected:
+                    raise
+        raise ConcurrentWrite(", ".join(tables))
+
+    def vacuum(self, name: str | None = None) -> int:
+        """Deletes all but the last commit, and parts that it doesn't name; how many. Readers of older ones must have ended."""
+        return self.ledger.vacuum(kept=1)
 
     def merge(self, name: str, changes: DataFrame, key: str = "id") -> DataFrame:
         """Rows of changes in place of the rows with the same key."""
@@ -160,23 +154,38 @@ class Store:
         return self.write(name, old.join(changes.select(key), key, "left_anti").unionByName(changes.select(old.columns)), expected=version)
 
     def delete(self, name: str, keys: DataFrame, key: str = "id") -> DataFrame:
-        return self.write(name, self.read(name).join(keys.select(key).distinct(), key, "left_anti"), expected=self.version(name))
+        version = self.version(name)
+        return self.write(name, self.read(name).join(keys.select(key).distinct(), key, "left_anti"), expected=version)
+
+    def delete_memories(self, ids: DataFrame) -> None:
+        """Memories with all that hangs on them (links, vectors, suppressed ids, recorded terms and cues), in one commit."""
+        gone = ids.select("id").distinct()
+        for _ in range(20):
+            versions = {n: self.version(n) for n in ("memories", "links", "vectors", "suppressed", "terms", "cues") if self.version(n) is not None}
+            new = {}
+            for name in versions:
+                rows = self.read(name)
+                for column in ("src", "dst") if name == "links" else ("id",):
+                    if column in rows.columns:
+                        rows = rows.join(gone.withColumnRenamed("id", column), column, "left_anti").select(rows.columns)
+                new[name] = rows
+            try:
+                return self.write_all(new, versions)
+            except ConcurrentWrite:
+                continue
+        raise ConcurrentWrite("memories")
 
     def get_setting(self, key: str) -> str | None:
-        row = self.read_or("settings", "key string, value string").where(F.col("key") == key).first()
-        return row["value"] if row else None
+        return self.ledger.state()["properties"].get(key)
 
     def put_setting(self, key: str, value: str) -> None:
-        old = self.read_or("settings", "key string, value string").where(F.col("key") != key)
-        self.write("settings", old.unionByName(self.spark.createDataFrame([(key, value)], "key string, value string")))
+        self.ledger.update(lambda t: t.put(key, value))
 
     def read_or(self, name: str, schema: str) -> DataFrame:
-        """A table, or an empty one where it was never written. Columns that it lacks are null: schemas may grow."""
+        """A table, or an empty one where it was never written. Columns that it lacks are filled: schemas may grow."""
         if self.version(name) is None:
             return self.spark.createDataFrame([], schema)
-        rows = self.read(name)
-        wanted = self.spark.createDataFrame([], schema).schema
-        return rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
+        return migrated(self.read(name), self.spark.createDataFrame([], schema).schema)
 
     def export_json(self, path: str) -> None:
         """Active memories, intents and suppressed ids, as JSON lines in a folder each."""
@@ -186,26 +195,45 @@ class Store:
 
     def import_json(self, path: str) -> DataFrame:
         """Rows of an export under their own ids; ids already present keep the stored row. Intents and the suppressed ids that
-        exist come along."""
+        exist come along, all in one commit."""
         def rows(name: str, schema) -> DataFrame:
-            fs, where = self._fs(f"{path}/{name}")
-            return self.spark.read.schema(schema).json(f"{path}/{name}") if fs.exists(where) else self.spark.createDataFrame([], schema)
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            there = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+            return self.spark.read.schema(schema).json(f"{path}/{name}") if there else self.spark.createDataFrame([], schema)
 
+        versions = {n: self.version(n) for n in ("memories", "intents", "suppressed")}
         new = rows("memories", SCHEMA)
         old = self.read("memories")
-        out = self.write("memories", old.unionByName(new.join(old.select("id"), "id", "left_anti").select(old.columns)))
+        mem = old.unionByName(new.join(old.select("id"), "id", "left_anti").select(old.columns))
         intents = self.read_or("intents", INTENTS)
-        self.write("intents", intents.unionByName(rows("intents", INTENTS).join(intents.select("id"), "id", "left_anti").select(intents.columns)))
+        intents = intents.unionByName(rows("intents", INTENTS).join(intents.select("id"), "id", "left_anti").select(intents.columns))
         ids = self.read_or("suppressed", "id string").unionByName(rows("suppressed", "id string")).distinct()
-        self.write("suppressed", ids.join(out.select("id"), "id", "left_semi"))
-        return out
+        self.write_all({"memories": mem, "intents": intents, "suppressed": ids.join(mem.select("id"), "id", "left_semi")}, versions)
+        return self.read("memories")
+
+
+#: What columns hold in rows from before they existed; others are null.
+DEFAULTS = {
+    "trust": 0.5, "importance": 0.5, "strength": 0.5, "storage_strength": 1.0, "confidence": 0.6, "review_streak": 0.0, "access_count": 0, "retrieval_successes": 0, "retrieval_failures": 0,
+    "evidence_count": 1, "revision_count": 0, "status": "active", "kind": "episodic", "origin": "user",
+}
+
+
+def migrated(rows: DataFrame, schema: T.StructType = SCHEMA) -> DataFrame:
+    """Rows in the present schema: columns they lack get their defaults, nulls in stored rows stay."""
+    def column(f: T.StructField) -> Column:
+        if f.name in rows.columns:
+            return F.col(f.name).cast(f.dataType).alias(f.name)
+        return (F.array() if f.name == "cues" else F.lit(DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name)
+
+    return rows.select(*(column(f) for f in schema))
 
 
 class MemoryStore(Store):
-    """A store without files: tables live as long as the session does."""
+    """A store without files of its own: tables live as long as the session does."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.path, self.tables = spark, "", {}
+        self.spark, self.path, self.tables, self.settings, self.lock = spark, "", {}, {}, threading.Lock()
 
     def version(self, name: str) -> str | None:
         return self.tables[name][0] if name in self.tables else None
@@ -217,18 +245,22 @@ class MemoryStore(Store):
             return self.spark.createDataFrame([], SCHEMA)
         raise FileNotFoundError(name)
 
-    def write(self, name: str, df: DataFrame, by: list[str] | None = None, expected: str | None = None) -> DataFrame:
-        if expected is not None and self.version(name) != expected:
-            raise ConcurrentWrite(name)
-        self.tables[name] = (uuid.uuid4().hex, shared.written(df, name))
-        return self.read(name)
+    def write_all(self, tables: dict[str, DataFrame], expected: dict[str, str | None] | None = None, by: dict[str, list[str]] | None = None) -> None:
+        new = {name: (uuid.uuid4().hex, shared.written(df, name)) for name, df in tables.items()}
+        with self.lock:
+            for name, version in (expected or {}).items():
+                if self.version(name) != version:
+                    raise ConcurrentWrite(name)
+            self.tables |= new
 
-    def vacuum(self, name: str) -> int:
-        return 0
+    def get_setting(self, key: str) -> str | None:
+        return self.settings.get(key)
 
+    def put_setting(self, key: str, value: str) -> None:
+        self.settings[key] = value
 
-class ConcurrentWrite(RuntimeError):
-    """Another write came between reading a table and writing it."""
+    def vacuum(self, name: str | None = None) -> int:
+        return 0
 
 
 def open_store(spark: SparkSession, path: str | None = None) -> Store:

@@ -271,9 +271,8 @@ class StoreTools:
     def purge(self) -> DataFrame:
         """Deletes recycled memories with their links; how many."""
         ids = source.shared.written(self.memories.where("status = 'recycled'").select("id"), "purged")
-        left = ingest.deleted({"memories": self.memories, "links": self.links}, ids, only_recycled=True)
-        for name, df in left.items():
-            self.store.write(name, df)
+        versions = {n: self.store.version(n) for n in ("memories", "links")}
+        self.store.write_all(ingest.deleted({"memories": self.memories, "links": self.links}, ids, only_recycled=True), versions)
         return ids.agg(F.count("*").alias("purged"))
 
     def tag_memories(self, ids: list[str], add: list[str] = (), remove: list[str] = ()) -> DataFrame:
@@ -329,10 +328,10 @@ class StoreTools:
 
     def sleep(self) -> DataFrame:
         """A night: memories and links after all phases, and what each touched."""
+        versions = {n: self.store.version(n) for n in ("memories", "links")}
         report = source.shared.written(consolidate.sleep_report(source.active(self.memories), self.now), "sleep")
         mem, links = consolidate.sleep(self.memories, self.links, self.now)
-        self.store.write("memories", mem)
-        self.store.write("links", links)
+        self.store.write_all({"memories": mem, "links": links}, versions)
         return report
 
     def rebuild_vectors(self) -> DataFrame:
