@@ -7,14 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import common
 
 DIMS = 4096
 SCALE = 40.0
-#: The training sample: rows of a language, and rows in all.
+#: The training sample: distinct texts of a language, and in all.
 PER_LANGUAGE, ALL_ROWS = 500, 4000
 #: Losses that lie closer than this to each other leave a text ambiguous.
 AMBIGUOUS = 0.08
@@ -124,20 +124,24 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
-    """A model from a bounded sample of labelled rows: PER_LANGUAGE rows of a language and ALL_ROWS in all, those
-    with the smallest hashes of their text, copies of a text once. Of more than ALL_ROWS // 4 languages the most
-    frequent are learned. None without labelled rows with letters."""
+    """A model from a bounded sample of labelled rows: of each language the PER_LANGUAGE distinct texts with the smallest
+    hashes, fewer where languages are many, at least one, so that ALL_ROWS in all are not exceeded. Of more than ALL_ROWS
+    languages the ones with the most texts are learned. None without labelled rows with letters."""
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    n = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(ALL_ROWS // 4).collect()}
-    if not n:
+    h = F.xxhash64("text", F.lit(1))
+    place = h.cast("double") / float(1 << 64) + 0.5
+    # Copies of a text are one: what is counted is what can be drawn.
+    stats = labelled.groupBy("lang").agg(F.count_distinct(h).alias("n"), F.min(place).alias("least"))
+    known = stats.orderBy(F.desc("n"), "lang").limit(ALL_ROWS).collect()
+    if not known:
         return None
-    each = max(4, min(PER_LANGUAGE, ALL_ROWS // len(n)))
-    share = F.lit(0.0)
-    for k, c in n.items():
-        share = F.when(F.col("lang") == k, F.lit(each / c)).otherwise(share)
-    place = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) / (1 << 30)
-    # Copies of a text are one row, and the same rows are taken in whatever order they come.
-    chosen = labelled.where(place < share).distinct().orderBy(place / share, F.xxhash64("text"), "lang").limit(ALL_ROWS)
+    each = max(1, min(PER_LANGUAGE, ALL_ROWS // len(known)))
+    # So many hashes lie below the bound that all but surely `each` of them do; ranks then cut those few to `each`.
+    wide = each + 5 * each**0.5 + 10
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], max(r["least"], wide / r["n"])) for r in known], "lang string, bound double")
+    near = labelled.join(F.broadcast(bounds), "lang").where(place <= F.col("bound")).select("text", "lang").distinct()  # bounds: ALL_ROWS rows at most
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "text"))
+    chosen = near.withColumn("rank", rank).where(F.col("rank") <= each).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()

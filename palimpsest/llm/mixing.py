@@ -24,7 +24,7 @@ ITERATIONS = 25
 #: Up to so many cells the fit runs on the driver and its result is broadcast; beyond, as DataFrame steps and a join.
 CELLS_ON_DRIVER = 100_000
 SEED = 97
-#: Number of topics, and the letters a to z that a topic's word has in a row at least.
+#: Number of topics, and the letters (a to z and all beyond ASCII) that a topic's word has in a row at least.
 TOPICS, LETTERS = 48, 5
 #: A topic's word is in one of so many documents at most.
 RARITY = 10
@@ -32,15 +32,16 @@ BLOCK = 1 << 20
 
 
 def _runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of the runs of LETTERS letters a to z or more."""
-    inside = (data >= 97) & (data <= 122)
+    """Starts, ends and text numbers of the runs of LETTERS or more letters a to z and characters beyond ASCII."""
+    inside = (data >= 97) & (data <= 122) | (data >= 128)
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     starts = np.nonzero(inside & (~before | edge[:-1]))[0]
     ends = np.nonzero(inside & (~after | edge[1:]))[0] + 1
-    long = ends - starts >= LETTERS
+    characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    long = characters[ends] - characters[starts] >= LETTERS
     starts, ends = starts[long], ends[long]
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
@@ -137,11 +138,17 @@ def fit_on_driver(keys: list[tuple], tokens: np.ndarray, targets: list[dict], it
             now = np.bincount(of, share, len(values))
             aim = np.array([target.get(v, 0.0) for v in values])
             share = share * np.where(now > 0, aim / np.where(now > 0, now, 1), 0)[of]
-    return share / share.sum()
+    return share / share.sum() if share.any() else share
 
 
 def probabilities(share: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarray:
-    """Chances in proportion to share/tokens, at most 1, that keep `budget` tokens on average (all, if there are fewer)."""
+    """Chances in proportion to share/tokens, at most 1, that keep `budget` tokens on average (all with a share, if those are
+    fewer). Cells without a share have no chance."""
+    some = share > 0
+    if not some.all():
+        out = np.zeros(len(share))
+        out[some] = probabilities(share[some], tokens[some], budget) if some.any() else 0
+        return out
     ratio = share / tokens
     order = np.argsort(-ratio, kind="stable")
     full = np.concatenate([[0], np.cumsum(tokens[order])])[:-1]
@@ -152,16 +159,19 @@ def probabilities(share: np.ndarray, tokens: np.ndarray, budget: float) -> np.nd
 
 
 def fit_as_frames(cells: DataFrame, targets: dict[str, DataFrame], iterations: int, budget: float) -> DataFrame:
-    """The same on DataFrames: dims, tokens, share, probability."""
+    """The same on DataFrames: dims, tokens, share, probability. A value without target has share and chance 0."""
     now = cells.where("tokens > 0").withColumn("share", F.col("tokens").cast("double"))
     for _ in range(iterations):
         for d, target in targets.items():
             sums = now.groupBy(d).agg(F.sum("share").alias("__now"))
-            factor = sums.join(target.withColumnRenamed("share", "__aim"), d, "left").select(d, (F.coalesce("__aim", F.lit(0.0)) / F.col("__now")).alias("__f"))
+            factor = sums.join(target.withColumnRenamed("share", "__aim"), d, "left").select(d, F.coalesce(F.try_divide(F.coalesce("__aim", F.lit(0.0)), F.col("__now")), F.lit(0.0)).alias("__f"))
             now = now.join(factor, d).withColumn("share", F.col("share") * F.col("__f")).drop("__f")
         now = common.written(now, "fit")
     # Which cells are kept whole is found by halving; the scale of the others follows in closed form.
-    low, high = 0.0, float(now.agg(F.max(F.col("tokens") / F.col("share"))).first()[0])
+    most = now.agg(F.max(F.try_divide(F.col("tokens"), F.col("share")))).first()[0]
+    if most is None:  # no target can be met
+        return now.withColumn("probability", F.lit(0.0))
+    low, high = 0.0, float(most)
     for _ in range(60):
         middle = (low + high) / 2
         got = now.agg(F.sum(F.least(F.col("tokens").cast("double"), middle * F.col("share")))).first()[0]
@@ -246,7 +256,7 @@ def oracle(iterations: int = ITERATIONS) -> str:
         for d in DIMENSIONS
     ]
     return f"""WITH texts AS MATERIALIZED (SELECT *, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
-occurs AS MATERIALIZED (SELECT rid, unnest(regexp_extract_all(t, '[a-z]{{{LETTERS},}}')) AS w FROM texts),
+occurs AS MATERIALIZED (SELECT rid, unnest(regexp_extract_all(t, '[a-z\\x{{80}}-\\x{{10FFFF}}]{{{LETTERS},}}')) AS w FROM texts),
 vocabulary AS MATERIALIZED (SELECT w, ln((SELECT count(*) FROM texts) / count(DISTINCT rid)) AS weight FROM occurs GROUP BY w
   HAVING count(DISTINCT rid) >= 2 AND count(DISTINCT rid) * {RARITY} <= (SELECT count(*) FROM texts) ORDER BY count(DISTINCT rid) DESC, w LIMIT {TOPICS}),
 topics AS MATERIALIZED (SELECT rid, w AS topic FROM (SELECT rid, w, row_number() OVER (PARTITION BY rid ORDER BY round(count(*) * any_value(weight), 9) DESC, w) AS k

@@ -397,9 +397,28 @@ def test_mix_to_given_targets(spark):
     assert abs(total / sum(r["n_tokens"] for r in got) - 0.3) < 1e-6
 
 
+@pytest.mark.parametrize("targets", [{"source": {"a": 1}}, {"source": {"zzz": 1}}, {"source": {"a": 1}, "lang": {"fr": 1}}, {"lang": {"en": 3, "unknown": 1, "de": 1}}])
+def test_mix_with_missing_targets_both_ways(spark, targets):
+    """A value without target is not sampled, on the driver and as frames; targets that nothing meets keep nothing."""
+    rows = [(k, "w " * (1 + k % 9), ["a", "b", None][k % 3], "en" if k % 2 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    one, two = ({r["doc_id"]: (round(r["probability"], 6), round(r["share"], 6)) for r in mixing.mix(df, targets, iterations=4, on_driver=n).collect()} for n in (1000, 0))
+    assert one == two
+    for k, _, source, lang in rows:
+        missing = any((value or "unknown") not in targets.get(d, {value or "unknown": 1}) for d, value in (("source", source), ("lang", lang)))
+        assert (one[k][0] == 0) == (missing or targets.get("source") == {"zzz": 1})
+
+
+def test_topics_in_other_scripts(spark):
+    rows = [(k, "мандарины растут " * (k % 2) + f"слово{k}", "s", "ru") for k in range(40)] + [(100 + k, f"x{k}", "s", "en") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r["topic"] for r in mixing.mix(df, iterations=2).collect()}
+    assert got[1] == "мандарины" and got[0] == "слово" or got[0] == "other"
+
+
 def test_topics_by_definition(spark):
     rows = [(r["doc_id"], r["text"], "s", "l") for r in common.load(spark, DIR, "documents").collect()]
-    words = {i: re.findall("[a-z]{5,}", t or "") for i, t, _, _ in rows}
+    words = {i: re.findall("[a-z\x80-\U0010ffff]{5,}", t or "") for i, t, _, _ in rows}
     seen = {}
     for i, w in words.items():
         for x in set(w):

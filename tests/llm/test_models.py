@@ -161,3 +161,24 @@ def test_ambiguous_and_nearest_codewords_by_definition(spark):
 def test_blocks_hold_whole_rows():
     batch = pa.record_batch([pa.array(["a" * 10, None, "b" * 50, "c"])], names=["t"])
     assert [b.num_rows for b in common.blocks([batch], "t", 20)] == [2, 1, 1]
+
+
+def test_no_language_is_lost_where_texts_repeat(spark):
+    """Most rows are French, but only ten texts; two languages have many texts, one a single row."""
+    rng = random.Random(11)
+    make = lambda words: " ".join(rng.choice(words) for _ in range(20))
+    french = [make("le la les une des est dans pour avec sur".split()) for _ in range(10)]
+    rows = [(french[k % 10], "fr") for k in range(8000)]
+    rows += [(make("the and of with from that this have".split()), "en") for _ in range(700)] + [(make("der die das und nicht mit ein ist".split()), "de") for _ in range(700)]
+    rows += [("egy nem hogy volt csak meg", "hu")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    model = langid.train(df)
+    assert model.languages == ["de", "en", "fr", "hu"]
+    found = langid.identify(df.distinct().withColumnRenamed("lang", "want"), model, keep=["want"]).collect()
+    assert sum(r["want"] == r["lang_pred"] for r in found) >= 0.99 * len(found)
+
+
+def test_many_languages_each_have_a_text(spark):
+    rows = [(f"{chr(0x4E00 + k)}{chr(0x5E00 + k)} {chr(0x4E00 + k)}", f"l{k}") for k in range(300) for _ in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 300
