@@ -21,7 +21,7 @@ from palimpsest.sources import shared
 from palimpsest.sources.ledger import Ledger, Transaction
 
 #: Folders of postings, and of documents.
-BUCKETS = 64
+BUCKETS = 16
 #: The leading bits of a code that name a folder.
 LEADING = 4
 
@@ -86,6 +86,7 @@ class TermIndex(Index):
     def _write(self, t: Transaction, kind: str, rows: DataFrame, replace: bool = False) -> None:
         key = "id" if kind == "docs" else "term"
         rows = rows.withColumn("folder", self.folder(F.col(key)))
+        # A folder's rows go to several tasks, so one with a very frequent term is no one task's work.
         rows = rows.repartition("folder", F.pmod(F.xxhash64(*[c for c in rows.columns if c in ("id", "term")]), F.lit(4))).sortWithinPartitions("folder", key)
         (t.write if replace else t.append)(self.table(kind), rows, ["folder"])
 

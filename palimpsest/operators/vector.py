@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 TABLES, SEED = 12, 42
 #: Queries that are sent to all tasks at once; more are met in blocks of so many.
@@ -35,13 +39,90 @@ def _few(queries: list[int] | DataFrame) -> bool:
     return (queries.count() if isinstance(queries, DataFrame) else len(queries)) <= BLOCK
 
 
+#: Numbers of a block of similarities that a task holds at once.
+CELLS = 1 << 22
+
+
+def _query_blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, np.ndarray]]:
+    """key and vectors of the queries (key, vector), `block` at a time: no more of them is on the driver at once."""
+    rows = queries.select("key", "vector").where("vector is not null").toLocalIterator()
+    while part := list(itertools.islice(rows, block)):
+        yield [r["key"] for r in part], np.array([r["vector"] for r in part], float)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length; those without length stay zero."""
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def block_top_k(rows: DataFrame, queries: DataFrame, k: int, itself: bool = False, digits: int = 6, block: int | None = None) -> DataFrame:
+    """query, id, similarity, rank: each query (key, vector) against all rows (id, vector) by exact cosine; ties by id. With
+    `itself`, a row may be a query's neighbour although it has its id.
+
+    Tasks multiply blocks of rows with a block of queries and keep the k best a query, so what is shuffled is k rows a query
+    and task, however many rows there are."""
+    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+    of = queries.schema["key"].dataType.simpleString()
+    schema = f"query {of}, id {kind}, similarity double"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    found = None
+    for keys, vectors in _query_blocks(queries, block or BLOCK):
+        units = _units(vectors)
+
+        def run(batches: Iterator[pa.RecordBatch], keys: list = keys, units: np.ndarray = units) -> Iterator[pa.RecordBatch]:
+            names = np.array(keys, object)
+            best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # of each query: its number, ids, similarities
+            step = max(1, CELLS // max(1, len(keys)))
+            for whole in batches:
+                for start in range(0, whole.num_rows, step):
+                    part = whole.slice(start, step)
+                    ids = np.array(part.column(0).to_pylist(), object)
+                    sims = np.round(_units(np.array(part.column(1).to_pylist(), float)) @ units.T, digits) + 0.0
+                    if not itself:
+                        sims[ids[:, None] == names[None, :]] = -np.inf
+                    keep = min(k, len(ids))
+                    least = np.partition(sims, len(ids) - keep, axis=0)[len(ids) - keep]
+                    r, q = np.nonzero((sims >= least) & (sims > -np.inf))
+                    new = (q, ids[r], sims[r, q])
+                    best = new if best is None else tuple(np.concatenate(x) for x in zip(best, new))
+                    order = np.lexsort((best[1], -best[2], best[0]))
+                    q, i, s = (x[order] for x in best)
+                    place = np.arange(len(q)) - np.searchsorted(q, q)
+                    best = tuple(x[place < k] for x in (q, i, s))
+            if best is not None and len(best[0]):
+                yield pa.RecordBatch.from_pydict({"query": [keys[x] for x in best[0]], "id": best[1].tolist(), "similarity": best[2]}, schema=arrow)
+
+        part = rows.select("id", "vector").where("vector is not null").mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+
+
+def near_any(queries: DataFrame, rows: DataFrame, least: float, block: int | None = None) -> DataFrame:
+    """The keys of the queries (key, vector) that come nearer than `least` to some row (vector)."""
+    spark, schema = rows.sparkSession, f"key {queries.schema['key'].dataType.simpleString()}"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    found = None
+    for keys, vectors in _query_blocks(queries, block or BLOCK):
+        units = _units(vectors)
+
+        def run(batches: Iterator[pa.RecordBatch], keys: list = keys, units: np.ndarray = units) -> Iterator[pa.RecordBatch]:
+            on = np.zeros(len(keys), bool)
+            for batch in batches:
+                on |= (_units(np.array(batch.column(0).to_pylist(), float)) @ units.T > least).any(axis=0) if batch.num_rows else False
+            yield pa.RecordBatch.from_pydict({"key": [k for k, x in zip(keys, on) if x]}, schema=arrow)
+
+        part = rows.select("vector").where("vector is not null").mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], schema) if found is None else found.distinct()
+
+
 def top_k(vectors: DataFrame, query_ids: list[int] | DataFrame, k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query, id, similarity, rank: each query against all rows, by exact cosine."""
-    queries = _chosen(vectors, query_ids, key).select(F.col(key).alias("query"), F.col(column).alias("q"))
-    queries = F.broadcast(queries) if _few(query_ids) else queries.repartition(-(-queries.count() // BLOCK))
-    rows = vectors.join(queries, F.col(key) != F.col("query"))
-    rows = rows.select("query", F.col(key).alias("id"), F.round(cosine(F.col(column), F.col("q")), 6).alias("similarity"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+    queries = _chosen(vectors, query_ids, key).select(F.col(key).alias("key"), F.col(column).alias("vector"))
+    return block_top_k(vectors.select(F.col(key).alias("id"), F.col(column).alias("vector")), queries, k)
 
 
 def knn_vote(vectors: DataFrame, query_ids: list[int] | DataFrame, k: int = 9) -> DataFrame:
@@ -97,10 +178,8 @@ def dense_pass(queries: DataFrame, mem: DataFrame, vectors: DataFrame, k: int =
     """query_id, id, similarity, rank: the memories nearest to each query's vector (query_id, vector). vectors: id, vector;
     only memories of mem take part, which are picked before the neighbours are."""
     rows = vectors.join(mem.select("id"), "id", "left_semi")
-    asked = queries.select("query_id", F.col("vector").alias("q"))
-    asked = F.broadcast(asked) if queries.count() <= BLOCK else asked
-    near = rows.crossJoin(asked).select("query_id", "id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("similarity"))  # a stated query set
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+    found = block_top_k(rows, queries.select(F.col("query_id").alias("key"), "vector"), k, itself=True)
+    return found.withColumnRenamed("query", "query_id").select("query_id", "id", "similarity", "rank")
 
 
 def embedder(kind: str | None, function: Callable[[list[str]], list[list[float]]] | None = None, dim: int = 256) -> Callable[[DataFrame, str], DataFrame] | None:

@@ -327,9 +327,9 @@ def _stream_windows_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.replayed(rows, F.col("slice"), SLICES, lambda stream: access.run_into(access.windows(stream), into)).drop("batch")
 
 
-_INTENT_EVENTS = f"""WITH it AS (SELECT o_orderkey AS id, o_orderdate AS at, o_orderdate + to_days((o_orderkey % 30 - 3)::INT) AS due_at FROM orders),
+_INTENT_EVENTS = f"""WITH it AS (SELECT o_orderkey AS id, o_orderdate AS told_at, o_orderdate + to_days((o_orderkey % 30 - 3)::INT) AS due_at FROM orders),
 gone AS (SELECT o_orderkey AS id, o_orderdate + to_days((o_orderkey % 20)::INT) AS cancelled_at FROM orders WHERE o_orderkey % 11 = 0),
-mark AS (SELECT greatest((SELECT max(at) FROM it), (SELECT max(cancelled_at) FROM gone)) - INTERVAL 2 DAY AS mark)
+mark AS (SELECT greatest((SELECT max(told_at) FROM it), (SELECT max(cancelled_at) FROM gone)) - INTERVAL 2 DAY AS mark)
 """
 
 

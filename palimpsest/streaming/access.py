@@ -83,14 +83,17 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", options: dict[s
 
 def run_into(df: DataFrame, into: str, mode: str = "append", options: dict[str, str] | None = None) -> DataFrame:
     """The same into a given folder, where it goes on from the checkpoint that an earlier run has left. A batch has a
-    folder of its own that a replay overwrites, so it counts once."""
+    folder of its own that a replay overwrites, so it counts once. State is kept in as many partitions as the cluster has
+    cores, or fewer where the session says so: each is a store that every batch opens."""
     spark, seen = df.sparkSession, []
+    cores, shuffle = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    options = {"spark.sql.shuffle.partitions": str(min(cores, shuffle)), **(options or {})}
 
     def keep(rows: DataFrame, k: int) -> None:
         rows.write.mode("overwrite").parquet(f"{into}/rows/batch={k}")
         seen.append(k)
 
-    with settings(spark, options or {}):
+    with settings(spark, options):
         query = df.writeStream.foreachBatch(keep).option("checkpointLocation", f"{into}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
         query.awaitTermination()
     schema = T.StructType([*df.schema, T.StructField("batch", T.LongType())])
