@@ -29,10 +29,11 @@ def exploded(items: DataFrame) -> DataFrame:
 
 
 def inverted(mem: DataFrame, part_rows: int = 10_000) -> DataFrame:
-    """term, part, ids: the memories of each term, a frequent term's in several parts of about `part_rows`."""
+    """term, part, ids: the memories of each term, a frequent term's in several parts of about `part_rows`, by the digest of
+    the id."""
     terms = term_index(mem)
     parts = terms.groupBy("term").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
-    dealt = terms.join(parts, "term").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    dealt = terms.join(parts, "term").withColumn("part", (F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % F.col("parts")).cast("int"))
     return dealt.groupBy("term", "part").agg(F.sort_array(F.collect_set("id")).alias("ids"))
 
 

@@ -201,13 +201,14 @@ def schema_fit(mem: DataFrame, items: DataFrame | None = None) -> DataFrame:
 
 def health(mem: DataFrame, links: DataFrame, conflicts: DataFrame, overdue: DataFrame, clashes: DataFrame, suppressed: DataFrame) -> DataFrame:
     """One row: 100 less what isolation, crowded cues (three memories or more whose words overlap), conflicts, overdue
-    intents, clashing ones and suppressed memories cost. The tables' rows count."""
+    intents, clashing ones and suppressed memories cost. The tables' rows count; clashes may be a row with the number."""
     linked = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(mem.select("id"), "id", "left_semi")
     crowded = mem.select(F.explode("cues").alias("cue")).groupBy("cue").count().where("count >= 3")
     one = mem.agg(F.count("*").alias("n"))
     tables = {"linked": linked, "crowded": crowded, "conflicts": conflicts, "overdue_intents": overdue, "intent_clashes": clashes, "suppressed": suppressed}
     for name, df in tables.items():
-        one = one.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))  # rows of one each
+        number = F.coalesce(F.sum("clashes"), F.lit(0)) if "clashes" in df.columns else F.count("*")
+        one = one.crossJoin(F.broadcast(df.agg(number.alias(name))))  # rows of one each
     ratio = F.round(F.col("linked") / F.greatest(F.lit(1), F.col("n")), 3)
     lost = (
         F.least(F.lit(20), F.bround(F.round((1.0 - ratio) * 50, 6)).cast("int"))

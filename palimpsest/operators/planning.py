@@ -47,13 +47,45 @@ def intent_conflicts(intents: DataFrame, minutes: int = 60) -> DataFrame:
     return near.unionByName(same.join(near, ["id_a", "id_b"], "left_anti"))
 
 
+def _at(intents: DataFrame) -> DataFrame:
+    """id, context_cue, t (seconds) of the active intents."""
+    return intents.where("status = 'active'").select("id", F.coalesce("context_cue", F.lit("")).alias("context_cue"), F.unix_seconds(F.col("due_at").cast("timestamp")).alias("t"))
+
+
+def clash_count(intents: DataFrame, minutes: int = 60) -> DataFrame:
+    """One row, clashes: how many pairs intent_conflicts() would list, without listing them. Intents with the same cue and
+    time are one row with a count; a cue's pairs follow from counts, near times are met in buckets of the window's width."""
+    width = minutes * 60
+
+    def near_pairs(rows: DataFrame, by: list[str]) -> DataFrame:
+        """Pairs less than the width apart: those at one time, and those of times in this bucket or the next."""
+        one = rows.groupBy(*by, "t").agg(F.sum("n").alias("n")).withColumn("b", F.floor(F.col("t") / width))
+        same = one.agg(F.sum(F.expr("n * (n - 1) div 2")).alias("x"))
+        later = one.select(*by, F.col("t").alias("t2"), F.col("n").alias("n2"), F.explode(F.array("b", F.col("b") - 1)).alias("b"))
+        apart = one.join(later, [*by, "b"]).where((F.col("t2") > F.col("t")) & (F.col("t2") - F.col("t") < width)).agg(F.sum(F.col("n") * F.col("n2")).alias("x"))
+        return same.unionByName(apart).agg(F.coalesce(F.sum("x"), F.lit(0)).alias("x"))
+
+    rows = _at(intents).groupBy("context_cue", "t").agg(F.count("*").alias("n"))
+    named = rows.where("context_cue <> ''")
+    cues = named.groupBy("context_cue").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("x"))
+    parts = near_pairs(rows, []).unionByName(cues).unionByName(near_pairs(named, ["context_cue"]).select((-F.col("x")).alias("x")))
+    return parts.agg(F.sum("x").cast("long").alias("clashes"))
+
+
 def action_queue(intents: DataFrame, now: Column, limit: int = 20, minutes: int = 60) -> DataFrame:
-    """id, overdue, urgent, hours, clash of the active intents, overdue ones first, then by time."""
+    """id, overdue, urgent, hours, clash of the active intents, overdue ones first, then by time. Whether one of the `limit`
+    rows clashes is told from counts by cue and by time."""
+    width = minutes * 60
     rows = intents.where("status = 'active'").withColumn("hours", hours_between(now, F.col("due_at")))
     rows = rows.select("id", (F.col("hours") <= 0).alias("overdue"), (F.col("hours") <= 1).alias("urgent"), F.round("hours", 6).alias("hours"))
     top = rows.orderBy(F.desc("overdue"), "hours", "id").limit(limit)
-    clashing = intent_conflicts(intents, minutes).select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().withColumn("clash", F.lit(True))
-    return top.join(clashing, "id", "left").withColumn("clash", F.coalesce("clash", F.lit(False)))
+    every = _at(intents)
+    asked = F.broadcast(every.join(F.broadcast(top.select("id")), "id", "left_semi"))  # limit rows
+    same = every.where("context_cue <> ''").join(asked.select("context_cue").distinct(), "context_cue", "left_semi").groupBy("context_cue").agg((F.count("*") > 1).alias("cue_clash"))
+    times = every.groupBy("t").agg(F.count("*").alias("n")).withColumnRenamed("t", "t2")
+    near = asked.join(times, F.abs(F.col("t") - F.col("t2")) < width).groupBy("id").agg((F.sum("n") > 1).alias("time_clash"))
+    told = asked.join(same, "context_cue", "left").join(near, "id", "left").select("id", (F.coalesce("cue_clash", F.lit(False)) | F.coalesce("time_clash", F.lit(False))).alias("clash"))
+    return top.join(told, "id", "left").withColumn("clash", F.coalesce("clash", F.lit(False)))
 
 
 def outcome_rates(outcomes: DataFrame, by: str = "step") -> DataFrame:
@@ -68,18 +100,6 @@ def outcome_deltas(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
     return plan.join(signed, "step", "left").select("plan_id", "step", F.greatest(F.lit(-0.15), F.least(F.lit(0.15), 0.08 * F.coalesce("x", F.lit(0)))).alias("delta"))
 
 
-def dependency_levels(deps: DataFrame, most: int = 20) -> DataFrame:
-    """step, level: the longest chain of dependencies below each step (deps: step, needs)."""
-    rows = deps.select(F.col("step"), F.lit(1).alias("level")).unionByName(deps.select(F.col("needs").alias("step"), F.lit(0).alias("level"))).groupBy("step").agg(F.max("level").alias("level"))
-    for _ in range(most):
-        up = deps.join(rows.select(F.col("step").alias("needs"), "level"), "needs").groupBy("step").agg((F.max("level") + 1).alias("up"))
-        new = rows.join(up, "step", "left").select("step", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")).checkpoint()
-        if not new.join(rows.withColumnRenamed("level", "old"), "step").where("level <> old").limit(1).count():
-            return new
-        rows = new
-    raise ValueError("the steps need each other in a circle")
-
-
 def nearest_events(events: DataFrame, anchors: DataFrame) -> DataFrame:
     """anchor_id, side, k, event_id: the two nearest events of the same person before and after each anchor's time.
 

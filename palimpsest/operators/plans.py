@@ -151,10 +151,11 @@ def brief(found: DataFrame, mem: DataFrame, needs: Sequence[str] = L.REQUIREMENT
 
 def risk(mem: DataFrame, conflicts: DataFrame, overdue: DataFrame, clashes: DataFrame, words: Sequence[str] = L.RISK_WORDS) -> DataFrame:
     """One row: memories that tell of risks, conflicts, overdue intents and clashing ones, the score and its verdict. The
-    last three are tables whose rows count."""
+    last three are tables whose rows count; clashes may be a row with the number."""
     one = mem.agg(F.count_if(text.contains_any(F.col("content"), words)).alias("risks"))
     for df, name in ((conflicts, "conflicts"), (overdue, "overdue"), (clashes, "clashes")):
-        one = one.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))  # rows of one each
+        number = F.coalesce(F.sum("clashes"), F.lit(0)) if "clashes" in df.columns else F.count("*")
+        one = one.crossJoin(F.broadcast(df.agg(number.alias(name))))  # rows of one each
     score = F.least(F.lit(100), 10 * F.col("risks") + 15 * F.col("conflicts") + 15 * F.col("overdue") + 10 * F.col("clashes")).cast("long")
     return one.withColumn("score", score).withColumn("verdict", F.when(F.col("score") >= 60, "high").when(F.col("score") >= 30, "moderate").otherwise("low"))
 

@@ -82,7 +82,10 @@ query("lookup_by_hash", "SELECT content_hash, min_by(id, seq) AS id FROM mem WHE
     lambda t: ingest.by_hash(t.mem, "semantic", t.mem.where("seq % 10 = 1").select("content"))
 )
 query("recycled_page", "SELECT id, seq FROM mem WHERE status = 'recycled' AND seq > 100 ORDER BY seq LIMIT 20")(lambda t: ingest.recycled_page(t.mem, 100, 20))
-query("inverted_index", "SELECT term, 0::INT AS part, array_to_string(list_sort(list(id)), ',') AS ids FROM terms GROUP BY term")(lambda t: index.inverted(t.act, 1 << 30).select("term", "part", F.array_join("ids", ",").alias("ids")))
+query("inverted_index", """, sized AS (SELECT id, term, ceil(count(*) OVER (PARTITION BY term) / 100.0)::BIGINT AS parts FROM terms)
+SELECT term, (('0x' || substr(md5(id), 1, 8))::BIGINT % parts)::INT AS part, array_to_string(list_sort(list(id)), ',') AS ids FROM sized GROUP BY 1, 2""")(
+    lambda t: index.inverted(t.act, 100).select("term", "part", F.array_join("ids", ",").alias("ids"))
+)
 query("find_by_terms", "SELECT DISTINCT id FROM terms WHERE term IN ('thing', 'heat', 'tion')")(lambda t: index.find_by_terms(index.term_index(t.act), ["thing", "heat", "tion"]))
 query("terms_removed", "SELECT id, term FROM terms WHERE id NOT IN (SELECT id FROM act WHERE seq % 3 = 0)")(lambda t: index.without_terms(index.term_index(t.act), t.act.where("seq % 3 = 0")).select("id", "term"))
 query("link_weights", "SELECT a, b, coalesce(weight, 0.0) AS weight FROM (SELECT id AS a, 'd' || (seq + 49) AS b FROM act) p LEFT JOIN links ON src = least(a, b) AND dst = greatest(a, b)")(
@@ -213,10 +216,13 @@ def _needs(s, d: str) -> DataFrame:
 
 
 _HOUR = "round(CASE " + " ".join(f"WHEN contains(step, '{w}') THEN {h}" for w, h in RULES.items()) + " ELSE 2.0 END * CASE WHEN length(step) > 12 THEN 1.2 ELSE 1.0 END, 1)"
-plain("plan_quality", _PLAN + f""", one AS (SELECT plan_id, count(*) AS steps, count(*) FILTER ({contains('step', VERBS)}) AS verb_steps, count(DISTINCT step) < count(*) AS repeats FROM pl GROUP BY plan_id),
- o2 AS (SELECT *, plan_id IN (SELECT plan_id FROM an) AS ordered FROM one)
-SELECT plan_id, steps, verb_steps, repeats, ordered, score, CASE WHEN score >= 75 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'weak' END AS verdict FROM (SELECT *, greatest(0, least(100, round_even(round(25 + 30.0 * verb_steps / steps + CASE WHEN ordered OR (steps >= 4 AND verb_steps = steps AND NOT repeats) THEN 15 ELSE 5 END - CASE WHEN steps <= 12 THEN 0 ELSE least(15, abs(steps - 6)) END - CASE WHEN repeats THEN 10 ELSE 0 END, 9), 0)::INT)) AS score FROM o2)""")(
-    lambda s, d: plans.quality(_plan(s, d), verbs=VERBS).drop("alignment")
+query("plan_quality", ", " + _PLAN[len("WITH ") :] + f""", one AS (SELECT plan_id, count(*) AS steps, count(*) FILTER ({contains('step', VERBS)}) AS verb_steps, count(DISTINCT step) < count(*) AS repeats FROM pl GROUP BY plan_id),
+ pw AS (SELECT DISTINCT plan_id, unnest({tokens('step')}) AS term FROM pl),
+ al AS (SELECT plan_id, round(count(k.term) / count(*), 3) AS alignment FROM pw LEFT JOIN (SELECT DISTINCT term FROM terms) k USING (term) GROUP BY plan_id),
+ o2 AS (SELECT *, plan_id IN (SELECT plan_id FROM an) AS ordered, coalesce(alignment, 0.0) AS agreed FROM one LEFT JOIN al USING (plan_id))
+SELECT plan_id, steps, verb_steps, repeats, ordered, agreed AS alignment, score, CASE WHEN score >= 75 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'weak' END AS verdict FROM (SELECT *, greatest(0, least(100, round_even(round(25 + 30.0 * verb_steps / steps + 20.0 * least(1.0, agreed)
+  + CASE WHEN ordered OR (steps >= 4 AND verb_steps = steps AND NOT repeats) THEN 15 ELSE 5 END - CASE WHEN steps <= 12 THEN 0 ELSE least(15, abs(steps - 6)) END - CASE WHEN repeats THEN 10 ELSE 0 END, 9), 0)::INT)) AS score FROM o2)""")(
+    lambda t: plans.quality(_plan(t.spark, t.dir), index.exploded(t.items), verbs=VERBS)
 )
 plain("plan_tracker", _PLAN + """, st AS (SELECT *, CASE pos % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'blocked' WHEN 2 THEN 'in_progress' ELSE 'pending' END AS status FROM pl)
 SELECT plan_id, count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'in_progress') AS in_progress, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'blocked') AS blocked, round(count(*) FILTER (status = 'done') / count(*), 3) AS ratio FROM st GROUP BY plan_id""")(
@@ -232,7 +238,17 @@ _LEVELS = _PLAN.replace("WITH ", "WITH RECURSIVE ", 1) + """, nd AS MATERIALIZED
  lv AS MATERIALIZED (SELECT plan_id, pos, max(level) AS level FROM wk GROUP BY 1, 2) """
 plain("dependency_map", _LEVELS + "SELECT plan_id, pos, level FROM lv")(lambda s, d: _levels(s, d).select("plan_id", "pos", "level"))
 plain("parallel_groups", _LEVELS + "SELECT plan_id, level, count(*) AS n FROM lv GROUP BY 1, 2 HAVING count(*) > 1")(lambda s, d: plans.parallel_groups(_levels(s, d)))
-plain("effort_estimate", _PLAN + f"SELECT plan_id, total, round(total * 1.2, 1) AS buffered FROM (SELECT plan_id, round(sum({_HOUR}), 1) AS total FROM pl GROUP BY plan_id)")(lambda s, d: plans.effort(_needs(s, d), 2.0, RULES).select("plan_id", "total", "buffered"))
+_CRITICAL = _LEVELS + """, top AS (SELECT plan_id, pos, level FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY level DESC, pos) AS k FROM lv) WHERE k = 1),
+ cp AS (SELECT plan_id, pos, level FROM top UNION ALL SELECT plan_id, pos, level FROM (SELECT l.plan_id, l.pos, l.level, row_number() OVER (PARTITION BY l.plan_id ORDER BY l.pos) AS k
+   FROM cp c JOIN nd n ON n.plan_id = c.plan_id AND n.pos = c.pos JOIN lv l ON l.plan_id = n.plan_id AND l.pos = n.needs AND l.level = c.level - 1) WHERE k = 1) """
+plain("critical_path", _CRITICAL + "SELECT plan_id, pos, level FROM cp")(lambda s, d: _critical(s, d))
+plain("effort_estimate", _CRITICAL + f""", tt AS (SELECT plan_id, round(sum({_HOUR}), 1) AS total FROM pl GROUP BY plan_id), ct AS (SELECT plan_id, round(sum({_HOUR}), 1) AS critical FROM cp JOIN pl USING (plan_id, pos) GROUP BY plan_id)
+SELECT plan_id, total, critical, round(total * 1.2, 1) AS buffered FROM tt JOIN ct USING (plan_id)""")(lambda s, d: plans.effort(_needs(s, d), 2.0, RULES))
+
+
+def _critical(s, d: str) -> DataFrame:
+    needs = plans.dependencies(_needs(s, d))
+    return plans.critical_path(_levels(s, d), needs).select("plan_id", "pos", "level")
 
 
 def _levels(s, d: str) -> DataFrame:
@@ -246,13 +262,16 @@ SELECT plan_id, (row_number() OVER (PARTITION BY plan_id ORDER BY CASE step WHEN
     lambda s, d: plans.rewritten(_plan(s, d), {"the": "plan", "ing": "make", "e": "test"}, ("plan", "make", "test"))
 )
 query("lesson_learned", "SELECT id, tag FROM (SELECT id, CASE " + " ".join(f"WHEN {contains('content', w)} THEN '{k}'" for k, w in TAGS.items()) + " END AS tag FROM act) WHERE tag IS NOT NULL")(lambda t: plans.lessons(t.act, TAGS))
-query("transfer_report", ", pt AS (SELECT DISTINCT conv_id AS plan_id, turn AS pos, unnest(" + tokens("trim(text)") + ") AS term FROM conversations WHERE conv_id < 20), tg AS (SELECT id, CASE " + " ".join(f"WHEN {contains('content', w)} THEN '{k}'" for k, w in TAGS.items()) + " END AS tag FROM act) SELECT plan_id, pos, id, tag, count(*) AS common FROM pt JOIN terms USING (term) JOIN tg USING (id) WHERE tag IS NOT NULL GROUP BY ALL")(
-    lambda t: plans.transfer(_plan(t.spark, t.dir).where("plan_id < 20"), t.act, t.items, TAGS)
+query("transfer_report", ", pt AS (SELECT DISTINCT conv_id AS plan_id, turn AS pos, unnest(" + tokens("trim(text)") + ") AS term FROM conversations WHERE conv_id % 100 = 0), tg AS (SELECT id, CASE " + " ".join(f"WHEN {contains('content', w)} THEN '{k}'" for k, w in TAGS.items()) + " END AS tag FROM act) SELECT plan_id, pos, id, tag, count(*) AS common FROM pt JOIN terms USING (term) JOIN tg USING (id) WHERE tag IS NOT NULL GROUP BY ALL")(
+    lambda t: plans.transfer(_plan(t.spark, t.dir).where("plan_id % 100 = 0"), t.act, t.items, TAGS)
 )
 query("plan_support", ASKED + "SELECT query_id, count(*) AS support, round(max(score), 6) AS best FROM found WHERE rank <= 3 GROUP BY query_id", MEM + ", ")(lambda t: t.found(3).groupBy("query_id").agg(F.count("*").alias("support"), F.round(F.max("score"), 6).alias("best")))
 query("project_brief", ASKED + f"SELECT query_id, id, {contains('content', VERBS)} AS requirement, {contains('content', RISKS)} AS risk FROM found JOIN act USING (id) WHERE rank <= 8", MEM + ", ")(lambda t: plans.brief(t.found(8), t.act, VERBS, RISKS))
-query("project_risk", _CONFLICTS + f", rk AS (SELECT count(*) FILTER ({contains('content', RISKS)}) AS risks FROM act), ic AS (SELECT o_orderkey AS id, o_orderdate AS due_at FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 50 <> 0 AND o_orderdate <= {_IN}) SELECT risks, conflicts, overdue, 0::BIGINT AS clashes, least(100, 10 * risks + 15 * conflicts + 15 * overdue)::BIGINT AS score, CASE WHEN least(100, 10 * risks + 15 * conflicts + 15 * overdue) >= 60 THEN 'high' WHEN least(100, 10 * risks + 15 * conflicts + 15 * overdue) >= 30 THEN 'moderate' ELSE 'low' END AS verdict FROM rk, (SELECT count(*) AS conflicts FROM conf), (SELECT count(*) AS overdue FROM ic)")(
-    lambda t: plans.risk(t.act, consolidate.conflicts(t.act), planning.due_intents(t.intents(), _then()), t.intents().limit(0), RISKS)
+#: Orders are due on days, so intents clash in time where they are due on the same one.
+_CLASHES = """it2 AS (SELECT o_orderkey AS id, o_orderdate AS d, o_orderpriority || '/' || o_custkey AS context_cue FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 50 <> 0),
+ cl AS (SELECT ((SELECT count(*) FROM it2 a JOIN it2 b ON a.d = b.d AND a.id < b.id) + (SELECT count(*) FROM it2 a JOIN it2 b ON a.context_cue = b.context_cue AND a.id < b.id AND a.d <> b.d))::BIGINT AS clashes)"""
+query("project_risk", _CONFLICTS + f", rk AS (SELECT count(*) FILTER ({contains('content', RISKS)}) AS risks FROM act), ic AS (SELECT o_orderkey AS id, o_orderdate AS due_at FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 50 <> 0 AND o_orderdate <= {_IN}), {_CLASHES} SELECT risks, conflicts, overdue, clashes, score, CASE WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'moderate' ELSE 'low' END AS verdict FROM (SELECT *, least(100, 10 * risks + 15 * conflicts + 15 * overdue + 10 * clashes)::BIGINT AS score FROM rk, (SELECT count(*) AS conflicts FROM conf), (SELECT count(*) AS overdue FROM ic), cl)")(
+    lambda t: plans.risk(t.act, consolidate.conflicts(t.act), planning.due_intents(t.intents(), _then()), planning.clash_count(t.intents()), RISKS)
 )
 query("goal_replay", _CONFLICTS.replace(", facts", ", " + ASKED.rstrip() + ", facts", 1) + ", ev AS (SELECT query_id, count(*) AS evidence, count(*) FILTER (contains(content, 'the')) AS lessons FROM found JOIN act USING (id) WHERE rank <= 5 AND score >= 0.05 GROUP BY query_id) SELECT query_id, evidence, lessons, round(0.4 * least(1.0, evidence / 5) + CASE WHEN lessons > 0 THEN 0.3 ELSE 0 END + CASE WHEN (SELECT count(*) FROM conf) = 0 THEN 0.3 ELSE 0 END, 3) AS replay_score FROM ev")(
     lambda t: plans.replayed(t.found(5), t.act, consolidate.conflicts(t.act), 5, ("the",))
@@ -283,12 +302,11 @@ def _recorded(s, d: str) -> DataFrame:
 
 
 #: Goals bring up memories whose second cue is a language; outcomes of languages order them.
-_LANG = ", oc AS (SELECT id AS rec, substr(topic, 1, 2) AS person, cues[2] AS step, seq % 3 <> 0 AS ok, evidence_count AS weight FROM act WHERE seq % 7 = 0) "
+_LANG = ", oc AS (SELECT id AS rec, substr(topic, 1, 2) AS person, cues[2] AS step, seq % 3 <> 0 AS ok, evidence_count AS weight FROM act) "
 
 
 def _told(t: Tables) -> DataFrame:
-    rows = t.act.where("seq % 7 = 0")
-    return rows.select("id", F.substring(F.get("cues", 0), 1, 2).alias("person"), F.get("cues", 1).alias("step"), F.get("cues", 1).alias("noun"), (F.col("seq") % 3 != 0).alias("ok"), F.col("evidence_count").alias("weight"))
+    return t.act.select("id", F.substring(F.get("cues", 0), 1, 2).alias("person"), F.get("cues", 1).alias("step"), F.get("cues", 1).alias("noun"), (F.col("seq") % 3 != 0).alias("ok"), F.col("evidence_count").alias("weight"))
 
 
 _PLANNED = _LANG + """, sm AS (SELECT person, step AS word, sum(CASE WHEN ok THEN weight ELSE -weight END) AS x FROM oc GROUP BY 1, 2),
@@ -324,14 +342,14 @@ query("practice_forecast", f"SELECT id, epoch(due)::BIGINT AS due_s, due < {TS}
 query("practice_report", "SELECT count(*) AS n, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS failures, round(count(*) FILTER (ok) / count(*), 3) AS success_rate, round(avg(r), 3) AS mean_retrievability, round(min(r), 3) AS min_retrievability, round(max(r), 3) AS max_retrievability FROM (SELECT r, seq % 2 = 0 AND length(regexp_replace(content, '\\s+', '', 'g')) > 0 AS ok FROM act)")(
     lambda t: practice.report(t.act, t.act.select("id", F.when(F.col("seq") % 2 == 0, F.col("content")).otherwise("§").alias("attempt")), t.now)
 )
-query("review_batch", """, an AS (SELECT 'd' || (event_id % (SELECT n FROM cnt)) AS id, event_id AS pos, event_type <> 'error' AS ok FROM events WHERE event_id % 3 = 0),
+query("review_batch", """, an AS (SELECT 'd' || (event_id % (SELECT n FROM cnt)) AS id, event_id AS pos, event_type <> 'error' AS ok FROM events),
  sm AS (SELECT id, count(*) AS reviews, count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad, count(*) FILTER (pos > coalesce(lf, -1)) AS tail FROM (SELECT *, max(pos) FILTER (NOT ok) OVER (PARTITION BY id) AS lf FROM an) GROUP BY id)
 SELECT id, reviews, retrieval_successes + good AS retrieval_successes, retrieval_failures + bad AS retrieval_failures, CASE WHEN bad = 0 THEN review_streak + good ELSE tail END::DOUBLE AS review_streak FROM act JOIN sm USING (id)""")(lambda t: _batch(t))
 
 
 def _batch(t: Tables) -> DataFrame:
     n = source.table(t.spark, t.dir, "documents").count()
-    rows = source.table(t.spark, t.dir, "events").where("event_id % 3 = 0")
+    rows = source.table(t.spark, t.dir, "events")
     return practice.review_batch(t.act, rows.select(F.concat(F.lit("d"), (F.col("event_id") % n).cast("string")).alias("id"), F.col("event_id").alias("pos"), (F.col("event_type") != "error").alias("success")))
 
 
@@ -417,10 +435,11 @@ query("schema_fit", """, sz AS (SELECT topic FROM act GROUP BY topic HAVING coun
  fits AS (SELECT id, topic, round(least(1.0, 0.6 * coalesce(fc.both / nullif(fc.size + fc.whole - fc.both, 0), 0) + 0.4 * coalesce(ft.both / nullif(ft.size + ft.whole - ft.both, 0), 0)), 6) AS fit FROM idt LEFT JOIN fc USING (id, topic) LEFT JOIN ft USING (id, topic)),
  bs AS (SELECT id, max_by(topic, (fit, topic)) AS best_schema, max(fit) AS fit FROM fits WHERE fit > 0 GROUP BY id)
 SELECT act.id, best_schema, coalesce(fit, 0.0) AS fit, CASE WHEN fit >= 0.5 THEN 'assimilate' WHEN fit >= 0.3 THEN 'borderline' ELSE 'accommodate' END AS state FROM act LEFT JOIN bs USING (id)""")(lambda t: insights.schema_fit(t.act))
-query("memory_health", _CONFLICTS + f""", sz AS (SELECT (SELECT count(*) FROM act) AS n, (SELECT count(DISTINCT src) FROM both_ways) AS linked, (SELECT count(*) FROM (SELECT cue FROM cues GROUP BY cue HAVING count(*) >= 3)) AS crowded, (SELECT count(*) FROM conf) AS conflicts,
-  (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 50 <> 0 AND o_orderdate <= {_IN}) AS overdue_intents, 0::BIGINT AS intent_clashes, (SELECT count(*) FROM act WHERE seq % 500 = 0) AS suppressed)
+plain("intent_clashes", "WITH " + _CLASHES + " SELECT clashes FROM cl")(lambda s, d: planning.clash_count(Tables(s, d).intents()))
+query("memory_health", _CONFLICTS + f""", {_CLASHES}, sz AS (SELECT (SELECT count(*) FROM act) AS n, (SELECT count(DISTINCT src) FROM both_ways) AS linked, (SELECT count(*) FROM (SELECT cue FROM cues GROUP BY cue HAVING count(*) >= 3)) AS crowded, (SELECT count(*) FROM conf) AS conflicts,
+  (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 50 <> 0 AND o_orderdate <= {_IN}) AS overdue_intents, (SELECT clashes FROM cl) AS intent_clashes, (SELECT count(*) FROM act WHERE seq % 500 = 0) AS suppressed)
 SELECT *, greatest(0, 100 - (least(20, round_even(round((1.0 - round(linked / greatest(1, n), 3)) * 50, 6), 0)::INT) + least(15, 3 * crowded) + least(20, 4 * conflicts) + least(10, 2 * overdue_intents) + least(10, 3 * intent_clashes) + least(5, suppressed)))::BIGINT AS score FROM sz""")(
-    lambda t: insights.health(t.act, t.linked, consolidate.conflicts(t.act), planning.due_intents(t.intents(), _then()), t.intents().limit(0), t.act.where("seq % 500 = 0"))
+    lambda t: insights.health(t.act, t.linked, consolidate.conflicts(t.act), planning.due_intents(t.intents(), _then()), planning.clash_count(t.intents()), t.act.where("seq % 500 = 0"))
 )
 query("weekly_review", _META + f" SELECT memories, avg_risk, calibration_score, topics, weak_topics FROM (SELECT memories, avg_risk, calibration_score FROM {_SNAP}), (SELECT count(*) AS topics, count(*) FILTER (s < 0.5) AS weak_topics FROM (SELECT count(last_review_at) / count(*) AS s FROM act GROUP BY topic))")(lambda t: insights.weekly(t.act, t.now))
 query("nightly_routine", f"(SELECT 'tonight' AS slot, id FROM (SELECT *, round(least(1.0, 0.4 * importance + 0.3 * {_FELT_IN}::INT + 0.3 * CASE WHEN r < 0.6 THEN 0.5 ELSE 0 END), 6) AS p FROM act) ORDER BY p DESC, seq DESC LIMIT 3) UNION ALL (SELECT 'tomorrow', id FROM act ORDER BY importance DESC, seq DESC LIMIT 3)")(lambda t: insights.nightly(t.act, t.now))

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from palimpsest.functions import curve, numeric, text, when
-from palimpsest.operators import planning, vector
+from palimpsest.operators import planning, plans, vector
 from palimpsest.sources import memories
 
 
@@ -68,9 +68,25 @@ def test_embedding_is_unit_length_and_deterministic():
     assert a == b and math.isclose(sum(x * x for x in a), 1.0, rel_tol=1e-9) and not any(vector.embed(""))
 
 
-def test_dependency_levels(spark):
-    deps = spark.createDataFrame([("c", "b"), ("b", "a"), ("d", "a")], "step string, needs string")
-    assert {r["step"]: r["level"] for r in planning.dependency_levels(deps).collect()} == {"a": 0, "b": 1, "c": 2, "d": 1}
+def test_levels_of_a_chain_and_the_critical_path(spark):
+    """A plain chain of more than twenty steps, one that branches, and steps without needs."""
+    plan = spark.createDataFrame([(0, k, f"s{k}") for k in range(25)] + [(1, k, f"t{k}") for k in range(4)], "plan_id long, pos int, step string")
+    needs = spark.createDataFrame([(0, k, k - 1) for k in range(1, 25)] + [(1, 2, 0), (1, 2, 1)], "plan_id long, pos int, needs int")
+    placed = plans.levels(plan, needs)
+    levels = {(r["plan_id"], r["pos"]): r["level"] for r in placed.collect()}
+    assert [levels[0, k] for k in range(25)] == list(range(25)) and [levels[1, k] for k in range(4)] == [0, 0, 1, 0]
+    path = {p: sorted(r["pos"] for r in plans.critical_path(placed, needs).where(f"plan_id = {p}").collect()) for p in (0, 1)}
+    assert path == {0: list(range(25)), 1: [0, 2]}
+
+
+def test_clashes_are_counted_as_listed(spark):
+    rows = [(k, f"2024-01-01 {k % 5:02d}:{k * 7 % 60:02d}:00", "ab "[k % 3].strip(), "active" if k % 7 else "cancelled") for k in range(60)]
+    intents = spark.createDataFrame(rows, "id long, due string, context_cue string, status string").select("id", F.col("due").cast("timestamp").alias("due_at"), "context_cue", "status")
+    assert planning.clash_count(intents).first()[0] == planning.intent_conflicts(intents).count()
+    listed = {x for r in planning.intent_conflicts(intents).collect() for x in (r["id_a"], r["id_b"])}
+    queue = planning.action_queue(intents, F.lit("2024-01-01 02:30:00").cast("timestamp"), 100)
+    assert all(r["clash"] == (r["id"] in listed) for r in queue.collect())
+    assert planning.clash_count(intents.limit(0)).first()[0] == 0
 
 
 def test_hashed_search_finds_most_neighbours(spark):
