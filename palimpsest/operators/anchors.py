@@ -39,11 +39,15 @@ ANCHORS = (
 )
 
 
-def anchored(queries: DataFrame, found: DataFrame, mem: DataFrame, anchors: tuple[Anchor, ...] = ANCHORS, cjk: bool = True) -> DataFrame:
+def anchored(queries: DataFrame, found: DataFrame, mem: DataFrame, anchors: tuple[Anchor, ...] = ANCHORS, cjk: bool = True, items: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, anchor: records to insert, above the best score so far. A query that already has a record of
-    the kind gets none; records share a word with the query, the more the better, then the newest."""
+    the kind gets none; records share a word with the query, the more the better, then the newest. items (id, terms) stand
+    for the memories' words where they are given."""
     asked = queries.select("query_id", "query", F.array_distinct(text.tokenize(F.col("query"), cjk=cjk)).alias("qt"))
-    words = mem.select("id", "seq", "content", F.array_distinct(text.tokenize(F.col("content"), cjk=cjk)).alias("words"))
+    if items is None:
+        words = mem.select("id", "seq", "content", F.array_distinct(text.tokenize(F.col("content"), cjk=cjk)).alias("words"))
+    else:
+        words = mem.select("id", "seq", "content").join(items.select("id", F.col("terms").alias("words")), "id")
     index = words.select(F.explode("words").alias("term"), "id")
     general = index.groupBy("term").count().where(F.col("count") > COMMON).select("term")
     out = None

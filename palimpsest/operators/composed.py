@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text, when
-from palimpsest.operators import graph, recall
+from palimpsest.operators import anchors, chains, dated, graph, index, recall, reports
 from palimpsest.operators.ingest import link_weight
 from palimpsest.sources.shared import written
 
@@ -137,11 +137,12 @@ def second_look(found: DataFrame, mem: DataFrame) -> DataFrame:
 
 
 def recall_all(queries: DataFrame, mem: DataFrame, links: DataFrame, now: Column, top_k: int = 5, items: DataFrame | None = None,
-               similarity: DataFrame | None = None, look_again: bool = False) -> DataFrame:
+               similarity: DataFrame | None = None, look_again: bool = False, cjk: bool = False, facts: DataFrame | None = None) -> DataFrame:
     """query_id, rank, id, score, overlap, retrievability, matched, confident: score, dense re-ranking where similarities
-    are given, spread of activation, event chain, time cells, premises, completion, separation, in this order. The state
-    is written between passes, so no pass is computed twice."""
-    state = recall.scored(queries, mem, now, items).withColumn("matched", F.col("overlap") > 0).select(*STATE)
+    are given, spread of activation, event chain, time cells, premises (with facts, comparisons as chains.comparisons()
+    gives them, also the records from which an answer follows), completion, separation, in this order. The state is
+    written between passes, so no pass is computed twice."""
+    state = recall.scored(queries, mem, now, items, cjk).withColumn("matched", F.col("overlap") > 0).select(*STATE)
     keep = lambda df: written(df, "recall")
     state = keep(state)
     if similarity is not None:
@@ -149,12 +150,69 @@ def recall_all(queries: DataFrame, mem: DataFrame, links: DataFrame, now: Column
     state = keep(spread(state, links, mem))
     state = keep(followed(state, mem))
     state = keep(lifted(lifted(state, time_cells(queries, mem), mem, add=True), premises(queries, mem), mem, add=True))
+    if facts is not None:
+        state = keep(lifted(state, chains.premise_boosts(queries, mem, facts), mem, add=True))
     state = keep(completed(state, links, mem))
     found = recall.ranked(separated(state, mem), top_k)
     found = second_look(found, mem) if look_again else found
     return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"), "overlap", "retrievability", "matched", "confident")
 
 
+def with_parts(queries: DataFrame, found: DataFrame, mem: DataFrame, items: DataFrame, top_k: int) -> DataFrame:
+    """found (query_id, rank, id, score) with the best memory, by its own score, of each part of a question that no result
+    covers; ranks follow, and top_k rows stay."""
+    rows = covered(queries, found, mem, items).where("not covered")
+    seen = found.select("query_id", "id")
+    rows = rows.join(seen, ["query_id", "id"], "left_anti").groupBy("query_id", "chunk").agg(F.min(F.struct((-F.col("score")).alias("less"), "id")).alias("b"))
+    best = rows.groupBy("query_id", F.col("b.id").alias("id")).agg(F.max(-F.col("b.less")).alias("score"))
+    both = found.select("query_id", "id", "score", F.col("rank").alias("__old"), F.lit(None).cast("string").alias("anchor")).unionByName(best.select("query_id", "id", "score", F.lit(1 << 20).alias("__old"), F.lit("part").alias("anchor")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "__old", "id")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", F.round("score", 6).alias("score"), "anchor")
+
+
+def recall_whole(queries: DataFrame, mem: DataFrame, links: DataFrame, now: Column, today: int, top_k: int = 5, items: DataFrame | None = None, similarity: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, id, score, anchor, conflict, label: composed recall with Chinese tokens and chains of comparisons,
+    then what parts of a question lack, the anchors in their order (identifiers, values, times, and the other kinds of record), each on what the one
+    before has left, and for each row whether the best one has a better confirmed rival and how sure it is. items: id,
+    terms with Chinese tokens; computed where they are not given. today: year * 10000 + month * 100 + day."""
+    items = index.stored_terms(mem, cjk=True) if items is None else items
+    found = recall_all(queries, mem, links, now, top_k, items, similarity, cjk=True, facts=chains.comparisons(mem))
+    state = written(found.select("query_id", "rank", "id", "score"), "found").withColumn("anchor", F.lit(None).cast("string"))
+    plain = lambda df: df.select("query_id", "rank", "id", "score")
+    asks = lambda words: not queries.where(F.col("query").rlike(words)).isEmpty()  # noqa: E731  passes that no query asks for are left out
+
+    def put(state: DataFrame, told: DataFrame) -> DataFrame:
+        """What a pass returns for its queries, in place of the rows that they had; anchors set before stay marked."""
+        told = told.join(state.select("query_id", "id", F.col("anchor").alias("__was")), ["query_id", "id"], "left").withColumn("anchor", F.coalesce("anchor", "__was")).drop("__was")
+        columns = ("query_id", "rank", "id", "score", "anchor")
+        return written(told.select(*columns).unionByName(state.select(*columns).join(told.select("query_id").distinct(), "query_id", "left_anti")), "found")
+
+    def inserted(state: DataFrame, kinds: tuple) -> DataFrame:
+        for kind in kinds:
+            if not asks(kind.question):
+                continue
+            more = anchors.anchored(queries, plain(state), mem, (kind,), items=items)
+            for k in range(kind.most):
+                order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+                one = more.withColumn("k", F.row_number().over(order)).where(F.col("k") == k + 1).drop("k")
+                on = plain(state).join(one.select("query_id"), "query_id", "left_semi")
+                state = put(state, dated.appended(on, one, top_k))
+        return state
+
+    known = {a.name: a for a in anchors.ANCHORS}
+    state = put(state, with_parts(queries, plain(state), mem, items, top_k))
+    state = inserted(state, (known["entity"],))
+    if asks(dated.VALUE_ASKED):
+        state = put(state, dated.value_anchor(queries, plain(state), mem, items, top_k))
+    if asks(f"{anchors.PAST}|{anchors.FUTURE}|{dated.DAY_ASKED}"):
+        state = put(state, dated.temporal_anchor(queries, plain(state), mem, items, today, top_k))
+    state = inserted(state, tuple(known[n] for n in ("problem", "contact", "purchase", "scope") if n in known))
+    rivals = recall.conflict_flags(plain(state), mem).withColumn("conflict", F.lit(True))
+    sure = reports.confidences(mem, now).select("id", "label")
+    out = state.join(rivals, ["query_id", "id"], "left").join(sure, "id", "left")
+    return out.select("query_id", "rank", "id", "score", "anchor", F.coalesce("conflict", F.lit(False)).alias("conflict"), "label")
+
+
 def elaborated(found: DataFrame, links: DataFrame, step: float = 0.05) -> DataFrame:
     """src, dst, weight: what the pairs among each query's five best matched memories are linked with afterwards."""
     top = found.where("matched and rank <= 5").select("query_id", "id")

@@ -110,8 +110,9 @@ def time_range(content: Column) -> Column:
 
 def asked(queries: DataFrame) -> DataFrame:
     """query_id, query, and what the question asks for: terms, further terms to look records up with, and markers."""
-    q = F.col("query")
-    tokens = F.array_distinct(text.tokenize(q, cjk=True))
+    # Tokens are written first: what follows refers to them often, and the plan would hold their expression each time.
+    queries = shared.written(queries.select("query_id", "query", F.array_distinct(text.tokenize(F.col("query"), cjk=True)).alias("__tokens")), "queries")
+    q, tokens = F.col("query"), F.col("__tokens")
     concept = F.filter(tokens, lambda t: (F.length(t) >= 2) & ~t.isin(*GENERIC))
     particles = F.array_distinct(F.regexp_extract_all(q, F.lit(f"{_CJK}(?:的|了|着|过)"), F.lit(0)))
     terms = F.array_distinct(F.concat(concept, F.when(F.size(particles) > 0, text.expand_zh_synonyms(particles)).otherwise(F.array().cast(_NONE))))
@@ -130,6 +131,7 @@ def asked(queries: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract(q, DAY_ASKED, 1), F.lit("")).cast("int").alias("month"), F.nullif(F.regexp_extract(q, DAY_ASKED, 2), F.lit("")).cast("int").alias("day"),
         F.nullif(F.regexp_extract(q, YEAR_ASKED, 1), F.lit("")).cast("int").alias("year"), q.rlike(VALUE_ASKED).alias("of_value"), q.rlike(TIME_ASKED).alias("of_time"),
     )
+    rows = shared.written(rows, "asked")
     more = F.when(text.has_cjk(F.col("query")), text.expand_zh_synonyms(F.col("terms"))).otherwise(F.col("terms"))
     return rows.withColumn("lookup", F.array_distinct(F.concat("terms", "finals", "stems", "actions", more)))
 

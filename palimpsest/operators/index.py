@@ -9,14 +9,14 @@ from palimpsest.functions import text
 from palimpsest.sources.shared import shared_dir, written
 
 
-def item_terms(mem: DataFrame) -> DataFrame:
-    """id, terms: distinct tokens of content and cues."""
-    return mem.select("id", F.array_distinct(F.concat(text.tokenize(F.col("content")), F.flatten(F.transform("cues", lambda c: text.tokenize(c))))).alias("terms"))
+def item_terms(mem: DataFrame, cjk: bool = False) -> DataFrame:
+    """id, terms: distinct tokens of content and cues; with `cjk` those of Chinese too."""
+    return mem.select("id", F.array_distinct(F.concat(text.tokenize(F.col("content"), cjk), F.flatten(F.transform("cues", lambda c: text.tokenize(c, cjk))))).alias("terms"))
 
 
-def stored_terms(mem: DataFrame) -> DataFrame:
+def stored_terms(mem: DataFrame, cjk: bool = False) -> DataFrame:
     """item_terms, computed once and kept for all that reads them."""
-    return written(item_terms(mem), "terms")
+    return written(item_terms(mem, cjk), "terms")
 
 
 def term_index(mem: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +18,28 @@ LINKS_EACH, LINKS_LEAST, LINKS_MOST, LINKS_BUDGET = 64, 8, 32, 1_000_000
 DEFAULTS = {"kind": "episodic", "origin": "user", "trust": 0.8, "confidence": 0.7, "strength": 1.0, "storage_strength": 1.0, "evidence_count": 1, "affect": None, "context": None}
 
 
-def prepared(records: DataFrame, now: Column, top_seq: int, auto_cues: bool = True, auto_context: bool = True) -> DataFrame:
+def scored_by(scorer: Callable[[list[str]], list[float | None]]) -> Callable[[Column], Column]:
+    """The user's scorer of importance as a column: each batch of texts at once, from 0 to 1; null where it raises, gives
+    something else than a number, or not as many as it got."""
+
+    @F.pandas_udf("double")
+    def run(contents: pd.Series) -> pd.Series:
+        try:
+            got = [float(x) if x is not None else None for x in scorer(list(contents))]
+        except Exception:  # noqa: BLE001  whatever a user's function raises
+            got = []
+        if len(got) != len(contents):
+            return pd.Series([None] * len(contents), dtype="float64")
+        return pd.Series(got, dtype="float64").clip(0.0, 1.0)
+
+    return run
+
+
+def prepared(records: DataFrame, now: Column, top_seq: int, auto_cues: bool = True, auto_context: bool = True, scorer: Callable[[list[str]], list[float | None]] | None = None) -> DataFrame:
     """Records (content; any of the columns of a memory; input_pos) as memories numbered after top_seq in order of
     input_pos. Cues are normalised and up to six words of the text follow them; the context is the place that the text
-    names; importance follows the rule where it is not given. Records without content are left out."""
+    names; importance follows the rule where it is not given. A scorer (a function of a list of texts) is asked for it
+    first; where it fails or gives no number, the rule holds. Records without content are left out."""
     given = set(records.columns)
     rows = records.where("trim(coalesce(content, '')) <> ''")
     kinds = {f.name: f.dataType for f in SCHEMA}
@@ -38,6 +59,8 @@ def prepared(records: DataFrame, now: Column, top_seq: int, auto_cues: bool = Tr
     rows = rows.withColumns({c: col(c) for c in ("kind", "origin", "trust", "confidence", "strength", "storage_strength", "evidence_count", "affect", "context", "ref", "occurred_at")})
     rows = rows.withColumns(made)
     rule = text.importance(F.col("content"), F.col("trust"), F.lit(0))
+    if scorer is not None:
+        rule = F.coalesce(scored_by(scorer)(F.col("content")), rule)
     rows = rows.withColumn("importance", F.coalesce("importance", rule) if "importance" in given else rule)
     if auto_context:
         rows = rows.withColumn("context", F.coalesce("context", text.place_of(F.col("content"))))

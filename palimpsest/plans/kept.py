@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import chains, dated, index, stored
-from palimpsest.plans.catalog import Tables, plain, query
-from palimpsest.plans.oracle import tokens
+from palimpsest.operators import audits, chains, composed, consolidate, dated, index, plans, stored
+from palimpsest.plans.catalog import _CAL, _CONFLICTS, Tables, plain, query
+from palimpsest.plans.oracle import ASKED, MEM, TRIES, tokens
 from palimpsest.sources import memories as source
 from palimpsest.sources import shared
 
@@ -212,3 +212,51 @@ def _value_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 plain("record_quantities", "SELECT 'o' || o_orderkey AS id, floor(o_totalprice)::DOUBLE AS value, '元' AS unit FROM orders WHERE o_orderkey % 4 = 1")(
     lambda s, d: _dated_records(s, d).select("id", F.explode(dated.quantities(F.col("content"))).alias("q")).select("id", "q.value", "q.unit")
 )
+
+
+# --- audits
+
+query("memory_audit", _CONFLICTS + """SELECT count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'recycled') AS recycled, count(*) FILTER (status = 'active' AND kind = 'semantic') AS semantic, count(*) FILTER (status = 'active' AND kind = 'episodic') AS episodic,
+ count(*) FILTER (status = 'active' AND revision_count > 0) AS revised, count(*) FILTER (status = 'active' AND affect IS NOT NULL) AS emotional, (SELECT count(*) FROM act WHERE r < 0.5) AS due_now, (SELECT round(avg(r), 3) FROM act) AS avg_retrievability, (SELECT round(avg(importance), 6) FROM act) AS avg_importance, (SELECT count(*) FROM conf) AS conflicts FROM mem""")(
+    lambda t: audits.memory_audit(t.mem, consolidate.conflicts(t.act), t.now)
+)
+query("check", _CONFLICTS.replace(", facts", ", " + ASKED.rstrip() + ", facts", 1) + f""", lb AS (SELECT id, CASE WHEN c >= 0.7 THEN 'high' WHEN c >= 0.4 THEN 'medium' ELSE 'low' END AS label FROM (SELECT id, {_CAL} AS c FROM act))
+SELECT query_id, 'item' AS part, id AS name, label FROM found JOIN lb USING (id) WHERE rank <= 3
+UNION ALL SELECT query_id, 'gap', unnest(list_sort(list(DISTINCT term))[1:8]), NULL FROM qt WHERE term NOT IN (SELECT term FROM terms) GROUP BY query_id
+UNION ALL SELECT DISTINCT query_id, 'blocked', id, NULL FROM qt JOIN cues ON cue = term WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM found WHERE rank <= 3)
+UNION ALL SELECT query_id, 'conflict', NULL, (SELECT count(*) FROM conf)::VARCHAR FROM qs""")(
+    lambda t: audits.check(t.asked(), t.found(3), t.act, index.exploded(t.items), index.cue_index(t.act), consolidate.conflicts(t.act), t.now)
+)
+query("recall_trace", ASKED + """, ct AS (SELECT query_id, count(*) AS terms, count(*) FILTER (brought > 0) AS brought FROM hits GROUP BY query_id), bk AS (SELECT query_id, count(*) AS returned FROM found WHERE rank <= 5 GROUP BY query_id),
+ st AS (SELECT query_id, coalesce(terms, 0) AS terms, coalesce(brought, 0) AS brought, coalesce(returned, 0) AS returned FROM qs LEFT JOIN ct USING (query_id) LEFT JOIN bk USING (query_id))
+SELECT query_id, 'store' AS stage, (SELECT count(*) FROM act) AS n FROM st UNION ALL SELECT query_id, 'terms', terms FROM st UNION ALL SELECT query_id, 'brought', brought FROM st UNION ALL SELECT query_id, 'scored', least(brought, 100) FROM st UNION ALL SELECT query_id, 'returned', returned FROM st""", MEM + ", ")(
+    lambda t: audits.recall_trace(t.asked(), t.act, t.items, t.found(5), 5)
+)
+query("schema_samples", """, g AS (SELECT *, coalesce(cues[1], '（无标签）') AS tp, row_number() OVER (PARTITION BY coalesce(cues[1], '（无标签）') ORDER BY seq, id) AS k FROM act)
+SELECT tp AS topic, count(*) AS n, round(avg(importance), 6) AS avg_importance, count(*) FILTER (kind = 'semantic') AS facts, count(*) FILTER (kind = 'episodic') AS episodes, string_agg(substr(content, 1, 24), '|' ORDER BY k) FILTER (k <= 3) AS samples FROM g GROUP BY tp""")(
+    lambda t: audits.schema_samples(t.act).withColumn("samples", F.array_join("samples", "|"))
+)
+query("life_highlights", """, g AS (SELECT *, date_diff('day', DATE '2023-01-01', created_at::DATE) // 14 AS period FROM act), n AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY importance DESC, seq DESC) AS k FROM g)
+SELECT period::INT AS period, strftime(DATE '2023-01-01' + (period * 14)::INT, '%Y-%m-%d') AS start, strftime(DATE '2023-01-01' + (period * 14 + 13)::INT, '%Y-%m-%d') AS stop, count(*) AS events, round(avg(importance), 6) AS avg_importance, string_agg(id, ',' ORDER BY k) FILTER (k <= 3) AS highlights FROM n GROUP BY period""")(
+    lambda t: audits.life_highlights(t.act).withColumn("highlights", F.array_join("highlights", ","))
+)
+query("timeline_items", "SELECT strftime(created_at, '%Y-%m-%d') AS day, id, round(importance, 3) AS importance FROM act WHERE kind = 'episodic' AND created_at >= TIMESTAMP '2023-12-20' AND created_at < TIMESTAMP '2024-01-20' ORDER BY created_at, seq LIMIT 100")(
+    lambda t: audits.timeline_items(t.act, source.now("2023-12-20 00:00:00"), source.now("2024-01-20 00:00:00"))
+)
+query("learner_scale", f"SELECT *, CASE pace WHEN 'fast' THEN 1.2 WHEN 'struggling' THEN 0.8 ELSE 1.0 END::DOUBLE AS scale FROM (SELECT count(*) AS memories, sum({TRIES})::BIGINT AS reviews, round(sum(retrieval_successes) / sum({TRIES}), 3) AS success_rate, round(avg(r), 3) AS avg_retrievability, round(avg(importance), 3) AS avg_importance, CASE WHEN sum({TRIES}) = 0 THEN 'unknown' WHEN sum(retrieval_successes) / sum({TRIES}) >= 0.8 THEN 'fast' WHEN sum(retrieval_successes) / sum({TRIES}) >= 0.6 THEN 'steady' ELSE 'struggling' END AS pace FROM act)")(
+    lambda t: audits.learner_scale(t.act, t.now)
+)
+query("rumination_verdict", """, tp AS (SELECT topic, count(*) AS n, count(*) FILTER (access_count >= 5) AS risky FROM act WHERE affect IN ('negative', 'arousing') GROUP BY topic), one AS (SELECT coalesce(sum(n), 0)::BIGINT AS negative, coalesce(sum(risky), 0)::BIGINT AS risky, coalesce(max(risky), 0) AS most_of_topic FROM tp)
+SELECT *, CASE WHEN risky >= 3 OR most_of_topic >= 2 THEN 'high' WHEN risky > 0 THEN 'medium' ELSE 'low' END AS risk FROM one""")(lambda t: audits.rumination_verdict(t.act))
+query("sleep_surprises", "SELECT id, round(least(1.0, strength + 0.05), 4) AS strength, retrieval_successes + 1 AS retrieval_successes FROM act WHERE retrieval_failures > retrieval_successes")(
+    lambda t: plans.surprises(t.act.select("id", (F.col("retrieval_failures") > F.col("retrieval_successes")).alias("surprise")), t.act)
+)
+
+
+@plain("recall_whole")
+def _recall_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What customers ask about their dated records, through composed recall with all its anchors."""
+    asks, _, records, items = _anchors(spark, sf_dir, {1: "上次是哪天", 2: "下次是哪天", 3: "第一次是哪天", 5: "多少钱", 6: "营业几点"})
+    mem = shared.written(source.migrated(records.select("id", "seq", "content", F.array(F.regexp_extract("content", "c\\d+-plan", 0)).alias("cues"), F.lit("2023-06-01 00:00:00").cast("timestamp").alias("created_at"))), "memories")
+    links = spark.createDataFrame([], "src string, dst string, weight double")
+    return composed.recall_whole(asks, mem, links, source.now(), TODAY, 4, items)
