@@ -52,9 +52,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, and decoded_sha256 of the text that the ids decode to."""
+    """doc_id, lang, source, n_tokens, ids, and decoded_sha256 of the text that the ids decode to. The ids are written
+    between: encoding and decoding in one stage would keep two Python workers a core."""
     vocabulary = bpe.default_vocabulary()
-    rows = bpe.decode(bpe.encode(docs, vocabulary, keep=["doc_id", "lang", "source"]), vocabulary)
+    ids = common.written(bpe.encode(docs, vocabulary, keep=["doc_id", "lang", "source"]), "ids")
+    rows = bpe.decode(ids, vocabulary)
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
