@@ -165,25 +165,48 @@ def test_sketch_estimates_containment(spark):
 # --- line dedup
 
 
+def slow_chunks(text):
+    """(place, bytes, counts) of a text's chunks, cut line by line by the rule as the docstring tells it."""
+    lines = text.encode().split(b"\n")
+    of = lambda b: int(common.span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+    words = [len(re.findall(rb"[^\x20\x09-\x0D]+", x)) for x in lines]
+    h = [of(x) for x in lines]
+    least = (1 << 64) - 1
+    rolled = [h[0]] + [int(common.mix(np.array([(h[k] * 31 + h[k - 1]) & least], np.uint64))[0]) for k in range(1, len(h))]
+    out, start = [], 0
+    for k in range(len(lines)):
+        ends = k == len(lines) - 1 or words[k] >= 50 or words[k + 1] >= 50
+        if not ends and k > 0:
+            ends = rolled[k] < rolled[k - 1] and rolled[k] <= rolled[k + 1]
+        if ends:
+            total = sum(words[start : k + 1])
+            out.append((len(out), b"\n".join(lines[start : k + 1]), (k + 1 - start >= 2 and total > 0) or total >= 50))
+            start = k + 1
+    return out
+
+
+def test_cuts_line_by_line():
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "\n".join(" ".join(rng.choice("abé") for _ in range(rng.choice([0, 1, 2, 5, 49, 50, 70]))) for _ in range(rng.randrange(1, 25)))
+        c = linededup.Chunks(pa.array([text, "other\nlines"]))
+        raw = c.data.tobytes()
+        assert [(int(s), raw[a:b], bool(ok)) for s, a, b, ok, o in zip(c.seq, c.start, c.end, c.counting(), c.owner) if o == 0] == slow_chunks(text)
+
+
 def brute_lines(rows):
-    occurrences, first = [], {}
-    for i, t in rows:
-        if t is not None:
-            c = linededup.Chunks(pa.array([t]))
-            raw = c.data.tobytes()
-            occurrences += [(i, int(s), raw[a:b]) for s, a, b, ok in zip(c.seq, c.start, c.end, c.counting()) if ok]
-    for i, s, chunk in sorted(occurrences):
-        first.setdefault(chunk, (i, s))
-    gone = {(i, s) for i, s, chunk in occurrences if first[chunk] != (i, s)}
-    out = set()
+    first, out = {}, set()
+    for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
+        for s, chunk, counts in slow_chunks(t):
+            if counts:
+                first.setdefault(chunk, (i, s))
     for i, t in rows:
         if t is None:
             out.add((i, None, 0))
             continue
-        c = linededup.Chunks(pa.array([t]))
-        raw = c.data.tobytes()
-        kept = [raw[a:b] for s, a, b in zip(c.seq, c.start, c.end) if (i, int(s)) not in gone]
-        n = len(c.seq) - len(kept)
+        chunks = slow_chunks(t)
+        kept = [chunk for s, chunk, counts in chunks if not counts or first[chunk] == (i, s)]
+        n = len(chunks) - len(kept)
         out.add((i, b"\n".join(kept).decode() if n else t, n))
     return out
 
