@@ -121,3 +121,44 @@ def learning_loop(mem: DataFrame, now: Column) -> DataFrame:
     focus = reports.mastery(mem, now).agg(F.min_by("topic", F.struct("mastery", "topic")).alias("focus"))
     late = review.consistency(mem, now).select(F.col("overdue").alias("overdue"), "adherence")
     return focus.crossJoin(F.broadcast(late)).crossJoin(F.broadcast(insights.snapshot(mem, now)))  # rows of one each
+
+
+def measures(one: DataFrame, part: str) -> DataFrame:
+    """A row of figures as rows: part, id (null), detail (the figure's name), value."""
+    figures = [F.struct(F.lit(c).alias("detail"), F.col(c).cast("double").alias("value")) for c in one.columns]
+    return one.select(F.explode(F.array(*figures)).alias("f")).select(F.lit(part).alias("part"), F.lit(None).cast("string").alias("id"), "f.detail", "f.value")
+
+
+def session(mem: DataFrame, answers: DataFrame, now: Column, limit: int = 5) -> DataFrame:
+    """part, id, detail, value: the coming session's cards (`plan`: cue and retrievability) and the report on the answers of
+    the one that ends (`report`: figures)."""
+    cards = plan(due(mem, now, limit), mem, now).select(F.lit("plan").alias("part"), "id", F.col("cue").alias("detail"), F.col("retrievability").alias("value"))
+    return cards.unionByName(measures(report(mem, answers, now), "report"))
+
+
+def night_and_plan(mem: DataFrame, slept: DataFrame, phases: DataFrame, now: Column, days: int = 7, limit: int = 10) -> DataFrame:
+    """part, id, detail, value: what each phase of the night touched (`sleep`, of mem), and on the memories as it left them
+    (slept) the cards to practise (`plan`) and the coming reviews (`forecast`: hours until each)."""
+    cards = plan(due(slept, now, limit), slept, now).select(F.lit("plan").alias("part"), "id", F.col("cue").alias("detail"), F.col("retrievability").alias("value"))
+    ahead = forecast(slept, now, days).select(F.lit("forecast").alias("part"), "id", F.when(F.col("overdue"), "overdue").otherwise("due").alias("detail"), F.round((F.col("due_s") - F.unix_seconds(now)) / 3600, 3).alias("value"))
+    return measures(phases, "sleep").unionByName(cards).unionByName(ahead)
+
+
+def learning_session(mem: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
+    """part, id, detail, value: figures before (`before`), each answer (`answer`: right or wrong, and the strength it leaves),
+    figures on the memories after them (`after`), and what they changed by (`change`)."""
+    from palimpsest.operators import insights
+
+    scored = answered(mem, answers, now)
+    told = scored.select(F.lit("answer").alias("part"), "id", F.when(F.col("success"), "right").otherwise("wrong").alias("detail"), F.col("strength").alias("value"))
+    new = scored.select("id", F.col("strength").alias("__s"), F.col("success").alias("__ok"))
+    rows = mem.join(new, "id", "left")
+    tried = F.col("__ok").isNotNull()
+    rows = rows.withColumns({
+        "strength": F.coalesce("__s", "strength"),
+        "retrieval_successes": F.col("retrieval_successes") + F.coalesce(F.col("__ok").cast("long"), F.lit(0)),
+        "retrieval_failures": F.col("retrieval_failures") + F.when(tried & ~F.col("__ok"), 1).otherwise(0),
+    }).drop("__s", "__ok")
+    before, after = measures(insights.snapshot(mem, now), "before"), measures(insights.snapshot(rows, now), "after")
+    change = before.withColumnRenamed("value", "old").join(after.select("detail", F.col("value").alias("new")), "detail").select(F.lit("change").alias("part"), "id", "detail", F.round(F.col("new") - F.col("old"), 6).alias("value"))
+    return before.unionByName(told).unionByName(after).unionByName(change)

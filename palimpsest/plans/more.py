@@ -342,6 +342,12 @@ query("practice_forecast", f"SELECT id, epoch(due)::BIGINT AS due_s, due < {TS}
 query("practice_report", "SELECT count(*) AS n, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS failures, round(count(*) FILTER (ok) / count(*), 3) AS success_rate, round(avg(r), 3) AS mean_retrievability, round(min(r), 3) AS min_retrievability, round(max(r), 3) AS max_retrievability FROM (SELECT r, seq % 2 = 0 AND length(regexp_replace(content, '\\s+', '', 'g')) > 0 AS ok FROM act)")(
     lambda t: practice.report(t.act, t.act.select("id", F.when(F.col("seq") % 2 == 0, F.col("content")).otherwise("§").alias("attempt")), t.now)
 )
+_REPORT = "SELECT count(*) AS n, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS failures, round(count(*) FILTER (ok) / count(*), 3) AS success_rate, round(avg(r), 3) AS mean_retrievability, round(min(r), 3) AS min_retrievability, round(max(r), 3) AS max_retrievability FROM (SELECT r, seq % 2 = 0 AND length(regexp_replace(content, '\\s+', '', 'g')) > 0 AS ok FROM act)"
+query("practice_session", _CARDS + f""", rp AS ({_REPORT})
+SELECT 'plan' AS part, id, cue AS detail, round(r, 6)::DOUBLE AS value FROM cards
+UNION ALL SELECT 'report', NULL, unnest(['n', 'successes', 'failures', 'success_rate', 'mean_retrievability', 'min_retrievability', 'max_retrievability']), unnest([n, successes, failures, success_rate, mean_retrievability, min_retrievability, max_retrievability]::DOUBLE[]) FROM rp""")(
+    lambda t: practice.session(t.act, t.act.select("id", F.when(F.col("seq") % 2 == 0, F.col("content")).otherwise("§").alias("attempt")), t.now, 10)
+)
 query("review_batch", """, an AS (SELECT 'd' || (event_id % (SELECT n FROM cnt)) AS id, event_id AS pos, event_type <> 'error' AS ok FROM events),
  sm AS (SELECT id, count(*) AS reviews, count(*) FILTER (ok) AS good, count(*) FILTER (NOT ok) AS bad, count(*) FILTER (pos > coalesce(lf, -1)) AS tail FROM (SELECT *, max(pos) FILTER (NOT ok) OVER (PARTITION BY id) AS lf FROM an) GROUP BY id)
 SELECT id, reviews, retrieval_successes + good AS retrieval_successes, retrieval_failures + bad AS retrieval_failures, CASE WHEN bad = 0 THEN review_streak + good ELSE tail END::DOUBLE AS review_streak FROM act JOIN sm USING (id)""")(lambda t: _batch(t))

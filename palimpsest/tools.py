@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import numeric, text
-from palimpsest.operators import anchors, composed, consolidate, graph, index, ingest, insights, planning, plans, practice, recall, reports, review, vector
+from palimpsest.operators import anchors, audits, chains, composed, consolidate, dated, graph, index, ingest, insights, planning, plans, practice, recall, reports, review, vector
 from palimpsest.sources import memories as source
 
 #: The least and most of numeric arguments.
@@ -43,8 +43,16 @@ class Toolbox:
     def search_batch(self, queries: list[str], top_k: int = 5) -> DataFrame:
         return recall.recall(self._asked(queries), self.act, self.now, bounded("top_k", top_k))
 
+    def _answers(self, answers) -> DataFrame:
+        """Attempts as rows; of several of one memory the last counts."""
+        last = {x["id"]: x.get("attempt", "") for x in answers}
+        return self.spark.createDataFrame(list(last.items()), "id string, attempt string")
+
     def recall_trace(self, query: str) -> DataFrame:
-        return self.recall(query, 50)
+        """How many memories each stage of a recall leaves."""
+        items = index.stored_terms(self.act)
+        asked = self._asked([query])
+        return audits.recall_trace(asked, self.act, items, recall.recall(asked, self.act, self.now, 50, items), 50)
 
     def retrieval_quality(self, queries: list[str]) -> DataFrame:
         """One row: share of queries that find something, and that find it surely."""
@@ -52,9 +60,37 @@ class Toolbox:
         n = len(queries)
         return found.agg(F.round(F.count("*") / n, 6).alias("hit_rate"), F.round(F.count_if("confident") / n, 6).alias("sure_rate"))
 
-    def check(self, query: str) -> DataFrame:
-        """Recall with labels of confidence."""
-        return self.recall(query).join(reports.confidences(self.act, self.now), "id")
+    def check(self, query: str, top_k: int = 3) -> DataFrame:
+        """What is known about an answer: results with how sure they are, gaps, blocked memories, contradictions."""
+        items = index.stored_terms(self.act)
+        asked = self._asked([query])
+        found = recall.recall(asked, self.act, self.now, bounded("top_k", top_k), items)
+        return audits.check(asked, found, self.act, index.exploded(items), index.cue_index(self.act), consolidate.conflicts(self.act), self.now)
+
+    def _today(self) -> int:
+        row = self.spark.range(1).select((F.year(self.now) * 10000 + F.month(self.now) * 100 + F.dayofmonth(self.now)).alias("t")).first()
+        return row["t"]
+
+    def recall_whole(self, query: str, top_k: int = 5) -> DataFrame:
+        """Composed recall with its anchors and annotations."""
+        return composed.recall_whole(self._asked([query]), self.act, self.links, self.now, self._today(), bounded("top_k", top_k))
+
+    def temporal_anchor(self, query: str, top_k: int = 4) -> DataFrame:
+        """The results of a question about time, with the record that its date anchors; other questions as they are."""
+        items = index.stored_terms(self.act, cjk=True)
+        asked = self._asked([query])
+        found = recall.recall(asked, self.act, self.now, bounded("top_k", top_k), items, cjk=True).select("query_id", "rank", "id", "score")
+        told = dated.temporal_anchor(asked, found, self.act, items, self._today(), top_k)
+        rest = found.join(told.select("query_id").distinct(), "query_id", "left_anti").withColumn("anchor", F.lit(None).cast("string"))
+        return told.unionByName(rest)
+
+    def temporal_hint(self, query: str) -> DataFrame:
+        return self._asked([query]).select(dated.temporal_hint(F.col("query")).alias("hint"))
+
+    def knowledge_gaps(self, query: str, semantic: bool = False) -> DataFrame:
+        """Words of a query that no memory has; with semantic, that none comes near to."""
+        terms = index.term_index(self.act)
+        return chains.semantic_gaps(self._asked([query]), terms, self.act) if semantic else recall.gaps(self._asked([query]), terms)
 
     def gaps(self, query: str) -> DataFrame:
         return recall.gaps(self._asked([query]), index.term_index(self.act))
@@ -80,8 +116,9 @@ class Toolbox:
     def multi_hop_report(self, start: list[str], depth: int = 2) -> DataFrame:
         return graph.ring(self.links, start, depth).groupBy("hop").agg(F.count("*").alias("n"))
 
-    def timeline_report(self) -> DataFrame:
-        return reports.timeline(self.act)
+    def timeline_report(self, start: str | None = None, end: str | None = None, limit: int = 100) -> DataFrame:
+        """The earliest episodes in a range of time, by day."""
+        return audits.timeline_items(self.act, *(source.now(x) if x else None for x in (start, end)), bounded("limit", limit))
 
     def intent_due(self) -> DataFrame:
         return planning.due_intents(self.intents, self.now)
@@ -90,7 +127,7 @@ class Toolbox:
         a, now = self.act, self.now
         return {
             "recall": self.recall, "search": self.recall, "search_batch": self.search_batch, "recall_trace": self.recall_trace, "retrieval_quality": self.retrieval_quality,
-            "check": self.check, "context_pack": self.context_pack, "attention_filter": self.attention_filter, "explain_memory": self.explain_memory,
+            "check": self.check, "recall_whole": self.recall_whole, "temporal_hint": self.temporal_hint, "context_pack": self.context_pack, "attention_filter": self.attention_filter, "explain_memory": self.explain_memory,
             "multi_hop_report": self.multi_hop_report, "timeline_report": self.timeline_report, "intent_due": self.intent_due,
             "stats": lambda: index.stats(self.mem), "export_memories": lambda: a, "working_set": lambda limit=7: review.working_set(a, bounded("limit", limit)),
             "calibrate_decay": lambda: review.calibrate(a, now), "review_due": lambda limit=20: review.due(a, now, limit=bounded("limit", limit)),
@@ -101,14 +138,14 @@ class Toolbox:
             "sleep": lambda: consolidate.sleep_report(a, now), "list_conflicts": lambda: consolidate.conflicts(a),
             "conflict_advice": lambda: consolidate.advice(a, consolidate.conflicts(a), now), "resolve_conflicts": lambda: consolidate.accommodated(a),
             "dedupe_memories": lambda: consolidate.merge_duplicates(a), "cleanup_preview": lambda: consolidate.prunable(a, now),
-            "memory_status": lambda: reports.status(a, now), "memory_map": lambda: reports.memory_map(a, now), "schema_report": lambda: reports.schema_report(a),
+            "memory_status": lambda: reports.status(a, now), "memory_map": lambda: reports.memory_map(a, now), "schema_report": lambda: audits.schema_samples(a),
             "coverage_report": lambda: reports.coverage(a), "mastery_map": lambda: reports.mastery(a, now), "metacog_report": lambda: reports.metacog(a),
             "source_calibration": lambda: reports.source_calibration(a), "forgetting_risk": lambda: reports.risks(a, now), "forgetting_balance": lambda: reports.balance(a),
-            "life_story": lambda days=14: reports.life_story(a, bounded("days", days)), "topic_drift_report": lambda days=14: reports.drift(a, bounded("days", days)),
+            "life_story": lambda days=14: reports.life_story(a, bounded("days", days)), "life_highlights": lambda days=14: audits.life_highlights(a, bounded("days", days)), "topic_drift_report": lambda days=14: reports.drift(a, bounded("days", days)),
             "similarity_report": lambda threshold=0.6: reports.similar_pairs(a, threshold), "interference_report": lambda: reports.interference(a),
-            "difficulty_estimator": lambda: reports.difficulty(a, now), "emotion_advice": lambda: reports.emotions(a), "rumination_check": lambda: reports.rumination(a),
+            "difficulty_estimator": lambda: reports.difficulty(a, now), "emotion_advice": lambda: reports.emotions(a), "rumination_check": lambda: audits.rumination_verdict(a),
             "cue_diversity": lambda: reports.cue_diversity(a), "encoding_quality": lambda: reports.encoding_quality(a), "consolidation_forecast": lambda: reports.forecast(a, now),
-            "learner_profile": lambda: reports.learner(a), "schema_fit": lambda: insights.schema_fit(a), "memory_integration": lambda: reports.integration(a, self.links),
+            "learner_profile": lambda: audits.learner_scale(a, now), "schema_fit": lambda: insights.schema_fit(a), "memory_integration": lambda: reports.integration(a, self.links),
             "memory_health": self.health, "association_report": lambda: graph.association_report(a, self.links),
             "community_report": lambda: graph.community_report(a, self.links), "bridge_suggestions": lambda limit=20: graph.bridges(a, self.links, bounded("limit", limit)), "kg_export": lambda: graph.kg_edges(a, self.links),
             "intent_report": lambda: planning.intent_report(self.intents, now), "intent_conflicts": lambda minutes=60: planning.intent_conflicts(self.intents, minutes),
@@ -178,13 +215,13 @@ class Toolbox:
             "goal_progress": lambda goal: insights.goal_progress(self.spark.createDataFrame([(goal,)], "goal string"), a, now),
             "sleep_advice": lambda: insights.sleep_advice(a, consolidate.conflicts(a), overdue(), now), "sleep_inference": lambda limit=20: insights.sleep_pairs(a, now, bounded("limit", limit)),
             "weekly_review": lambda: insights.weekly(a, now), "nightly_routine": lambda limit=3: insights.nightly(a, now, bounded("limit", limit)),
-            "working_set_budget": lambda limit=8: insights.budget(a, bounded("limit", limit)), "memory_audit": self.health, "sleep_replay": lambda: plans.consolidated_outcomes(self._told()),
+            "working_set_budget": lambda limit=8: insights.budget(a, bounded("limit", limit)), "memory_audit": lambda: audits.memory_audit(self.mem, consolidate.conflicts(a), now), "interleaved_plan": lambda limit=20: chains.interleaved_plan(a, bounded("limit", limit)), "sleep_replay": lambda: plans.consolidated_outcomes(self._told()),
             "practice_due": lambda limit=5: practice.due(a, now, bounded("limit", limit)), "practice_plan": lambda limit=5: practice.plan(practice.due(a, now, bounded("limit", limit)), a, now),
             "practice_forecast": lambda days=7: practice.forecast(a, now, bounded("days", days)), "test_generator": lambda: practice.tests(a),
             "practice_report": lambda answers: practice.report(a, self.spark.createDataFrame([(x["id"], x.get("attempt", "")) for x in answers], "id string, attempt string"), now),
-            "practice_session": lambda limit=5: practice.due(a, now, bounded("limit", limit)), "learning_loop": lambda: practice.learning_loop(a, now), "agent_learning_session": lambda: practice.learning_loop(a, now),
-            "sleep_and_plan": lambda days=7: practice.forecast(a, now, bounded("days", days)), "concept_cover": lambda query, top_k=5: composed.covered(one(query), self.recall(query, top_k), a, index.stored_terms(a)),
-            "temporal_anchor": lambda query: anchors.latest_of(one(query), a, index.stored_terms(a), F.to_date(now)),
+            "practice_session": lambda answers=(), limit=5: practice.session(a, self._answers(answers), now, bounded("limit", limit)), "learning_loop": lambda: practice.learning_loop(a, now), "agent_learning_session": lambda answers=(): practice.learning_session(a, self._answers(answers), now),
+            "sleep_and_plan": lambda days=7: practice.night_and_plan(a, source.active(consolidate.sleep(self.mem, self.links, now)[0]), consolidate.sleep_report(a, now), now, bounded("days", days)), "concept_cover": lambda query, top_k=5: composed.covered(one(query), self.recall(query, top_k), a, index.stored_terms(a)),
+            "temporal_anchor": self.temporal_anchor,
         }
 
     def call(self, name: str, **arguments) -> DataFrame:

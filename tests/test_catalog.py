@@ -3,16 +3,17 @@
 import datetime
 import decimal
 import math
+import os
 
 import duckdb
 import pytest
 
-from palimpsest.plans import catalog
+from palimpsest.plans import catalog, kept, more  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: One query or two of each kind; the driver compares all.
-NAMES = ["mem_view", "terms_index", "semantic_upsert", "next_interval", "review_load", "spacing_plan", "recall_keyword", "merge_duplicates", "detect_conflicts", "rem_links", "communities", "life_story", "mastery_map", "cosine_topk", "intent_conflicts", "time_cell_nearest", "stream_sessions", "turn_segments", "asof_events", "cube_flags"]
+#: One query or two of each kind; with ALL_QUERIES set in the environment all that have SQL.
+NAMES = sorted(catalog.ORACLES) if os.environ.get("ALL_QUERIES") else ["mem_view", "terms_index", "semantic_upsert", "next_interval", "review_load", "spacing_plan", "recall_keyword", "merge_duplicates", "detect_conflicts", "rem_links", "communities", "life_story", "mastery_map", "cosine_topk", "intent_conflicts", "time_cell_nearest", "stream_sessions", "turn_segments", "asof_events", "cube_flags", "inverted_index", "memory_health", "effort_estimate", "check", "recall_trace", "index_after_merges", "vector_index_contents", "temporal_anchor", "value_anchor", "transitive_premises", "integration_chains", "interleaved_plan", "stream_windows_append", "stream_intents_due", "stream_access_merged"]
 
 
 def plain(v):

@@ -1,14 +1,61 @@
-"""Streams against a fold of the whole."""
+"""Streams against a fold of the whole, row by row."""
 
+import numpy as np
 import pandas as pd
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from palimpsest.streaming import access
 
 
+def slow_fold(rows):
+    n = good = bad = streak = last = 0
+    strength = 0.5
+    for _, r in rows.sort_values(["ts", "event_id"]).iterrows():
+        n, last = n + 1, max(last, r["ts"].value // 1000)
+        if r["event_type"] in ("purchase", "signup"):
+            good, streak, strength = good + 1, streak + 1, min(1.0, strength + 0.05)
+        elif r["event_type"] == "error":
+            bad, streak, strength = bad + 1, 0, max(0.3, strength - 0.05)
+    return n, good, bad, streak, strength, last
+
+
 def test_fold_of_stream_equals_fold_of_all(spark):
     path = "/root/testdata/sf0.001/events.parquet"
     got = {r["user_id"]: tuple(r)[1:] for r in access.folded(spark, path).collect()}
-    events = pd.read_parquet(path)
-    for user, rows in events.groupby("user_id"):
-        want = access.fold_one(None, rows)
+    for user, rows in pd.read_parquet(path).groupby("user_id"):
+        want = slow_fold(rows)
         assert got[user] == (*want[:4], round(want[4], 6))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["purchase", "signup", "error", "view"]), max_size=60), st.integers(0, 60))
+def test_fold_in_pieces(kinds, cut):
+    rows = pd.DataFrame({"event_id": range(len(kinds)), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(len(kinds)), "s"), "event_type": kinds})
+    state = access.fold_one(None, rows.iloc[:cut])
+    state = access.fold_one(state, rows.iloc[cut:])
+    want = slow_fold(rows)
+    assert state[:4] == want[:4] and abs(state[4] - want[4]) < 1e-9 and state[5] == want[5]
+
+
+def test_a_stream_goes_on_where_it_was(spark, tmp_path):
+    """Each arrival is read once; what the sink has of a batch is written over when it comes again."""
+    rows = spark.range(30).select("id", (F.col("id") % 3).cast("int").alias("part"))
+    seen = []
+
+    def run(stream):
+        out = access.run_into(stream.select("id"), str(tmp_path / "into"))
+        seen.append(out.count())
+        return out
+
+    out = access.replayed(rows, F.col("part"), 3, run)
+    assert seen == [10, 20, 30] and {r["id"] for r in out.collect()} == set(range(30)) and out.select("batch").distinct().count() == 3
+
+
+def test_settings_are_given_back(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    with access.settings(spark, {key: "3", "spark.some.other": "x"}):
+        assert spark.conf.get(key) == "3"
+    assert spark.conf.get(key) == before and spark.conf.get("spark.some.other", None) is None
