@@ -134,11 +134,15 @@ def test_whole_recall(spark):
 
 
 def test_events_and_oneself_count(spark):
-    mem = stored(spark, [("Anna painted the fence", ["anna", "2024-01-05"]), ("Anna painted the door", ["anna"]), ("我喜欢红茶", ["茶"])], "episodic")
-    asks = asked(spark, "what did anna paint 2024-01-05", "我喜欢什么茶")
-    scores = {(r["query_id"], r["id"]): r["score"] for r in recall.scored(asks, mem, memories.now(), cjk=True).collect()}
-    plain = {(r["query_id"], r["id"]): r["score"] for r in recall.scored(asked(spark, "anna paint 2024-01-05", "喜欢什么茶"), mem, memories.now(), cjk=True).collect()}
-    assert scores[0, "m1"] > plain[0, "m1"] and (1, "m3") in scores and scores[1, "m3"] > plain[1, "m3"]
+    """The flags, and what they add to the score."""
+    rows = [("what did anna paint 2024-01-05", ["anna"], "Anna painted", ["anna", "2024-01-05"], True), ("what did ben paint 2024-01-05", ["ben"], "Anna painted", ["anna", "2024-01-05"], False), ("what did anna paint", ["anna"], "Anna painted", ["anna", "2024-01-05"], False)]
+    df = spark.createDataFrame(rows, "query string, base array<string>, content string, cues array<string>, want boolean")
+    assert all(r[0] == r[1] for r in df.select(recall.event_match(*(F.col(c) for c in ("query", "base", "content", "cues"))), "want").collect())
+    marked = spark.createDataFrame([("我喜欢红茶", ["茶"], True), ("红茶", ["自己"], True), ("红茶", ["茶"], False)], "content string, cues array<string>, want boolean")
+    assert all(r[0] == r[1] for r in marked.select(recall.self_marked(F.col("content"), F.col("cues")), "want").collect())
+    flat = {c: F.lit(0.0) for c in ("trust", "confidence", "age_days", "importance")} | {c: F.lit(False) for c in ("summary_cued", "action_cued", "semantic_cued")}
+    one = spark.range(1).withColumns({**flat, "mood": F.lit(None).cast("string"), "affect": F.lit(None).cast("string"), "kind": F.lit("episodic"), "evidence_count": F.lit(1), "event_hit": F.lit(True), "self_hit": F.lit(True)})
+    assert abs(one.select(recall.linear_score(F.lit(0.0), F.lit(0.0))).first()[0] - 0.08) < 1e-9
 
 
 def test_a_users_scorer_of_importance(spark):
