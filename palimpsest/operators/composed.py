@@ -176,7 +176,9 @@ def recall_whole(queries: DataFrame, mem: DataFrame, links: DataFrame, now: Colu
     before has left, and for each row whether the best one has a better confirmed rival and how sure it is. items: id,
     terms with Chinese tokens; computed where they are not given. today: year * 10000 + month * 100 + day."""
     items = index.stored_terms(mem, cjk=True) if items is None else items
-    found = recall_all(queries, mem, links, now, top_k, items, similarity, cjk=True, facts=chains.comparisons(mem))
+    analysed = written(recall.analysed(queries, cjk=True), "analysed")
+    queries = analysed.select("query_id", "query")
+    found = recall_all(analysed, mem, links, now, top_k, items, similarity, cjk=True, facts=chains.comparisons(mem))
     state = written(found.select("query_id", "rank", "id", "score"), "found").withColumn("anchor", F.lit(None).cast("string"))
     plain = lambda df: df.select("query_id", "rank", "id", "score")
     asks = lambda words: not queries.where(F.col("query").rlike(words)).isEmpty()  # noqa: E731  passes that no query asks for are left out

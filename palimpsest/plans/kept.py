@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import audits, chains, composed, consolidate, dated, index, plans, stored
+from palimpsest.operators import audits, chains, consolidate, dated, index, plans, stored
 from palimpsest.plans.catalog import _CAL, _CONFLICTS, Tables, plain, query
 from palimpsest.plans.oracle import ASKED, MEM, TRIES, tokens
 from palimpsest.sources import memories as source
@@ -252,11 +252,3 @@ query("sleep_surprises", "SELECT id, round(least(1.0, strength + 0.05), 4) AS st
     lambda t: plans.surprises(t.act.select("id", (F.col("retrieval_failures") > F.col("retrieval_successes")).alias("surprise")), t.act)
 )
 
-
-@plain("recall_whole")
-def _recall_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What customers ask about their dated records, through composed recall with all its anchors."""
-    asks, _, records, items = _anchors(spark, sf_dir, {1: "上次是哪天", 2: "下次是哪天", 3: "第一次是哪天", 5: "多少钱", 6: "营业几点"})
-    mem = shared.written(source.migrated(records.select("id", "seq", "content", F.array(F.regexp_extract("content", "c\\d+-plan", 0)).alias("cues"), F.lit("2023-06-01 00:00:00").cast("timestamp").alias("created_at"))), "memories")
-    links = spark.createDataFrame([], "src string, dst string, weight double")
-    return composed.recall_whole(asks, mem, links, source.now(), TODAY, 4, items)
