@@ -169,36 +169,6 @@ def sleep_pairs(mem: DataFrame, now: Column, limit: int = 20) -> DataFrame:
     return out.orderBy(F.desc("ready"), "topic").limit(limit)
 
 
-def schema_fit(mem: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """id, best_schema, fit, state: for each memory the topic of two members or more, itself left out, whose members' cues
-    (0.6 of the Jaccard similarity) and words (0.4) fit it best.
-
-    Per topic and word one row says how many members have it, so a memory's own share is taken off without building the
-    topic's union anew. A topic that shares neither cue nor word with a memory fits it by 0 and is never looked at. Where
-    nothing fits, best_schema is null and fit 0.
-    """
-    base = mem.select("id", review.topic().alias("topic"), "cues", F.array_distinct(text.tokenize(F.col("content"))).alias("words"))
-    sizes = base.groupBy("topic").agg(F.count("*").alias("members")).where("members >= 2")
-    parts = None
-    for column, weight in (("cues", 0.6), ("words", 0.4)):
-        rows = base.select("id", "topic", F.explode(F.array_distinct(column)).alias("x"))
-        per = rows.join(sizes.select("topic"), "topic", "left_semi").groupBy("topic", "x").agg(F.count("*").alias("n"))
-        union = per.groupBy("topic").agg(F.count("*").alias("whole"))
-        # Of the words a memory has, those that only it brings to its own topic.
-        own = rows.join(per.where("n = 1"), ["topic", "x"]).groupBy("id", "topic").agg(F.count("*").alias("alone"))
-        mine = rows.groupBy("id", F.col("topic").alias("home")).agg(F.count("*").alias("size"))
-        hit = rows.select("id", F.col("topic").alias("home"), "x").join(per, "x")
-        hit = hit.where((F.col("topic") != F.col("home")) | (F.col("n") > 1)).groupBy("id", "home", "topic").agg(F.count("*").alias("both"))
-        hit = hit.join(union, "topic").join(mine, ["id", "home"]).join(own, ["id", "topic"], "left")
-        whole = F.col("whole") - F.when(F.col("topic") == F.col("home"), F.coalesce("alone", F.lit(0))).otherwise(0)
-        part = hit.select("id", "topic", (weight * F.col("both") / (F.col("size") + whole - F.col("both"))).alias("part"))
-        parts = part if parts is None else parts.unionByName(part)
-    fits = parts.groupBy("id", "topic").agg(F.round(F.least(F.lit(1.0), F.sum("part")), 6).alias("fit"))
-    best = fits.groupBy("id").agg(F.max(F.struct("fit", "topic")).alias("b"))
-    out = mem.select("id").join(best, "id", "left").select("id", F.col("b.topic").alias("best_schema"), F.coalesce("b.fit", F.lit(0.0)).alias("fit"))
-    return out.withColumn("state", F.when(F.col("fit") >= 0.5, "assimilate").when(F.col("fit") >= 0.3, "borderline").otherwise("accommodate"))
-
-
 def health(mem: DataFrame, links: DataFrame, conflicts: DataFrame, overdue: DataFrame, clashes: DataFrame, suppressed: DataFrame) -> DataFrame:
     """One row: 100 less what isolation, crowded cues (three memories or more whose words overlap), conflicts, overdue
     intents, clashing ones and suppressed memories cost. The tables' rows count; clashes may be a row with the number."""

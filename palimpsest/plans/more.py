@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.operators import composed, consolidate, graph, index, ingest, insights, planning, plans, practice, recall, review, vector
+from palimpsest.operators import composed, consolidate, fits, graph, index, ingest, insights, planning, plans, practice, recall, review, vector
 from palimpsest.plans.catalog import _CONFLICTS, _IN, _INT, Tables, _then, plain, query
 from palimpsest.plans.oracle import ASKED, DUE_AT, IDLE, MEM, TRIES, TS, tokens
 from palimpsest.sources import memories as source
@@ -440,7 +440,7 @@ query("schema_fit", """, sz AS (SELECT topic FROM act GROUP BY topic HAVING coun
  ft AS (SELECT i.id, i.topic, count(*) FILTER (n - (home = i.topic)::INT > 0) AS both, any_value(sz) AS size, any_value(whole) - count(*) FILTER (home = i.topic AND n = 1) AS whole FROM idt i JOIN tw ON tw.id = i.id LEFT JOIN pt ON pt.topic = i.topic AND pt.x = tw.x JOIN (SELECT id, count(*) AS sz FROM tw GROUP BY id) q ON q.id = i.id JOIN (SELECT topic, count(*) AS whole FROM pt GROUP BY topic) u ON u.topic = i.topic GROUP BY 1, 2),
  fits AS (SELECT id, topic, round(least(1.0, 0.6 * coalesce(fc.both / nullif(fc.size + fc.whole - fc.both, 0), 0) + 0.4 * coalesce(ft.both / nullif(ft.size + ft.whole - ft.both, 0), 0)), 6) AS fit FROM idt LEFT JOIN fc USING (id, topic) LEFT JOIN ft USING (id, topic)),
  bs AS (SELECT id, max_by(topic, (fit, topic)) AS best_schema, max(fit) AS fit FROM fits WHERE fit > 0 GROUP BY id)
-SELECT act.id, best_schema, coalesce(fit, 0.0) AS fit, CASE WHEN fit >= 0.5 THEN 'assimilate' WHEN fit >= 0.3 THEN 'borderline' ELSE 'accommodate' END AS state FROM act LEFT JOIN bs USING (id)""")(lambda t: insights.schema_fit(t.act))
+SELECT act.id, best_schema, coalesce(fit, 0.0) AS fit, CASE WHEN fit >= 0.5 THEN 'assimilate' WHEN fit >= 0.3 THEN 'borderline' ELSE 'accommodate' END AS state FROM act LEFT JOIN bs USING (id)""")(lambda t: fits.schema_fit(t.act))
 plain("intent_clashes", "WITH " + _CLASHES + " SELECT clashes FROM cl")(lambda s, d: planning.clash_count(Tables(s, d).intents()))
 query("memory_health", _CONFLICTS + f""", {_CLASHES}, sz AS (SELECT (SELECT count(*) FROM act) AS n, (SELECT count(DISTINCT src) FROM both_ways) AS linked, (SELECT count(*) FROM (SELECT cue FROM cues GROUP BY cue HAVING count(*) >= 3)) AS crowded, (SELECT count(*) FROM conf) AS conflicts,
   (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 50 <> 0 AND o_orderdate <= {_IN}) AS overdue_intents, (SELECT clashes FROM cl) AS intent_clashes, (SELECT count(*) FROM act WHERE seq % 500 = 0) AS suppressed)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import numeric, text
-from palimpsest.operators import anchors, audits, chains, composed, consolidate, dated, graph, index, ingest, insights, planning, plans, practice, recall, reports, review, vector
+from palimpsest.operators import anchors, audits, chains, composed, consolidate, dated, fits, graph, index, ingest, insights, planning, plans, practice, recall, reports, review, vector
 from palimpsest.sources import memories as source
 
 #: The least and most of numeric arguments.
@@ -145,7 +145,7 @@ class Toolbox:
             "similarity_report": lambda threshold=0.6: reports.similar_pairs(a, threshold), "interference_report": lambda: reports.interference(a),
             "difficulty_estimator": lambda: reports.difficulty(a, now), "emotion_advice": lambda: reports.emotions(a), "rumination_check": lambda: audits.rumination_verdict(a),
             "cue_diversity": lambda: reports.cue_diversity(a), "encoding_quality": lambda: reports.encoding_quality(a), "consolidation_forecast": lambda: reports.forecast(a, now),
-            "learner_profile": lambda: audits.learner_scale(a, now), "schema_fit": lambda: insights.schema_fit(a), "memory_integration": lambda: reports.integration(a, self.links),
+            "learner_profile": lambda: audits.learner_scale(a, now), "schema_fit": lambda: fits.schema_fit(a), "memory_integration": lambda: reports.integration(a, self.links),
             "memory_health": self.health, "association_report": lambda: graph.association_report(a, self.links),
             "community_report": lambda: graph.community_report(a, self.links), "bridge_suggestions": lambda limit=20: graph.bridges(a, self.links, bounded("limit", limit)), "kg_export": lambda: graph.kg_edges(a, self.links),
             "intent_report": lambda: planning.intent_report(self.intents, now), "intent_conflicts": lambda minutes=60: planning.intent_conflicts(self.intents, minutes),
