@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import curve
-from palimpsest.operators import recall, reports, review
+from palimpsest.operators import graph, recall, reports, review
 from palimpsest.operators.recall import COMMON_TERM, LARGE_STORE
 
 NO_TOPIC = "（无标签）"
@@ -107,3 +107,77 @@ def rumination_verdict(mem: DataFrame, least: int = 5) -> DataFrame:
     per = negative.groupBy(review.topic().alias("topic")).agg(F.count("*").alias("n"), F.count_if(risky).alias("risky"))
     one = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("negative"), F.coalesce(F.sum("risky"), F.lit(0)).alias("risky"), F.coalesce(F.max("risky"), F.lit(0)).alias("most_of_topic"))
     return one.withColumn("risk", F.when((F.col("risky") >= 3) | (F.col("most_of_topic") >= 2), "high").when(F.col("risky") > 0, "medium").otherwise("low"))
+
+
+def context_packs(found: DataFrame, mem: DataFrame, budget: int = 1200) -> DataFrame:
+    """pack, place, id, score, used: of the results of a pack's questions (pack, id, score, overlap; those that words found)
+    each memory once by its best score, as many in order as fit the number of characters. What doesn't fit is passed over;
+    the first always fits. A pack holds its questions' few results, so it is packed in one row."""
+    best = found.where("overlap > 0").groupBy("pack", "id").agg(F.max("score").alias("score"))
+    rows = best.join(mem.select("id", "seq", F.length("content").alias("letters")), "id")
+    rows = rows.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("seq")).alias("q"), "id", "letters"))).alias("rows"))
+    kept = F.array().cast("array<struct<id:string,score:double,used:int>>")
+    start = F.struct(F.lit(0).alias("used"), kept.alias("kept"))
+
+    def step(a: Column, x: Column) -> Column:
+        used = a["used"] + x["letters"]
+        took = F.struct(used.alias("used"), F.concat(a["kept"], F.array(F.struct(x["id"].alias("id"), (-x["s"]).alias("score"), used.alias("used")))).alias("kept"))
+        return F.when((F.size(a["kept"]) == 0) | (used <= budget), took).otherwise(a)
+
+    return rows.select("pack", F.posexplode(F.aggregate("rows", start, step)["kept"]).alias("place", "k")).select("pack", "place", "k.id", F.round("k.score", 6).alias("score"), "k.used")
+
+
+def attention(found: DataFrame, mem: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, part, place, id, all: what belongs to a task and what would only distract. `relevant` are its results (rank
+    up to k, at most 500); `suppressed` the first k other memories that are strong (0.7) and important (0.6), the strongest
+    first; `all` says how many the part has in the whole store. Of the strong ones only the first 2k can come into any
+    task's k, so no task meets the store."""
+    strong = mem.where("strength >= 0.7 and importance >= 0.6")
+    order = [F.desc("strength"), F.desc("importance"), F.desc("seq")]
+    top = strong.orderBy(*order).limit(2 * k).select("id", "strength", "importance", "seq")
+    number = strong.agg(F.count("*").alias("strong"))
+    hits = found.where(F.col("rank") <= k).select("query_id", "id", "rank")
+    per = hits.join(strong.select("id", F.lit(1).alias("s")), "id", "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("s").alias("own"))
+    relevant = hits.join(per, "query_id").select("query_id", F.lit("relevant").alias("part"), F.col("rank").cast("long").alias("place"), "id", F.col("n").alias("all"))
+    rest = per.crossJoin(F.broadcast(number)).crossJoin(F.broadcast(top))  # one row, and 2k rows at most
+    rest = rest.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")
+    rest = rest.select("query_id", F.lit("suppressed").alias("part"), place.alias("place"), "id", (F.col("strong") - F.col("own")).alias("all"))
+    return relevant.unionByName(rest.where(F.col("place") <= k))
+
+
+def retrieval_quality(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: questions, share of them whose first result shares a word (hits) and of the others, mean score and
+    retrievability of first results, and the verdict: good from 0.8 hits, fair from 0.5, else poor."""
+    top = found.where("rank = 1").select("query_id", "score", "retrievability", (F.col("overlap") > 0).cast("int").alias("hit"))
+    rate = F.coalesce(F.round(F.try_divide(F.coalesce(F.sum("hit"), F.lit(0)), F.count("*")), 3), F.lit(0.0))
+    mean = lambda c: F.coalesce(F.round(F.avg(c), 3), F.lit(0.0))
+    weak = F.coalesce(F.round(F.try_divide(F.count("*") - F.coalesce(F.sum("hit"), F.lit(0)), F.count("*")), 3), F.lit(0.0))
+    one = queries.select("query_id").join(top, "query_id", "left").agg(F.count("*").alias("evaluated"), rate.alias("hit_rate"), weak.alias("weak_rate"), mean("score").alias("avg_top_score"), mean("retrievability").alias("avg_top_retrievability"))
+    return one.withColumn("verdict", F.when(F.col("hit_rate") >= 0.8, "good").when(F.col("hit_rate") >= 0.5, "fair").otherwise("poor"))
+
+
+def explained(mem: DataFrame, links: DataFrame, suppressed: DataFrame, now: Column) -> DataFrame:
+    """The state of each memory in plain fields: how reachable it is, what it rests on, its links (each counts from both
+    sides), and whether it is suppressed (id)."""
+    degree = graph.degrees(links).select("id", (2 * F.col("degree")).alias("linked_count"))
+    rows = review.with_r(mem, now).join(degree, "id", "left").join(suppressed.select("id", F.lit(True).alias("suppressed")).distinct(), "id", "left")
+    three = lambda c: F.round(c, 3).alias(c)
+    return rows.select(
+        "id", "kind", "cues", F.round("r", 3).alias("retrievability"), three("importance"), three("strength"), three("confidence"), "evidence_count", F.coalesce("linked_count", F.lit(0)).alias("linked_count"),
+        F.coalesce("suppressed", F.lit(False)).alias("suppressed"), "access_count", "last_access_at", "review_streak", "last_review_at",
+    )
+
+
+def emotion_advice(mem: DataFrame, k: int = 3) -> DataFrame:
+    """One row: memories by affect, the share of negative ones, the k topics that hold most of these (most first, then by
+    name), and what to do: `reappraise` from 0.4, `rewrite` from 0.2, else `keep`."""
+    n = lambda a: F.count_if(F.col("affect") == a).alias(a)
+    ratio = F.coalesce(F.round(F.try_divide(F.count_if(F.col("affect") == "negative"), F.count("*")), 3), F.lit(0.0))
+    neutral = F.count_if(F.col("affect").isNull() | (F.col("affect") == "neutral"))
+    one = mem.agg(F.count("*").alias("memories"), n("positive"), n("negative"), n("arousing"), neutral.alias("neutral"), ratio.alias("negative_ratio"))
+    topics = mem.where("affect = 'negative' and size(cues) > 0").groupBy(F.get("cues", 0).alias("topic")).agg(F.count("*").alias("n"))
+    top = topics.orderBy(F.desc("n"), "topic").limit(k)
+    top = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "topic"))), lambda x: F.concat(x["topic"], F.lit(":"), (-x["o"]).cast("string"))), ",").alias("topics"))  # k rows
+    advice = F.when(F.col("negative_ratio") >= 0.4, "reappraise").when(F.col("negative_ratio") >= 0.2, "rewrite").otherwise("keep")
+    return one.crossJoin(F.broadcast(top)).withColumn("advice", advice)  # rows of one each

@@ -252,3 +252,30 @@ query("sleep_surprises", "SELECT id, round(least(1.0, strength + 0.05), 4) AS st
     lambda t: plans.surprises(t.act.select("id", (F.col("retrieval_failures") > F.col("retrieval_successes")).alias("surprise")), t.act)
 )
 
+query("context_pack", ASKED + """, sc AS (SELECT query_id // 5 AS pack, f.id, max(f.score) AS score, any_value(seq) AS seq, any_value(length(content)) AS letters FROM found f JOIN act USING (id) WHERE rank <= 3 AND f.overlap > 0 GROUP BY 1, 2),
+ od AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pack ORDER BY score DESC, seq DESC) AS k FROM sc),
+ fold AS (SELECT pack, k, id, score, letters::BIGINT AS used, true AS took FROM od WHERE k = 1
+  UNION ALL SELECT o.pack, o.k, o.id, o.score, CASE WHEN f.used + o.letters <= 6000 THEN f.used + o.letters ELSE f.used END, f.used + o.letters <= 6000 FROM fold f JOIN od o ON o.pack = f.pack AND o.k = f.k + 1)
+SELECT pack, (row_number() OVER (PARTITION BY pack ORDER BY k) - 1)::INT AS place, id, round(score, 6) AS score, used::INT AS used FROM fold WHERE took""", MEM + ", ")(
+    lambda t: audits.context_packs(t.found(3).withColumn("pack", F.expr("query_id div 5")), t.act, 6000)
+)
+query("attention_filter", ASKED + """, st AS MATERIALIZED (SELECT id, strength, importance, seq FROM act WHERE strength >= 0.7 AND importance >= 0.6), hit AS (SELECT query_id, id, rank FROM found WHERE rank <= 5),
+ ot AS (SELECT q.query_id, st.*, row_number() OVER (PARTITION BY q.query_id ORDER BY strength DESC, importance DESC, seq DESC) AS place, count(*) OVER (PARTITION BY q.query_id) AS n
+  FROM (SELECT DISTINCT query_id FROM hit) q, st WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.query_id = q.query_id AND h.id = st.id))
+SELECT query_id, 'relevant' AS part, rank AS place, id, count(*) OVER (PARTITION BY query_id) AS "all" FROM hit UNION ALL SELECT query_id, 'suppressed', place, id, n FROM ot WHERE place <= 5""", MEM + ", ")(
+    lambda t: audits.attention(t.found(5), t.act)
+)
+query("retrieval_quality", ASKED + """, one AS (SELECT count(*) AS evaluated, round(count(*) FILTER (overlap > 0) / count(*), 3) AS hit_rate, round((count(*) - count(*) FILTER (overlap > 0)) / count(*), 3) AS weak_rate,
+ coalesce(round(avg(score), 3), 0.0)::DOUBLE AS avg_top_score, coalesce(round(avg(retrievability), 3), 0.0)::DOUBLE AS avg_top_retrievability FROM qs LEFT JOIN (SELECT * FROM found WHERE rank = 1) USING (query_id))
+SELECT *, CASE WHEN hit_rate >= 0.8 THEN 'good' WHEN hit_rate >= 0.5 THEN 'fair' ELSE 'poor' END AS verdict FROM one""", MEM + ", ")(lambda t: audits.retrieval_quality(t.asked(), t.found(1)))
+query("explain_memory", """, dg AS (SELECT src AS id, 2 * count(*) AS d FROM both_ways GROUP BY 1)
+SELECT id, kind, array_to_string(cues, ',') AS cues, round(r, 3) AS retrievability, round(importance, 3) AS importance, round(strength, 3) AS strength, round(confidence, 3) AS confidence, evidence_count, coalesce(d, 0)::BIGINT AS linked_count,
+ seq % 29 = 0 AS suppressed, access_count, epoch_us(last_access_at) AS last_access_us, review_streak, epoch_us(last_review_at) AS last_review_us FROM act LEFT JOIN dg USING (id)""")(
+    lambda t: audits.explained(t.act, t.links(), t.act.where("seq % 29 = 0"), t.now).withColumns({"cues": F.array_join("cues", ","), "last_access_us": F.unix_micros("last_access_at"), "last_review_us": F.unix_micros("last_review_at")}).drop("last_access_at", "last_review_at")
+)
+query("emotion_advice", """, one AS (SELECT count(*) AS memories, count(*) FILTER (affect = 'positive') AS positive, count(*) FILTER (affect = 'negative') AS negative, count(*) FILTER (affect = 'arousing') AS arousing, count(*) FILTER (affect IS NULL OR affect = 'neutral') AS neutral,
+ round(count(*) FILTER (affect = 'negative') / count(*), 3) AS negative_ratio FROM act), tp AS (SELECT cues[1] AS topic, count(*) AS n FROM act WHERE affect = 'negative' AND len(cues) > 0 GROUP BY 1 ORDER BY n DESC, topic LIMIT 3)
+SELECT *, (SELECT coalesce(string_agg(topic || ':' || n, ',' ORDER BY n DESC, topic), '') FROM tp) AS topics, CASE WHEN negative_ratio >= 0.4 THEN 'reappraise' WHEN negative_ratio >= 0.2 THEN 'rewrite' ELSE 'keep' END AS advice FROM one""")(lambda t: audits.emotion_advice(t.act))
+query("temporal_hints", """SELECT 'o' || o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'latest' WHEN 1 THEN 'next' WHEN 2 THEN 'first' END AS hint FROM orders""", "")(
+    lambda t: source.table(t.spark, t.dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), dated.temporal_hint(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderkey") % 4 == 0, "上次是哪天").when(F.col("o_orderkey") % 4 == 1, "下次是哪天").when(F.col("o_orderkey") % 4 == 2, "第一次是哪天").otherwise("多少钱"))).alias("hint"))
+)

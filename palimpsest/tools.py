@@ -55,10 +55,8 @@ class Toolbox:
         return audits.recall_trace(asked, self.act, items, recall.recall(asked, self.act, self.now, 50, items), 50)
 
     def retrieval_quality(self, queries: list[str]) -> DataFrame:
-        """One row: share of queries that find something, and that find it surely."""
-        found = self.search_batch(queries, 1)
-        n = len(queries)
-        return found.agg(F.round(F.count("*") / n, 6).alias("hit_rate"), F.round(F.count_if("confident") / n, 6).alias("sure_rate"))
+        """One row: how many questions find something by its words, and how well."""
+        return audits.retrieval_quality(self._asked(queries), self.search_batch(queries, 1))
 
     def check(self, query: str, top_k: int = 3) -> DataFrame:
         """What is known about an answer: results with how sure they are, gaps, blocked memories, contradictions."""
@@ -96,22 +94,18 @@ class Toolbox:
         return recall.gaps(self._asked([query]), index.term_index(self.act))
 
     def attention_filter(self, query: str, limit: int = 5) -> DataFrame:
-        """Strong and important memories that the query does not bring up."""
-        rest = self.act.join(self.recall(query, 24).select("id"), "id", "left_anti").where("strength >= 0.7 and importance >= 0.6")
-        return rest.orderBy(F.desc("importance"), F.desc("seq")).limit(bounded("limit", limit)).select("id", "importance")
-
-    def context_pack(self, queries: list[str], budget: int = 800, top_k: int = 10) -> DataFrame:
-        """The best memories of several queries that fit a number of characters: those that do not fit are passed over;
-        the first always fits."""
-        best = self.search_batch(queries, top_k).groupBy("id").agg(F.max("score").alias("score")).join(self.act.select("id", "content", "seq"), "id")
-        rows = best.agg(F.reverse(F.array_sort(F.collect_list(F.struct("score", "seq", "id", "content")))).alias("rows"))  # top_k for each query at most
-        start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("ids"))
-        step = lambda a, x: F.when((F.size(a["ids"]) == 0) | (a["used"] + F.length(x["content"]) <= budget), F.struct((a["used"] + F.length(x["content"])).alias("used"), F.concat(a["ids"], F.array(x["id"])).alias("ids"))).otherwise(a)
-        return rows.select(F.explode(F.aggregate("rows", start, step)["ids"]).alias("id"))
-
-    def explain_memory(self, memory_id: str) -> DataFrame:
-        row = review.with_r(self.act.where(F.col("id") == memory_id), self.now)
-        return row.join(graph.degrees(self.links).withColumnRenamed("weight", "link_weight"), "id", "left")
+        """What belongs to a task, and the strong and important memories that would only distract from it."""
+        k = bounded("limit", limit)
+        return audits.attention(self.recall(query, k), self.act, k)
+
+    def context_pack(self, queries: list[str], budget: int = 1200, top_k: int = 3) -> DataFrame:
+        """The best memories of several queries that fit a number of characters."""
+        found = self.search_batch(queries, top_k).withColumn("pack", F.lit(0))  # top_k for each query at most
+        return audits.context_packs(found, self.act, budget).drop("pack")
+
+    def explain_memory(self, memory_id: str, suppressed: DataFrame | None = None) -> DataFrame:
+        none = self.act.limit(0).select("id") if suppressed is None else suppressed
+        return audits.explained(self.act.where(F.col("id") == memory_id), self.links, none, self.now)
 
     def multi_hop_report(self, start: list[str], depth: int = 2) -> DataFrame:
         return graph.ring(self.links, start, depth).groupBy("hop").agg(F.count("*").alias("n"))
@@ -143,7 +137,7 @@ class Toolbox:
             "source_calibration": lambda: reports.source_calibration(a), "forgetting_risk": lambda: reports.risks(a, now), "forgetting_balance": lambda: reports.balance(a),
             "life_story": lambda days=14: reports.life_story(a, bounded("days", days)), "life_highlights": lambda days=14: audits.life_highlights(a, bounded("days", days)), "topic_drift_report": lambda days=14: reports.drift(a, bounded("days", days)),
             "similarity_report": lambda threshold=0.6: reports.similar_pairs(a, threshold), "interference_report": lambda: reports.interference(a),
-            "difficulty_estimator": lambda: reports.difficulty(a, now), "emotion_advice": lambda: reports.emotions(a), "rumination_check": lambda: audits.rumination_verdict(a),
+            "difficulty_estimator": lambda: reports.difficulty(a, now), "emotion_advice": lambda: audits.emotion_advice(a), "rumination_check": lambda: audits.rumination_verdict(a),
             "cue_diversity": lambda: reports.cue_diversity(a), "encoding_quality": lambda: reports.encoding_quality(a), "consolidation_forecast": lambda: reports.forecast(a, now),
             "learner_profile": lambda: audits.learner_scale(a, now), "schema_fit": lambda: fits.schema_fit(a), "memory_integration": lambda: reports.integration(a, self.links),
             "memory_health": self.health, "association_report": lambda: graph.association_report(a, self.links),
