@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import planning
+from palimpsest.operators import graph, planning
 
 
 def _plan(df) -> str:
@@ -15,3 +15,9 @@ def test_pairs_of_intents_are_told_without_shuffling_pairs(spark):
     pairs = planning.intent_conflicts(intents)
     assert sorted(map(tuple, pairs.collect())) == [(1, 2, "time"), (1, 3, "context"), (2, 3, "time"), (4, 5, "context")]
     assert "LeftAnti" not in _plan(pairs)
+
+
+def test_links_of_shared_cues_are_whole(spark):
+    """500 episodes of two cues are 124,750 pairs; two such groups are more than the budget of a night."""
+    mem = spark.range(1000).selectExpr("concat('m', id) AS id", "id AS seq", "'episodic' AS kind", "array(concat('a', id % 2), concat('b', id % 2)) AS cues")
+    assert graph.rem_links(mem).count() == 2 * 500 * 499 // 2
