@@ -1,8 +1,11 @@
 """Whole results and steps that grow no faster than their input."""
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, planning
+from palimpsest.operators import graph, ingest, planning
+from palimpsest.plans import more
 
 
 def _plan(df) -> str:
@@ -21,3 +24,14 @@ def test_links_of_shared_cues_are_whole(spark):
     """500 episodes of two cues are 124,750 pairs; two such groups are more than the budget of a night."""
     mem = spark.range(1000).selectExpr("concat('m', id) AS id", "id AS seq", "'episodic' AS kind", "array(concat('a', id % 2), concat('b', id % 2)) AS cues")
     assert graph.rem_links(mem).count() == 2 * 500 * 499 // 2
+
+
+def test_all_facts_of_a_text_count_as_merged(spark, monkeypatch):
+    """Two facts of one text were there before a third comes."""
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    facts = lambda rows, top: ingest.prepared(spark.createDataFrame(rows, "content string, kind string, input_pos int"), now, top)
+    mem = facts([("one text", "semantic", 0), ("one text", "semantic", 1), ("other", "semantic", 2)], 0)
+    new = facts([("One  text", "semantic", 0), ("fresh", "semantic", 1)], 10)
+    monkeypatch.setattr(more, "_new", lambda t: new)
+    got = {r["id"]: r["merged"] for r in more._merged(SimpleNamespace(mem=mem)).collect()}
+    assert got == {"m1": 3, "m12": 1}
