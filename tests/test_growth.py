@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, ingest, planning
+from palimpsest.operators import graph, ingest, planning, reports
 from palimpsest.plans import more
 
 
@@ -35,3 +35,11 @@ def test_all_facts_of_a_text_count_as_merged(spark, monkeypatch):
     monkeypatch.setattr(more, "_new", lambda t: new)
     got = {r["id"]: r["merged"] for r in more._merged(SimpleNamespace(mem=mem)).collect()}
     assert got == {"m1": 3, "m12": 1}
+
+
+def test_interference_makes_no_pairs(spark):
+    """Copies, one that shares half and a text without words under one cue: shares 1, 0.5 (twice) and 0."""
+    rows = [("a", "river stone"), ("b", "stone river"), ("c", "stone market"), ("d", "")]
+    got = reports.interference(spark.createDataFrame(rows, "id string, content string").withColumn("cues", F.array(F.lit("x"))))
+    assert [tuple(r) for r in got.collect()] == [("x", 4, round((1 + 0.5 + 0.5) / 6, 6))]
+    assert "InArrow" not in _plan(got)
