@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, ingest, planning, reports
+from palimpsest.operators import graph, ingest, insights, planning, reports
 from palimpsest.plans import more
 
 
@@ -43,3 +43,36 @@ def test_interference_makes_no_pairs(spark):
     got = reports.interference(spark.createDataFrame(rows, "id string, content string").withColumn("cues", F.array(F.lit("x"))))
     assert [tuple(r) for r in got.collect()] == [("x", 4, round((1 + 0.5 + 0.5) / 6, 6))]
     assert "InArrow" not in _plan(got)
+
+
+def test_memories_to_rewrite_are_counted_without_pairs(spark):
+    """Against brute force, with copies of a text, a memory without cues and one of more cues than are counted by parts."""
+    rows = [(f"m{k}", k, f"text {k % 4}", f"h{k % 4}" if k % 7 else None, [f"a{k % 2}", f"b{k % 3}", f"c{k % 5}"][: k % 4]) for k in range(40)] + [("w", 40, "wide", "w", [f"a{j}" for j in range(9)])]
+    mem = spark.createDataFrame(rows, "id string, seq long, content string, content_hash string, cues array<string>").withColumns(
+        {"created_at": F.current_timestamp(), "last_access_at": F.lit(None).cast("timestamp"), "strength": F.lit(1.0), "storage_strength": F.lit(1.0), "review_streak": F.lit(0.0), "affect": F.lit(None).cast("string")}
+    )
+    got = insights.reconsolidation(mem.select("id"), mem, F.current_timestamp(), most=1000)
+    for r in got.collect():
+        own = next(x for x in rows if x[0] == r["id"])
+        near = [x for x in rows if x[0] != r["id"] and set(x[4]) & set(own[4])]
+        assert (r["related"], r["conflicts"]) == (len(near), sum(1 for x in near if None not in (x[3], own[3]) and x[3] != own[3]))
+    counted = insights._counted(mem.select("id", "content_hash", "cues"), mem.select("id", "content_hash", "cues"))
+    assert "id = target" not in _plan(counted)
+
+
+def test_components_of_long_paths(spark):
+    """A path whose ids go up and down takes more rounds than labels that spread by one link each would have had."""
+    order = sorted(range(300), key=lambda k: (k * 7919) % 300)
+    rows = [tuple(sorted((f"n{a:03}", f"n{b:03}"))) for a, b in zip(order, order[1:]) if a // 100 == b // 100]
+    top = {f"n{k:03}": f"n{k:03}" for k in range(300)}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in rows:
+        a, b = sorted((root(a), root(b)))
+        top[b] = a
+    links = spark.createDataFrame(rows, "src string, dst string").withColumn("weight", F.lit(1.0))
+    assert {r["id"]: r["community"] for r in graph.communities(links).collect()} == {x: root(x) for pair in rows for x in pair}
