@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, ingest, insights, planning, reports
+from palimpsest.operators import graph, ingest, insights, planning, plans, reports
 from palimpsest.plans import more
 
 
@@ -76,3 +76,11 @@ def test_components_of_long_paths(spark):
         top[b] = a
     links = spark.createDataFrame(rows, "src string, dst string").withColumn("weight", F.lit(1.0))
     assert {r["id"]: r["community"] for r in graph.communities(links).collect()} == {x: root(x) for pair in rows for x in pair}
+
+
+def test_rehearsal_meets_words_and_not_records(spark):
+    """10,000 records of two words are two rows before steps meet them; a record counts once where both words are told."""
+    told = spark.range(10_000).selectExpr("id", "'p' AS person", "IF(id % 2 = 0, 'mix', 'bake') AS step", "IF(id % 2 = 0, 'mix', 'bread') AS noun", "id % 4 = 0 AS ok", "1L AS weight")
+    plan = spark.createDataFrame([(1, 0, "a", "p", "bake the bread"), (1, 1, "b", "p", "mix"), (1, 2, "c", "p", "rest"), (1, 3, "d", "q", "mix")], "query_id long, pos int, id string, person string, content string")
+    got = plans.rehearsed(plan, told.drop("id"))
+    assert {r["id"]: (r["success_probability"], r["weakest"]) for r in got.collect()} == {"a": (0.0, True), "b": (0.5, False), "c": (0.5, False), "d": (0.5, False)}
