@@ -1,12 +1,14 @@
 """Streams against a fold of the whole, row by row."""
 
+from datetime import datetime, timedelta, timezone
+
 import numpy as np
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palimpsest.streaming import access
+from palimpsest.streaming import access, due
 
 
 def slow_fold(rows):
@@ -59,3 +61,28 @@ def test_settings_are_given_back(spark):
     with access.settings(spark, {key: "3", "spark.some.other": "x"}):
         assert spark.conf.get(key) == "3"
     assert spark.conf.get(key) == before and spark.conf.get("spark.some.other", None) is None
+
+
+def test_due_intents_in_buckets(spark, tmp_path):
+    """Many intents to a bucket: state is kept for them together, and each is told once, unless it was cancelled by then."""
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    rows = []
+    for i in range(60):
+        rows.append((i, day(i % 10), "remember", day(i % 10 + i % 7 - 2), i % 10 // 4))
+        if i % 4 == 0:
+            rows.append((i, day(i % 10 + i % 3), "cancel", None, (i % 10 + i % 3) // 4))
+    rows += [(900, day(1), "cancel", None, 0), (901, day(12), "remember", day(40), 3), (None, day(2), "remember", day(2), 0)]
+    events = spark.createDataFrame(rows, due.INTENT_EVENTS + ", slice int")
+    run = lambda stream: access.run_into(due.due_intents(stream.drop("slice"), "1 day", 3), str(tmp_path / "due"), "update", due.STORE)
+    got = sorted((r["id"], r["due_ms"]) for r in access.replayed(events, F.col("slice"), 4, run).collect())
+    gone = {r[0]: r[1] for r in rows if r[2] == "cancel"}
+    ms = lambda t: int(t.replace(tzinfo=timezone.utc).timestamp() * 1000)
+    want = sorted((i, ms(d)) for i, _, kind, d, _ in rows if i is not None and kind == "remember" and d <= day(11) and not (i in gone and gone[i] <= d))
+    assert got == want and len(got) > 30
+
+
+def test_due_intents_call_python_for_buckets(spark):
+    """The state's key is a bucket, so calls of Python don't grow with each intent."""
+    stream = spark.readStream.format("rate").load().selectExpr("value id", "timestamp at", "'remember' kind", "timestamp due_at")
+    plan = due.due_intents(stream, buckets=8)._jdf.queryExecution().logical().toString()
+    assert "bucket" in plan and due.buckets_for(9_000_000) == 2250 and due.buckets_for(0) == 1
