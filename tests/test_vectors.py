@@ -33,3 +33,13 @@ def test_kept_index_finds_most_neighbours(spark):
     found = {(r["query"], r["id"]) for r in vecs.search(queries).collect()}
     exact = {(r["query"], r["id"]) for r in vector.block_top_k(held, queries.withColumnRenamed("query", "key"), 10).collect()}
     assert len(exact) >= 150 and len(found & exact) >= 0.9 * len(exact)
+
+
+def test_embeddings_of_long_texts_go_in_blocks(spark):
+    """What is held at once is bounded by characters, not by the rows of a batch."""
+    texts = ["ab " * n for n in (1, 5, 400, 2, 0, 30)] + ["x" * 50]
+    blocks = list(vector.text_blocks(texts, 100))
+    assert [t for b in blocks for t in b] == texts and all(len(b) == 1 or sum(map(len, b)) <= 100 for b in blocks)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, content string")
+    for r in vector.embeddings(rows).collect():
+        assert np.allclose(r["embedding"], vector.embed(texts[r["id"]]))
