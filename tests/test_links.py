@@ -17,3 +17,17 @@ def test_cue_limit_grows_with_the_table(spark, members, kept):
     links = graph.batch_links(mem)
     assert {(r["src"], r["dst"]) for r in links.collect()} == want
     assert graph.unlinked_pairs(mem, links).count() == (members * (members - 1) // 2 - len(want) if kept else 0)
+
+
+def test_unlinked_pairs_by_rule_and_by_links(spark):
+    """The links' rule says the same as the links; no pair is shuffled for it."""
+    cues = "array(concat('a', id % 3), concat('b', id % 4), 'all', concat('own', id))"
+    mem = spark.range(150).selectExpr("concat('m', id) AS id", "id AS seq", f"{cues} AS cues")
+    links = graph.batch_links(mem, per_item=9)
+    rows = {r["id"]: set(r["cues"]) for r in mem.collect()}
+    linked = {(r["src"], r["dst"]) for r in links.collect()}
+    want = sorted((a, b, min(rows[a] & rows[b])) for a in rows for b in rows if a < b and (a, b) not in linked)
+    assert sorted(map(tuple, graph.unlinked_pairs(mem, links, part_rows=20).collect())) == want and want
+    by_rule = graph.unlinked_pairs(mem, per_item=9, part_rows=20)
+    assert sorted(map(tuple, by_rule.collect())) == want
+    assert "Aggregate" not in by_rule._jdf.queryExecution().optimizedPlan().toString()
