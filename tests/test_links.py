@@ -2,7 +2,7 @@
 
 import pytest
 
-from palimpsest.operators import graph
+from palimpsest.operators import consolidate, graph
 
 
 @pytest.mark.parametrize("members, kept", [(203, True), (204, False)])
@@ -31,3 +31,14 @@ def test_unlinked_pairs_by_rule_and_by_links(spark):
     by_rule = graph.unlinked_pairs(mem, per_item=9, part_rows=20)
     assert sorted(map(tuple, by_rule.collect())) == want
     assert "Aggregate" not in by_rule._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_reflections_come_last(spark):
+    """Facts with the same episodes share their texts, and none is ranked with its text."""
+    rows = [(f"f{i}", i, "semantic", 2, f"2024-01-0{i + 1}", "fact") for i in range(4)] + [(f"e{i}", 10 + i, "episodic", 1, f"2024-02-{28 - i}", f"text {i}") for i in range(25)]
+    mem = spark.createDataFrame(rows, "id string, seq long, kind string, evidence_count long, at string, content string").selectExpr("*", "cast(at as timestamp) created_at")
+    links = [("e%d" % e, "f%d" % f, 1.0) for f, some in enumerate([range(25), range(25), [3], [1, 2]]) for e in some]
+    got = consolidate.reflections(mem, spark.createDataFrame(links, "src string, dst string, weight double"))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    first = [f"text {i}" for i in range(19, -1, -1)]
+    assert {r["id"]: (r["n"], r["contents"]) for r in got.collect()} == {"f0": (20, first), "f1": (20, first), "f3": (2, ["text 2", "text 1"])}
