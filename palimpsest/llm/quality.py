@@ -1,4 +1,5 @@
-"""Document quality by Bradley-Terry ranking: preference pairs, logistic loss on feature differences, a quantile threshold."""
+"""Document quality by Bradley-Terry ranking: all pairs of a better and a worse document, logistic loss on feature
+differences, a quantile threshold. Tasks sum what the fit needs; no row is left out of it."""
 
 from __future__ import annotations
 
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import common
 
-#: The training sample: labelled rows of a class, and preference pairs drawn from them.
+#: Rows of a class and pairs that tests fit plainly, to compare with; the operator trains on all.
 PER_CLASS, PAIRS = 1500, 30_000
-#: Quantiles of the training scores that the threshold is chosen from.
-QUANTILES = 400
+#: Bins of scores: for gradients, for curvature, and those whose bounds the threshold is chosen from.
+BINS, COARSE, FINE = 256, 16, 8192
 BLOCK_ROWS = 4096
 
 CLASSES = ("other", "upper", "lower", "digit", "blank", "line", "exclaim", "stop", "quote", "bar", "symbol", "bracket", "control", "accent_upper", "lead")
@@ -86,28 +87,11 @@ def features(col: pa.Array, classes: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Weights of the standardised features, the threshold and the steepness around it."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 11, steps: int = 400, rate: float = 0.03, decay: float = 1e-3) -> None:
-        self.mean, self.deviation = x.mean(0), x.std(0) + 1e-9
-        z = self._standard(x)
-        rng = np.random.default_rng(seed)
-        better, worse = np.nonzero(y == 1)[0], np.nonzero(y == 0)[0]
-        d = z[rng.choice(better, PAIRS)] - z[rng.choice(worse, PAIRS)]
-        w, m, v = np.zeros(z.shape[1]), np.zeros(z.shape[1]), np.zeros(z.shape[1])
-        for t in range(1, steps + 1):
-            g = -(d / (1 + np.exp(np.clip(d @ w, -30, 30)))[:, None]).mean(0) + decay * w
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        self.w = w
-        s = z @ w
-        # The quantile of the scores at which both classes are told best.
-        cuts = np.quantile(s, np.linspace(0, 1, QUANTILES + 1))
-        right = [((s[y == 1] >= c).mean() + (s[y == 0] < c).mean()) for c in cuts]
-        top = np.nonzero(np.isclose(right, max(right)))[0]
-        self.quantile = float(top[len(top) // 2]) / QUANTILES
-        self.threshold = float(cuts[top[0] : top[-1] + 1].mean())
-        self.steepness = 4.0 / max(1e-6, s[y == 1].mean() - s[y == 0].mean())
+    """Weights of the standardised features, the threshold (and its quantile) and the steepness around it."""
+
+    def __init__(self, w: np.ndarray, mean: np.ndarray, deviation: np.ndarray, threshold: float, quantile: float, steepness: float) -> None:
+        self.w, self.mean, self.deviation = w, mean, deviation
+        self.threshold, self.quantile, self.steepness = threshold, quantile, steepness
 
     def _standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.deviation, -8, 8)
@@ -130,26 +114,102 @@ def _feature_rows(df: DataFrame, keep: list[str], made: list[tuple[str, pa.DataT
     return df.mapInArrow(run, fields)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model | None:
-    """A model from a bounded sample of labelled rows: PER_CLASS of either label, those with the smallest hashes of
-    the id. Null ids and labels other than 0 and 1 are left out; of several labels of an id the lowest holds. None
-    when either label is missing."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("__label"))
-    n = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
-    if len(n) < 2:
-        return None
-    share = F.when(F.col("__label") == 1, F.lit(PER_CLASS / n[1])).otherwise(F.lit(PER_CLASS / n[0]))
-    chosen = known.where((F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 30)) / (1 << 30)) < share).orderBy(F.xxhash64(key, F.lit(5)), key).limit(3 * PER_CLASS)
-    rows = docs.select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(chosen), key).select("__label", "__text")
-    got = _feature_rows(rows, ["__label"], [("x", pa.list_(pa.float64()), "array<double>")], lambda x: [x.tolist()]).limit(4 * PER_CLASS).toArrow()
-    if not got.num_rows:
-        return None
-    y = np.asarray(got.column("__label").to_pylist())
-    x = np.array(got.column("x").to_pylist())
-    if len(set(y.tolist())) < 2:
+def _summed(rows: DataFrame, of, like: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums over all rows (__label, x) of the arrays that of(labels, features) makes of a batch; one row a task comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros_like(a) for a in like]
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
+                total = [a + b for a, b in zip(total, of(np.asarray(batch.column(0)).astype(np.int64), x))]
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([a.ravel() for a in total]).tobytes()], pa.binary())], names=["sums"])
+
+    total, ends = np.zeros(sum(a.size for a in like)), np.cumsum([a.size for a in like])
+    for row in rows.mapInArrow(run, "sums binary").toLocalIterator():
+        total = total + np.frombuffer(row["sums"])
+    return [part.reshape(a.shape) for part, a in zip(np.split(total, ends[:-1]), like)]
+
+
+def _fit(rows: DataFrame, steps: int = 15, decay: float = 1e-3) -> Model | None:
+    """The model of all pairs of rows of label 1 and 0. The mean loss of the pairs, its gradient and its curvature follow
+    from how many rows of each label have a score and from their features' sums, by bins of scores."""
+    width = len(rows.first()["x"]) if not rows.isEmpty() else 0
+    count, first, second = _summed(rows, lambda y, x: (np.bincount(y, minlength=2).astype(float), x.sum(0), (x * x).sum(0)), [np.zeros(2), np.zeros(width), np.zeros(width)])
+    if not count.all():
         return None
-    order = np.lexsort(np.concatenate([x.T, y[None]]))  # the same model whatever order the rows came in
-    return Model(x[order], y[order])
+    mean = first / count.sum()
+    model = Model(np.zeros(width), mean, np.sqrt(np.maximum(0, second / count.sum() - mean**2)) + 1e-9, 0.0, 0.0, 1.0)
+    pairs, spread, middle = count[0] * count[1], np.eye(width), np.zeros(width)
+
+    def scores(w: np.ndarray) -> tuple[float, float]:
+        """Lowest score and width of all that bins tell apart."""
+        sd = np.sqrt(max(1e-12, w @ spread @ w))
+        return middle @ w - 8 * sd, 16 * sd
+
+    def binned(w: np.ndarray) -> list[np.ndarray]:
+        low, wide = scores(w)
+
+        def of(y: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+            z = model._standard(x)
+            at = np.clip((z @ w - low) / wide * BINS, 0, BINS - 1).astype(np.int64)
+            n, sums, squares = np.zeros((2, BINS)), np.zeros((2, BINS, width)), np.zeros((2, COARSE, width, width))
+            np.add.at(n, (y, at), 1.0)
+            np.add.at(sums, (y, at), z)
+            group = y * COARSE + at * COARSE // BINS
+            for g in np.unique(group):
+                part = z[group == g]
+                squares[g // COARSE, g % COARSE] = part.T @ part
+            return [n, sums, squares]
+
+        return _summed(rows, of, [np.zeros((2, BINS)), np.zeros((2, BINS, width)), np.zeros((2, COARSE, width, width))])
+
+    w, step, before = model.w, np.zeros(width), np.inf
+    for _ in range(steps):
+        n, sums, squares = binned(w)
+        s = (sums @ w) / np.maximum(1, n)
+        apart = np.clip(s[1][:, None] - s[0][None, :], -30, 30)
+        wrong = 1 / (1 + np.exp(apart))  # how likely a pair of two bins would be told the other way
+        loss = n[1] @ np.log1p(np.exp(-apart)) @ n[0] / pairs + decay / 2 * (w @ w)
+        if loss > before + 1e-12:
+            step = step / 2
+            w = w - step
+            continue
+        before, curve = loss, wrong * (1 - wrong)
+        middle = sums.sum((0, 1)) / count.sum()
+        spread = squares.sum((0, 1)) / count.sum() - np.outer(middle, middle)
+        gradient = (wrong.T @ n[1] @ sums[0] - wrong @ n[0] @ sums[1]) / pairs + decay * w
+        bend = np.stack([curve.T @ n[1], curve @ n[0]])
+        share = (bend * n).reshape(2, COARSE, -1).sum(2) / np.maximum(1, n.reshape(2, COARSE, -1).sum(2))
+        cross = sums[1].T @ curve @ sums[0]
+        hessian = ((squares * share[:, :, None, None]).sum((0, 1)) - cross - cross.T) / pairs + decay * np.eye(width)
+        values, vectors = np.linalg.eigh(hessian)
+        step = -vectors @ ((vectors.T @ gradient) / np.maximum(values, decay))
+        if np.abs(step).max() < 1e-4:
+            break
+        w = w + step
+    low, wide = scores(w)
+
+    def told(y: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+        s = model._standard(x) @ w
+        return [np.bincount(y * FINE + np.clip((s - low) / wide * FINE, 0, FINE - 1).astype(np.int64), minlength=2 * FINE).reshape(2, FINE).astype(float), np.bincount(y, s, 2)]
+
+    n, total = _summed(rows, told, [np.zeros((2, FINE)), np.zeros(2)])
+    below = np.concatenate([np.zeros((2, 1)), np.cumsum(n, axis=1)], axis=1)  # rows below each bound of bins
+    right = 1 - below[1] / count[1] + below[0] / count[0]
+    top = np.nonzero(np.isclose(right, right.max()))[0]
+    best = (top[0] + top[-1]) / 2
+    apart = total[1] / count[1] - total[0] / count[0]
+    return Model(w, model.mean, model.deviation, float(low + wide * best / FINE), float(below[:, int(best)].sum() / count.sum()), 4.0 / max(1e-6, apart))
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model | None:
+    """A model of all labelled rows. Null ids and labels other than 0 and 1 are left out; of several labels of an id the
+    lowest holds. None when either label is missing. Only features meet the labels, as texts are long."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("__label"))
+    made = _feature_rows(docs.where(F.col(key).isNotNull()).select(F.col(key), F.col(text).alias("__text")), [key], [("x", pa.list_(pa.float64()), "array<double>")], lambda x: [x.tolist()])
+    rows = common.written(made.join(known, key).select("__label", "x"), "features")
+    return _fit(rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)))
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:

@@ -182,3 +182,15 @@ def test_many_languages_each_have_a_text(spark):
     rows = [(f"{chr(0x4E00 + k)}{chr(0x5E00 + k)} {chr(0x4E00 + k)}", f"l{k}") for k in range(300) for _ in range(3)]
     model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
     assert len(model.languages) == 300
+
+
+def test_quality_counts_every_labelled_row(spark):
+    """More rows of a class than any sample holds: each moves the mean, and of a rare kind none is missed."""
+    n = 4000
+    docs = spark.createDataFrame([(k, "good words here. " * (1 + k % 7) if k % 2 else "BAD!! ### " * (1 + k % 5)) for k in range(2 * n)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality.train(docs, labels)
+    x = quality.features(pa.array([r["text"] for r in docs.collect()], pa.string()), quality.byte_classes())
+    assert np.allclose(model.mean, x.mean(0), atol=1e-9) and np.allclose(model.deviation, x.std(0) + 1e-9, atol=1e-6)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-9), -8, 8) @ model.w
+    assert z[1::2].min() > model.threshold > z[::2].max()
