@@ -35,7 +35,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 TABLE_WORDS, TABLE_LONGEST = 150_000, 64
 #: Words beyond the table that a task remembers between blocks, and words of a block.
 REMEMBERED_WORDS = 100_000
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 50_000
 #: Bytes of a word whose pairs are looked through for each merge; longer words keep them in a heap.
 SHORT = 48
 #: Text that is counted at once.
@@ -190,9 +190,9 @@ def word_table(df: DataFrame, vocabulary: str, text: str = "text", most: int = T
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
     rows = df.select(F.col(f"`{text}`").alias("__text")).where("__text is not null")
-    found = rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(common.released(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = common.written(found.orderBy(F.desc("n"), "word").limit(most).select("word"), "words")
-    return top.repartition(16).mapInArrow(encode_words, "word string, ids array<int>").toArrow()
+    return top.repartition(16).mapInArrow(common.released(encode_words), "word string, ids array<int>").toArrow()
 
 
 class WordTable(dict):
@@ -295,7 +295,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
                     yield pa.RecordBatch.from_arrays([*batch.slice(start, k - start).columns[:-1], out], names=[*keep, ids])
                     start, lists, n = k, [], 0
 
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text")).mapInArrow(common.released(run), schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded", digest: str | None = None) -> DataFrame:
@@ -330,7 +330,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
                     columns.append(pa.array([hashlib.sha256(little[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *more])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(common.released(run), schema)
 
 
 def default_vocabulary() -> str:

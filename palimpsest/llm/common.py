@@ -131,6 +131,16 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
+def released(run):
+    """A function over batches, after which what it held goes back: only when it has ended are its own tables free."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in one array, and the offsets of each (null: empty)."""
     col = pa.compute.fill_null(col, "")

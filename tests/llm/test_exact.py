@@ -453,3 +453,22 @@ def test_topics_by_definition(spark):
     for r in mixing.mix(df, iterations=1).collect():
         score = sorted((-round(words[r["doc_id"]].count(x) * weight[x], 9), x) for x in set(words[r["doc_id"]]) & set(weight))
         assert r["topic"] == (score[0][1] if score else "other")
+
+
+def test_memory_goes_back_after_a_task_has_ended(monkeypatch):
+    """What a task held is free when memory is given back, not only afterwards."""
+    import weakref
+
+    class Table:
+        pass
+
+    seen, freed = [], []
+
+    def run(batches):
+        table = Table()
+        seen.append(weakref.ref(table))
+        yield from common.blocks(batches, "t")
+
+    monkeypatch.setattr(common, "give_back", lambda: freed.append(seen[0]() is None))
+    assert len(list(common.released(run)(iter([pa.RecordBatch.from_pydict({"t": ["a", "b"]})])))) == 1
+    assert freed[-1]
