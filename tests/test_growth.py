@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, ingest, insights, planning, plans, reports
+from palimpsest.operators import consolidate, graph, ingest, insights, planning, plans, reports
 from palimpsest.plans import more
 
 
@@ -84,3 +84,33 @@ def test_rehearsal_meets_words_and_not_records(spark):
     plan = spark.createDataFrame([(1, 0, "a", "p", "bake the bread"), (1, 1, "b", "p", "mix"), (1, 2, "c", "p", "rest"), (1, 3, "d", "q", "mix")], "query_id long, pos int, id string, person string, content string")
     got = plans.rehearsed(plan, told.drop("id"))
     assert {r["id"]: (r["success_probability"], r["weakest"]) for r in got.collect()} == {"a": (0.0, True), "b": (0.5, False), "c": (0.5, False), "d": (0.5, False)}
+
+
+def test_linked_memories_are_told_without_links(spark):
+    """A cue of all, a cue of two, one that repeats in a memory, and one of its own; 300 share the first."""
+    rows = [(f"m{k:03}", k, ["all", f"p{k // 2}" if k % 3 else f"own{k}"]) for k in range(300)] + [("twice", 300, ["x", "x"]), ("none", 301, [])]
+    mem = spark.createDataFrame(rows, "id string, seq long, cues array<string>")
+    links = graph.batch_links(mem)
+    want = {x for r in links.collect() for x in (r["src"], r["dst"])}
+    got = graph.linked_ids(mem)
+    assert sorted(r["id"] for r in got.collect()) == sorted(want) and 0 < len(want) < 300
+
+
+def test_health_counts_without_broadcasts(spark):
+    """The parts of the report meet as rows; ids that have links count as the links do."""
+    mem = spark.createDataFrame([(f"m{k}", k, [f"c{k // 3}"]) for k in range(8)], "id string, seq long, cues array<string>")
+    none = spark.createDataFrame([], "id string")
+    clashes = spark.createDataFrame([(2,)], "clashes long")
+    by_links, by_ids = (insights.health(mem, x, none, none, clashes, mem.where("seq = 0")) for x in (graph.batch_links(mem), graph.linked_ids(mem)))
+    assert by_ids.first() == by_links.first() and by_ids.first()["linked"] == 8
+    assert "Join" not in _plan(insights.health(mem, none, none, none, clashes, none))
+
+
+def test_conflicts_pair_no_words_in_a_shuffle(spark):
+    """Words come to the facts of a cue before they are paired: no join by id stands above the one by cue."""
+    rows = [(f"f{k}", k, "semantic", f"stone river {k % 3}x", f"h{k % 3}", ["stone", f"c{k % 2}"], 0.9, 0.5) for k in range(9)] + [("g", 9, "semantic", "stone", "g", ["stone"], 0.9, 0.5)]
+    mem = spark.createDataFrame(rows, "id string, seq long, kind string, content string, content_hash string, cues array<string>, confidence double, importance double")
+    found = consolidate.conflicts(mem)
+    want = {(f"f{a}", f"f{b}"): "stone" if (a + b) % 2 else min("stone", f"c{a % 2}") for a in range(9) for b in range(a + 1, 9) if a % 3 != b % 3}
+    assert {(r["id_a"], r["id_b"]): r["cue"] for r in found.collect()} == want
+    assert _plan(found).count("Join Inner, (id") == 0 and "content" not in _plan(found).replace("content_hash", "")
