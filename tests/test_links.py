@@ -42,3 +42,17 @@ def test_texts_of_reflections_come_last(spark):
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
     first = [f"text {i}" for i in range(19, -1, -1)]
     assert {r["id"]: (r["n"], r["contents"]) for r in got.collect()} == {"f0": (20, first), "f1": (20, first), "f3": (2, ["text 2", "text 1"])}
+
+
+def test_links_of_cues_of_any_number(spark):
+    """Of 900 episodes, cues of 900 and 600 link as others do; each pair once, with all that it shares; a repeated cue counts once."""
+    cues = "IF(id % 3 < 2, array('all', 'most', concat('c', id % 7), 'all'), array('all', concat('c', id % 7)))"
+    mem = spark.range(900).selectExpr("concat('m', id) AS id", "id AS seq", "'episodic' AS kind", f"{cues} AS cues")
+    rows = {r["id"]: set(r["cues"]) for r in mem.collect()}
+    want = {(a, b): round(0.8 + 0.1 * len(rows[a] & rows[b]), 6) for a in rows for b in rows if a < b and len(rows[a] & rows[b]) > 1}
+    for part_rows in (64, 500):
+        links = graph.rem_links(mem, part_rows=part_rows)
+        got = links.collect()
+        assert len(got) == len(want) and {(r["src"], r["dst"]): r["weight"] for r in got} == want
+    assert "Aggregate [src" not in links._jdf.queryExecution().optimizedPlan().toString()
+    assert graph.rem_links(mem, most=599).count() == 0
